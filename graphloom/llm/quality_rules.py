@@ -29,7 +29,7 @@ from graphloom.llm import sparkkit, textkit
 RATIOS = {
     "sym": ("n_symbols", "n_words", 200, None),
     "dup": ("n_dup_lines", "n_lines", 500, None),
-    "rep": ("n_repeat_words", "n_words", 400, None),
+    "rep": ("n_repeat_words", "n_words", 480, None),
     "len": ("word_chars", "n_words", 2000, 2000),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -54,10 +54,10 @@ def text_counts(column: pa.Array) -> np.ndarray:
         words = b.span_hashes(b.starts, b.ends, prefix=prefix)
         # lines that hold a word: from the line break before it to the next one
         breaks = np.flatnonzero(b.buf == 10)
-        edges = np.unique(np.concatenate([breaks, b.offs]))
         starts = np.unique(np.concatenate([breaks + 1, b.offs[:-1]]))
         starts = starts[starts < len(b.buf)]
-        ends = edges[np.searchsorted(edges, starts)]
+        next_break = np.append(breaks, len(b.buf))[np.searchsorted(breaks, starts)]
+        ends = np.minimum(next_break, b.offs[np.searchsorted(b.offs, starts, "right")])
         filled = np.searchsorted(b.starts, ends) > np.searchsorted(b.starts, starts)
         starts, ends = starts[filled], ends[filled]
         lines = b.span_hashes(starts, ends, prefix=prefix)
