@@ -139,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     kind = dict(docs.dtypes)
     got = sample.select("id", "lang", "text").mapInArrow(features, f"id {kind[id_col]}, lang string, places binary, counts binary")
-    model = got.coalesce(1).mapInArrow(learn, "model binary").collect()
+    model = got.repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(model[0][0]) if model else None
 
 
