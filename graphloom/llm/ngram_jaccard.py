@@ -207,8 +207,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     central = entries.groupBy("c").agg((-F.sum(F.log2("w")) / F.first("n")).alias("rank"))
     tested = check(stars(entries.join(central, "c").withColumn("lab", F.col("c"))))
     links = tested.where("linked").select("a", "b")
-    # then with nodes that a hash picks, in four ways
-    entries = mixed(entries.drop("w"), sparkkit.components(links))
+    # then with nodes that a hash picks, in four ways; nodes with one hub are joined already
+    entries = mixed(entries.drop("w"), sparkkit.hubs(links))
     picked = stars(entries.withColumn("rank", F.xxhash64("c", F.pmod("h", F.lit(4))).cast("double"))).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     again = check(picked)
     tested, links = tested.union(again), links.union(again.where("linked").select("a", "b"))

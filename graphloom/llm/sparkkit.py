@@ -57,6 +57,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Bits of the filter that `reduced` broadcasts: 4 MB whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def reduced(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be among ids: all that are, and few others.
+
+    A bitmap of hashed ids of fixed size goes to all executors, so a following join
+    on id shuffles the texts that it needs; it never decides a result.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    split = lambda df: df.withColumn("_at", at).withColumn("_bucket", F.expr("_at div 32768")).withColumn("_bit", F.expr("_at % 32768"))
+    bits = split(ids.select("id")).repartition(32, "_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    kept = split(docs).join(F.broadcast(bits), "_bucket").where(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1")
+    return kept.select(*docs.columns)
+
+
+def hubs(links: DataFrame) -> DataFrame:
+    """(node, component) for links (a, b): each node with a much linked node that it is joined to.
+
+    Nodes with one hub are surely in one component; nodes of one component may
+    have several.  It takes no rounds, unlike `components`.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    degree = both.groupBy("u").agg(F.count("*").alias("d"))
+    around = both.join(degree.select(F.col("u").alias("v"), "d"), "v").groupBy("u").agg(F.max(F.struct("d", "v")).alias("top"))
+    near = cut(around.join(degree, "u").select("u", F.greatest("top", F.struct("d", F.col("u").alias("v")))["v"].alias("hub")))
+    return near.join(near.select(F.col("u").alias("hub"), F.col("hub").alias("component")), "hub").select(F.col("u").alias("node"), "component")
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -81,7 +112,7 @@ def with_pairs(
     lead = hot.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("payload"))
     rest = pairs.join(hot, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "payload")
     roles = lead.union(rest)
-    rows = docs.join(roles, "id").select("a", "part", "role", F.col("id").alias("b"), "text", "payload")
+    rows = reduced(docs, roles).join(roles, "id").select("a", "part", "role", F.col("id").alias("b"), "text", "payload")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
