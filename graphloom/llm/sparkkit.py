@@ -61,8 +61,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
-def reduced(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among ids: all that are, and few others.
+def reduced(docs: DataFrame, ids: DataFrame, inverse: bool = False) -> DataFrame:
+    """The rows of docs whose id may be among ids: all that are, and few others.  inverse: the rest.
 
     A bitmap of hashed ids of fixed size goes to all executors, so a following join
     on id shuffles the texts that it needs; it never decides a result.
@@ -71,7 +71,8 @@ def reduced(docs: DataFrame, ids: DataFrame) -> DataFrame:
     split = lambda df: df.withColumn("_at", at).withColumn("_bucket", F.expr("_at div 32768")).withColumn("_bit", F.expr("_at % 32768"))
     bits = split(ids.select("id")).repartition(32, "_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    kept = split(docs).join(F.broadcast(bits), "_bucket").where(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1")
+    found = f"coalesce(shiftright({byte}, cast(_bit % 8 as int)) & 1, 0)"
+    kept = split(docs).join(F.broadcast(bits), "_bucket", "left" if inverse else "inner").where(f"{found} = {int(not inverse)}")
     return kept.select(*docs.columns)
 
 
