@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import sparkkit
+from graphloom.llm import sparkkit, textkit
 
 PLACES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -151,7 +151,7 @@ def with_language(docs: DataFrame, model: dict | None, text_col: str = "text", d
     schema = docs.select(*[docs.columns[i] for i in kept]).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
             got = [predict_text(held.value, t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 

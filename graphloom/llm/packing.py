@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import sparkkit
+from graphloom.llm import sparkkit, textkit
 
 SALTS = 64
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +72,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(token_ids(text or "", path), np.array([end_id], "<u4"))

@@ -118,7 +118,7 @@ def with_pairs(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = (None, None), None
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
             cols = batch.to_pydict()
             out: list[tuple] = []
             for a, part, role, b, text, payload in zip(cols["a"], cols["part"], cols["role"], cols["b"], cols["text"], cols["payload"], strict=True):

@@ -1,7 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D.  Texts are handled as
-UTF-8 in blocks of a few megabytes, so memory follows the block (or the longest
+UTF-8 in blocks of about a megabyte, so memory follows the block (or the longest
 single text), not the partition.  Hashes are 64 bits wide.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -126,6 +126,14 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         buf, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         yield Block(buf, own, i, *find_words(buf, own))
         i = j
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, for work that makes Python objects of them."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def one_block(text: str | None) -> Block:
