@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import sparkkit
+
 #: Identifiers and the sentences that licences ask files to carry.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -64,7 +66,7 @@ def matches(files: DataFrame, templates: DataFrame, least: float = LEAST) -> Dat
 
     named = F.filter(F.split("text", _SENTENCE), lambda s: F.lower(s).rlike(_NAMES))
     said = files.where(F.lower("text").rlike(_NAMES)).select("id", F.posexplode(named).alias("k", "text"))
-    vectors = _vectors(said, ["id", "k"], idf, unseen)
+    vectors = sparkkit.cut(_vectors(said, ["id", "k"], idf, unseen))
     norms = vectors.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vectors.join(F.broadcast(template), "token").groupBy("id", "k", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))
     scores = dots.join(norms, ["id", "k"]).select("id", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
@@ -95,7 +97,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None, id_col: str = "do
     """
     templates = files.sparkSession.createDataFrame(list(TEMPLATES), "license string, text string") if templates is None else templates
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
-    own = matches(base.where("id is not null"), templates, least)
+    own = sparkkit.cut(matches(base.where("id is not null"), templates, least))
     slim = base.select("id", "path").join(own, "id", "left")
     up = inherited(slim, slim.where("license is not null and path is not null"))
     out = slim.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).join(up, "dir", "left")
