@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 _SKIP = frozenset("script style noscript template head title nav footer aside form button select option textarea label input fieldset svg iframe object canvas dialog menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark meta q s samp small span strike strong sub sup time tt u var wbr link".split())
+#: Tags that don't end a line: what they hold flows with the text around, or isn't text.
+_FLOWING = _INLINE | frozenset("script style template noscript input button label select option textarea svg iframe object canvas".split())
 _BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu topbar header masthead footer sidebar rail aside widget "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
@@ -83,7 +85,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag not in _INLINE:
+        if tag not in _FLOWING:
             self.flush()
         if tag in _VOID:
             return
@@ -101,12 +103,12 @@ class _Lines(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag not in _INLINE:
+        if tag not in _FLOWING:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in _INLINE:
+        if tag not in _FLOWING:
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
