@@ -148,13 +148,13 @@ query("geo_search", f"SELECT {_NODE} AS aUid, round({_HAV}, 3) AS distance FROM
 def _bm25(terms: list[str], match: str, limit: int) -> str:
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(terms)))
-    idf = lambda i: f"CASE WHEN (N - d{i} + 0.5) / (d{i} + 0.5) > 1 THEN ln((N - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END"
+    idf = lambda i: f"CASE WHEN (docs - d{i} + 0.5) / (d{i} + 0.5) > 1 THEN ln((docs - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END"
     score = " ".join(f"- {idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / a))" for i in range(len(terms)))
     others = " + ".join(f"(SELECT count(*) FROM {t})" for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "embeddings", "nation", "customer", "supplier", "orders", "events"))
     return f"""
 WITH d AS (SELECT 'doc-' || doc_id AS docId, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
 c AS (SELECT docId, len(t) AS n, {tf} FROM d),
-s AS (SELECT count(*) + {others} AS N, sum(n) / (count(*) + {others}) AS a, {df} FROM c)
+s AS (SELECT count(*) + {others} AS docs, sum(n) / (count(*) + {others}) AS a, {df} FROM c)
 SELECT docId, round(0 {score}, 6) AS score FROM c, s WHERE {match} ORDER BY 0 {score}, docId LIMIT {limit}"""
 
 
