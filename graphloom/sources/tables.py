@@ -13,12 +13,27 @@ from pyspark.sql import functions as F
 from graphloom.model import nodes, triples
 
 
+#: The tables' columns; with them a query starts without reading footers of tables it never scans.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def uid(kind: str, *cols: str):
     return F.concat(F.lit(kind), *[x for c in cols for x in (F.lit("-"), F.col(c).cast("string"))])
 
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     c = F.col
     customer, orders, k = t("customer"), t("orders"), F.col("c_custkey")
     lat, lng = ((k * 37) % 1800) / 10 - 90, ((k * 91) % 3600) / 10 - 180
