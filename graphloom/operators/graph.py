@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from graphloom.model import NODE, child_scope, edge_doc_id
 from graphloom.plans import planner
 from graphloom.plans.planner import Find
 
+if TYPE_CHECKING:
+    from graphloom.operators.registry import Registry
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -26,6 +31,7 @@ class Hop:
     order_by: tuple[str, str] | None = None
     limit: int | None = 10
     target_graph: str | None = None
+    keep: Column | None = None  # any condition on the edge's columns; it counts before the limit
 
 
 @dataclass(frozen=True)
@@ -35,6 +41,7 @@ class Graph:
     table: DataFrame
     scope: str = ""
     scan_mode: str = "error"
+    registry: Registry | None = None  # its target graphs hold for hops that name none; reads migrate payloads
 
     @property
     def rows(self) -> DataFrame:
@@ -45,7 +52,7 @@ class Graph:
 
     # point reads
     def get_doc(self, doc_id: str) -> DataFrame:
-        return self.rows.where(F.col("docId") == doc_id).limit(1)
+        return self._migrated(self.rows.where(F.col("docId") == doc_id).limit(1))
 
     def get_node(self, uid: str) -> DataFrame:
         return self.get_doc(uid)
@@ -60,6 +67,9 @@ class Graph:
         """The rows of keys (docId, ...) that the graph has."""
         return keys.join(self.rows.select("docId"), "docId", "left_semi")
 
+    def _migrated(self, df: DataFrame) -> DataFrame:
+        return self.registry.migrated(df) if self.registry else df
+
     # filtered scans
     @staticmethod
     def _ordered(df: DataFrame, order_by: tuple[str, str] | None, limit: int | None, kind: object = 0.0) -> DataFrame:
@@ -89,7 +99,7 @@ class Graph:
         if not filters:
             raise invalid("find_edges needs a filter")
         planner.guard(filters, self.scan_mode, allow_scan)
-        return self._ordered(self._where(self.rows, filters), find.order_by, planner.effective_limit(find.limit))
+        return self._migrated(self._ordered(self._where(self.rows, filters), find.order_by, planner.effective_limit(find.limit)))
 
     def find_nodes(self, a_type: str, where: list | None = None, order_by: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
         return self.find_edges(Find(aType=a_type, axbType=NODE, where=where or [], order_by=order_by, limit=limit))
@@ -101,7 +111,7 @@ class Graph:
         filters = find.filters()
         planner.guard(filters, self.scan_mode, allow_scan)
         everywhere = self.table.where(F.element_at(F.split("scope", "/"), -1) == name)
-        return self._ordered(self._where(everywhere, filters), find.order_by, planner.effective_limit(find.limit))
+        return self._migrated(self._ordered(self._where(everywhere, filters), find.order_by, planner.effective_limit(find.limit)))
 
     def find_edges_projected(self, find: Find, select: list[str], kinds: dict[str, str] | None = None, allow_scan: bool = False) -> DataFrame:
         """Columns named as asked; kinds gives flat types (number, string, boolean) for data fields."""
@@ -175,29 +185,51 @@ class Graph:
         A hop with a target graph goes on in that graph under each source.  With
         max_reads, only so many sources over all hops are read, first come first.
         """
+        return reduce(DataFrame.unionByName, [edges for _, _, edges in self._steps(starts, hops, max_reads)])
+
+    def traversal_report(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
+        """One row for each hop: depth, axbType, sources (those to read), reads, edges, targets, truncated."""
+        parts = []
+        for depth, ((wanted, read, edges), hop) in enumerate(zip(self._steps(starts, hops, max_reads), hops, strict=True), 1):
+            far = "bUid" if hop.direction == "forward" else "aUid"
+            counts = [df.agg(F.count("*").alias(name)) for df, name in ((wanted, "sources"), (read, "reads"))]
+            found = edges.agg(F.count("*").alias("edges"), F.countDistinct(far).alias("targets"))
+            one = found.crossJoin(F.broadcast(counts[0])).crossJoin(F.broadcast(counts[1]))  # single rows
+            parts.append(one.select(F.lit(depth).alias("depth"), F.lit(hop.axbType).alias("axbType"), "sources", "reads", "edges", "targets", F.expr("reads < sources").alias("truncated")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _steps(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+        """For each hop: its sources, those within the budget, and its edges."""
         if not hops:
             raise GraphError("TRAVERSAL_ERROR", "a traversal needs a hop")
         if isinstance(starts, list):
             starts = self.table.sparkSession.createDataFrame([(s,) for s in starts], "uid string")
         frontier = starts.select(F.col(starts.columns[0]).alias("_uid"), F.lit(self.scope).alias("_scope")).distinct()
-        out, left = None, max_reads
+        out, left = [], max_reads
         for depth, hop in enumerate(hops, 1):
+            if hop.direction not in ("forward", "reverse"):
+                raise invalid(f"unknown direction {hop.direction!r}")
             near, far = ("aUid", "bUid") if hop.direction == "forward" else ("bUid", "aUid")
+            wanted = frontier
             if left is not None:
                 frontier = frontier.orderBy("_uid").limit(max(left, 0)).cache()
                 left -= frontier.count()
-            if hop.target_graph and hop.direction == "forward":
+            read = frontier
+            graph_name = hop.target_graph or (self.registry.target_graph(hop.axbType) if self.registry else None)
+            if graph_name and hop.direction == "forward":
                 prefix = F.lit(self.scope + "/" if self.scope else "")
-                frontier = frontier.withColumn("_scope", F.concat(prefix, "_uid", F.lit(f"/{hop.target_graph}")))
+                frontier = frontier.withColumn("_scope", F.concat(prefix, "_uid", F.lit(f"/{graph_name}")))
             edges = self._where(self.table, [*Find(aType=hop.aType, axbType=hop.axbType, bType=hop.bType).filters(), *hop.where])
             if hop.axbType == NODE:
                 edges = edges.where("aUid <> bUid")
+            if hop.keep is not None:
+                edges = edges.where(hop.keep)
             edges = edges.join(frontier, (F.col(near) == F.col("_uid")) & (F.col("scope") == F.col("_scope")), "left_semi")
             if hop.limit:
                 w = Window.partitionBy("scope", near).orderBy(*(self.order(hop.order_by) if hop.order_by else [F.col("docId")]))
                 edges = edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= hop.limit).drop("_r")
             edges = edges.withColumn("depth", F.lit(depth))
-            out = edges if out is None else out.unionByName(edges)
+            out.append((wanted, read, edges))
             frontier = edges.groupBy(F.col(far).alias("_uid")).agg(F.min("scope").alias("_scope"))
         return out
 

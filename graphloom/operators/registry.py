@@ -111,6 +111,30 @@ class Registry:
         """Both registries; where both know a triple, this one wins."""
         return Registry([*extension.entries.values(), *self.entries.values()])
 
+    def target_graph(self, axb_type: str) -> str | None:
+        """The graph that a relation's edges live in, where all its entries agree on one."""
+        named = {e.target_graph for e in self.entries.values() if e.axbType == axb_type}
+        return named.pop() if len(named) == 1 else None
+
+    def topology(self, a_type: str | None = None) -> list[tuple[str, str, str, str | None]]:
+        """(source type, relation, target type, target graph) of all edges, or of those from one type."""
+        return sorted((e.aType, e.axbType, e.bType, e.target_graph) for e in self.entries.values() if e.axbType != NODE and a_type in (None, e.aType))
+
+    def stamped(self, rows: DataFrame) -> DataFrame:
+        """Rows to write with `v` set to their entry's version; entries without migrations leave it null."""
+        stamp = F.lit(None).cast("int")
+        for (a, x, b), e in self.entries.items():
+            if e.version:
+                stamp = F.when((F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b), F.lit(e.version)).otherwise(stamp)
+        return rows.withColumn("v", stamp)
+
+    def outdated(self, rows: DataFrame) -> DataFrame:
+        """Rows whose version is below that of their entry."""
+        due = F.lit(False)
+        for (a, x, b), e in self.entries.items():
+            due = due | ((F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b) & (F.coalesce("v", F.lit(0)) < e.version))
+        return rows.where(due)
+
     def validate(self, a_type: str, axb_type: str, b_type: str, data: object, scope: str = "") -> None:
         entry = self.entries.get((a_type, axb_type, b_type))
         if entry is None:

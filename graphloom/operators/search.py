@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.errors import invalid
 from graphloom.functions import distance, paths
@@ -41,12 +44,12 @@ def geo_search(graph: Graph, lat_field: str, lng_field: str, lat: float, lng: fl
     return rows.orderBy(*([F.col("distance")] if by_distance else []), "docId").limit(limit)
 
 
-_QUERY = re.compile(r'"[^"]*"|\(|\)|[^\s()"]+')
+_QUERY = re.compile(r'NEAR\([^()]*\)|"[^"]*"|\(|\)|[^\s()"]+')
 _TOKEN = r"[^\p{L}\p{N}]+"
 
 
 class _Parsed:
-    """Words, phrases and prefixes with AND, OR, NOT and parentheses; AND binds tighter than OR."""
+    """Words, phrases, prefixes and NEAR(words, distance) with AND, OR, NOT and parentheses; AND binds tighter than OR."""
 
     def __init__(self, text: str):
         self.parts, self.at, self.units = _QUERY.findall(text), 0, []
@@ -87,15 +90,41 @@ class _Parsed:
                 raise invalid("the text query has an open parenthesis")
             self.at += 1
             return out
+        if part.startswith("NEAR("):
+            inside, _, far = part[5:-1].partition(",")
+            words = [w for w in re.split(r"[^\w]+|_", inside.lower()) if w]
+            if not words or not (far.strip() or "10").isdigit():
+                raise invalid("NEAR needs words and a whole distance")
+            self.units.append((words, int(far.strip() or "10")))
+            return ("unit", len(self.units) - 1)
         prefix = part.endswith("*") and not part.startswith('"')
         words = [w for w in re.split(r"[^\w]+|_", part.lower()) if w]
         self.units.append((words, prefix))
         return ("unit", len(self.units) - 1)
 
 
-def _count(tokens: Column, words: list[str], prefix: bool) -> Column:
+def _leaves(value: object) -> list[str]:
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [s for v in inner for s in _leaves(v)]
+
+
+@F.pandas_udf(StringType())
+def text_leaves(payload: pd.Series) -> pd.Series:
+    """All strings within a JSON payload, nested ones too, joined by spaces."""
+    return payload.map(lambda p: " ".join(_leaves(json.loads(p))) if p else "")
+
+
+def _count(tokens: Column, words: list[str], prefix: bool | int) -> Column:
+    """How often a word, prefix or phrase occurs; for NEAR (a distance), how many windows start at one of its words."""
     if not words:
         return F.lit(0)
+    if not isinstance(prefix, bool):
+        span = prefix + len(words)
+        window = lambda i: F.slice(tokens, i + 1, span)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i).isin(words))
+        return F.size(F.filter(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, words)), window(i))) == 0))
     if len(words) == 1:
         return F.size(F.filter(tokens, lambda t: t.startswith(words[0]) if prefix else t == words[0]))
     phrase = F.array(*map(F.lit, words))
@@ -103,16 +132,16 @@ def _count(tokens: Column, words: list[str], prefix: bool) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (last >= 0) & (F.slice(tokens, i + 1, len(words)) == phrase)))
 
 
-def full_text_search(graph: Graph, query: str, limit: int, fields: list[str], find: Find | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Rows that match, best BM25 first (`score`, lower is better), over the words of the data fields.
+def full_text_search(graph: Graph, query: str, limit: int, fields: list[str] | None = None, find: Find | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Rows that match, best BM25 first (`score`, lower is better), over the words of the data fields (None: all strings of data).
 
     Counts, lengths and frequencies are of the whole graph; find narrows the
     matches afterwards.  One pass counts, and its single row joins the second.
     """
-    if limit < 1 or not fields:
+    if limit < 1 or fields == []:
         raise invalid("full_text_search needs a limit and fields")
     parsed = _Parsed(query)
-    said = F.concat_ws(" ", *[paths.typed(paths.data_path(f), "string") for f in fields])
+    said = text_leaves(F.to_json("data")) if fields is None else F.concat_ws(" ", *[paths.typed(paths.data_path(f), "string") for f in fields])
     rows = graph.rows.withColumn("_t", F.filter(F.split(F.lower(said), _TOKEN), lambda t: t != ""))
     tf = [f"_f{i}" for i in range(len(parsed.units))]
     rows = rows.withColumns({c: _count(F.col("_t"), *u) for c, u in zip(tf, parsed.units, strict=True)}).withColumn("_n", F.size("_t")).drop("_t")

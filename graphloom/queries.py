@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.model import doc_id_column, is_ancestor, type_uid_column
+from graphloom.operators.browse import node_detail, nodes_batch, observed_fields, observed_types, page, summaries
 from graphloom.operators.graph import Graph, Hop, after, search_everywhere
+from graphloom.operators.registry import Entry, Registry
 from graphloom.operators.search import find_nearest, full_text_search, geo_search
 from graphloom.plans.planner import Find
-from graphloom.sources.tables import star_triples
+from graphloom.sources.definitions import typed_payloads
+from graphloom.sources.tables import line_triples, star_triples
+from graphloom.sources.wire import from_wire, to_wire
+from graphloom.streaming.changes import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,9 +26,13 @@ VECTOR = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
 _VEC = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str, lines: bool = False):
     def keep(fn: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Graph(star_triples(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            table = star_triples(spark, sf_dir)
+            return fn(Graph(table.unionByName(line_triples(spark, sf_dir)) if lines else table))
+
+        QUERIES[name] = run
         ORACLE_SQL[name] = sql
         return fn
 
@@ -172,3 +181,65 @@ query("observed_schema", "SELECT 'customer' AS aType, 'placed' AS axbType, 'orde
 query("type_uids", "SELECT r_name AS name, substr(translate(to_base64(unhex(sha256('nodeType:' || r_name))), '+/', '-_'), 1, 21) AS uid FROM region")(
     lambda g: g.find_nodes("region").select(_str("name")).select("name", type_uid_column(F.lit("nodeType"), F.col("name")).alias("uid"))
 )
+
+_LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)"
+_LINE = "'line-' || l_orderkey || '-' || n"
+query("order_lines", f"SELECT 'order-' || l_orderkey AS aUid, {_LINE} AS bUid, n FROM {_LINES} WHERE l_orderkey < 500", lines=True)(
+    lambda g: g.expand(g.find_nodes("order", limit=0).where("cast(substr(aUid, 7) as long) < 500").select("aUid"), "hasLine").select("aUid", "bUid", F.try_variant_get("data", "$.n", "long").alias("n"))
+)
+query("traverse_order_parts", f"SELECT {_LINE} AS aUid, 'part-' || l_partkey AS bUid, 2 AS depth FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5) UNION ALL SELECT 'order-' || l_orderkey, {_LINE}, 1 FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5)", lines=True)(
+    lambda g: g.traverse([f"order-{i}" for i in range(1, 6)], [Hop("hasLine", limit=None), Hop("ofPart", limit=None)]).select("aUid", "bUid", "depth")
+)
+query("aggregate_lines", "SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY ALL", lines=True)(
+    lambda g: g.aggregate({"n": ("count",), "quantity": ("sum", "data.quantity"), "discount": ("avg", "data.discount")}, Find(aType="lineitem", axbType="is"), group_by=["returnflag", "linestatus"]).withColumns({"quantity": F.round("quantity", 2), "discount": F.round("discount", 6)})
+)
+query("traverse_keep_condition", "SELECT 'order-' || o_orderkey AS bUid FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND c_custkey % 3 = 0 AND o_orderkey % 2 = 1")(
+    lambda g: g.traverse(["nation-7"], [Hop("inNation", "reverse", aType="customer", limit=None, keep=F.expr("cast(substr(aUid, 10) as long) % 3 = 0")), Hop("placed", limit=None, keep=F.expr("cast(substr(bUid, 7) as long) % 2 = 1"))]).where("depth = 2").select("bUid")
+)
+query("traversal_report", """
+WITH s AS (SELECT 'customer-' || c_custkey AS u, c_custkey FROM customer WHERE c_nationkey = 3), r AS (FROM s ORDER BY u LIMIT 6)
+SELECT 1 AS depth, 'inNation' AS axbType, 1 AS sources, 1 AS reads, count(*) AS edges, count(DISTINCT u) AS targets, false AS truncated FROM s
+UNION ALL SELECT 2, 'placed', (SELECT count(*) FROM s), (SELECT count(*) FROM r), count(*), count(DISTINCT o_orderkey), (SELECT count(*) FROM s) > 6 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM r)""")(
+    lambda g: g.traversal_report(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=None), Hop("placed", limit=None)], max_reads=7)
+)
+_REGISTRY = Registry([Entry("conversation", "hasTurn", "turn", target_graph="turns"), Entry("region", migrations=[(0, 1, "to_json(named_struct('label', lower(get_json_object(data, '$.name'))))")])])
+query("traverse_registry_graph", "SELECT 'turn-' || conv_id || '-' || turn AS bUid FROM conversations WHERE conv_id IN (5, 6)")(
+    lambda g: Graph(g.table, registry=_REGISTRY).traverse(["conv-5", "conv-6"], [Hop("hasTurn", limit=None)]).select("bUid")
+)
+query("migrate_on_read", "SELECT 'region-' || r_regionkey AS aUid, lower(r_name) AS label, 1 AS v FROM region")(lambda g: Graph(g.table, registry=_REGISTRY).find_nodes("region").select("aUid", _str("label"), "v"))
+_PART = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "size": {"type": "integer", "maximum": 40}, "price": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}}
+query("audit_schema", "SELECT 'part-' || p_partkey AS docId, 'VALIDATION_ERROR: /size: breaks maximum 40' AS violation FROM part WHERE p_size > 40")(
+    lambda g: Registry([Entry("part", json_schema=_PART)]).audit(g.find_nodes("part", limit=0)).select("docId", "violation")
+)
+query("typed_payloads", "SELECT 'part-' || p_partkey AS docId, p_name AS name, p_size::BIGINT AS size, p_retailprice AS price, len(string_split(p_name, ' ')) AS n_tags FROM part")(
+    lambda g: typed_payloads(g, Entry("part", json_schema=_PART)).select("docId", "name", "size", "price", F.size("tags").alias("n_tags"))
+)
+query("node_detail", f"SELECT 'customer-7' AS docId, 'node' AS side UNION ALL SELECT {_PLACED}, 'out' FROM orders WHERE o_custkey = 7 UNION ALL SELECT {_edge_id(_NODE, 'inNation', chr(39) + 'nation-' + chr(39) + ' || c_nationkey')}, 'out' FROM customer WHERE c_custkey = 7")(
+    lambda g: node_detail(g, "customer-7").select("docId", "side")
+)
+query("nodes_batch", "SELECT 'part-' || k AS uid, p_name AS name FROM (VALUES (1), (5), (-4)) t(k) LEFT JOIN part ON p_partkey = k")(
+    lambda g: nodes_batch(g, ["part-1", "part-5", "part--4", "part-1"]).select("uid", F.try_variant_get("node.data", "$.name", "string").alias("name"))
+)
+query("page_edges", f"SELECT {_PLACED} AS docId, round(o_totalprice, 6) AS total, true AS hasMore FROM orders WHERE o_totalprice < 200000 ORDER BY o_totalprice DESC, 1 LIMIT 25")(
+    lambda g: page(g, Find(axbType="placed"), "data.total", True, (200000.0, ""), 25).select("docId", _num("total"), "hasMore")
+)
+query("page_offset", "SELECT 'part-' || p_partkey AS aUid FROM part ORDER BY p_retailprice, 'part-' || p_partkey LIMIT 10 OFFSET 20")(
+    lambda g: g.find_nodes("part", limit=0).orderBy(*Graph.order(("data.price", "asc"))).offset(20).limit(10).select("aUid")
+)
+query("summaries", "SELECT 'nation-' || n_nationkey AS \"from\", 'inRegion' AS relation, 'region-' || n_regionkey AS \"to\", 'nation' AS fromType, 'region' AS toType, CAST(NULL AS VARCHAR) AS data, '2024-01-01T00:00:00.000Z' AS createdAt FROM nation")(
+    lambda g: summaries(g.find_edges(Find(axbType="inRegion", bType="region"))).drop("updatedAt")
+)
+query("observed_types", "SELECT 'turn' AS aType, 'is' AS axbType, 'turn' AS bType, count(*) AS n FROM conversations WHERE conv_id = 4 UNION ALL SELECT 'conversation', 'hasTurn', 'turn', count(*) FROM conversations WHERE conv_id = 4")(
+    lambda g: observed_types(g.subgraph("conv-4", "turns"))
+)
+query("observed_fields", "SELECT 'region' AS aType, 'name' AS field, count(*) AS n, 'STRING' AS type FROM region UNION ALL SELECT 'nation', 'name', count(*), 'STRING' FROM nation")(
+    lambda g: observed_fields(Graph(g.table.where("aType in ('region', 'nation')"))).select("aType", "field", "n", "type")
+)
+query("wire_round_trip", "SELECT 'supplier-' || s_suppkey AS docId, s_name AS name, s_acctbal AS acctbal, TIMESTAMP '2024-01-01 00:00:00' AS createdAt FROM supplier")(
+    lambda g: from_wire(to_wire(g.find_nodes("supplier", limit=0))).select("docId", _str("name"), _num("acctbal"), "createdAt")
+)
+query("full_text_all_fields", """
+WITH d AS (SELECT 'turn-' || conv_id || '-' || turn AS docId, list_filter(regexp_split_to_array(lower(role || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM conversations WHERE conv_id = 4)
+SELECT docId FROM d WHERE list_contains(t, 'user')""")(lambda g: full_text_search(g.subgraph("conv-4", "turns"), "user", 1000).select("docId"))
+QUERIES["windowed_counts"] = lambda spark, sf_dir: windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp").alias("start"), "event_type", "n")
+ORACLE_SQL["windowed_counts"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"

@@ -9,6 +9,7 @@ and succeeds against that version only.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from graphloom.errors import GraphError, invalid
 from graphloom.functions import paths, patch
 from graphloom.model import NODE, TRIPLE_SCHEMA, doc_id_column
 from graphloom.operators.graph import Graph
+from graphloom.operators.registry import Registry
 from graphloom.plans.planner import Find
 
 #: A change set: rows of the triple table with data as JSON, and in `op` put, replace, update or remove; seq orders changes of one row.
@@ -62,8 +64,11 @@ class SnapshotStore:
             raise
         return base + 1
 
-    def apply(self, changes: DataFrame, now: str, base: int | None = None) -> int:
-        """Fold a change set (columns CHANGES) in order and commit it; `now` stamps what it touches."""
+    def apply(self, changes: DataFrame, now: str, base: int | None = None, missing: str = "error") -> int:
+        """Fold a change set (columns CHANGES) in order and commit it; `now` stamps what it touches.
+
+        Updates of rows that aren't there raise NOT_FOUND unless missing is "skip".
+        """
         base = self.version() if base is None else base
         delta = changes.withColumn("docId", doc_id_column())
         steps = delta.groupBy("scope", "docId").agg(
@@ -96,7 +101,7 @@ class SnapshotStore:
             return pd.DataFrame(out, columns=["gone", "data", "v", "created", "missing"]).astype({"v": "Int32"})
 
         touched = both.where("steps is not null").withColumn("f", fold(F.to_json("data"), "v", F.coalesce("had", F.lit(False)), "steps")).cache()
-        if not touched.where("f.missing").isEmpty():
+        if missing == "error" and not touched.where("f.missing").isEmpty():
             raise GraphError("NOT_FOUND", "an update names a row that isn't there")
         stamp = F.lit(now).cast("timestamp")
         made = touched.where("not f.gone").select(
@@ -138,6 +143,48 @@ class SnapshotStore:
         changed = rows.where(hit).withColumn("data", F.parse_json(merged(F.to_json("data")))).withColumn("updatedAt", F.lit(now).cast("timestamp"))
         return n, self.commit(rows.where(~hit).unionByName(changed), base)
 
+    def bulk_remove_edges(self, find: Find, scope: str = "", base: int | None = None) -> dict:
+        """Drop the matching edges, never nodes: {deleted, batches, errors, version}."""
+        if not find.filters():
+            raise invalid("a bulk delete needs a filter")
+        base = self.version() if base is None else base
+        rows = self.read(base)
+        hit = self._matching(scope, find) & ~((F.col("axbType") == NODE) & (F.col("aUid") == F.col("bUid")))
+        n = rows.where(hit).count()
+        return {"deleted": n, "batches": 1, "errors": [], "version": self.commit(rows.where(~hit), base)}
+
+    def delete_graph(self, scope: str = "", nested: bool = False, base: int | None = None) -> int:
+        """Drop all rows of a graph, with nested those of the graphs under it too: the new version."""
+        base = self.version() if base is None else base
+        gone = F.col("scope") == scope
+        if nested:
+            gone = gone | F.col("scope").startswith(scope + "/" if scope else "")
+        return self.commit(self.read(base).where(~gone), base)
+
+    def run_transaction(self, body: Callable[[Graph], DataFrame | None], now: str, scope: str = "", attempts: int = 3) -> int:
+        """body(graph as of one version) gives a change set, committed if that version is still the latest.
+
+        A lost race runs body again on the newer version; None commits nothing.
+        """
+        for left in range(attempts, 0, -1):
+            base = self.version()
+            changes = body(self.graph(scope, base))
+            if changes is None:
+                return base
+            try:
+                return self.apply(changes, now, base)
+            except GraphError as e:
+                if e.code != "CONFLICT" or left == 1:
+                    raise
+        raise invalid("a transaction needs an attempt")
+
+    def compact_migrations(self, registry: Registry, base: int | None = None) -> tuple[int, int]:
+        """Write old payloads back in their latest version: (rows brought up, new version)."""
+        base = self.version() if base is None else base
+        rows = self.read(base)
+        n = registry.outdated(rows).count()
+        return n, self.commit(registry.migrated(rows), base) if n else base
+
     def remove_node_cascade(self, uid: str, scope: str = "", base: int | None = None) -> tuple[int, int]:
         """Drop a node, its edges and all graphs nested under it: (rows dropped, new version)."""
         base = self.version() if base is None else base

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import nodes, triples
@@ -21,6 +21,7 @@ SCHEMAS = {
     "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
@@ -58,3 +59,21 @@ def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         triples(talk, "conversation", uid("conv", "conv_id"), "hasTurn", "turn", uid("turn", "conv_id", "turn"), {"turn": c("turn")}, turn_scope),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def line_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines: nodes, and their edges from orders and to parts and suppliers.
+
+    Lines have no key, so they are numbered within their order by all columns.
+    """
+    lines = spark.read.schema(SCHEMAS["lineitem"]).parquet(f"{sf_dir}/lineitem.parquet")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns)))
+    c, line = F.col, uid("line", "l_orderkey", "n")
+    payload = {"quantity": c("l_quantity"), "price": c("l_extendedprice"), "discount": c("l_discount"), "tax": c("l_tax"), "returnflag": c("l_returnflag"), "linestatus": c("l_linestatus")}
+    parts = [
+        nodes(lines, "lineitem", line, payload),
+        triples(lines, "order", uid("order", "l_orderkey"), "hasLine", "lineitem", line, {"n": c("n")}),
+        triples(lines, "lineitem", line, "ofPart", "part", uid("part", "l_partkey"), {"quantity": c("l_quantity")}),
+        triples(lines, "lineitem", line, "suppliedBy", "supplier", uid("supplier", "l_suppkey"), {"quantity": c("l_quantity")}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
