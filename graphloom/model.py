@@ -16,6 +16,7 @@ from graphloom.errors import GraphError, invalid
 
 NODE = "is"
 TRIPLE_SCHEMA = "scope string, docId string, aType string, aUid string, axbType string, bType string, bUid string, data variant, v int, createdAt timestamp, updatedAt timestamp"
+COLUMNS = [c.split()[0] for c in TRIPLE_SCHEMA.split(", ")]
 ENVELOPE = ("aType", "aUid", "axbType", "bType", "bUid", "createdAt", "updatedAt")
 EPOCH = "2024-01-01 00:00:00"
 
@@ -88,4 +89,4 @@ def nodes(df: DataFrame, kind: str, uid: Column, data: dict[str, Column] | None
     return triples(df, kind, uid, NODE, kind, uid, data, scope)
 
 
-__all__ = ["NODE", "TRIPLE_SCHEMA", "ENVELOPE", "EPOCH", "edge_doc_id", "doc_id_column", "type_uid_column", "child_scope", "scope_names", "is_ancestor", "matches_scope", "triples", "nodes", "invalid"]
+__all__ = ["NODE", "TRIPLE_SCHEMA", "COLUMNS", "ENVELOPE", "EPOCH", "edge_doc_id", "doc_id_column", "type_uid_column", "child_scope", "scope_names", "is_ancestor", "matches_scope", "triples", "nodes", "invalid"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, invalid
 from graphloom.functions import paths, patch
-from graphloom.model import NODE, TRIPLE_SCHEMA, doc_id_column
+from graphloom.model import COLUMNS, NODE, TRIPLE_SCHEMA, doc_id_column
 from graphloom.operators.graph import Graph
 from graphloom.operators.registry import Registry
 from graphloom.plans.planner import Find
@@ -46,7 +46,7 @@ class SnapshotStore:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(f"{self.path}/snap-{version}")
+        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(f"{self.path}/snap-{version}").select(*COLUMNS)
 
     def graph(self, scope: str = "", version: int | None = None) -> Graph:
         return Graph(self.read(version), scope)

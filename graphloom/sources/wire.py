@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.model import TRIPLE_SCHEMA
+from graphloom.model import COLUMNS
 
 _WIRE = "scope string, docId string, aType string, aUid string, axbType string, bType string, bUid string, data variant, v int, createdAt long, updatedAt long"
-COLUMNS = [c.split()[0] for c in TRIPLE_SCHEMA.split(", ")]
 
 
 def to_wire(rows: DataFrame) -> DataFrame:
