@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from graphloom.errors import invalid
-from graphloom.functions import distance, paths
+from graphloom.functions import distance, patch, paths
 from graphloom.operators.graph import Graph
 from graphloom.plans.planner import Find
 
@@ -20,8 +20,11 @@ def _narrowed(graph: Graph, find: Find | None) -> DataFrame:
     return graph._where(graph.rows, find.filters() if find else [])
 
 
-def find_nearest(graph: Graph, field: str, query: list[float], limit: int, measure: str = "EUCLIDEAN", threshold: float | None = None, find: Find | None = None) -> DataFrame:
-    """Exact nearest neighbours, with `distance`; rows without a comparable vector drop out."""
+def find_nearest(graph: Graph, field: str, query: list[float], limit: int, measure: str = "EUCLIDEAN", threshold: float | None = None, find: Find | None = None, result_field: str | None = None) -> DataFrame:
+    """Exact nearest neighbours, with `distance`; rows without a comparable vector drop out.
+
+    With result_field the distance is also set in each payload, at that path.
+    """
     path = paths.data_path(field)
     if path is None or not query or not 1 <= limit <= 1000 or measure not in distance.MEASURES:
         raise invalid("find_nearest needs a data field, a vector, a known measure and a limit of 1 to 1000")
@@ -30,7 +33,20 @@ def find_nearest(graph: Graph, field: str, query: list[float], limit: int, measu
     most = measure == "DOT_PRODUCT"
     if threshold is not None:
         rows = rows.where(F.col("distance") >= threshold if most else F.col("distance") <= threshold)
-    return rows.orderBy(F.desc("distance") if most else F.asc("distance"), "docId").limit(limit)
+    order = [F.desc("distance") if most else F.asc("distance"), F.col("docId")]
+    rows = rows.orderBy(*order).limit(limit)
+    if result_field is None:
+        return rows
+    at = paths.data_path(result_field)
+    if at in (None, "$"):
+        raise invalid("the distance needs a field within data")
+    keys = at.split(".")[1:]
+
+    @F.pandas_udf(StringType())
+    def with_distance(payload: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([patch.apply_patch(p, [(keys, "set", float(d))]) for p, d in zip(payload, found, strict=True)], dtype=object)
+
+    return rows.withColumn("data", F.parse_json(with_distance(F.to_json("data"), "distance"))).orderBy(*order)
 
 
 def geo_search(graph: Graph, lat_field: str, lng_field: str, lat: float, lng: float, radius: float, limit: int, by_distance: bool = True, find: Find | None = None) -> DataFrame:

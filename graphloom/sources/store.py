@@ -8,6 +8,7 @@ and succeeds against that version only.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -24,6 +25,7 @@ from graphloom.plans.planner import Find
 
 #: A change set: rows of the triple table with data as JSON, and in `op` put, replace, update or remove; seq orders changes of one row.
 CHANGES = "scope string, aType string, aUid string, axbType string, bType string, bUid string, data string, v int, op string, seq long"
+OPS = ("put", "replace", "update", "remove")
 
 
 class SnapshotStore:
@@ -195,22 +197,28 @@ class SnapshotStore:
 
 
 def _operations(value: str | None) -> list:
-    import json
-
-    return json.loads(value) if value else []
+    """The operations of a change: a list of them, or a payload whose leaves are set."""
+    got = json.loads(value) if value else []
+    return patch.flatten_patch(got) if isinstance(got, dict) else got
 
 
 def change(op: str, seq: int, a: tuple[str, str], axb_type: str = NODE, b: tuple[str, str] | None = None, data: dict | None = None, v: int | None = None, scope: str = "") -> tuple:
     """One row of a change set; a patch travels as its operations."""
-    import json
-
     b = b or a
-    if op not in ("put", "replace", "update", "remove"):
+    if op not in OPS:
         raise invalid(f"unknown change {op!r}")
     operations = patch.flatten_patch(data or {}, allow_delete=op == "update")
     return (scope, *a, axb_type, *b, json.dumps(operations), v, op, seq)
 
 
+def changes_of(rows: DataFrame, op: str, seq: int = 0, data: dict | None = None) -> DataFrame:
+    """A change of each row of a triple table: by its own payload, or by one patch for all."""
+    if op not in OPS:
+        raise invalid(f"unknown change {op!r}")
+    own = F.to_json("data") if data is None else F.lit(json.dumps(patch.flatten_patch(data, allow_delete=op == "update")))
+    return rows.select("scope", "aType", "aUid", "axbType", "bType", "bUid", own.alias("data"), "v", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"))
+
+
 def last_writer(rows: DataFrame) -> DataFrame:
     """One row for each (scope, docId): that updated last."""
     w = Window.partitionBy("scope", "docId").orderBy(F.desc("updatedAt"), F.desc("createdAt"))
