@@ -2,7 +2,12 @@
 
 Sentences of a file that name a licence are compared with short licence templates
 by the cosine of their TF-IDF vectors; words that no template has get the highest
-weight.  A file's own licence is its best match at `least` or more.  A directory
+weight.  So are blocks, whatever words they have: the whole file and each run of up
+to `RUN` paragraphs, without comment marks and copyright lines, with full licence
+texts, standard headers and titles, counts taken by their logarithms.  A match that
+names none of the versions that its template names is none.  An SPDX-License-Identifier line is
+taken at its word with score 1, as written but for the case of known ids.  A file's
+own licence is its best match at `least` (blocks: `LEAST_BLOCK`) or more.  A directory
 has the licence of its licence files (those whose name begins with LICENSE or
 COPYING); other files without a licence of their own inherit from the nearest
 directory above them that has one.  Everything is DataFrame work: vectors are
@@ -16,10 +21,14 @@ rows come back once each; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import sparkkit
+from graphloom.llm import license_texts, sparkkit
 
 #: Identifiers and the sentences that licences ask files to carry.
 TEMPLATES = (
@@ -34,9 +43,20 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LEAST = 0.6
+#: Least cosine of blocks, and the paragraphs of the longest run.
+LEAST_BLOCK, RUN = 0.75, 8
 _NAMES = r"licen[sc]e|copyright|public domain|spdx"
 _SENTENCE = r"[\n\r]+|(?<=[.!?])[ \t]+"
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_VERSION = r"\b(?:version|v\.?|by(?:-[a-z]+)*|attribution(?:-[a-z]+)*|cc0|(?:[al]?gpl|mpl)(?:v| v\.?|-)?)\s*(\d+(?:\.\d+)*)"
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+:-]*\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9][a-z0-9.+:-]*\)*)*)"
+_SPDX_IDS = "Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 ISC MIT MIT-0 MPL-1.1 MPL-2.0 Unlicense Zlib Artistic-1.0 Artistic-2.0 BSL-1.0 EPL-1.0 EPL-2.0".split() + [
+    f"{name}{end}" for name in "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split() for end in ("", "+", "-only", "-or-later")
+]
+_COMMENT_END = r"(?m)^([ \t]*(?:#|//|;|--).*)\n(?![ \t]*(?:#|//|;|--))"
+_CLOSE = r"\*/|-->"
+_MARKS = r"(?m)^[ \t]*(?://+!?|/\*+!?|\*+|#+|--+|;+|<!--+)?[ \t\r]*"
+_RIGHTS = r"(?im)^[ \t]*(?:portions )?copyright (?:\(c\)|©|\d|<).*$|^[ \t]*all rights reserved\.?[ \t]*$"
 
 #: Where the query supposes the documents: sources and languages are folders, every 16th file is a licence file.
 DOCUMENT_PATH = "concat(source, '/', if(doc_id % 160 = 0, '', concat(lang, '/', doc_id % 8, '/')), if(doc_id % 16 = 0, 'LICENSE-', 'doc-'), doc_id, '.txt')"
@@ -52,6 +72,102 @@ def _vectors(rows: DataFrame, key: list[str], idf: DataFrame, unseen) -> DataFra
     return tf.join(F.broadcast(idf), "token", "left").select(*key, "token", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
 
 
+def _versions(text):
+    """The version numbers that a text names, 2.0 as 2."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_VERSION), F.lit(1)), lambda v: F.regexp_replace(v, r"(\.0)+$", "")))
+
+
+def _same_versions(said, template):
+    return (F.size(template) == 0) | F.arrays_overlap(said, template)
+
+
+def _best(scores: DataFrame) -> DataFrame:
+    best = scores.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+
+
+def _table(templates: list[tuple[str, str]], least: float) -> tuple[list, dict, float, list]:
+    """Rows (template, license, token, tw, tn), weights of tokens, of all others, and words one of which any match has.
+
+    A block without the words of a template that make more than 1 - least ** 2 of its
+    squared length has a cosine under least, so asking for one of them loses nothing.
+    Short words are taken last, as other texts have them most.
+    """
+    counts = [Counter(re.findall(_TOKEN, re.sub(_RIGHTS, "", text).lower())) for _, text in templates]
+    df = Counter(t for c in counts for t in c)
+    n = len(templates)
+    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    rows, words = [], set()
+    for k, ((name, _), c) in enumerate(zip(templates, counts, strict=True)):
+        w = {t: (1 + math.log(m)) * idf[t] for t, m in c.items()}
+        square, held = sum(x * x for x in w.values()), 0.0
+        rows += [(k, name, t, x, math.sqrt(square)) for t, x in w.items()]
+        for t in sorted(w, key=lambda t: (len(t) < 5, -w[t], t)):
+            if held > (1 - least**2) * square * (1 + 1e-5):
+                break
+            words.add(t)
+            held += w[t] ** 2
+    return rows, idf, math.log(1 + n) + 1, sorted(words)
+
+
+def _reachable(text, idf: dict, unseen: float, least: float):
+    """False only where a text has too many words of no template for a cosine of least with any.
+
+    Its squared length over other words is unseen ** 2 for each at least; that over known
+    words is greatest when their counts are even, taken apart for common and rare ones.
+    """
+    groups = [F.array(*[F.lit(t) for t, x in idf.items() if (x > 2) == rare]) for rare in (False, True)]
+    most = lambda own, rest, n, top: own * top**2 * F.pow(1 + F.log(F.greatest(F.lit(1.0), (n - rest) / F.greatest(F.lit(1.0), own))), 2)
+
+    def judged(x):
+        other = x['words'] - x['common'] - x['rare']
+        return most(x['common'], other + x['rare'], x['n'], 2.0) + most(x['rare'], other + x['common'], x['n'], max(idf.values())) >= other * (unseen**2 * least**2 / (1 - least**2))
+
+    def counted(tokens):
+        words = F.array_distinct(tokens)
+        sizes = {"n": F.size(tokens), "words": F.size(words), "common": F.size(F.array_intersect(words, groups[0])), "rare": F.size(F.array_intersect(words, groups[1]))}
+        return F.struct(*[x.cast("double").alias(c) for c, x in sizes.items()])
+
+    return F.exists(F.transform(F.array(_tokens(text)), counted), judged)  # each part is worked out once
+
+
+def block_matches(files: DataFrame, least: float = LEAST_BLOCK) -> DataFrame:
+    """(id, license, score): the best full text, header or title in a block of each file (id, text), where it reaches least."""
+    spark, templates = files.sparkSession, license_texts.templates()
+    rows, idf, unseen, words = _table(templates, least - 1e-6)
+    table = spark.createDataFrame(rows, "template int, license string, token string, tw double, tn double")
+    versions = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(templates)], "template int, text string").select("template", _versions(F.col("text")).alias("tv"))
+    weights = spark.createDataFrame(list(idf.items()), "token string, idf double")
+    gate = lambda text: F.arrays_overlap(_tokens(text), F.array(*map(F.lit, words)))
+
+    text = F.regexp_replace(F.regexp_replace("text", _COMMENT_END, "$1\n\n"), _CLOSE, "\n\n")
+    text = F.regexp_replace(F.regexp_replace(text, _MARKS, ""), _RIGHTS, "")
+    parts = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), F.filter(F.split(text, r"\n[ \t\r]*\n\s*"), lambda p: F.trim(p) != "").alias("parts"))
+    parts = sparkkit.cut(parts).where("size(parts) > 0")
+    runs = parts.select("id", "row", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("at"))
+    runs = runs.select("id", "row", "parts", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("parts") - F.col("at") + 1))).alias("n"))
+    whole = parts.where(f"size(parts) > {RUN}").select("id", "row", "parts", F.lit(1).alias("at"), F.size("parts").alias("n"))
+    key = ["id", "row", "at", "n"]
+    blocks = runs.union(whole).select(*key, F.array_join(F.slice("parts", F.col("at"), F.col("n")), "\n").alias("text"))
+    blocks = sparkkit.cut(blocks.where(gate(F.col("text"))).where(_reachable(F.col("text"), idf, unseen, least - 1e-6)))
+    blocks = blocks.distinct()
+    tf = blocks.select(*key, F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "token").agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
+    vectors = sparkkit.cut(tf.join(F.broadcast(weights), "token", "left").select(*key, "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")))
+    norms = vectors.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vectors.join(F.broadcast(table), "token").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))
+    scores = dots.join(norms, key).select(*key, "template", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
+    scores = scores.join(blocks.select(*key, _versions(F.col("text")).alias("v")), key).join(F.broadcast(versions), "template")
+    return _best(scores.where(_same_versions(F.col("v"), F.col("tv"))))
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """(id, license, score): what SPDX-License-Identifier lines declare; of several rows, the smallest."""
+    said = files.select("id", F.regexp_replace(F.regexp_extract("text", _SPDX, 1), r"[ \t]+", " ").alias("license")).where("license <> ''")
+    known = F.create_map(*[F.lit(x) for i in _SPDX_IDS for x in (i.lower(), i)])
+    tidy = F.transform(F.split("license", " "), lambda p: F.when(F.lower(p).isin("and", "or", "with"), F.upper(p)).otherwise(F.coalesce(F.try_element_at(known, F.lower(p)), p)))
+    return _best(said.select("id", F.array_join(tidy, " ").alias("license"), F.lit(1.0).alias("score")))
+
+
 def matches(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, license, score): the best template of each file (id, text), where it reaches least.
 
@@ -69,9 +185,9 @@ def matches(files: DataFrame, templates: DataFrame, least: float = LEAST) -> Dat
     vectors = sparkkit.cut(_vectors(said, ["id", "k"], idf, unseen))
     norms = vectors.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vectors.join(F.broadcast(template), "token").groupBy("id", "k", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))
-    scores = dots.join(norms, ["id", "k"]).select("id", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
-    best = scores.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    scores = dots.join(norms, ["id", "k"]).select("id", "k", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
+    scores = scores.join(said.select("id", "k", _versions(F.col("text")).alias("v")), ["id", "k"]).join(F.broadcast(templates.select("license", _versions(F.col("text")).alias("tv"))), "license")
+    return _best(scores.where(_same_versions(F.col("v"), F.col("tv"))))
 
 
 def inherited(files: DataFrame, owned: DataFrame) -> DataFrame:
@@ -95,9 +211,15 @@ def scan(files: DataFrame, templates: DataFrame | None = None, id_col: str = "do
 
     from_dir is set where the licence is inherited from that directory.  Rows of one id share their matches.
     """
-    templates = files.sparkSession.createDataFrame(list(TEMPLATES), "license string, text string") if templates is None else templates
+    given = templates is not None
+    templates = templates if given else files.sparkSession.createDataFrame(list(TEMPLATES), "license string, text string")
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
-    own = sparkkit.cut(matches(base.where("id is not null"), templates, least))
+    known = base.where("id is not null")
+    own = matches(known, templates, least)
+    if not given:  # templates of one's own stand alone
+        own, spdx = _best(own.union(block_matches(known.select("id", "text")))), declared(known)
+        own = own.join(spdx, "id", "left_anti").union(spdx)
+    own = sparkkit.cut(own)
     slim = base.select("id", "path").join(own, "id", "left")
     up = inherited(slim, slim.where("license is not null and path is not null"))
     out = slim.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).join(up, "dir", "left")

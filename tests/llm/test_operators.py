@@ -266,3 +266,25 @@ def test_hot_seeds_in_shares_find_the_same_passages(spark):
         assert all(abs(r["start_word"] - 40) <= 3 and abs(r["end_word"] - 110) <= 3 for r in got)
         flagged[hot] = {r["doc_id"] for r in got}
     assert flagged[2] == flagged[10**9] and len(flagged[2]) == 79
+
+
+def test_license_scan_knows_headers_texts_ids_and_versions(spark):
+    from graphloom.llm import license_texts
+
+    texts, prose = license_texts.templates(), "We measured rainfall at nine stations and compared it with older notes about rivers, gardens and roads. "
+    full = {name: text for name, text in reversed(texts)}
+    apache = next(t for n, t in texts if n == "Apache-2.0" and t.startswith("Licensed under the Apache"))
+    gpl2, gpl3 = (next(t for n, t in texts if n == f"GPL-{v}.0" and t.startswith("This program")) for v in (2, 3))
+    hashes = lambda text: "\n".join(("# " + line).rstrip() for line in text.split("\n"))
+    cases = [
+        ("MIT", "// SPDX-License-Identifier: MIT\nint main() { return 0; }"), ("Apache-2.0", "/* SPDX-License-Identifier: apache-2.0 */\nx"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx"), ("MIT OR Apache-2.0", "<!-- SPDX-License-Identifier: MIT OR Apache-2.0 -->"),
+        ("Apache-2.0", "#!/bin/sh\n# Copyright 2019 Some One\n#\n" + hashes(apache) + "\nimport os\nprint(os.name)\n" + prose * 5), ("MPL-2.0", "/* " + next(t for n, t in texts if n == "MPL-2.0" and "Source Code Form is" in t and len(t) < 400) + " */\n" + prose),
+        ("GPL-2.0", "/*\n" + gpl2 + "\n*/\nint x;\n\n" + prose * 3), ("GPL-3.0", hashes(gpl3) + "\n\n" + prose * 3), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone Else\nAll rights reserved.\n"),
+        ("MIT", prose * 3 + "\n\n" + full["MIT"].split("\n\n", 2)[2] + "\n\n" + prose * 3), *((n, full[n].replace("\n", "\r\n") if n == "MIT" else full[n]) for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Zlib")),
+        (None, "Licensed under the Apache License, Version 1.1."), (None, "This work is licensed under the GNU General Public License, version 4."), (None, "Licensed under CC BY-NC 3.0."), (None, "Licensed under the Apache License,\nVersion 1.1."),
+        (None, hashes(apache.replace("Version 2.0", "Version 7.0").replace("LICENSE-2.0", "LICENSE-7.0"))), (None, prose * 4 + "\n\n" + prose), (None, "The above is without warranty, to the best of our knowledge.\n\n" + prose),
+    ]
+    rows = [(i, f"d{i}/x", t) for i, (_, t) in enumerate(cases)]
+    got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, name) for i, (name, _) in enumerate(cases)]
