@@ -3,8 +3,8 @@
 Features are 1- to 3-grams of the lower-cased code points, hashed to 2**15 places,
 with logarithmic counts, inverse document frequencies and unit length.  Training
 is follow-the-regularised-leader (proximal) with L1 and L2 penalties, on at most
-`per_lang` labelled documents of each of the `max_langs` most frequent labels (the
-lowest by a hash of the id), a fifth of which only set the temperature by which
+`per_lang` labelled documents of every label (the lowest by a hash of the id; fewer of
+each, but `LEAST_LANG`, where labels are so many that they pass `SAMPLE`), a fifth of which only set the temperature by which
 scores are divided.  Predictions read every whole text and nothing else.
 
 Rules: a null text, or one without a letter, is `und` with score 0; with no
@@ -29,6 +29,8 @@ PLACES = 1 << 15
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 22
+#: Documents to train on, unless LEAST_LANG of each label are more.
+SAMPLE, LEAST_LANG = 25_600, 50
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +117,15 @@ def predict_text(model: dict | None, text: str | None) -> tuple[str, float]:
     return model["langs"][k], float(min(1.0, p[k]))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 64) -> dict | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> dict | None:
     """A model from the rows of docs with a label, but for those whose crc32(id as text) mod 4 is 2."""
     rows = docs.where(f"`{lang_col}` is not null and crc32(cast(`{id_col}` as string)) % 4 <> 2").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    ids = rows.select("id", "lang").join(F.broadcast(top.select("lang")), "lang")
+    langs = rows.select("lang").distinct().count()
+    per_lang = min(per_lang, max(LEAST_LANG, SAMPLE // max(1, langs)))
+    ids = rows.select("id", "lang")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select("id", "lang").distinct()
-    sample = rows.join(F.broadcast(ids), ["id", "lang"])  # per_lang * max_langs ids at most
+    sample = rows.join(F.broadcast(ids), ["id", "lang"])  # per_lang of each label
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -288,3 +288,9 @@ def test_license_scan_knows_headers_texts_ids_and_versions(spark):
     rows = [(i, f"d{i}/x", t) for i, (_, t) in enumerate(cases)]
     got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [(i, got[i]) for i in range(len(cases))] == [(i, name) for i, (name, _) in enumerate(cases)]
+
+
+def test_language_learns_every_label(spark):
+    rows = [(10 * k + j, chr(0x4E00 + 7 * k) * 3 + f" {j}", f"l{k:02}") for k in range(70) for j in range(10 if k else 4)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == sorted({r[2] for r in rows})
