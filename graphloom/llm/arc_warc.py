@@ -156,7 +156,7 @@ def write_archives(pages: DataFrame, place: str, id_col: str = "page_id", url_co
         if held:
             yield archive()
 
-    some.union(rest).mapInArrow(run, "archive string, warc binary").write.option("compression", "zstd").parquet(place)
+    sparkkit.mapped(some.union(rest), run, "archive string, warc binary").write.option("compression", "zstd").parquet(place)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("warc").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return sparkkit.mapped(archives.select("warc"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,20 +1,25 @@
-"""Main text of web pages from streamed parser events.
-
-The standard library's parser gives a page's events once; each line (a block of
-text between block-level tags) gets its ratio of text to tags.  Ratios are
-smoothed with a Gaussian, and lines above a threshold of their spread cluster to
-content regions.  Regions vote for the element that holds the article; without
-one, the regions themselves are the text.  Boilerplate elements (by tag, or by
-words of their class, id or role) never become lines.
+"""Main text of web pages by smoothed text-to-tag ratios of lines.
+
+The standard library's parser streams a page's events; each line (a block of text
+between block-level tags) gets its ratio of text outside links to tags.  Elements
+that are boilerplate by tag, role, or words of their class or id make the tags of
+the lines within count `DULL` times; one that is so by its words alone does not
+where it holds an article, a main heading or, in several lines, most of the page's text.  Ratios
+are smoothed with a Gaussian along stretches that lie all within boilerplate or all
+outside.  Lines at a part of the ratios' standard deviation or more are content;
+they cluster to regions, which take in small gaps and the rest of the blocks that
+they lie in, and the regions are the text.
 
 Rules: a null or empty html gives an empty text; broken markup is read as far as
-it goes; character references are decoded; nothing is cut off by length; repeated
-rows come back once each; an empty table gives no rows; other columns are ignored.
+it goes; character references are decoded; nothing is cut off by length or depth;
+repeated rows come back once each; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,83 +28,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SKIP = frozenset("script style noscript template head title nav footer aside form button select option textarea label input fieldset svg iframe object canvas dialog menu".split())
+from graphloom.llm import sparkkit, textkit
+
+_UNSEEN = frozenset("script style noscript template head title svg iframe object canvas button select option textarea label input fieldset".split())
+_DULL_TAGS = frozenset("nav footer aside form dialog menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark meta q s samp small span strike strong sub sup time tt u var wbr link".split())
 #: Tags that don't end a line: what they hold flows with the text around, or isn't text.
 _FLOWING = _INLINE | frozenset("script style template noscript input button label select option textarea svg iframe object canvas".split())
-_BOILERPLATE = frozenset(
+_DULL_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu topbar header masthead footer sidebar rail aside widget "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
-    "comment comments commentlist disqus respond reply breadcrumb breadcrumbs pagination pager toolbar copyright legal disclaimer contentinfo complementary search skip".split()
+    "breadcrumb breadcrumbs pagination pager toolbar copyright legal disclaimer contentinfo complementary search skip".split()
 )
-_ROLE_SKIP = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+_DULL_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Beginnings of class names that tell of a layout, or of a part of an article, not of the element's kind.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "entry-", "article-", "post-", "story-", "page-")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _CLOSES_P = frozenset("p div ul ol li table section article aside header footer nav form h1 h2 h3 h4 h5 h6 blockquote pre hr main figure dl dt dd".split())
+#: What a boilerplate element makes of each tag of its lines.
+DULL = 4096
+#: Part of the standard deviation that content reaches, and the least ratio of any content.
+PART, LEAST = 0.25, 0.1
+#: Lines under the threshold that a region takes in between two of its lines.
+GAP = 3
+
+
+def _kind(tag: str, attrs: list) -> tuple[bool, int]:
+    """Whether an element is never text, and how dull it is: 0, 1 by its words alone, 2 surely."""
+    unseen, dull = tag in _UNSEEN, 2 if tag in _DULL_TAGS else 1 if tag == "header" else 0
+    for name, value in attrs:
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
+            unseen = True
+        elif name == "role" and value in _DULL_ROLES:
+            dull = 2
+        elif name in ("class", "id") and value and not dull and tag not in ("html", "body", "main", "h1") and tag not in _INLINE:
+            for token in value.lower().replace("_", "-").split():
+                words = _WORDS.findall(token)
+                if not _COMMENTS.isdisjoint(words):
+                    dull = 2
+                elif not token.startswith(_ABOUT) and not _DULL_WORDS.isdisjoint(words):
+                    dull = max(dull, 1)
+    return unseen, dull
 
 
 class _Lines(HTMLParser):
+    """Lines of a page: (text, tags, characters in links, block that holds it, open dull elements)."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, the article that holds it, whether it is skipped
-        self.lines: list[tuple[str, int, int, int]] = []  # text, article, tags, characters in links
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, block, whether unseen, dull elements
+        self.count: Counter[str] = Counter()
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.articles = self.links = 0
-        self.holder, self.skipped = 0, False
-        self.within: dict[int, int] = {0: 0}
+        self.tags = self.linked = self.blocks = 0
+        self.block, self.unseen, self.dull = 0, False, ()
+        self.sure: list[bool] = []  # of each dull element: whether by more than its words
+        self.excused: set[int] = set()
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.holder, max(1, self.tags), self.linked))
+            self.lines.append((text, max(1, self.tags), self.linked, self.block, self.dull))
             self.tags = self.linked = 0
         self.text = []
 
     def push(self, tag: str, attrs: list) -> None:
-        skip = self.skipped or tag in _SKIP or (tag == "header" and not self.holder)
-        if not skip and attrs and tag not in ("html", "body"):
-            for name, value in attrs:
-                if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
-                    skip = True
-                elif name == "role" and value in _ROLE_SKIP:
-                    skip = True
-                elif name in ("class", "id") and value and tag not in ("article", "main", "h1") and tag not in _INLINE:
-                    words = _WORDS.findall(value.lower())
-                    if _BOILERPLATE.intersection(words) and not {"article", "content", "main", "story", "post"}.issuperset(words):
-                        skip = True
-        holder = self.holder
-        if not skip and (tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in attrs)):
-            self.articles += 1
-            self.within[self.articles] = holder
-            holder = self.articles
-        self.open.append((tag, holder, skip))
-        self.holder, self.skipped = holder, skip
-
-    def pop(self, count: int) -> None:
-        for tag, _, _ in self.open[-count:]:
-            if tag == "a":
-                self.links -= 1
-        del self.open[-count:]
-        _, self.holder, self.skipped = self.open[-1] if self.open else ("", 0, False)
+        unseen, dull = _kind(tag, attrs)
+        if tag in ("article", "main", "h1") and not dull:  # what holds these is dull by more than words, or not at all
+            self.excused.update(d for d in self.dull if not self.sure[d])
+        if tag == "header" and self.count["article"]:  # an article's own
+            dull = 0
+        if dull:
+            self.sure.append(dull == 2)
+            self.dull = (*self.dull, len(self.sure) - 1)
+        if tag not in _INLINE and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "dt", "dd"):
+            self.blocks += 1
+            self.block = self.blocks
+        self.unseen = self.unseen or unseen
+        self.open.append((tag, self.block, self.unseen, self.dull))
+        self.count[tag] += 1
+
+    def pop(self, size: int) -> None:
+        for tag, *_ in self.open[size:]:
+            self.count[tag] -= 1
+        del self.open[size:]
+        _, self.block, self.unseen, self.dull = self.open[-1] if self.open else ("", 0, False, ())
+
+    def close_before(self, tag: str) -> None:
+        """What a new block ends: an open p, or the item before it."""
+        if not self.count["p"] and not (tag == "li" and self.count["li"]):
+            return
+        for k in range(len(self.open) - 1, -1, -1):
+            was = self.open[k][0]
+            if was == "p" or was == tag == "li":
+                return self.pop(k)
+            if was not in _INLINE and not (tag == "li" and was not in ("ul", "ol", "menu")):
+                return None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag not in _FLOWING:
             self.flush()
-        if tag in _VOID:
-            return
-        if tag in _CLOSES_P:  # what a new block ends: an open p, or the item before it
-            for k in range(len(self.open) - 1, max(-1, len(self.open) - 6), -1):
-                was = self.open[k][0]
-                if was == "p" or was == tag == "li":
-                    self.pop(len(self.open) - k)
-                    break
-                if was not in _INLINE:
-                    break
-        self.push(tag, attrs)
-        if tag == "a":
-            self.links += 1
+        if tag not in _VOID:
+            if tag in _CLOSES_P:
+                self.close_before(tag)
+            self.push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -110,15 +146,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in _FLOWING:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.pop(len(self.open) - k)
-                return
+        if self.count[tag]:
+            self.pop(next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag))
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
+        if not self.unseen:
             self.text.append(data)
-            if self.links > 0:
+            if self.count["a"]:
                 self.linked += len(data.strip())
 
 
@@ -128,6 +162,29 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[2:-2] / np.convolve(np.ones(len(ratios)), kernel, "full")[2:-2]
 
 
+def line_ratios(lines: list[tuple], dull: np.ndarray) -> np.ndarray:
+    """Characters outside links to tags; the tags of dull lines count DULL times."""
+    return np.array([max(0, len(t) - linked) / tags for t, tags, linked, *_ in lines]) / np.where(dull, DULL, 1)
+
+
+def selected(ratios: np.ndarray, dull: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Which lines the content regions hold."""
+    edges = np.flatnonzero(dull[1:] != dull[:-1]) + 1
+    level = np.concatenate([smoothed(part) for part in np.split(ratios, edges)])
+    content = level >= max(LEAST, PART * level.std())
+    if not content.any():
+        return content
+    keep = content.copy()
+    at = np.flatnonzero(content)
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if 1 < j - i <= GAP + 1 and (dull[i : j + 1] == dull[i]).all():
+            keep[i:j] = True
+    for value in (False, True):  # the rest of their blocks, as far as it is of their sort
+        own = content & (dull == value)
+        keep |= (dull == value) & np.isin(blocks, blocks[own])
+    return keep
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -138,32 +195,15 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, *_ in lines], float)
-    ratios = smoothed(np.array([len(t) / tags for t, _, tags, _ in lines]))
-    content = ratios >= 0.5 * ratios.std()
-    holders = np.array([h for _, h, *_ in lines])
-
-    def under(article: int) -> np.ndarray:  # lines in it or in articles within it
-        chain = {article}
-        for inner, outer in parser.within.items():
-            if outer in chain and inner != article:
-                chain.add(inner)
-        return np.isin(holders, list(chain))
-
-    total = float((sizes * content).sum()) or 1.0
-    tops = [a for a in range(1, parser.articles + 1) if parser.within[a] == 0]
-    weights = {a: float((sizes * content * under(a)).sum()) for a in tops}
-    keep = np.zeros(len(lines), bool)
-    if weights and max(weights.values()) >= 0.3 * total:
-        for a, w in weights.items():
-            if w >= 0.3 * max(weights.values()):
-                keep |= under(a)
-    elif tops and not content.any():
-        keep = holders > 0
-    else:
-        at = np.flatnonzero(content)
-        keep[at[0] : at[-1] + 1] = True
-        keep &= np.array([2 * linked <= len(t) for t, _, _, linked in lines])
+    held, several = Counter(), Counter()
+    for text, _, linked, _, within in lines:
+        for d in within:
+            held[d] += len(text) - linked
+            several[d] += 1
+    most = sum(len(t) - linked for t, _, linked, *_ in lines) / 2
+    excused = parser.excused | {d for d, n in held.items() if n > most and several[d] > 2 and not parser.sure[d]}
+    dull = np.array([any(d not in excused for d in within) for *_, within in lines])
+    keep = selected(line_ratios(lines, dull), dull, np.array([block for _, _, _, block, _ in lines]))
     return "\n".join(t for (t, *_), k in zip(lines, keep, strict=True) if k)
 
 
@@ -172,8 +212,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = pages.select(id_col, url_col).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return pages.select(id_col, url_col, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    return sparkkit.mapped(pages.select(id_col, url_col, F.col(html_col).cast("string").alias("_html")), run, schema)

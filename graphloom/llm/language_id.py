@@ -141,8 +141,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([s[1:] for s in samples]))], pa.binary())], names=["model"])
 
     kind = dict(docs.dtypes)
-    got = sample.select("id", "lang", "text").mapInArrow(features, f"id {kind[id_col]}, lang string, places binary, counts binary")
-    model = got.repartition(1).mapInArrow(learn, "model binary").collect()
+    got = sparkkit.mapped(sample.select("id", "lang", "text"), features, f"id {kind[id_col]}, lang string, places binary, counts binary")
+    model = sparkkit.mapped(got.repartition(1), learn, "model binary").collect()
     return pickle.loads(model[0][0]) if model else None
 
 
@@ -158,7 +158,7 @@ def with_language(docs: DataFrame, model: dict | None, text_col: str = "text", d
             got = [predict_text(held.value, t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return sparkkit.mapped(docs, run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -229,7 +229,7 @@ def write_media(docs: DataFrame, place: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([write_jpeg(*padded(t)) for t in part.column(1).to_pylist()], pa.binary())], names=[id_col, "media"])
 
-    docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema).write.option("compression", "zstd").parquet(place)
+    sparkkit.mapped(docs.select(id_col, F.col(text_col).cast("string").alias("_text")), run, schema).write.option("compression", "zstd").parquet(place)
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", tensors: bool = False) -> DataFrame:
@@ -253,7 +253,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", tensors: bool = False)
                 cols = zip(*(row(d) for d in part.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kinds[n.split()[1]]) for c, n in zip(cols, names, strict=True))], names=[id_col, *(n.split()[0] for n in names)])
 
-    return media.select(id_col, "media").mapInArrow(run, schema)
+    return sparkkit.mapped(media.select(id_col, "media"), run, schema)
 
 
 def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

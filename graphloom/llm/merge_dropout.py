@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm import textkit
+from graphloom.llm import sparkkit, textkit
 
 MARK = "▁"
 #: Words that a task keeps for each stream before it starts afresh.
@@ -277,4 +277,4 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=[id_col, *names, *(["ids"] if with_ids else [])])
 
     stream = F.pmod(F.xxhash64(id_col), F.lit(streams)).cast("int").alias("_stream")
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text"), stream).mapInArrow(run, schema)
+    return sparkkit.mapped(docs.select(id_col, F.col(text_col).cast("string").alias("_text"), stream), run, schema)

@@ -35,7 +35,7 @@ FREQUENT = 1 << 17
 #: Hashes that a task gathers before it counts the frequent ones among them.
 CHUNK = 2_000_000
 
-_SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+_SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -49,35 +49,35 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
-        held, seen = 0, set()
+        held, seen = 0, set()  # 64-bit keys will do here: counts of frequent shingles only order columns
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(gathered), return_counts=True)
-            keep = counts >= 4
+            keep = counts >= 2
             values, counts = textkit.signed(values[keep]), counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(values), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64())], schema=_SETS)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(values), pa.array(counts.astype(np.int64)), *[pa.nulls(len(values), pa.int64())] * 2], schema=_SETS)
 
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, keys = [], []
             for s in shingle_sets(batch.column(1), n):
-                node = textkit.set_hash(s)
+                key = textkit.key_of(s)
                 sizes.append(len(s))
-                nodes.append(node)
-                if len(s) and node not in seen:
-                    seen.add(node)
+                keys.append(key)
+                if len(s) and key[0] not in seen:
+                    seen.add(key[0])
                     gathered.append(s)
                     held += len(s)
                     if held >= CHUNK:
                         yield frequent()
                         gathered, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], schema=_SETS)
         if gathered:
             yield frequent()
 
     return run
 
 
-def _columns(n: int, threshold: int, frequent):
+def _columns(n: int, threshold: int, frequent, clashing: frozenset[int]):
     """The incidence entries (shingle, node, size) that a pair at the threshold must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _columns(n: int, threshold: int, frequent):
         for batch in batches:
             hs, ns, cs = [], [], []
             for s in shingle_sets(batch.column(1), n):
-                node = textkit.set_hash(s)
+                node = textkit.node_of(s, clashing)
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
@@ -141,8 +141,8 @@ def _frequent_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.arange(len(values), 0, -1)[order]
 
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose whole shingle sets reach the threshold."""
+def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(a, b, linked) of pairs (a, b, ra, rb): whether the whole shingle sets of two nodes reach the threshold."""
 
     def judge(x, y, _payload):
         both = len(x) + len(y) - len(np.union1d(x, y))
@@ -152,7 +152,7 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFra
         return np.unique(textkit.shingle_hashes(sparkkit.word_ids(text, lower=True), n))
 
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-    return sparkkit.with_pairs(docs, pairs.select("a", "b", F.lit(None).cast("binary").alias("payload")), judge, prepare, "a long, b long, linked boolean", arrow)
+    return sparkkit.with_pairs(docs, pairs.withColumn("payload", F.lit(None).cast("binary")), judge, prepare, clashing, "a long, b long, linked boolean", arrow)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
@@ -163,12 +163,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = sparkkit.cut(sparkkit.mapped(docs, _describe(n), "kind int, id long, n long, node long"))
+    sets = sparkkit.cut(sparkkit.mapped(docs, _describe(n), "kind int, id long, n long, c long, d long"))
     frequent = sc.broadcast(_frequent_table(sets))
-    sets = sets.where("kind = 0").select("id", "n", "node")
+    sets, clashing = sparkkit.one_key_each(sets.where("kind = 0").select("id", "n", "c", "d"))
     nodes = sparkkit.cut(sets.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
 
-    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent), "h long, c long, n int")
+    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, c long, n int")
     entries = entries.repartition("h").sortWithinPartitions("h")
     entries = sparkkit.cut(sparkkit.mapped(entries, _shared, "h long, c long, n int, w int"))
 
@@ -177,11 +177,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return f"({threshold} * (na + nb) + {99 + threshold}) div {100 + threshold} - greatest({need('na')}, {need('nb')}) + 1"
 
     def check(pairs: DataFrame) -> DataFrame:
-        byrep = pairs.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
-        byrep = sparkkit.cut(byrep.select("a", "b", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")))
-        found = linked(docs, byrep.select(F.col("x").alias("a"), F.col("y").alias("b")), n, threshold)
-        found = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "linked")
-        return sparkkit.cut(found.join(byrep, ["x", "y"]).select("a", "b", "linked"))
+        ends = [nodes.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}")) for x in ("a", "b")]
+        return sparkkit.cut(linked(docs, sparkkit.cut(pairs.join(ends[0], "a").join(ends[1], "b")), n, threshold, clashing))
 
     sized = f"100 * na >= {threshold} * nb and 100 * nb >= {threshold} * na"
 
@@ -222,7 +219,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = sparkkit.components(links.union(check(left).where("linked").select("a", "b")))
 
     sets = sets.join(label.select("node", "component"), "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("lab"))
-    low = sets.where("lab is not null and id is not null").groupBy("lab").agg(F.min("id").alias("low"))
+    low = sparkkit.cut(sets.where("lab is not null and id is not null").groupBy("lab").agg(F.min("id").alias("low")))  # else one shuffle serves both, and a large component stays whole
     out = sets.join(low, "lab", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"))
 

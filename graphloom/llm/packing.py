@@ -39,13 +39,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(4)
-def _encoders(path: str):
-    """The tokenizer itself, and a faster encoder over the same vocabulary for plain texts."""
-    import tiktoken
+@lru_cache(2)
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(2)
+def _fast(path: str):
+    """A faster encoder over the same vocabulary, and the special tokens that it doesn't know."""
+    import tiktoken
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -53,18 +58,18 @@ def _encoders(path: str):
     to_byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
     special = [t["content"] for t in spec["added_tokens"]]
     ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return whole, tiktoken.Encoding("same", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), special
+    return tiktoken.Encoding("same", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids that the tokenizer at path gives a text, without added special tokens."""
-    whole, fast, special = _encoders(path)
-    if len(text) < 1_000_000 and not any(s in text for s in special):
+    fast, special = _fast(path)
+    if not any(s in text for s in special):
         try:
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-        except Exception:  # the plain encoder's limits on odd texts; the tokenizer itself has none
+        except ValueError:  # its splitter gives up on very long runs of spaces
             pass
-    return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, end_id: int = 0) -> DataFrame:
@@ -84,7 +89,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return sparkkit.mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -1,16 +1,20 @@
 """Quality rules with thresholds that follow each language and source.
 
 Word, symbol, line and repetition counts are taken from every whole text.  Counts
-of bucketed ratios are a quantile sketch: buckets keep the top six bits of a value
-(at most 1/32 off), so sketches merge by adding counts.  One sketch is gathered
-for each (language, source); it is merged over the sources of a language, and over
-everything, for groups with fewer than `least_docs` documents.  A document is
-rejected where a ratio lies further from its group's median than `spread` times
-the distance between median and lower (or upper) quartile plus a slack.
+of bucketed values are a quantile sketch: buckets keep the top eight bits of a value
+(at most 1/128 off), so sketches merge by adding counts.  One sketch is gathered for
+each (language, source), of each ratio and of the sizes of documents; it is merged
+over the sources of a language, and over everything, for groups with fewer than
+`least_docs` documents.  A document is rejected where a ratio passes its group's
+upper quantile by more than `spread` times that quantile's distance from the median,
+in the group or in everything, whichever is larger (for the length of words, also
+where it falls as far under the lower one).  Where
+most documents of a group have none of something, the bound is what a few
+occurrences make in a small document of that group, by the sketch of its sizes.
 
 Rules: a null text has no words and fails the base rule; null languages or sources
-are groups of their own; repeated rows are judged one by one and count in the
-sketch each; an empty table gives no rows; other input columns are kept by
+are groups of their own; repeated rows are judged one by one but make one
+entry of a sketch, so copies don't set the bounds; an empty table gives no rows; other input columns are kept by
 `filter_documents` and ignored by `quality_report`.
 """
 
@@ -25,13 +29,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import sparkkit, textkit
 
-#: ratio in thousandths: numerator, denominator, slack above the median, slack below it (None: no lower bound)
+#: ratio in thousandths: numerator, denominator, occurrences that a small document may have (None: bounded from below too)
 RATIOS = {
-    "sym": ("n_symbols", "n_words", 200, None),
-    "dup": ("n_dup_lines", "n_lines", 500, None),
-    "rep": ("n_repeat_words", "n_words", 480, None),
-    "len": ("word_chars", "n_words", 2000, 2000),
+    "sym": ("n_symbols", "n_words", 6),
+    "dup": ("n_dup_lines", "n_lines", 2),
+    "rep": ("n_repeat_words", "n_words", 24),
+    "len": ("word_chars", "n_words", None),
 }
+#: Upper quantile of a ratio (the lower one lies as far from 0), and quantile of sizes that makes a small document; in hundredths.
+UPPER, SMALL = 80, 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -50,8 +56,7 @@ def text_counts(column: pa.Array) -> np.ndarray:
         rows[:, 0] = np.diff(b.bounds)
         rows[:, 1] = _per_text(~textkit.SPACE[b.buf] & ((b.buf & 0xC0) != 0x80), b.offs)
         rows[:, 2] = _per_text(_SYMBOLS[b.buf], b.offs)
-        prefix = b.prefix_hashes()
-        words = b.span_hashes(b.starts, b.ends, prefix=prefix)
+        words = b.word_hashes()
         # lines that hold a word: from the line break before it to the next one
         breaks = np.flatnonzero(b.buf == 10)
         starts = np.unique(np.concatenate([breaks + 1, b.offs[:-1]]))
@@ -60,7 +65,7 @@ def text_counts(column: pa.Array) -> np.ndarray:
         ends = np.minimum(next_break, b.offs[np.searchsorted(b.offs, starts, "right")])
         filled = np.searchsorted(b.starts, ends) > np.searchsorted(b.starts, starts)
         starts, ends = starts[filled], ends[filled]
-        lines = b.span_hashes(starts, ends, prefix=prefix)
+        lines = b.span_hashes(starts, ends)
         line_at = np.searchsorted(starts, b.offs)
         for i in range(len(b)):
             own = lines[line_at[i] : line_at[i + 1]]
@@ -99,7 +104,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "", drop_
             rows = text_counts(batch.column(at))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(rows[:, j]) for j in range(len(COUNTS))], names=[batch.schema.names[i] for i in kept] + names)
 
-    return docs.mapInArrow(run, schema)
+    return sparkkit.mapped(docs, run, schema)
 
 
 def _ratio(name: str, prefix: str = "") -> str:
@@ -111,35 +116,45 @@ def base_failed(prefix: str = "") -> str:
     return f"({prefix}n_words < 50 or 100 * {prefix}n_repeat_words > 50 * {prefix}n_words)"
 
 
-def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 6) -> DataFrame:
+_SIZES = ("n_words", "n_lines")
+
+
+def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8) -> DataFrame:
     """(g_lang, g_source, and lo_* and hi_* of each ratio), a row for each group of counts.
 
-    counts has g_lang, g_source and the COUNTS.  Only documents that pass the base rule count.
+    counts has g_lang, g_source and the COUNTS.  Only documents that pass the base rule
+    count, and those of a group with the same counts (copies) once.
     """
-    kinds = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.expr(_ratio(r)).cast("long").alias("v")) for r in RATIOS]))
-    each = counts.where(f"not {base_failed()}").select("g_lang", "g_source", kinds.alias("x")).select("g_lang", "g_source", "x.ratio", "x.v")
-    bucket = F.expr("v - v % cast(pow(2, greatest(length(bin(v)) - 6, 0)) as long)")
+    values = [F.struct(F.lit(r).alias("ratio"), F.expr(_ratio(r)).cast("long").alias("v")) for r in RATIOS]
+    sizes = [F.struct(F.lit(c).alias("ratio"), F.col(c).cast("long").alias("v")) for c in _SIZES]
+    once = counts.where(f"not {base_failed()}").select("g_lang", "g_source", *COUNTS).distinct()
+    each = once.select("g_lang", "g_source", F.explode(F.array(*values, *sizes)).alias("x")).select("g_lang", "g_source", "x.ratio", "x.v")
+    bucket = F.expr("v - v % cast(pow(2, greatest(length(bin(v)) - 8, 0)) as long)")
     sketch = sparkkit.cut(each.groupBy("g_lang", "g_source", "ratio", bucket.alias("v")).agg(F.count("*").alias("n")))
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    def quantiles(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "ratio", "v").agg(F.sum("n").alias("n"))
         by = "partition by " + ", ".join([*keys, "ratio"])
         merged = merged.withColumn("upto", F.expr(f"sum(n) over ({by} order by v)")).withColumn("total", F.expr(f"sum(n) over ({by})"))
-        q = lambda p: F.min(F.expr(f"if(4 * upto >= {p} * total, v, null)"))
-        return merged.groupBy(*keys, "ratio").agg(q(1).alias("q1"), q(2).alias("q2"), q(3).alias("q3"), F.max("total").alias("total"))
+        q = lambda p: F.min(F.expr(f"if(100 * upto >= {p} * total, v, null)"))
+        return merged.groupBy(*keys, "ratio").agg(q(SMALL).alias("small"), q(100 - UPPER).alias("low"), q(50).alias("mid"), q(UPPER).alias("high"), F.max("total").alias("total"))
 
-    groups = counts.select("g_lang", "g_source").distinct()
-    ratios = sketch.sparkSession.createDataFrame([(r, hi, lo) for r, (_, _, hi, lo) in RATIOS.items()], "ratio string, hi long, lo long")
-    want = groups.crossJoin(F.broadcast(ratios))  # four rows for each group
+    picked = counts.select("g_lang", "g_source").distinct().withColumn("ratio", F.explode(F.array(*map(F.lit, (*RATIOS, *_SIZES)))))
     levels = [["g_lang", "g_source"], ["g_lang"], []]
-    picked = want
     for k, keys in enumerate(levels):
-        part = quartiles(keys).where(f"total >= {least_docs if keys else 0}")
-        part = part.select(*keys, "ratio", F.struct("q1", "q2", "q3").alias(f"s{k}"))
+        part = quantiles(keys).where(f"total >= {least_docs if keys else 0}")
+        part = part.select(*keys, "ratio", F.struct("small", "low", "mid", "high").alias(f"s{k}"))
         picked = picked.join(part if keys else F.broadcast(part), [*keys, "ratio"], "left")
-    s = picked.select("g_lang", "g_source", "ratio", "hi", "lo", F.coalesce("s0", "s1", "s2").alias("s"))
-    s = s.select("g_lang", "g_source", "ratio", F.expr(f"s.q2 + {spread} * (s.q2 - s.q1) + hi").alias("top"), F.expr(f"s.q2 - {spread} * (s.q3 - s.q2) - lo").alias("low"))
-    return s.groupBy("g_lang", "g_source").agg(*[F.max(F.expr(f"if(ratio = '{r}', {side}, null)")).alias(f"{name}_{r}") for r in RATIOS for side, name in (("top", "hi"), ("low", "lo"))])
+    picked = picked.select("g_lang", "g_source", "ratio", F.coalesce("s0", "s1", "s2").alias("s"), F.col("s2").alias("all"))
+    wide = picked.groupBy("g_lang", "g_source").agg(*[F.max(F.expr(f"if(ratio = '{x}', {y}, null)")).alias(name) for x in (*RATIOS, *_SIZES) for y, name in (("s", x), ("all", f"all_{x}"))])
+    cols = []
+    for r, (_, under, units) in RATIOS.items():
+        top = f"{r}.high + {spread} * greatest({r}.high - {r}.mid, all_{r}.high - all_{r}.mid)"
+        low = f"{r}.low - {spread} * greatest({r}.mid - {r}.low, all_{r}.mid - all_{r}.low)"
+        few = f"1000 * {units} div greatest({under}.small, 1)"
+        cols.append(F.expr(f"{top}" if units is None else f"greatest({top}, {few})").alias(f"hi_{r}"))
+        cols.append(F.expr(low if units is None else "cast(0 as long)").alias(f"lo_{r}"))
+    return wide.select("g_lang", "g_source", *cols)
 
 
 def verdict(prefix: str = "") -> str:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm import textkit
 
@@ -16,11 +17,14 @@ from graphloom.llm import textkit
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) it is a temporary folder.
+    Only where that is unset and the master is local it is a temporary folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -34,15 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: no node at both ends, and one v for each u."""
+    several = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return several.isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node.
 
     Alternating large-star and small-star rounds: each is a map-side combined
     minimum and a join that adaptive execution can split where a node is hot.
+    They go on until the edges are stars, which is checked on all of them.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,7 +62,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        if seen == tuple(now):
+        if seen == tuple(now) and _stars(e):
             break
         seen = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -89,43 +100,87 @@ def hubs(links: DataFrame) -> DataFrame:
     return near.join(near.select(F.col("u").alias("hub"), F.col("hub").alias("component")), "hub").select(F.col("u").alias("node"), "component")
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Bytes of an Arrow batch, where the session sets no other bound.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """fn over the Arrow batches of df, in batches of bounded bytes; workers give back a task's memory at its end."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.lean_memory()
+        try:
+            yield from fn(batches)
+        finally:
+            textkit.give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def one_key_each(texts: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """texts (c, d, ...), 128-bit keys of texts in two halves, with a column `node` that is unique to a text.
+
+    node is c but where two texts share it; those few halves are returned too
+    (they go with the square of the texts over 2**65, ten among 2 * 10**10).
+    """
+    shared = texts.groupBy("c").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("c").limit(MOST_CLASHES + 1)
+    clashing = frozenset(r[0] for r in shared.collect())
+    if len(clashing) > MOST_CLASHES:
+        raise ValueError("more texts share half a key than chance allows")
+    node = F.when(F.col("c").isin(*clashing), F.col("d")).otherwise(F.col("c")) if clashing else F.col("c")
+    return texts.withColumn("node", node).drop("c", "d"), clashing
+
+
+#: Half keys that `one_key_each` accepts as shared by chance.
+MOST_CLASHES = 10_000
 
 
 def with_pairs(
     docs: DataFrame,
     pairs: DataFrame,
     judge: Callable[[object, object, bytes | None], Iterator[tuple] | list[tuple]],
-    prepare: Callable[[str], object],
+    prepare: Callable[[str], np.ndarray],
+    clashing: frozenset[int],
     schema: str,
     arrow: pa.Schema,
     share: int = 128,
 ) -> DataFrame:
-    """Run judge(prepared a, prepared b, payload) for each row (a, b, payload) of pairs.
-
-    docs has (id, text).  All pairs of one a meet in groups of about `share`
-    partners: a's text goes once to each group, b's once to each pair, so a hot a
-    is spread over many groups and no group is held in memory.
-    judge yields rows without a and b, which come first in schema.
+    """Run judge(prepared a, prepared b, payload) for each row (a, b, ra, rb, payload) of pairs.
+
+    a and b are nodes of prepared texts, ra and rb ids of documents that have them;
+    docs has (id, text), where several texts of one id are told apart by their nodes.
+    All pairs of one a meet in groups of about `share` partners: a's text goes once
+    to each group, b's once to each pair, so a hot a is spread over many groups and
+    no group is held in memory.  judge yields rows without a and b, which come first
+    in schema.
     """
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    lead = hot.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("payload"))
-    rest = pairs.join(hot, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "payload")
+    hot = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"), F.min("ra").alias("lead")))
+    lead = hot.select(F.col("lead").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"), F.lit(None).cast("binary").alias("payload"))
+    rest = pairs.join(hot.select("a", "parts"), "a").select(F.col("rb").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"), "payload")
     roles = lead.union(rest)
-    rows = reduced(docs, roles).join(roles, "id").select("a", "part", "role", F.col("id").alias("b"), "text", "payload")
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
+    rows = reduced(docs, roles).join(roles, "id").select("a", "part", "role", "node", "text", "payload")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = (None, None), None
+        held, mine, done = None, None, None
         for batch in (part for whole in batches for part in textkit.slices(whole)):
             cols = batch.to_pydict()
             out: list[tuple] = []
-            for a, part, role, b, text, payload in zip(cols["a"], cols["part"], cols["role"], cols["b"], cols["text"], cols["payload"], strict=True):
+            for a, part, role, node, text, payload in zip(cols["a"], cols["part"], cols["role"], cols["node"], cols["text"], cols["payload"], strict=True):
+                if (a, part, role, node) == done or role == 1 and held != (a, part):
+                    continue
+                own = prepare(text)
+                if textkit.node_of(own, clashing) != node:  # another text of that id
+                    continue
+                done = (a, part, role, node)
                 if role == 0:
-                    held, mine = (a, part), prepare(text)
-                elif held == (a, part):
-                    out += [(a, b, *r) for r in judge(mine, prepare(text), payload)]
+                    held, mine = (a, part), own
+                else:
+                    out += [(a, node, *r) for r in judge(mine, own, payload)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 

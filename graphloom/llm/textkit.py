@@ -2,53 +2,42 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D.  Texts are handled as
 UTF-8 in blocks of about a megabyte, so memory follows the block (or the longest
-single text), not the partition.  Hashes are 64 bits wide.
+single text), not the partition.  Hashes of words and shingles are 64 bits wide;
+whole texts are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import ctypes
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RNG = np.random.Generator(np.random.PCG64(20240917))
-_TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE_LOWER = _TABLE[_LOWER]
+_RNG = np.random.Generator(np.random.PCG64(20240917))
 _SLOT = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_powers: dict[int, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> _U(31))
-    h = h * _U(0x7FB5D329728EA185)
-    h = h ^ (h >> _U(27))
-    h = h * _U(0x81DADEF4BC2DD44D)
-    return h ^ (h >> _U(33))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have if size <= 4 * BLOCK_BYTES else have[: BLOCK_BYTES + 1]
-    return have[:n]
+    h *= _U(0x7FB5D329728EA185)
+    h ^= h >> _U(27)
+    h *= _U(0x81DADEF4BC2DD44D)
+    h ^= h >> _U(33)
+    return h
 
 
 @dataclass
@@ -65,18 +54,24 @@ class Block:
     def __len__(self) -> int:
         return len(self.offs) - 1
 
-    def prefix_hashes(self, lower: bool = False) -> np.ndarray:
-        c = np.empty(len(self.buf) + 1, np.uint64)
-        c[0] = 0
-        np.cumsum((_TABLE_LOWER if lower else _TABLE)[self.buf] * _power(_BASE, len(self.buf)), out=c[1:])
-        return c
-
-    def span_hashes(self, a: np.ndarray, b: np.ndarray, lower: bool = False, prefix: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the byte spans a[i]:b[i]; equal bytes give equal hashes."""
+    def span_hashes(self, a: np.ndarray, b: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Hashes of the byte spans a[i]:b[i]: up to 16 bytes by two mixed lanes, longer ones by XXH3."""
         if not len(a):
             return np.empty(0, np.uint64)
-        c = self.prefix_hashes(lower) if prefix is None else prefix
-        return mix((c[b] - c[a]) * _power(_BASE_INV, int(a.max()) + 1)[a] + (b - a).astype(np.uint64))
+        padded = np.zeros(len(self.buf) + 24, np.uint8)
+        padded[: len(self.buf)] = _LOWER[self.buf] if lower else self.buf
+        lanes = np.ndarray((len(self.buf) + 17,), "<u8", padded.data, strides=(1,))
+        size = b - a
+        h = mix((lanes[a] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _U(0xA0761D6478BD642F)))
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            high = lanes[a[more] + 8] & _KEEP[np.minimum(size[more] - 8, 8)]
+            h[more] = mix(h[more] * _U(0xE7037ED1A0B428DB) + mix(high ^ _U(0x8EBC6AF09C88C6E3)))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            view = memoryview(padded)
+            h[long] = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True)]
+        return h
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends, lower)
@@ -126,14 +121,25 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         buf, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         yield Block(buf, own, i, *find_words(buf, own))
         i = j
-    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """A batch in parts of a few rows, for work that makes Python objects of them."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def lean_memory() -> None:
+    """Arrow takes its memory from the C library, so `give_back` can return it."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Return free memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def one_block(text: str | None) -> Block:
@@ -156,17 +162,12 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64, copy=False).view(np.int64)
 
 
-def sequence_hash(words: np.ndarray) -> int:
-    """An order-keeping hash of a word sequence, as a signed 64-bit integer."""
-    if not len(words):
-        return 0
-    h = mix(np.array([np.sum(mix(words) * _power(_BASE, len(words))) + _U(len(words))], np.uint64))
-    return int(signed(h)[0])
+def key_of(values: np.ndarray) -> tuple[int, int]:
+    """A 128-bit XXH3 hash of an array of hashes (a word sequence, or a sorted set), as two signed integers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(np.ascontiguousarray(values))) if len(values) else (0, 0)
 
 
-def set_hash(values: np.ndarray) -> int:
-    """A hash of a set of hashes, as a signed 64-bit integer."""
-    if not len(values):
-        return 0
-    h = mix(np.array([np.sum(mix(values ^ _U(0x5851F42D4C957F2D))) + _U(len(values))], np.uint64))
-    return int(signed(h)[0])
+def node_of(values: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """The half of `key_of` that stands for values: the first, unless other values share it."""
+    first, second = key_of(values)
+    return second if first in clashing else first

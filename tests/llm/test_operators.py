@@ -254,18 +254,18 @@ def test_components(spark):
     assert dict(sparkkit.components(edges).collect()) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
 
 
-def test_hot_seeds_in_shares_find_the_same_passages(spark):
+def test_hot_seeds_in_groups_find_the_same_passages(spark):
     rng = random.Random(5)
     prose = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
     shared = prose(70)
     rows = [(i, f"{prose(40)} {shared if i % 3 else prose(70)} {prose(40)}") for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     flagged = {}
-    for hot in (2, 10**9):
-        got = substring_dedup.passages(docs, hot=hot, share=2).collect()
+    for hot in (4, 10**9):
+        got = substring_dedup.passages(docs, hot=hot).collect()
         assert all(abs(r["start_word"] - 40) <= 3 and abs(r["end_word"] - 110) <= 3 for r in got)
         flagged[hot] = {r["doc_id"] for r in got}
-    assert flagged[2] == flagged[10**9] and len(flagged[2]) == 79
+    assert flagged[4] == flagged[10**9] and len(flagged[4]) == 79
 
 
 def test_license_scan_knows_headers_texts_ids_and_versions(spark):
