@@ -1,20 +1,26 @@
 """Merge-type encoding with a SentencePiece vocabulary and seeded merge dropout.
 
 Each word is a list of symbols with an agenda of candidate merges, best score
-first, then leftmost.  A candidate whose keyed hash (seed, stream, word, place,
-piece) falls under `dropout` is skipped when it comes up; it may come again only
-as a new candidate of changed neighbours.  With dropout 0 this is the model's own
-segmentation.  Documents are dealt to a few streams by their ids, so one word is
-cut in several ways over a corpus; within one stream and seed it is always cut
-alike, which lets tasks reuse it.
+first, then leftmost.  A candidate whose keyed hash falls under `dropout` is skipped
+when it comes up; it may come again only as a new candidate of changed neighbours.
+The key is made of seed, document, occurrence (the how manieth word of its
+document), place and piece, so each occurrence of a word is cut by draws of its
+own, and a task that runs again gives the same ids.  With dropout 0 this is the
+model's own segmentation.
+
+What an agenda comes to depends on which candidates are skipped, so each word has
+a tree of such decisions: a chain of merges down to its ids, and a branch wherever
+a candidate was skipped by some occurrence.  All occurrences of a block of texts
+walk down the trees side by side; branches that nobody took before are cut by
+agendas that run side by side too.
 
 Spaces become the model's space mark, before the text too; a mark that the text
 has itself, and characters without a piece, go as bytes.  Decoding gives the text
 back exactly, which each row reports.
 
 Rules: a null text is empty and has no pieces; long texts and long words are
-encoded whole; repeated rows come back once each; an empty table gives no rows;
-other columns are ignored.
+encoded whole; repeated rows come back once each and are cut alike; a null id is a
+document of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +29,9 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +39,11 @@ from pyspark.sql import types as T
 from graphloom.llm import sparkkit, textkit
 
 MARK = "▁"
-#: Words that a task keeps for each stream before it starts afresh.
-KEPT_WORDS = 400_000
+#: Decisions that a task keeps before it starts its trees afresh.
+KEPT = 1_500_000
+#: Longest word that gets a tree; longer ones are cut one by one.
+TREE_WORD = 64
+_PLACE, _OCCURRENCE, _ALL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
 def default_model() -> str:
@@ -70,13 +77,12 @@ class Vocabulary:
             raise ValueError("the model has pieces over several words")
 
     def cut(self, word: str, key: int, dropout: float) -> list[int]:
-        """Ids of one word, given with its space marks; key is that of its draws."""
+        """Ids of one word, given with its space marks; key is that of its occurrence."""
         n = len(word)
         symbols: list[str | None] = list(word)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         rank, agenda = self.rank, []
         bar = int(dropout * (1 << 64))
-        keys = np.array([key], np.uint64)
 
         def offer(i: int, j: int) -> None:
             got = rank.get(symbols[i] + symbols[j])
@@ -89,7 +95,7 @@ class Vocabulary:
             _, i, j, piece, size = heapq.heappop(agenda)
             if symbols[i] is None or symbols[j] is None or right[i] != j or len(symbols[i]) + len(symbols[j]) != size:
                 continue
-            if dropout and int(_draws(keys, np.array([i]), np.array([piece]))[0]) < bar:
+            if bar and draw(key, i, piece) < bar:
                 continue
             symbols[i] += symbols[j]
             symbols[j] = None
@@ -115,115 +121,182 @@ class Vocabulary:
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-def _draws(words: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-    """Keyed hashes of candidate merges."""
-    return textkit.mix(words ^ (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (pieces.astype(np.uint64) << np.uint64(40)))
+def draw(key: int, place: int, piece: int) -> int:
+    """The keyed hash of one candidate merge of an occurrence."""
+    h = key ^ (place * _PLACE & _ALL) ^ (piece << 40)
+    h ^= h >> 31
+    h = h * 0x7FB5D329728EA185 & _ALL
+    h ^= h >> 27
+    h = h * 0x81DADEF4BC2DD44D & _ALL
+    return h ^ (h >> 33)
+
+
+def _draws(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """`draw` of many candidates."""
+    return textkit.mix(keys ^ (places.astype(np.uint64) * np.uint64(_PLACE)) ^ (pieces.astype(np.uint64) << np.uint64(40)))
+
+
+def occurrence_keys(document: int, seed: int, count: int) -> np.ndarray:
+    """Keys of a document's words, by their places."""
+    start = np.uint64((document ^ seed * 0xA0761D6478BD642F) & _ALL)
+    return textkit.mix(start + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(_OCCURRENCE))
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(self.n, len(values)), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Encoder:
-    """Encodes many texts with one seed; words are cut once, thousands at a time."""
+    """Encodes many texts with one seed; words are cut thousands at a time."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float):
         self.vocabulary, self.seed, self.dropout = vocabulary, seed, dropout
-        self.known: dict[int, dict[str, bytes]] = {}
+        self.bar = min(int(dropout * (1 << 64)), _ALL)
         # the agenda's candidates as a sorted table: which pairs of symbols join to which piece
         chars = {c for p in vocabulary.rank for c in p}
         self.symbol = {p: i for i, p in enumerate([*vocabulary.rank, *(c for c in sorted(chars) if c not in vocabulary.rank)])}
         self.ids = np.array([vocabulary.rank[p][1] if p in vocabulary.rank else -1 for p in self.symbol], np.int32)
-        score = np.array([vocabulary.rank[p][0] if p in vocabulary.rank else np.inf for p in self.symbol])
+        self.score = np.array([vocabulary.rank[p][0] if p in vocabulary.rank else np.inf for p in self.symbol], np.float32)
+        self.of_code = np.full(0x110000, -2, np.int32)
+        for c in chars:
+            self.of_code[ord(c)] = self.symbol[c]
         pairs = sorted((self.symbol[p[:k]] * len(self.symbol) + self.symbol[p[k:]], self.symbol[p]) for p in vocabulary.rank for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
         self.keys, self.joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.score = score
-        self.mark = np.array([vocabulary.bytes[b] for b in MARK.encode()], "<u4").tobytes()
+        self.mark = [vocabulary.bytes[b] for b in MARK.encode()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the trees afresh: nodes are decisions, a chain's nodes lie in a row and its last one (place -1) is its end."""
+        self.root: dict[str, int] = {}
+        self.place, self.piece, self.skip, self.chain = (_Grown(np.int32) for _ in range(4))
+        self.depth = _Grown(np.int32)  # merges before a node
+        self.words: list[str] = []  # of each chain, with what it skips
+        self.skips: list[tuple[int, ...]] = []
+        self.start, self.size, self.flat = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32)  # the ids of each chain
 
     def _candidates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores (infinite where there is none) and joined symbols of pairs."""
-        key = np.where((a < 0) | (b < 0), -1, a * len(self.symbol) + b)
+        key = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) * len(self.symbol) + b)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
         piece = np.where(hit, self.joined[at], 0)
-        return np.where(hit, self.score[piece], np.inf), piece
-
-    def word_key(self, word: str, stream: int) -> int:
-        return xxhash.xxh64_intdigest(f"{stream} {word}".encode("utf-8", "surrogatepass"), self.seed)
-
-    def cut_all(self, words: list[str], stream: int) -> list[bytes]:
-        """Packed ids of words of one length at most, by agendas that run side by side."""
-        n, width = len(words), max(map(len, words))
-        length = np.array([len(w) for w in words])
-        flat = [self.symbol.get(c, -2 - ord(c)) for w in words for c in w]
-        sym = np.full((n, width + 1), -1, np.int64)
-        sym[np.arange(width + 1)[None, :] < length[:, None]] = flat
-        place = np.tile(np.arange(width + 1), (n, 1))
-        score, piece = (x.reshape(n, width) for x in self._candidates(sym[:, :-1].ravel(), sym[:, 1:].ravel()))
-        score, piece = np.hstack([score, np.full((n, 1), np.inf)]), np.hstack([piece, np.zeros((n, 1), np.int64)])
-        keys = np.array([self.word_key(w, stream) for w in words], np.uint64) if self.dropout else None
-        bar = np.uint64(int(self.dropout * (1 << 64)))
-        live = np.arange(n)
+        return np.where(hit, self.score[piece], np.float32(np.inf)), piece.astype(np.int32)
+
+    def _agendas(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cut words, each without the merges that it skips: the number of ids of each, all ids, and (word, place, piece) of all merges in order."""
+        n, length = len(words), np.array([len(w) for w in words])
+        wide = int(length.max()) + 1  # the last column stays empty
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        filled = (np.arange(wide)[None, :] < length[:, None]).ravel()
+        sym = np.full(n * wide, -1, np.int32)
+        sym[filled] = self.of_code[codes]
+        code = np.zeros(n * wide, np.int32)
+        code[filled] = codes
+        score, piece = self._candidates(sym, np.append(sym[1:], -1))
+        after = np.tile(np.arange(1, wide + 1, dtype=np.int32), n)
+        before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), n)
+        most = max(map(len, skips))
+        skipped = np.array([(*s, *(-1,) * (most - len(s))) for s in skips], np.int64).reshape(n, most)
+        live, made = np.arange(n), []
+        table = score.reshape(n, wide)
         while len(live):
-            at = score[live].argmin(1)
-            open_ = np.isfinite(score[live, at])
-            live, at = live[open_], at[open_]
-            if self.dropout and len(live):
-                skip = _draws(keys[live], place[live, at], self.ids[piece[live, at]]) < bar
-                score[live[skip], at[skip]] = np.inf
-                rows, at = live[~skip], at[~skip]
-            else:
-                rows = live
+            at = (table if len(live) == n else table[live]).argmin(1)
+            cell = live * wide + at
+            open_ = np.isfinite(score[cell])
+            live, at, cell = live[open_], at[open_], cell[open_]
+            rows = live
+            if most and len(rows):
+                skip = (skipped[rows] == (at << 32 | self.ids[piece[cell]])[:, None]).any(1)
+                score[cell[skip]] = np.inf
+                rows, at, cell = rows[~skip], at[~skip], cell[~skip]
             if not len(rows):
                 continue
-            # the pair becomes one symbol; what follows moves up
-            sym[rows, at] = piece[rows, at]
-            order = np.arange(width + 1)[None, :] + (np.arange(width + 1)[None, :] > at[:, None])
-            order = np.minimum(order, width)
-            for x in (sym, place, score, piece):
-                x[rows] = np.take_along_axis(x[rows], order, 1)
-            sym[rows, width] = -1
-            score[rows, width] = np.inf
-            length[rows] -= 1
-            score[rows, at], piece[rows, at] = self._candidates(sym[rows, at], sym[rows, np.minimum(at + 1, width)])
-            has = at > 0
-            rows, at = rows[has], at[has] - 1
-            score[rows, at], piece[rows, at] = self._candidates(sym[rows, at], sym[rows, at + 1])
-        plain = np.where(sym >= 0, self.ids[np.maximum(sym, 0)], -1).astype(np.int32)
-        odd = ((plain < 0) & (np.arange(width + 1)[None, :] < length[:, None])).any(1)
-        out = []
-        for i in range(n):
-            if odd[i]:
-                ids: list[int] = []
-                for k in range(length[i]):
-                    if plain[i, k] >= 0:
-                        ids.append(int(plain[i, k]))
-                    else:
-                        c = words[i][place[i, k]]
-                        ids += [self.vocabulary.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
-                out.append(np.array(ids, "<u4").tobytes())
-            else:
-                out.append(plain[i, : length[i]].tobytes())
+            new, base = piece[cell], rows * wide
+            made.append((rows, at, self.ids[new]))
+            gone = base + after[cell]
+            sym[cell], sym[gone], score[gone] = new, -1, np.inf
+            then = after[gone]
+            after[cell] = then
+            past = base + np.minimum(then, wide - 1)
+            before[past] = at
+            score[cell], piece[cell] = self._candidates(new, np.where(then < wide, sym[past], -1))
+            has = before[cell] >= 0
+            cell, new = (base + before[cell])[has], new[has]
+            score[cell], piece[cell] = self._candidates(sym[cell], new)
+        kept = np.flatnonzero(filled & (sym != -1))
+        own = np.where(sym[kept] >= 0, self.ids[np.maximum(sym[kept], 0)], -1)
+        size = np.bincount(kept // wide, minlength=n)
+        odd = np.flatnonzero(own < 0)
+        if len(odd):  # characters without a piece go as bytes
+            parts = [[self.vocabulary.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in code[kept[odd]].tolist()]
+            count = np.ones(len(own), np.int64)
+            count[odd] = [len(p) for p in parts]
+            size = np.bincount(kept // wide, weights=count, minlength=n).astype(np.int64)
+            first = np.cumsum(count) - count
+            out = np.repeat(own, count)
+            for at, p in zip(first[odd].tolist(), parts, strict=True):
+                out[at : at + len(p)] = p
+            own = out
+        if not made:
+            return size, own.astype(np.int32), *(np.empty(0, np.int64) for _ in range(3))
+        rows, places, pieces = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(rows, kind="stable")
+        return size, own.astype(np.int32), rows[order], places[order], pieces[order]
+
+    def _chains(self, words: list[str], skips: list[tuple[int, ...]], depths: np.ndarray) -> np.ndarray:
+        """New chains of words that skip some merges, from the merge at their depth on: their first nodes."""
+        heads = np.empty(len(words), np.int64)
+        lengths = np.array(list(map(len, words)))
+        order = np.argsort(lengths, kind="stable")
+        for group in np.split(order, np.searchsorted(lengths[order], range(5, TREE_WORD, 4))):
+            for at in range(0, len(group), 20_000):
+                part = group[at : at + 20_000].tolist()
+                size, ids, rows, places, pieces = self._agendas([words[i] for i in part], [skips[i] for i in part])
+                nth = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(part)))[rows]
+                depth = depths[part]
+                new = nth >= depth[rows]
+                rows, places, pieces, nth = rows[new], places[new], pieces[new], nth[new]
+                count = np.bincount(rows, minlength=len(part))
+                first = np.cumsum(count + 1) - count - 1  # each chain has an end besides
+                nodes = int((count + 1).sum())
+                where = first[rows] + nth - depth[rows]
+                place, piece = np.full(nodes, -1, np.int32), np.zeros(nodes, np.int32)
+                place[where], piece[where] = places, pieces
+                self.depth.add(np.repeat(depth - first, count + 1) + np.arange(nodes))
+                self.chain.add(np.repeat(np.arange(len(part)) + len(self.words), count + 1))
+                heads[part] = first + self.place.n
+                self.place.add(place)
+                self.piece.add(piece)
+                self.skip.add(np.full(nodes, -1, np.int32))
+                self.start.add(np.cumsum(size) - size + self.flat.n)
+                self.size.add(size)
+                self.flat.add(ids)
+                self.words += [words[i] for i in part]
+                self.skips += [skips[i] for i in part]
+        return heads
+
+    def _branch(self, nodes: np.ndarray) -> None:
+        """Make the chains of what follows where these nodes' merges are skipped."""
+        chain, place, piece = self.chain.data[nodes].tolist(), self.place.data[nodes].tolist(), self.piece.data[nodes].tolist()
+        skips = [(*self.skips[c], p << 32 | k) for c, p, k in zip(chain, place, piece, strict=True)]
+        self.skip.data[nodes] = self._chains([self.words[c] for c in chain], skips, self.depth.data[nodes])
+
+    def cut_token(self, token: str, key: int) -> list[int]:
+        """Ids of any one token (a word with the spaces before it), without trees; the text's own marks go as bytes."""
+        out: list[int] = []
+        for i, part in enumerate(token.split(MARK)):
+            out += (self.mark if i else []) + self.vocabulary.cut(part.replace(" ", MARK), key, self.dropout)
         return out
 
-    def cut_long(self, word: str, stream: int) -> bytes:
-        key = self.word_key(word, stream) if self.dropout else 0
-        return np.array(self.vocabulary.cut(word, key, self.dropout), "<u4").tobytes()
-
-    def learn(self, tokens: set[str], stream: int) -> None:
-        known = self.known.setdefault(stream, {"": b""})
-        new = [t for t in tokens if t not in known]
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            known[""] = b""
-            new = [t for t in tokens if t]
-        short: dict[int, list[str]] = {}
-        for t in new:
-            if len(t) <= 64 and MARK not in t:
-                short.setdefault(-(-len(t) // 8), []).append(t)
-            else:  # the text's own marks go as bytes, between what stands around them
-                known[t] = self.mark.join(self.cut_long(p.replace(" ", MARK), stream) for p in t.split(MARK))
-        for group in short.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                known.update(zip(part, self.cut_all([t.replace(" ", MARK) for t in part], stream), strict=True))
-
     def tokens(self, text: str) -> list[str]:
         """A text as words with the spaces before them, and line breaks."""
         if not text:
@@ -231,50 +304,73 @@ class Encoder:
         text = " " + text
         if "  " in text or "\0" in text:
             return re.findall(r"\n| +[^ \n]*|[^ \n]+", text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return [t for t in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t]
 
-    def encode_all(self, texts: list[str], streams: list[int]) -> list[bytes]:
-        """Packed ids of each text."""
+    def encode_all(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """Ids of each text; documents are 64-bit keys of the documents."""
+        if self.place.n > KEPT:
+            self.forget()
         cut = [self.tokens(t) for t in texts]
-        for stream in set(streams):
-            self.learn({t for c, s in zip(cut, streams, strict=True) if s == stream for t in c}, stream)
-        return [b"".join([self.known[s][t] for t in c]) for c, s in zip(cut, streams, strict=True)]
-
-    def encode(self, text: str, stream: int = 0) -> list[int]:
-        return np.frombuffer(self.encode_all([text], [stream])[0], "<u4").tolist()
-
-
-@lru_cache(2)
-def _encoder(path: str, seed: int, dropout: float) -> Encoder:
-    return Encoder(Vocabulary(path), seed, dropout)
-
-
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, seed: int = 17, dropout: float = 0.1, streams: int = 2, with_ids: bool = False) -> DataFrame:
-    """(id_col, stream, n_pieces, ids_crc32, n_bytes, lossless) for each row; with_ids adds the ids."""
+        every = [t for c in cut for t in c]
+        new = list(set(every).difference(self.root))
+        trees = [t for t in new if len(t) <= TREE_WORD and MARK not in t]
+        self.root.update(dict.fromkeys(new, -1))
+        if trees:
+            self.root.update(zip(trees, self._chains([t.replace(" ", MARK) for t in trees], [()] * len(trees), np.zeros(len(trees), np.int64)).tolist(), strict=True))
+        counts = [len(c) for c in cut]
+        cur = np.array(list(map(self.root.__getitem__, every)), np.int64)
+        keys = np.concatenate([occurrence_keys(d, self.seed, n) for d, n in zip(documents, counts, strict=True)]) if counts else np.empty(0, np.uint64)
+        alone = np.flatnonzero(cur < 0)
+        live = np.flatnonzero(cur >= 0) if self.bar else np.empty(0, np.int64)
+        while len(live):
+            live = live[self.place.data[cur[live]] >= 0]
+            node = cur[live]
+            skip = _draws(keys[live], self.place.data[node], self.piece.data[node]) < np.uint64(self.bar)
+            cur[live[~skip]] += 1
+            live_skip, node = live[skip], node[skip]
+            missing = np.unique(node[self.skip.data[node] < 0])
+            if len(missing):
+                self._branch(missing)
+            cur[live_skip] = self.skip.data[node]
+        chain = np.where(cur >= 0, self.chain.data[cur], 0)
+        start, size = self.start.data[chain], self.size.data[chain].astype(np.int64)
+        flat = self.flat.data[: self.flat.n]
+        if len(alone):  # their ids go behind the others', for this call only
+            own = [self.cut_token(every[i], int(keys[i])) for i in alone.tolist()]
+            size[alone] = [len(x) for x in own]
+            start[alone] = np.cumsum(size[alone]) - size[alone] + len(flat)
+            flat = np.concatenate([flat, *(np.array(x, np.int32) for x in own)])
+        upto = np.cumsum(size)
+        ids = flat[np.repeat(start - (upto - size), size) + np.arange(int(size.sum()))]
+        ends = np.append(0, upto)[np.cumsum([0, *counts])]
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode(self, text: str, document: int = 0) -> list[int]:
+        return self.encode_all([text], [document])[0].tolist()
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, seed: int = 17, dropout: float = 0.1, with_ids: bool = False) -> DataFrame:
+    """(id_col, n_pieces, ids_crc32, n_bytes, lossless) for each row; with_ids adds the ids."""
     path = model_path or default_model()
     schema = docs.select(id_col).schema
-    names = ["stream", "n_pieces", "ids_crc32", "n_bytes", "lossless"]
-    for name, kind in zip(names, (T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.BooleanType()), strict=True):
+    names = ["n_pieces", "ids_crc32", "n_bytes", "lossless"]
+    for name, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BooleanType()), strict=True):
         schema = schema.add(name, kind)
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, seed, dropout)
+        encoder = Encoder(Vocabulary(path), seed, dropout)
         decode = encoder.vocabulary.decode
-        for batch in batches:
+        for part in (part for whole in batches for part in textkit.slices(whole, 512)):
+            texts = [t or "" for t in part.column(1).to_pylist()]
             rows, kept = [], []
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                texts, streams = [t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist()
-                for text, stream, packed in zip(texts, streams, encoder.encode_all(texts, streams), strict=True):
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    rows.append((stream, len(ids), zlib.crc32(packed), len(text.encode("utf-8", "surrogatepass")), decode(ids) == text))
-                    if with_ids:
-                        kept.append(ids)
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))]
+            for text, ids in zip(texts, encoder.encode_all(texts, [d & _ALL for d in part.column(2).to_pylist()]), strict=True):
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(text.encode("utf-8", "surrogatepass")), decode(ids.tolist()) == text))
+                if with_ids:
+                    kept.append(ids.tolist())
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            arrays = [part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=[id_col, *names, *(["ids"] if with_ids else [])])
 
-    stream = F.pmod(F.xxhash64(id_col), F.lit(streams)).cast("int").alias("_stream")
-    return sparkkit.mapped(docs.select(id_col, F.col(text_col).cast("string").alias("_text"), stream), run, schema)
+    return sparkkit.mapped(docs.select(id_col, F.col(text_col).cast("string").alias("_text"), F.xxhash64(id_col).alias("_key")), run, schema)

@@ -222,9 +222,14 @@ def test_merge_dropout(docs):
         if merge_dropout.MARK not in t:
             assert plain.encode(t) == sp.encode(t)
         assert vocabulary.decode(plain.encode(t)) == vocabulary.decode(dropped.encode(t)) == t
-    for w in set(corpus()[-1].split()):
-        assert dropped.cut_all([merge_dropout.MARK + w], 0)[0] == dropped.cut_long(merge_dropout.MARK + w, 0)
-    assert dropped.encode(corpus()[-1]) != plain.encode(corpus()[-1])
+    for t in [t for t in corpus() if t] + [" ".join(["inou", "thanre", "a" * 80, "日本", "▁x"] * 200)]:
+        for document in (1, 2):  # against one word after the other, without trees
+            keys = merge_dropout.occurrence_keys(document, 1, len(dropped.tokens(t))).tolist()
+            assert dropped.encode(t, document) == [i for w, k in zip(dropped.tokens(t), keys, strict=True) for i in dropped.cut_token(w, k)]
+    assert dropped.encode(corpus()[-1], 1) != dropped.encode(corpus()[-1], 2)
+    one = dropped.vocabulary
+    cuts = {tuple(dropped.cut_token(" thereabouts", int(k))) for k in merge_dropout.occurrence_keys(5, 1, 4000)}
+    assert len(cuts) > 20 and all(one.decode(list(c)) == "thereabouts" for c in cuts)  # a word is cut in many ways in one document
     assert all(r["lossless"] for r in merge_dropout.encoded(docs).collect())
 
 
