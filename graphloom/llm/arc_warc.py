@@ -11,8 +11,10 @@ holds some megabytes of records.  Pages with equal payloads: that with the
 smallest id is a response, the others revisit it and carry no payload.
 
 Rules: a null html is an empty payload; a null url becomes `urn:page:<id>`; spaces
-in a url are escaped; repeated rows of one id are all responses or all revisits;
-an empty table gives no rows; other columns are ignored.
+in a url are escaped; rows of one id with equal payloads are all responses or all
+revisits, those with other payloads are judged by theirs; a null id is never a
+revisit and nothing refers to it; very long pages are records of their own size; an
+empty table gives no rows; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -131,8 +133,8 @@ def write_archives(pages: DataFrame, place: str, id_col: str = "page_id", url_co
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     code = pages.select("id", F.sha1(F.col("html").cast("binary")).alias("code"))
     first = code.groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("code", "first")
-    again = sparkkit.cut(code.join(first, "code").where("id > first").select("id", "first").distinct())
-    some = sparkkit.reduced(pages, again).join(again, "id", "left").select("id", "url", "html", "first")
+    again = sparkkit.cut(code.join(first, "code").where("id > first").select("id", "code", "first").distinct())
+    some = sparkkit.reduced(pages, again).withColumn("code", F.sha1(F.col("html").cast("binary"))).join(again, ["id", "code"], "left").select("id", "url", "html", "first")
     rest = sparkkit.reduced(pages, again, inverse=True).withColumn("first", F.lit(None).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
