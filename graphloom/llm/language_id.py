@@ -2,14 +2,16 @@
 
 Features are 1- to 3-grams of the lower-cased code points, hashed to 2**15 places,
 with logarithmic counts, inverse document frequencies and unit length.  Training
-is follow-the-regularised-leader (proximal) with L1 and L2 penalties, on at most
-`per_lang` labelled documents of every label (the lowest by a hash of the id; fewer of
-each, but `LEAST_LANG`, where labels are so many that they pass `SAMPLE`), a fifth of which only set the temperature by which
+is follow-the-regularised-leader (proximal) with L1 and L2 penalties, on
+about `per_lang` labelled documents of every label (those whose hash of the id lies
+under a bound that follows from the label's count; fewer of each, but `LEAST_LANG`,
+where labels are so many that they pass `SAMPLE`), a fifth of which only set the temperature by which
 scores are divided.  Predictions read every whole text and nothing else.
 
 Rules: a null text, or one without a letter, is `und` with score 0; with no
 labelled rows every row is `und`; null labels and null ids don't train; repeated
-rows are predicted one by one; an empty table gives no rows.
+rows are predicted one by one; very long texts are counted in pieces, whole; an empty
+table gives no rows; other columns, of whatever names, are ignored or kept.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import sparkkit, textkit
@@ -31,6 +33,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 22
 #: Documents to train on, unless LEAST_LANG of each label are more.
 SAMPLE, LEAST_LANG = 25_600, 50
+#: A table of labels with no more rows than this goes to all executors.
+BROADCAST_LANGS = 100_000
+#: Values of the hash of an id by which documents are picked.
+HASHES = 1 << 40
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +126,12 @@ def predict_text(model: dict | None, text: str | None) -> tuple[str, float]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> dict | None:
     """A model from the rows of docs with a label, but for those whose crc32(id as text) mod 4 is 2."""
     rows = docs.where(f"`{lang_col}` is not null and crc32(cast(`{id_col}` as string)) % 4 <> 2").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = rows.select("lang").distinct().count()
+    # by the ids' hashes: for each label the bound under which about per_lang of its rows lie
+    sizes = sparkkit.cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    langs = sizes.count()
     per_lang = min(per_lang, max(LEAST_LANG, SAMPLE // max(1, langs)))
-    ids = rows.select("id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select("id", "lang").distinct()
-    sample = rows.join(F.broadcast(ids), ["id", "lang"])  # per_lang of each label
+    bounds = sizes.select("lang", F.expr(f"cast(least({HASHES}, ceil({per_lang} * {HASHES} / n)) as long)").alias("bound"))  # a row for each label
+    sample = rows.join(F.broadcast(bounds) if langs <= BROADCAST_LANGS else bounds, "lang").where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < F.col("bound"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
