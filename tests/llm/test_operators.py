@@ -119,9 +119,9 @@ def test_media_round_trip(spark, docs):
     rng = random.Random(2)
     for _ in range(60):
         payload = bytes(rng.choice([255, 255, 0, 127, 128, rng.randrange(256)]) for _ in range(192 * rng.randrange(1, 9)))
-        coefs, size, n, m = media_jpeg.read_jpeg(media_jpeg.write_jpeg(payload, 5))
-        assert media_jpeg.payload_of(coefs, m) == payload and n == 5
-        assert media_jpeg.rgb(coefs, size).shape == (*size, 3)
+        picture = media_jpeg.read_jpeg(media_jpeg.write_jpeg(payload, 5))
+        assert media_jpeg.payload_of(picture) == (payload, 5)
+        assert media_jpeg.rgb(picture).shape == (picture.height, picture.width, 3)
     with pytest.raises(ValueError):
         media_jpeg.read_jpeg(b"not an image")
     for r in media_jpeg.stored_features(docs).where("doc_id is not null").collect():
@@ -132,6 +132,54 @@ def test_media_round_trip(spark, docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def _image_io(spark, data):
+    """An image as the JVM's own reader has it."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    w, h = image.getWidth(), image.getHeight()
+    if image.getRaster().getNumBands() == 1:  # getRGB would change its gamma
+        return np.repeat(np.array([image.getRaster().getSample(x, y, 0) for y in range(h) for x in range(w)]).reshape(h, w, 1), 3, 2)
+    raw = np.array([image.getRGB(x, y) for y in range(h) for x in range(w)], np.int64)
+    return np.stack([raw >> k & 255 for k in (16, 8, 0)], 1).reshape(h, w, 3)
+
+
+def _image_io_file(spark, pixels, gray):
+    """A progressive file by the JVM's own writer."""
+    jvm = spark._jvm
+    kind = jvm.java.awt.image.BufferedImage
+    h, w, _ = pixels.shape
+    image = kind(w, h, kind.TYPE_BYTE_GRAY if gray else kind.TYPE_INT_RGB)
+    for y in range(h):
+        for x in range(w):
+            image.setRGB(x, y, int(pixels[y, x, 0]) << 16 | int(pixels[y, x, 1]) << 8 | int(pixels[y, x, 2]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    writer.getOutput().flush()
+    return bytes(out.toByteArray())
+
+
+def test_media_agrees_with_another_reader_and_writer(spark):
+    rng = random.Random(4)
+    for size in (192, 960):
+        text = words(rng, 300).encode()[:size]
+        data = media_jpeg.write_jpeg(text.ljust(size, b" "), size)
+        assert np.abs(media_jpeg.rgb(media_jpeg.read_jpeg(data)).astype(int) - _image_io(spark, data)).max() <= 2
+    y, x = np.mgrid[0:21, 0:37]
+    pixels = np.stack([(x * 6) % 256, (y * 11) % 256, (x * y) % 256], 2).astype(np.uint8)
+    for gray in (False, True):
+        data = _image_io_file(spark, pixels, gray)
+        assert b"\xff\xc2" in data
+        picture = media_jpeg.read_jpeg(data)
+        assert np.abs(media_jpeg.rgb(picture).astype(int) - _image_io(spark, data)).max() <= 2
+        assert (picture.height, picture.width, len(picture.components)) == (21, 37, 1 if gray else 3)
+        with pytest.raises(ValueError):
+            media_jpeg.read_jpeg(data[: len(data) // 2])
+
+
 def test_basis_is_the_inverse_transform():
     basis, order = media_jpeg._basis()
     assert order[:6].tolist() == [0, 1, 8, 16, 9, 2] and np.allclose(basis @ basis.T, np.eye(64), atol=1e-5)
@@ -185,6 +233,26 @@ def test_arc_to_warc(spark):
     assert got[5]["payload_bytes"] == got[2]["payload_bytes"] == 13 and got[3]["payload_digest"] == arc_warc.digest(b"") and got[4]["payload_bytes"] == 2
 
 
+def test_arc_to_warc_tells_payloads_of_one_id_apart(spark):
+    rows = [(1, "u", "A"), (1, "u", "B"), (0, "u", "A"), (2, "u", "B"), (None, "u", "A"), (0, "u", "A"), (3, "u", "C" * 100_000)]
+    got = [tuple(r) for r in arc_warc.convert(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_digest", "record_type", "refers_to").collect()]
+    a, b, c = (arc_warc.digest(x) for x in (b"A", b"B", b"C" * 100_000))
+    expect = [(0, a, "response", None)] * 2 + [(1, a, "revisit", 0), (1, b, "response", None), (2, b, "revisit", 1), (3, c, "response", None), (None, a, "response", None)]
+    assert sorted(got, key=str) == sorted(expect, key=str)
+
+
+def test_arc_to_warc_against_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    first: dict = {}
+    for r in sorted(pages, key=lambda r: r["page_id"]):
+        first.setdefault((r["html"] or "").encode(), r["page_id"])
+    for r in arc_warc.convert(spark.createDataFrame(pages)).collect():
+        raw = next((p["html"] or "").encode() for p in pages if p["page_id"] == r["page_id"])
+        low = first[raw]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), arc_warc.digest(raw))
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if low == r["page_id"] else ("revisit", low))
+
+
 def test_arc_versions_and_short_records():
     for version in (1, 2):
         arc = arc_warc.arc_file("n", "20240101000000", version, [("http://u", b"HTTP/1.1 200 OK\r\n\r\nbody\n\n")])
