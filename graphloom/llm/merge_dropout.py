@@ -40,7 +40,7 @@ from graphloom.llm import sparkkit, textkit
 
 MARK = "▁"
 #: Decisions that a task keeps before it starts its trees afresh.
-KEPT = 1_500_000
+KEPT = 5_000_000
 #: Longest word that gets a tree; longer ones are cut one by one.
 TREE_WORD = 64
 _PLACE, _OCCURRENCE, _ALL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
@@ -131,11 +131,6 @@ def draw(key: int, place: int, piece: int) -> int:
     return h ^ (h >> 33)
 
 
-def _draws(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-    """`draw` of many candidates."""
-    return textkit.mix(keys ^ (places.astype(np.uint64) * np.uint64(_PLACE)) ^ (pieces.astype(np.uint64) << np.uint64(40)))
-
-
 def occurrence_keys(document: int, seed: int, count: int) -> np.ndarray:
     """Keys of a document's words, by their places."""
     start = np.uint64((document ^ seed * 0xA0761D6478BD642F) & _ALL)
@@ -161,7 +156,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float):
         self.vocabulary, self.seed, self.dropout = vocabulary, seed, dropout
         self.bar = min(int(dropout * (1 << 64)), _ALL)
-        # the agenda's candidates as a sorted table: which pairs of symbols join to which piece
+        # the agenda's candidates as a hash table: which pairs of symbols join to which piece
         chars = {c for p in vocabulary.rank for c in p}
         self.symbol = {p: i for i, p in enumerate([*vocabulary.rank, *(c for c in sorted(chars) if c not in vocabulary.rank)])}
         self.ids = np.array([vocabulary.rank[p][1] if p in vocabulary.rank else -1 for p in self.symbol], np.int32)
@@ -170,7 +165,7 @@ class Encoder:
         for c in chars:
             self.of_code[ord(c)] = self.symbol[c]
         pairs = sorted((self.symbol[p[:k]] * len(self.symbol) + self.symbol[p[k:]], self.symbol[p]) for p in vocabulary.rank for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
-        self.keys, self.joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self._hashed(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
         self.mark = [vocabulary.bytes[b] for b in MARK.encode()]
         self.forget()
 
@@ -178,18 +173,44 @@ class Encoder:
         """Start the trees afresh: nodes are decisions, a chain's nodes lie in a row and its last one (place -1) is its end."""
         self.root: dict[str, int] = {}
         self.place, self.piece, self.skip, self.chain = (_Grown(np.int32) for _ in range(4))
+        self.term = _Grown(np.uint64)  # what place and piece give to a draw
         self.depth = _Grown(np.int32)  # merges before a node
         self.words: list[str] = []  # of each chain, with what it skips
         self.skips: list[tuple[int, ...]] = []
         self.start, self.size, self.flat = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32)  # the ids of each chain
 
+    def _hashed(self, keys: np.ndarray, joined: np.ndarray) -> None:
+        """Fill the table of pairs: each lies at the first free place from its own on."""
+        self.slots = 1 << int(np.ceil(np.log2(8 * len(keys))))
+        self.keys, self.joined, self.far = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32), 0
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]  # of several, the last stays
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) % self.slots
+            self.far += 1
+        self.joined[at] = joined
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x1E3779B97F4A7C15 >> 20) & (self.slots - 1)
+
     def _candidates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores (infinite where there is none) and joined symbols of pairs."""
-        key = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) * len(self.symbol) + b)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
+        key = a.astype(np.int64) * len(self.symbol) + b
+        key[(a < 0) | (b < 0)] = -2
+        at = self._slot(key)
+        found = self.keys[at]
+        look = np.flatnonzero((found != key) & (found >= 0))
+        for _ in range(self.far - 1):
+            if not len(look):
+                break
+            at[look] = (at[look] + 1) % self.slots
+            found[look] = self.keys[at[look]]
+            look = look[(found[look] != key[look]) & (found[look] >= 0)]
+        hit = found == key
         piece = np.where(hit, self.joined[at], 0)
-        return np.where(hit, self.score[piece], np.float32(np.inf)), piece.astype(np.int32)
+        return np.where(hit, self.score[piece], np.float32(np.inf)), piece
 
     def _agendas(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cut words, each without the merges that it skips: the number of ids of each, all ids, and (word, place, piece) of all merges in order."""
@@ -276,7 +297,8 @@ class Encoder:
                 heads[part] = first + self.place.n
                 self.place.add(place)
                 self.piece.add(piece)
-                self.skip.add(np.full(nodes, -1, np.int32))
+                self.term.add(place.astype(np.uint64) * np.uint64(_PLACE) ^ piece.astype(np.uint64) << np.uint64(40))
+                self.skip.add(np.where(place < 0, -2, -1))
                 self.start.add(np.cumsum(size) - size + self.flat.n)
                 self.size.add(size)
                 self.flat.add(ids)
@@ -323,15 +345,16 @@ class Encoder:
         alone = np.flatnonzero(cur < 0)
         live = np.flatnonzero(cur >= 0) if self.bar else np.empty(0, np.int64)
         while len(live):
-            live = live[self.place.data[cur[live]] >= 0]
             node = cur[live]
-            skip = _draws(keys[live], self.place.data[node], self.piece.data[node]) < np.uint64(self.bar)
-            cur[live[~skip]] += 1
-            live_skip, node = live[skip], node[skip]
-            missing = np.unique(node[self.skip.data[node] < 0])
+            branch = self.skip.data[node]
+            open_ = branch != -2
+            live, node, branch = live[open_], node[open_], branch[open_]
+            skip = textkit.mix(keys[live] ^ self.term.data[node]) < np.uint64(self.bar)
+            missing = np.unique(node[skip & (branch < 0)])
             if len(missing):
                 self._branch(missing)
-            cur[live_skip] = self.skip.data[node]
+                branch = self.skip.data[node]
+            cur[live] = np.where(skip, branch, node + 1)
         chain = np.where(cur >= 0, self.chain.data[cur], 0)
         start, size = self.start.data[chain], self.size.data[chain].astype(np.int64)
         flat = self.flat.data[: self.flat.n]

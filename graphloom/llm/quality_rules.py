@@ -6,9 +6,9 @@ of bucketed values are a quantile sketch: buckets keep the top eight bits of a v
 each (language, source), of each ratio and of the sizes of documents; it is merged
 over the sources of a language, and over everything, for groups with fewer than
 `least_docs` documents.  A document is rejected where a ratio passes its group's
-upper quantile by more than `spread` times that quantile's distance from the median,
-in the group or in everything, whichever is larger (for the length of words, also
-where it falls as far under the lower one).  Where
+upper quantile by more than `spread` times that quantile's distance from the median
+(for the length of words, by the group's distance or everything's, whichever is
+larger, and also where it falls as far under the lower one).  Where
 most documents of a group have none of something, the bound is what a few
 occurrences make in a small document of that group, by the sketch of its sizes.
 
@@ -149,11 +149,13 @@ def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8) -> Data
     wide = picked.groupBy("g_lang", "g_source").agg(*[F.max(F.expr(f"if(ratio = '{x}', {y}, null)")).alias(name) for x in (*RATIOS, *_SIZES) for y, name in (("s", x), ("all", f"all_{x}"))])
     cols = []
     for r, (_, under, units) in RATIOS.items():
-        top = f"{r}.high + {spread} * greatest({r}.high - {r}.mid, all_{r}.high - all_{r}.mid)"
-        low = f"{r}.low - {spread} * greatest({r}.mid - {r}.low, all_{r}.mid - all_{r}.low)"
-        few = f"1000 * {units} div greatest({under}.small, 1)"
-        cols.append(F.expr(f"{top}" if units is None else f"greatest({top}, {few})").alias(f"hi_{r}"))
-        cols.append(F.expr(low if units is None else "cast(0 as long)").alias(f"lo_{r}"))
+        if units is None:
+            cols.append(F.expr(f"{r}.high + {spread} * greatest({r}.high - {r}.mid, all_{r}.high - all_{r}.mid)").alias(f"hi_{r}"))
+            cols.append(F.expr(f"{r}.low - {spread} * greatest({r}.mid - {r}.low, all_{r}.mid - all_{r}.low)").alias(f"lo_{r}"))
+        else:
+            few = f"1000 * {units} div greatest({under}.small, 1)"
+            cols.append(F.expr(f"greatest({r}.high + {spread} * ({r}.high - {r}.mid), {few})").alias(f"hi_{r}"))
+            cols.append(F.lit(0).cast("long").alias(f"lo_{r}"))
     return wide.select("g_lang", "g_source", *cols)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import arc_warc, html_extract, language_id, license_scan, media_jpeg, merge_dropout, ngram_jaccard, packing, quality_rules, substring_dedup
+from graphloom.llm import arc_warc, html_extract, language_id, license_scan, media_jpeg, merge_dropout, ngram_jaccard, oracles, packing, quality_rules, substring_dedup
 from graphloom.llm.sparkkit import table
 
 
@@ -56,4 +56,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_progressive_jpeg, op4_html_extraction, op5_quality_rules, op6_license_scan, op7_arc_to_warc, op8_language_id, op9_merge_dropout, op10_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": oracles.jaccard(), "op5_quality_rules": oracles.quality(), "op6_license_scan": license_scan.oracle(), "op7_arc_to_warc": oracles.archives()}
