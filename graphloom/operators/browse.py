@@ -31,8 +31,9 @@ def nodes_batch(graph: Graph, uids: list[str]) -> DataFrame:
     """One row for each of up to 100 uids, in `node` the node or null."""
     if len(uids) > 100:
         raise invalid("a batch has 100 uids at most")
-    asked = graph.table.sparkSession.createDataFrame([(u,) for u in dict.fromkeys(uids)], "uid string")
-    found = graph.rows.where(F.col("docId").isin(uids) & (F.col("axbType") == NODE)) if uids else graph.rows.where("false")
+    asked = graph.spark.createDataFrame([(u,) for u in dict.fromkeys(uids)], "uid string")
+    known = graph.candidates([("aUid", "in", uids), ("axbType", "==", NODE)])
+    found = known.where(F.col("docId").isin(uids) & (F.col("axbType") == NODE)) if uids else known.where("false")
     found = found.select(F.col("docId").alias("_id"), F.struct("aType", "aUid", "data", "v").alias("node"))
     return asked.join(found, F.col("uid") == F.col("_id"), "left").drop("_id")
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, invalid
@@ -14,6 +14,7 @@ from graphloom.functions import paths
 from graphloom.model import NODE, child_scope, edge_doc_id
 from graphloom.plans import planner
 from graphloom.plans.planner import Find
+from graphloom.sources.branches import Branches
 
 if TYPE_CHECKING:
     from graphloom.operators.registry import Registry
@@ -38,21 +39,35 @@ class Hop:
 class Graph:
     """A triple table, and the scope of one graph in it."""
 
-    table: DataFrame
+    table: DataFrame | Branches
     scope: str = ""
     scan_mode: str = "error"
     registry: Registry | None = None  # its target graphs hold for hops that name none; reads migrate payloads
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.spark if isinstance(self.table, Branches) else self.table.sparkSession
+
+    @property
+    def everything(self) -> DataFrame:
+        """The rows of all graphs."""
+        return self.table.frame() if isinstance(self.table, Branches) else self.table
+
     @property
     def rows(self) -> DataFrame:
-        return self.table.where(F.col("scope") == self.scope)
+        return self.candidates([])
+
+    def candidates(self, filters: list, everywhere: bool = False) -> DataFrame:
+        """Rows of this graph (or of all) among which those that meet the filters are; a table of branches builds no others."""
+        rows = self.table.narrowed(filters, None if everywhere else self.scope) if isinstance(self.table, Branches) else self.table
+        return rows if everywhere else rows.where(F.col("scope") == self.scope)
 
     def subgraph(self, parent_uid: str, name: str = "graph") -> Graph:
         return replace(self, scope=child_scope(self.scope, parent_uid, name))
 
     # point reads
     def get_doc(self, doc_id: str) -> DataFrame:
-        return self._migrated(self.rows.where(F.col("docId") == doc_id).limit(1))
+        return self._migrated(self.candidates(planner.key_filters(doc_id)).where(F.col("docId") == doc_id).limit(1))
 
     def get_node(self, uid: str) -> DataFrame:
         return self.get_doc(uid)
@@ -99,7 +114,7 @@ class Graph:
         if not filters:
             raise invalid("find_edges needs a filter")
         planner.guard(filters, self.scan_mode, allow_scan)
-        return self._migrated(self._ordered(self._where(self.rows, filters), find.order_by, planner.effective_limit(find.limit)))
+        return self._migrated(self._ordered(self._where(self.candidates(filters), filters), find.order_by, planner.effective_limit(find.limit)))
 
     def find_nodes(self, a_type: str, where: list | None = None, order_by: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
         return self.find_edges(Find(aType=a_type, axbType=NODE, where=where or [], order_by=order_by, limit=limit))
@@ -110,7 +125,7 @@ class Graph:
             raise invalid("a global search can't be for one edge")
         filters = find.filters()
         planner.guard(filters, self.scan_mode, allow_scan)
-        everywhere = self.table.where(F.element_at(F.split("scope", "/"), -1) == name)
+        everywhere = self.candidates(filters, everywhere=True).where(F.element_at(F.split("scope", "/"), -1) == name)
         return self._migrated(self._ordered(self._where(everywhere, filters), find.order_by, planner.effective_limit(find.limit)))
 
     def find_edges_projected(self, find: Find, select: list[str], kinds: dict[str, str] | None = None, allow_scan: bool = False) -> DataFrame:
@@ -119,7 +134,7 @@ class Graph:
             raise invalid("select needs a field")
         filters = find.filters()
         planner.guard(filters, self.scan_mode, allow_scan)
-        rows = self._ordered(self._where(self.rows, filters), find.order_by, planner.effective_limit(find.limit))
+        rows = self._ordered(self._where(self.candidates(filters), filters), find.order_by, planner.effective_limit(find.limit))
         cols = []
         for name in dict.fromkeys(select):
             path = None if name == "v" else paths.data_path(name)
@@ -149,7 +164,7 @@ class Graph:
             x = paths.field(name[0], 0.0, bare=False)
             empty = float("nan") if op == "avg" else 0.0
             cols.append(F.coalesce(getattr(F, op)(x), F.lit(empty)).alias(alias))
-        rows = self._where(self.rows, filters)
+        rows = self._where(self.candidates(filters), filters)
         if group_by:
             rows = rows.withColumns({g: paths.field(g, "") for g in group_by if paths.data_path(g) is not None})
         return (rows.groupBy(*group_by) if group_by else rows).agg(*cols)
@@ -158,7 +173,9 @@ class Graph:
     def expand(self, sources: DataFrame | list[str], axb_type: str, direction: str = "forward", a_type: str | None = None, b_type: str | None = None, limit_per_source: int | None = None, order_by: tuple[str, str] | None = None, hydrate: bool = False, strict: bool = False) -> DataFrame:
         """Edges of many sources (uids); the limit caps all edges together unless strict."""
         near, far = ("aUid", "bUid") if direction == "forward" else ("bUid", "aUid")
-        rows = self._where(self.rows, Find(aType=a_type, axbType=axb_type, bType=b_type).filters())
+        filters = Find(aType=a_type, axbType=axb_type, bType=b_type).filters()
+        few = [(near, "in", list(set(sources)))] if isinstance(sources, list) and sources else []
+        rows = self._where(self.candidates([*filters, *few]), filters)
         if axb_type == NODE:
             rows = rows.where("aUid <> bUid")
         if isinstance(sources, list):
@@ -175,7 +192,9 @@ class Graph:
         elif order_by:
             rows = rows.orderBy(*self.order(order_by))
         if hydrate:
-            target = self.rows.where((F.col("axbType") == NODE) & (F.col("aUid") == F.col("bUid"))).select(F.col("aUid").alias("_t"), F.struct("aType", "aUid", "data", "v").alias("target"))
+            kind = b_type if direction == "forward" else a_type
+            known = [("axbType", "==", NODE), *([("aType", "==", kind)] if kind else [])]
+            target = self._where(self.candidates(known), known).where(F.col("aUid") == F.col("bUid")).select(F.col("aUid").alias("_t"), F.struct("aType", "aUid", "data", "v").alias("target"))
             rows = rows.join(target, F.col(far) == F.col("_t"), "left").drop("_t")
         return rows
 
@@ -203,7 +222,7 @@ class Graph:
         if not hops:
             raise GraphError("TRAVERSAL_ERROR", "a traversal needs a hop")
         if isinstance(starts, list):
-            starts = self.table.sparkSession.createDataFrame([(s,) for s in starts], "uid string")
+            starts = self.spark.createDataFrame([(s,) for s in starts], "uid string")
         frontier = starts.select(F.col(starts.columns[0]).alias("_uid"), F.lit(self.scope).alias("_scope")).distinct()
         out, left = [], max_reads
         for depth, hop in enumerate(hops, 1):
@@ -219,7 +238,8 @@ class Graph:
             if graph_name and hop.direction == "forward":
                 prefix = F.lit(self.scope + "/" if self.scope else "")
                 frontier = frontier.withColumn("_scope", F.concat(prefix, "_uid", F.lit(f"/{graph_name}")))
-            edges = self._where(self.table, [*Find(aType=hop.aType, axbType=hop.axbType, bType=hop.bType).filters(), *hop.where])
+            filters = [*Find(aType=hop.aType, axbType=hop.axbType, bType=hop.bType).filters(), *hop.where]
+            edges = self._where(self.candidates(filters, everywhere=True), filters)
             if hop.axbType == NODE:
                 edges = edges.where("aUid <> bUid")
             if hop.keep is not None:

@@ -17,7 +17,8 @@ from graphloom.plans.planner import Find
 
 
 def _narrowed(graph: Graph, find: Find | None) -> DataFrame:
-    return graph._where(graph.rows, find.filters() if find else [])
+    filters = find.filters() if find else []
+    return graph._where(graph.candidates(filters), filters)
 
 
 def find_nearest(graph: Graph, field: str, query: list[float], limit: int, measure: str = "EUCLIDEAN", threshold: float | None = None, find: Find | None = None, result_field: str | None = None) -> DataFrame:

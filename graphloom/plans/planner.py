@@ -46,6 +46,16 @@ def point_key(find: Find) -> str | None:
     return None
 
 
+def key_filters(doc_id: str) -> list[Filter]:
+    """What a document id says of its row: a node's uid, or an edge's ends and relation."""
+    parts = doc_id.split(":")
+    if len(parts) == 1:
+        return [("aUid", "==", doc_id), ("axbType", "==", NODE)]
+    if len(parts) == 4:
+        return [("aUid", "==", parts[1]), ("axbType", "==", parts[2]), ("bUid", "==", parts[3])]
+    return []
+
+
 def is_selective(filters: list[Filter]) -> bool:
     given = {f for f, _, _ in filters if f in ENVELOPE}
     return any(s <= given for s in SELECTIVE)

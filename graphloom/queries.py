@@ -15,7 +15,7 @@ from graphloom.operators.registry import Entry, Registry
 from graphloom.operators.search import find_nearest, full_text_search, geo_search
 from graphloom.plans.planner import Find
 from graphloom.sources.definitions import typed_payloads
-from graphloom.sources.tables import line_triples, star_triples
+from graphloom.sources.tables import line_triples, star_branches, star_triples
 from graphloom.sources.wire import from_wire, to_wire
 from graphloom.streaming.changes import windowed_counts
 
@@ -29,8 +29,7 @@ _VEC = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
 def query(name: str, sql: str, lines: bool = False):
     def keep(fn: Callable[[Graph], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            table = star_triples(spark, sf_dir)
-            return fn(Graph(table.unionByName(line_triples(spark, sf_dir)) if lines else table))
+            return fn(Graph(star_triples(spark, sf_dir).unionByName(line_triples(spark, sf_dir)) if lines else star_branches(spark, sf_dir)))
 
         QUERIES[name] = run
         ORACLE_SQL[name] = sql
@@ -54,7 +53,7 @@ def _str(name: str, alias: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the customers of one nation: two hops."""
-    g = Graph(star_triples(spark, sf_dir))
+    g = Graph(star_branches(spark, sf_dir))
     hops = [Hop("inNation", "reverse", aType="customer", limit=None), Hop("placed", limit=None)]
     return g.traverse(["nation-3"], hops).where("depth = 2").select("aUid", "bUid", _num("total"))
 
@@ -65,7 +64,7 @@ _ORDERS = "'customer-' || o_custkey AS aUid, 'order-' || o_orderkey AS bUid"
 
 query("get_node", f"SELECT {_NODE} AS docId, c_name AS name, c_acctbal AS acctbal FROM customer WHERE c_custkey = 7")(lambda g: g.get_node("customer-7").select("docId", _str("name"), _num("acctbal")))
 query("get_edge", "SELECT 'customer-' || c_custkey AS aUid, 'nation-' || c_nationkey AS bUid FROM customer WHERE c_custkey = 7 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 7)")(
-    lambda g: g.find_edges(Find(aUid="customer-7", axbType="inNation")).select("aUid", "bUid")
+    lambda g: g.get_edge("customer-7", "inNation", g.find_edges(Find(aUid="customer-7", axbType="inNation")).first()["bUid"]).select("aUid", "bUid")
 )
 query("edge_exists_semi", f"SELECT {_edge_id(_NODE, 'inNation', chr(39) + 'nation-5' + chr(39))} AS docId FROM customer WHERE c_nationkey = 5")(
     lambda g: g.existing(g.find_nodes("customer", limit=0).select(F.expr("concat('customer-', substring_index(aUid, '-', -1))").alias("aUid"), F.lit("inNation").alias("axbType"), F.lit("nation-5").alias("bUid")).select(doc_id_column().alias("docId")))
@@ -139,7 +138,7 @@ query("subgraph_nodes", "SELECT 'turn-' || conv_id || '-' || turn AS aUid, role
 query("find_edges_global", "SELECT 'turn-' || conv_id || '-' || turn AS bUid FROM conversations WHERE turn >= 3")(
     lambda g: g.find_edges_global(Find(aType="conversation", axbType="hasTurn", where=[("turn", ">=", 3)], limit=0), "turns").select("bUid")
 )
-query("scope_ancestors", "SELECT 'turn-' || conv_id || '-' || turn AS bUid FROM conversations WHERE conv_id = 2")(lambda g: g.table.where("axbType = 'hasTurn'").where(is_ancestor(F.col("scope"), F.lit("conv-2"))).select("bUid"))
+query("scope_ancestors", "SELECT 'turn-' || conv_id || '-' || turn AS bUid FROM conversations WHERE conv_id = 2")(lambda g: g.candidates([("axbType", "==", "hasTurn")], everywhere=True).where("axbType = 'hasTurn'").where(is_ancestor(F.col("scope"), F.lit("conv-2"))).select("bUid"))
 for _m, _f, _way in (("EUCLIDEAN", "list_distance", "ASC"), ("COSINE", "list_cosine_distance", "ASC"), ("DOT_PRODUCT", "list_inner_product", "DESC")):
     query(f"nearest_{_m.lower()}", f"SELECT 'item-' || vec_id AS aUid, round({_f}(embedding::DOUBLE[], {_VEC}), 6) AS distance FROM embeddings ORDER BY {_f}(embedding::DOUBLE[], {_VEC}) {_way}, 'item-' || vec_id LIMIT 20")(
         lambda g, m=_m: find_nearest(g, "embedding", VECTOR, 20, m, find=Find(aType="item", axbType="is")).select("aUid", F.round("distance", 6).alias("distance"))
@@ -172,11 +171,14 @@ query("full_text_or_not", _bm25(["license", "mit", "gnu"], "(f0 > 0 OR f1 > 0) A
 query("page_after", f"SELECT 'order-' || o_orderkey AS docId, o_totalprice AS total FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice, 'order-' || o_orderkey LIMIT 26")(
     lambda g: after(g.find_nodes("order", limit=0).withColumn("total", paths.typed("$.total", "number")), F.col("total"), (100000.0, ""), 25).select("docId", "total")
 )
-query("search_everywhere", "SELECT 'nation-3' AS docId, 'docId' AS matchType UNION ALL SELECT " + _edge_id("'nation-3'", "inRegion", "'region-' || n_regionkey") + ", 'aUid' FROM nation WHERE n_nationkey = 3")(
-    lambda g: search_everywhere(Graph(g.table.where("aType = 'nation'")), "nation:nation-3", 50).select("docId", "matchType")
+query("search_everywhere", "SELECT docId, matchType FROM (SELECT 'nation-3' AS docId, 'docId' AS matchType, 0 AS m UNION ALL SELECT " + _edge_id("'nation-3'", "inRegion", "'region-' || n_regionkey") + ", 'aUid', 1 FROM nation WHERE n_nationkey = 3 UNION ALL SELECT " + _edge_id(_NODE, "inNation", "'nation-3'") + ", 'bUid', 2 FROM customer WHERE c_nationkey = 3 UNION ALL SELECT " + _edge_id("'supplier-' || s_suppkey", "inNation", "'nation-3'") + ", 'bUid', 2 FROM supplier WHERE s_nationkey = 3) ORDER BY m, docId LIMIT 50")(
+    lambda g: search_everywhere(g, "nation:nation-3", 50).select("docId", "matchType")
 )
-query("observed_schema", "SELECT 'customer' AS aType, 'placed' AS axbType, 'order' AS bType, count(*) AS n FROM orders UNION ALL SELECT 'customer', 'inNation', 'nation', count(*) FROM customer UNION ALL SELECT 'customer', 'is', 'customer', count(*) FROM customer")(
-    lambda g: g.rows.where("aType = 'customer'").groupBy("aType", "axbType", "bType").agg(F.count("*").alias("n"))
+_KINDS = [(kind, "is", kind, table) for kind, table in (("region",) * 2, ("nation",) * 2, ("customer",) * 2, ("supplier",) * 2, ("part",) * 2, ("order", "orders"), ("event", "events"), ("doc", "documents"), ("item", "embeddings"))]
+_KINDS += [("nation", "inRegion", "region", "nation"), ("customer", "inNation", "nation", "customer"), ("supplier", "inNation", "nation", "supplier"), ("customer", "placed", "order", "orders"), ("user", "did", "event", "events")]
+_COUNTED = " UNION ALL ".join(f"SELECT '{a}' AS aType, '{x}' AS axbType, '{b}' AS bType, count(*) AS n FROM {t}" for a, x, b, t in _KINDS)
+query("observed_schema", _COUNTED + " UNION ALL SELECT 'turn', 'is', 'turn', count(*) FROM conversations UNION ALL SELECT 'conversation', 'hasTurn', 'turn', count(*) FROM conversations")(
+    lambda g: g.everything.groupBy("aType", "axbType", "bType").agg(F.count("*").alias("n"))
 )
 query("type_uids", "SELECT r_name AS name, substr(translate(to_base64(unhex(sha256('nodeType:' || r_name))), '+/', '-_'), 1, 21) AS uid FROM region")(
     lambda g: g.find_nodes("region").select(_str("name")).select("name", type_uid_column(F.lit("nodeType"), F.col("name")).alias("uid"))
@@ -184,8 +186,8 @@ query("type_uids", "SELECT r_name AS name, substr(translate(to_base64(unhex(sha2
 
 _LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)"
 _LINE = "'line-' || l_orderkey || '-' || n"
-query("order_lines", f"SELECT 'order-' || l_orderkey AS aUid, {_LINE} AS bUid, n FROM {_LINES} WHERE l_orderkey < 500", lines=True)(
-    lambda g: g.expand(g.find_nodes("order", limit=0).where("cast(substr(aUid, 7) as long) < 500").select("aUid"), "hasLine").select("aUid", "bUid", F.try_variant_get("data", "$.n", "long").alias("n"))
+query("order_lines", f"SELECT 'order-' || l_orderkey AS aUid, {_LINE} AS bUid, n FROM {_LINES}", lines=True)(
+    lambda g: g.expand(g.find_nodes("order", limit=0).select("aUid"), "hasLine").select("aUid", "bUid", F.try_variant_get("data", "$.n", "long").alias("n"))
 )
 query("traverse_order_parts", f"SELECT {_LINE} AS aUid, 'part-' || l_partkey AS bUid, 2 AS depth FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5) UNION ALL SELECT 'order-' || l_orderkey, {_LINE}, 1 FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5)", lines=True)(
     lambda g: g.traverse([f"order-{i}" for i in range(1, 6)], [Hop("hasLine", limit=None), Hop("ofPart", limit=None)]).select("aUid", "bUid", "depth")
@@ -229,11 +231,9 @@ query("page_offset", "SELECT 'part-' || p_partkey AS aUid FROM part ORDER BY p_r
 query("summaries", "SELECT 'nation-' || n_nationkey AS \"from\", 'inRegion' AS relation, 'region-' || n_regionkey AS \"to\", 'nation' AS fromType, 'region' AS toType, CAST(NULL AS VARCHAR) AS data, '2024-01-01T00:00:00.000Z' AS createdAt FROM nation")(
     lambda g: summaries(g.find_edges(Find(axbType="inRegion", bType="region"))).drop("updatedAt")
 )
-query("observed_types", "SELECT 'turn' AS aType, 'is' AS axbType, 'turn' AS bType, count(*) AS n FROM conversations WHERE conv_id = 4 UNION ALL SELECT 'conversation', 'hasTurn', 'turn', count(*) FROM conversations WHERE conv_id = 4")(
-    lambda g: observed_types(g.subgraph("conv-4", "turns"))
-)
+query("observed_types", _COUNTED)(observed_types)
 query("observed_fields", "SELECT 'region' AS aType, 'name' AS field, count(*) AS n, 'STRING' AS type FROM region UNION ALL SELECT 'nation', 'name', count(*), 'STRING' FROM nation")(
-    lambda g: observed_fields(Graph(g.table.where("aType in ('region', 'nation')"))).select("aType", "field", "n", "type")
+    lambda g: observed_fields(Graph(g.everything.where("aType in ('region', 'nation')"))).select("aType", "field", "n", "type")
 )
 query("wire_round_trip", "SELECT 'supplier-' || s_suppkey AS docId, s_name AS name, s_acctbal AS acctbal, TIMESTAMP '2024-01-01 00:00:00' AS createdAt FROM supplier")(
     lambda g: from_wire(to_wire(g.find_nodes("supplier", limit=0))).select("docId", _str("name"), _num("acctbal"), "createdAt")

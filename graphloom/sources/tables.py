@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import nodes, triples
+from graphloom.sources.branches import Branch, Branches, Uid
 
 
 #: The tables' columns; with them a query starts without reading footers of tables it never scans.
@@ -30,35 +31,41 @@ SCHEMAS = {
 
 
 def uid(kind: str, *cols: str):
-    return F.concat(F.lit(kind), *[x for c in cols for x in (F.lit("-"), F.col(c).cast("string"))])
+    return Uid(kind, cols).column()
 
 
-def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    c = F.col
-    customer, orders, k = t("customer"), t("orders"), F.col("c_custkey")
+def star_branches(spark: SparkSession, sf_dir: str) -> Branches:
+    """The star schema's branches; a query builds those that its filters leave."""
+
+    def t(name: str):
+        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+    c, k = F.col, F.col("c_custkey")
     lat, lng = ((k * 37) % 1800) / 10 - 90, ((k * 91) % 3600) / 10 - 180
-    turn_scope = F.concat(uid("conv", "conv_id"), F.lit("/turns"))
-    talk = t("conversations")
-    parts = [
-        nodes(t("region"), "region", uid("region", "r_regionkey"), {"name": c("r_name")}),
-        nodes(t("nation"), "nation", uid("nation", "n_nationkey"), {"name": c("n_name")}),
-        nodes(customer, "customer", uid("customer", "c_custkey"), {"name": c("c_name"), "acctbal": c("c_acctbal"), "segment": c("c_mktsegment"), "lat": lat.cast("double"), "lng": lng.cast("double"), "active": c("c_acctbal") >= 0}),
-        nodes(t("supplier"), "supplier", uid("supplier", "s_suppkey"), {"name": c("s_name"), "acctbal": c("s_acctbal")}),
-        nodes(t("part"), "part", uid("part", "p_partkey"), {"name": c("p_name"), "brand": c("p_brand"), "type": c("p_type"), "size": c("p_size"), "price": c("p_retailprice"), "tags": F.split("p_name", " ")}),
-        nodes(orders, "order", uid("order", "o_orderkey"), {"status": c("o_orderstatus"), "total": c("o_totalprice"), "priority": c("o_orderpriority")}),
-        nodes(t("events"), "event", uid("event", "event_id"), {"type": c("event_type"), "value": c("value")}),
-        nodes(t("documents"), "doc", uid("doc", "doc_id"), {"text": c("text"), "lang": c("lang"), "source": c("source"), "chars": c("n_chars")}),
-        nodes(t("embeddings"), "item", uid("item", "vec_id"), {"embedding": c("embedding").cast("array<double>"), "label": c("label")}),
-        triples(t("nation"), "nation", uid("nation", "n_nationkey"), "inRegion", "region", uid("region", "n_regionkey")),
-        triples(customer, "customer", uid("customer", "c_custkey"), "inNation", "nation", uid("nation", "c_nationkey")),
-        triples(t("supplier"), "supplier", uid("supplier", "s_suppkey"), "inNation", "nation", uid("nation", "s_nationkey")),
-        triples(orders, "customer", uid("customer", "o_custkey"), "placed", "order", uid("order", "o_orderkey"), {"total": c("o_totalprice")}),
-        triples(t("events"), "user", uid("user", "user_id"), "did", "event", uid("event", "event_id"), {"type": c("event_type"), "value": c("value")}),
-        nodes(talk, "turn", uid("turn", "conv_id", "turn"), {"role": c("role"), "text": c("text")}, turn_scope),
-        triples(talk, "conversation", uid("conv", "conv_id"), "hasTurn", "turn", uid("turn", "conv_id", "turn"), {"turn": c("turn")}, turn_scope),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    region, nation, customer, supplier, part, order = (Uid(n, (x,)) for n, x in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("order", "o_orderkey")))
+    event, turn, talk = Uid("event", ("event_id",)), Uid("turn", ("conv_id", "turn")), Uid("conv", ("conv_id",))
+    return Branches(spark, (
+        Branch(t("region"), "region", region, data={"name": "r_name"}),
+        Branch(t("nation"), "nation", nation, data={"name": "n_name"}),
+        Branch(t("customer"), "customer", customer, data={"name": "c_name", "acctbal": "c_acctbal", "segment": "c_mktsegment", "lat": lat.cast("double"), "lng": lng.cast("double"), "active": c("c_acctbal") >= 0}),
+        Branch(t("supplier"), "supplier", supplier, data={"name": "s_name", "acctbal": "s_acctbal"}),
+        Branch(t("part"), "part", part, data={"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice", "tags": F.split("p_name", " ")}),
+        Branch(t("orders"), "order", order, data={"status": "o_orderstatus", "total": "o_totalprice", "priority": "o_orderpriority"}),
+        Branch(t("events"), "event", event, data={"type": "event_type", "value": "value"}),
+        Branch(t("documents"), "doc", Uid("doc", ("doc_id",)), data={"text": "text", "lang": "lang", "source": "source", "chars": "n_chars"}),
+        Branch(t("embeddings"), "item", Uid("item", ("vec_id",)), data={"embedding": c("embedding").cast("array<double>"), "label": "label"}),
+        Branch(t("nation"), "nation", nation, "inRegion", "region", Uid("region", ("n_regionkey",))),
+        Branch(t("customer"), "customer", customer, "inNation", "nation", Uid("nation", ("c_nationkey",))),
+        Branch(t("supplier"), "supplier", supplier, "inNation", "nation", Uid("nation", ("s_nationkey",))),
+        Branch(t("orders"), "customer", Uid("customer", ("o_custkey",)), "placed", "order", order, {"total": "o_totalprice"}),
+        Branch(t("events"), "user", Uid("user", ("user_id",)), "did", "event", event, {"type": "event_type", "value": "value"}),
+        Branch(t("conversations"), "turn", turn, data={"role": "role", "text": "text"}, scope=(talk, "turns")),
+        Branch(t("conversations"), "conversation", talk, "hasTurn", "turn", turn, {"turn": "turn"}, scope=(talk, "turns")),
+    ))
+
+
+def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_branches(spark, sf_dir).frame()
 
 
 def line_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

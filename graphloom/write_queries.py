@@ -17,7 +17,7 @@ from graphloom.sources.collections import Collection, collection_page
 from graphloom.sources.folders import new_folder
 from graphloom.sources.routed import RoutedStore
 from graphloom.sources.store import CHANGES, SnapshotStore, change, changes_of
-from graphloom.sources.tables import star_triples
+from graphloom.sources.tables import star_branches, star_triples
 from graphloom.streaming.changes import fold_into, read_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,7 +182,7 @@ _POINT = [1.0] + [0.0] * 63
 
 def nearest_in_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance as a field of the payload."""
-    near = find_nearest(Graph(star_triples(spark, sf_dir)), "embedding", _POINT, 20, "EUCLIDEAN", find=Find(aType="item", axbType=NODE), result_field="found.distance")
+    near = find_nearest(Graph(star_branches(spark, sf_dir)), "embedding", _POINT, 20, "EUCLIDEAN", find=Find(aType="item", axbType=NODE), result_field="found.distance")
     return near.select("aUid", _number("found.distance"))
 
 
