@@ -78,7 +78,7 @@ def _describe(n: int):
 
 
 def _columns(n: int, threshold: int, frequent, clashing: frozenset[int]):
-    """The incidence entries (shingle, node, size) that a pair at the threshold must share."""
+    """The incidence entries (shingle, node, size, place in the global order) that a pair at the threshold must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value  # sorted by hash, with ranks: the most frequent is last
@@ -103,7 +103,7 @@ def _columns(n: int, threshold: int, frequent, clashing: frozenset[int]):
                 cs.append(node)
             if hs:
                 reps = [len(h) for h in hs]
-                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(hs))), pa.array(np.repeat(np.array(cs, np.int64), reps)), pa.array(np.repeat(np.array(ns, np.int32), reps))], names=["h", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(hs))), pa.array(np.repeat(np.array(cs, np.int64), reps)), pa.array(np.repeat(np.array(ns, np.int32), reps)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in reps]))], names=["h", "c", "n", "i"])
 
     return run
 
@@ -115,21 +115,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        h, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         before = False
         if carried is not None:
-            h, c, n = (np.append(x, y) for x, y in zip(carried[0], (h, c, n), strict=True))
+            h, *rest = (np.append(x, y) for x, y in zip(carried[0], (h, *rest), strict=True))
             before = carried[1]
         same = h[1:] == h[:-1]
         shared = np.append(same, False) | np.append(before, same)
-        carried = ((h[-1:], c[-1:], n[-1:]), bool(shared[-1]))
+        carried = ([x[-1:] for x in (h, *rest)], bool(shared[-1]))
         runs = np.cumsum(np.append(False, ~same))
         weight = np.bincount(runs)[runs]
         keep = shared[:-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (h, c, n, weight.astype(np.int32))], names=["h", "c", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (h, *rest, weight.astype(np.int32))], names=["h", "c", "n", "i", "w"])
     if carried is not None and carried[1]:
-        yield pa.RecordBatch.from_arrays([*map(pa.array, carried[0]), pa.array([2], pa.int32())], names=["h", "c", "n", "w"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, carried[0]), pa.array([2], pa.int32())], names=["h", "c", "n", "i", "w"])
 
 
 def _frequent_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +168,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets, clashing = sparkkit.one_key_each(sets.where("kind = 0").select("id", "n", "c", "d"))
     nodes = sparkkit.cut(sets.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
 
-    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, c long, n int")
+    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, c long, n int, i int")
     entries = entries.repartition("h").sortWithinPartitions("h")
-    entries = sparkkit.cut(sparkkit.mapped(entries, _shared, "h long, c long, n int, w int"))
+    entries = sparkkit.cut(sparkkit.mapped(entries, _shared, "h long, c long, n int, i int, w int"))
 
     def least() -> str:  # columns that a pair must share, as its sizes say
         need = lambda x: f"({threshold} * {x} + 99) div 100"
@@ -211,11 +211,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tested, links = tested.union(again), links.union(again.where("linked").select("a", "b"))
     # then all that these links have not joined
     entries = mixed(entries.drop("lab"), sparkkit.components(links))
-    x = entries.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("lab").alias("la"))
-    y = entries.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("lab").alias("lb"))
-    met = x.join(y, "h").where(f"a < b and la <> lb and {sized}")
-    met = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
-    left = met.where(f"c >= {least()}").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    # the first column that a linked pair shares leaves enough columns after it in both, so it
+    # lies among the first few of the smaller one; wide groups of one column then make few pairs
+    room = lambda x: f"{100 + threshold} * (n{x} - i{x}) >= {threshold} * (na + nb)"
+    size = F.expr(f"cast(floor(ln(n) / (ln({100 / threshold}) + 1e-6)) as int)")  # a linked pair's differ by 1 at most
+    x = entries.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("lab").alias("la"), size.alias("k"))
+    y = entries.where(f"{100 + threshold} * (n - i) >= {2 * threshold} * n").select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("lab").alias("lb"), F.explode(F.array(size, size + 1)).alias("k"))
+    met = x.join(y, ["h", "k"]).where(f"(na > nb or na = nb and a < b) and la <> lb and {sized} and {room('a')} and {room('b')}")
+    left = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     label = sparkkit.components(links.union(check(left).where("linked").select("a", "b")))
 
     sets = sets.join(label.select("node", "component"), "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("lab"))
