@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import TYPE_CHECKING
@@ -147,6 +149,9 @@ class Graph:
         """One row (or one for each group); sum, min and max of nothing are 0, avg is NaN."""
         if not aggregates:
             raise invalid("aggregate needs an aggregate")
+        for alias in aggregates:
+            if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", alias):
+                raise invalid(f"{alias!r} can't name an aggregate")
         find = find or Find()
         if planner.point_key(find) is not None:
             raise invalid("an aggregate can't be over one edge")
@@ -253,12 +258,17 @@ class Graph:
             frontier = edges.groupBy(F.col(far).alias("_uid")).agg(F.min("scope").alias("_scope"))
         return out
 
-    def run_engine_traversal(self, starts: list[str], hops: list[Hop]) -> DataFrame:
-        """The chain as one plan with one edge for each target at each depth, five hops at most."""
+    def run_engine_traversal(self, starts: list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
+        """The chain as one plan with one edge for each target at each depth, five hops at most.
+
+        With max_reads, a chain whose limits allow more edges at its deepest hop is refused.
+        """
         if len(hops) > 5:
             raise GraphError("TRAVERSAL_ERROR", "an engine traversal has five hops at most")
         if any(not h.limit for h in hops):
             raise invalid("every hop of an engine traversal needs a limit")
+        if max_reads is not None and math.prod([len(starts), *[h.limit for h in hops]]) > max_reads:
+            raise GraphError("TRAVERSAL_ERROR", f"the limits allow more than {max_reads} reads")
         edges = self.traverse(starts, hops)
         ways = [h.direction == "forward" for h in hops]
         target = F.when(F.array(*[F.lit(w) for w in ways])[F.col("depth") - 1], F.col("bUid")).otherwise(F.col("aUid"))

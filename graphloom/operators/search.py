@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,63 +63,60 @@ def geo_search(graph: Graph, lat_field: str, lng_field: str, lat: float, lng: fl
     return rows.orderBy(*([F.col("distance")] if by_distance else []), "docId").limit(limit)
 
 
-_QUERY = re.compile(r'NEAR\([^()]*\)|"[^"]*"|\(|\)|[^\s()"]+')
-_TOKEN = r"[^\p{L}\p{N}]+"
-
-
-class _Parsed:
-    """Words, phrases, prefixes and NEAR(words, distance) with AND, OR, NOT and parentheses; AND binds tighter than OR."""
-
-    def __init__(self, text: str):
-        self.parts, self.at, self.units = _QUERY.findall(text), 0, []
-        if not self.parts or text.count('"') % 2:
-            raise invalid("the text query is empty or has an open quote")
-        self.match = self.either()
-        if self.at < len(self.parts):
-            raise invalid("the text query doesn't end where it should")
-
-    def peek(self) -> str | None:
-        return self.parts[self.at] if self.at < len(self.parts) else None
-
-    def either(self):
-        out = self.both()
-        while self.peek() == "OR":
-            self.at += 1
-            out = ("or", out, self.both())
-        return out
-
-    def both(self):
-        out = self.one()
-        while self.peek() not in (None, ")", "OR"):
-            kind = "and"
-            if self.peek() in ("AND", "NOT"):
-                kind = "not" if self.parts[self.at] == "NOT" else "and"
-                self.at += 1
-            out = (kind, out, self.one())
-        return out
-
-    def one(self):
-        part = self.peek()
-        if part is None or part in ("AND", "OR", "NOT", ")"):
-            raise invalid("the text query lacks a word")
-        self.at += 1
-        if part == "(":
-            out = self.either()
-            if self.peek() != ")":
-                raise invalid("the text query has an open parenthesis")
-            self.at += 1
-            return out
-        if part.startswith("NEAR("):
-            inside, _, far = part[5:-1].partition(",")
-            words = [w for w in re.split(r"[^\w]+|_", inside.lower()) if w]
-            if not words or not (far.strip() or "10").isdigit():
-                raise invalid("NEAR needs words and a whole distance")
-            self.units.append((words, int(far.strip() or "10")))
-            return ("unit", len(self.units) - 1)
-        prefix = part.endswith("*") and not part.startswith('"')
-        words = [w for w in re.split(r"[^\w]+|_", part.lower()) if w]
-        self.units.append((words, prefix))
-        return ("unit", len(self.units) - 1)
+_LETTER = r"[\p{L}\p{N}]"
+_OTHER = r"[^\p{L}\p{N}]+"
+
+
+@dataclass(frozen=True)
+class Match:
+    """A condition on the words of a text: made by words, phrase, prefix and near, combined by &, | and ~."""
+
+    op: str
+    parts: tuple
+
+    def __and__(self, other: Match) -> Match:
+        return Match("and", (self, other))
+
+    def __or__(self, other: Match) -> Match:
+        return Match("or", (self, other))
+
+    def __invert__(self) -> Match:
+        return Match("not", (self,))
+
+    def units(self) -> list[Match]:
+        """The distinct words, phrases, prefixes and windows that it counts."""
+        if self.op in ("phrase", "prefix", "near"):
+            return [self]
+        return list(dict.fromkeys(u for part in self.parts for u in part.units()))
+
+
+def _split(text: str) -> tuple[str, ...]:
+    found = tuple(w for w in re.split(r"[^\w]+|_", text.lower()) if w)
+    if not found:
+        raise invalid("a text condition needs a word")
+    return found
+
+
+def phrase(text: str) -> Match:
+    """The words of the text, one after the other."""
+    return Match("phrase", _split(text))
+
+
+def words(text: str) -> Match:
+    """All words of the text, anywhere."""
+    return reduce(Match.__and__, [Match("phrase", (w,)) for w in _split(text)])
+
+
+def prefix(text: str) -> Match:
+    """A word that starts with the text."""
+    return Match("prefix", _split(text)[:1])
+
+
+def near(text: str, within: int = 10) -> Match:
+    """All words of the text with at most `within` other words between them."""
+    if within < 0:
+        raise invalid("near needs a whole distance")
+    return Match("near", (_split(text), within))
 
 
 def _leaves(value: object) -> list[str]:
@@ -133,49 +132,46 @@ def text_leaves(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: " ".join(_leaves(json.loads(p))) if p else "")
 
 
-def _count(tokens: Column, words: list[str], prefix: bool | int) -> Column:
-    """How often a word, prefix or phrase occurs; for NEAR (a distance), how many windows start at one of its words."""
-    if not words:
-        return F.lit(0)
-    if not isinstance(prefix, bool):
-        span = prefix + len(words)
-        window = lambda i: F.slice(tokens, i + 1, span)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i).isin(words))
-        return F.size(F.filter(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, words)), window(i))) == 0))
-    if len(words) == 1:
-        return F.size(F.filter(tokens, lambda t: t.startswith(words[0]) if prefix else t == words[0]))
-    phrase = F.array(*map(F.lit, words))
-    last = F.size(tokens) - len(words)
-    return F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (last >= 0) & (F.slice(tokens, i + 1, len(words)) == phrase)))
+def _count(said: Column, unit: Match) -> Column:
+    """How often a word, prefix or phrase occurs in lower-cased text; for near, how many windows start at one of its words."""
+    if unit.op == "near":
+        near_words, within = unit.parts
+        tokens, span = F.filter(F.split(said, _OTHER), lambda t: t != ""), within + len(near_words)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i).isin(*near_words))
+        return F.size(F.filter(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, near_words)), F.slice(tokens, i + 1, span))) == 0))
+    body = _OTHER.join(re.escape(w) for w in unit.parts)
+    end = "" if unit.op == "prefix" else f"(?!{_LETTER})"
+    return F.regexp_count(said, F.lit(f"(?={body}{end})(?<!{_LETTER})"))  # of no width, so occurrences may overlap
 
 
-def full_text_search(graph: Graph, query: str, limit: int, fields: list[str] | None = None, find: Find | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[str] | None = None, find: Find | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Rows that match, best BM25 first (`score`, lower is better), over the words of the data fields (None: all strings of data).
 
-    Counts, lengths and frequencies are of the whole graph; find narrows the
-    matches afterwards.  One pass counts, and its single row joins the second.
+    A string stands for all of its words.  Counts, lengths and frequencies are of
+    the whole graph; find narrows the matches afterwards.  One pass counts, and its
+    single row joins the second.
     """
     if limit < 1 or fields == []:
         raise invalid("full_text_search needs a limit and fields")
-    parsed = _Parsed(query)
+    match = words(match) if isinstance(match, str) else match
     said = text_leaves(F.to_json("data")) if fields is None else F.concat_ws(" ", *[paths.typed(paths.data_path(f), "string") for f in fields])
-    rows = graph.rows.withColumn("_t", F.filter(F.split(F.lower(said), _TOKEN), lambda t: t != ""))
-    tf = [f"_f{i}" for i in range(len(parsed.units))]
-    rows = rows.withColumns({c: _count(F.col("_t"), *u) for c, u in zip(tf, parsed.units, strict=True)}).withColumn("_n", F.size("_t")).drop("_t")
-    stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(c) > 0).alias(f"{c}_d") for c in tf])
+    tf = {u: f"_f{i}" for i, u in enumerate(match.units())}
+    rows = graph.rows.withColumn("_t", F.lower(said))
+    rows = rows.withColumns({"_n": F.regexp_count("_t", F.lit(f"{_LETTER}+"))} | {c: _count(F.col("_t"), u) for u, c in tf.items()}).drop("_t")
+    stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(c) > 0).alias(f"{c}_d") for c in tf.values()])
 
-    def met(node) -> Column:
-        if node[0] == "unit":
-            return F.col(tf[node[1]]) > 0
-        x, y = met(node[1]), met(node[2])
-        return {"and": x & y, "or": x | y, "not": x & ~y}[node[0]]
+    def met(node: Match) -> Column:
+        if node in tf:
+            return F.col(tf[node]) > 0
+        held = [met(part) for part in node.parts]
+        return ~held[0] if node.op == "not" else held[0] & held[1] if node.op == "and" else held[0] | held[1]
 
     score = F.lit(0.0)
-    for c in tf:
+    for c in tf.values():
         d = F.col(f"{c}_d")
         idf = F.log((F.col("_docs") - d + 0.5) / (d + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         f = F.col(c)
         score = score - idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
-    hits = graph._where(rows.where(met(parsed.match)), find.filters() if find else []).crossJoin(F.broadcast(stats))  # one row
-    return hits.withColumn("score", score).orderBy("score", "docId").limit(limit).drop("_n", "_docs", "_avg", *tf, *[f"{c}_d" for c in tf])
+    hits = graph._where(rows.where(met(match)), find.filters() if find else []).crossJoin(F.broadcast(stats))  # one row
+    return hits.withColumn("score", score).orderBy("score", "docId").limit(limit).drop("_n", "_docs", "_avg", *[x for c in tf.values() for x in (c, f"{c}_d")])

@@ -1,16 +1,16 @@
 """A graph store of immutable Parquet snapshots.
 
-Each commit writes snapshot N + 1 whole and never touches the ones before; a
-snapshot counts once its writer has left `_SUCCESS`.  A commit that finds its
-number taken has lost a race and raises CONFLICT, so a writer reads one version
-and succeeds against that version only.
+Each commit writes a fresh folder and then a marker that names it as version N + 1;
+folders before it stay as they are.  A commit that finds its marker taken has lost a
+race and raises CONFLICT, so a writer succeeds against the version that it read only.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,14 +32,21 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _files(self):
+        """The Hadoop file system of the store, and a function from names to its paths."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _versions(self) -> list[int]:
+        fs, at = self._files()
+        if not fs.exists(at("")):
             return []
-        names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(root)]
-        return sorted(int(m[1]) for n, p in names if (m := re.fullmatch(r"snap-(\d+)", n)) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(m[1]) for f in fs.listStatus(at("")) if (m := re.fullmatch(r"version-(\d+)", f.getPath().getName())))
+
+    def _folder(self, version: int) -> str:
+        """The folder that the version's marker names."""
+        return f"{self.path}/{self.spark.read.text(f'{self.path}/version-{version}').first()[0]}"
 
     def version(self) -> int:
         return max(self._versions(), default=0)
@@ -48,22 +55,28 @@ class SnapshotStore:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(f"{self.path}/snap-{version}").select(*COLUMNS)
+        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(self._folder(version)).select(*COLUMNS)
 
     def graph(self, scope: str = "", version: int | None = None) -> Graph:
         return Graph(self.read(version), scope)
 
     def commit(self, rows: DataFrame, base: int) -> int:
-        """Write the snapshot after base, by relation and sorted by source within files."""
+        """Write rows as the version after base: a fresh folder, in ranges of relation and source, then its marker.
+
+        The marker is a file that one writer alone can create (where the file system's
+        create is atomic, as HDFS's is).  A job that fails leaves an unnamed folder only.
+        """
         if self.version() != base:
             raise GraphError("CONFLICT", f"version {base} isn't the latest")
-        laid = rows.repartition("axbType", F.pmod(F.xxhash64("aUid"), F.lit(64))).sortWithinPartitions("axbType", "aUid")
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.repartitionByRange("axbType", "aUid", "bUid").sortWithinPartitions("axbType", "aUid").write.partitionBy("axbType").parquet(f"{self.path}/{folder}")
+        fs, at = self._files()
         try:
-            laid.write.mode("error").partitionBy("axbType").parquet(f"{self.path}/snap-{base + 1}")
+            marker = fs.create(at(f"version-{base + 1}"), False)
         except Exception as e:
-            if "already exists" in str(e).lower():
-                raise GraphError("CONFLICT", f"version {base + 1} was written meanwhile") from e
-            raise
+            raise GraphError("CONFLICT", f"version {base + 1} was written meanwhile") from e
+        marker.write(bytearray(folder.encode()))
+        marker.close()
         return base + 1
 
     def apply(self, changes: DataFrame, now: str, base: int | None = None, missing: str = "error") -> int:
@@ -72,46 +85,15 @@ class SnapshotStore:
         Updates of rows that aren't there raise NOT_FOUND unless missing is "skip".
         """
         base = self.version() if base is None else base
+        rows = self.read(base)
         delta = changes.withColumn("docId", doc_id_column())
-        steps = delta.groupBy("scope", "docId").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "op", "data", "v"))).alias("steps"), *[F.max_by(c, "seq").alias(f"n_{c}") for c in ("aType", "aUid", "axbType", "bType", "bUid")]
-        )
-        old = self.read(base).withColumn("had", F.lit(True))
-        both = old.join(steps, ["scope", "docId"], "full_outer")
-
-        @F.pandas_udf("struct<gone: boolean, data: string, v: int, created: boolean, missing: boolean>")
-        def fold(data: pd.Series, v: pd.Series, had: pd.Series, steps: pd.Series) -> pd.DataFrame:
-            out = []
-            for payload, version, there, todo in zip(data, v, had, steps, strict=True):
-                there, version = bool(there) if there is not None and there == there else False, None if pd.isna(version) else int(version)
-                created = missing = False
-                for step in todo if todo is not None else []:
-                    op, value = step["op"], step["data"]
-                    if op == "remove":
-                        there, payload, version = False, None, None
-                        continue
-                    if op == "update" and not there:
-                        missing = True
-                        continue
-                    ops = [tuple(o) for o in _operations(value)]
-                    payload = patch.apply_patch("{}" if op == "replace" or not there else payload, ops)
-                    stamped = None if pd.isna(step["v"]) else int(step["v"])
-                    version = stamped if op == "replace" or not there or stamped is not None else version
-                    created = created or op != "update"
-                    there = True
-                out.append((not there, payload, version, created, missing))
-            return pd.DataFrame(out, columns=["gone", "data", "v", "created", "missing"]).astype({"v": "Int32"})
-
-        touched = both.where("steps is not null").withColumn("f", fold(F.to_json("data"), "v", F.coalesce("had", F.lit(False)), "steps")).cache()
-        if missing == "error" and not touched.where("f.missing").isEmpty():
+        keys = delta.select("scope", "docId").distinct()
+        old = rows.join(keys, ["scope", "docId"], "left_semi")
+        made = folded(old, delta, now)
+        if missing == "error" and not made.where("missing").isEmpty():
             raise GraphError("NOT_FOUND", "an update names a row that isn't there")
-        stamp = F.lit(now).cast("timestamp")
-        made = touched.where("not f.gone").select(
-            "scope", "docId", *[F.coalesce(c, f"n_{c}").alias(c) for c in ("aType", "aUid", "axbType", "bType", "bUid")], F.parse_json("f.data").alias("data"), F.col("f.v").alias("v"),
-            F.when(F.col("f.created"), stamp).otherwise(F.col("createdAt")).alias("createdAt"), stamp.alias("updatedAt"),
-        )
-        kept = both.where("steps is null").select(*made.columns)
-        return self.commit(kept.unionByName(made), base)
+        kept = rows.join(keys, ["scope", "docId"], "left_anti").select(*COLUMNS)
+        return self.commit(kept.unionByName(made.where("not missing").select(*COLUMNS)), base)
 
     # conditional writes
     def _matching(self, scope: str, find: Find) -> Column:
@@ -196,6 +178,59 @@ class SnapshotStore:
         return rows.where(hit).count(), self.commit(rows.where(~hit), base)
 
 
+#: A row as `folded` reads and writes it: the payload as JSON.
+_FOLDED = "scope string, docId string, aType string, aUid string, axbType string, bType string, bUid string, data string, v int, createdAt timestamp, updatedAt timestamp, missing boolean"
+
+
+def folded(old: DataFrame, delta: DataFrame, now: str) -> DataFrame:
+    """The rows that changes (CHANGES and docId) make of the old rows, with `missing` rows for updates of nothing.
+
+    Each row's changes come in their order to one task, after the row itself, and
+    are folded as they pass: however many there are, one payload is held.
+    """
+    stamp = F.lit(now).cast("timestamp")
+    ends = ["scope", "docId", "aType", "aUid", "axbType", "bType", "bUid"]
+    first = old.select(*ends, F.to_json("data").alias("data"), "v", F.lit("row").alias("op"), F.lit(None).cast("long").alias("seq"), "createdAt", stamp.alias("now"))
+    then = delta.select(*ends, "data", "v", "op", "seq", F.lit(None).cast("timestamp").alias("createdAt"), stamp.alias("now"))
+    steps = first.union(then).repartition("scope", "docId").sortWithinPartitions("scope", "docId", F.col("seq").asc_nulls_first())
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, row, payload, version, made, missing = None, None, None, None, None, False
+        names = [c.split()[0] for c in _FOLDED.split(", ")]
+
+        def done() -> list[tuple]:
+            out = [(*row[:7], None, None, None, row.now, True)] if missing else []
+            return out if payload is None else [*out, (*row[:7], payload, version, made, row.now, False)]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names).astype({"v": "Int32", "createdAt": "datetime64[ns]", "updatedAt": "datetime64[ns]"})
+
+        for batch in batches:
+            out: list[tuple] = []
+            for step in batch.itertuples(index=False):
+                if (step.scope, step.docId) != key:
+                    out += done() if key else []
+                    key, row, payload, version, made, missing = (step.scope, step.docId), step, None, None, None, False
+                stamped = None if pd.isna(step.v) else int(step.v)
+                if step.op == "row":
+                    payload, version, made = step.data, stamped, step.createdAt
+                elif step.op == "remove":
+                    payload, version = None, None
+                elif step.op == "update" and payload is None:
+                    missing = True
+                else:
+                    fresh = step.op == "replace" or payload is None
+                    version = stamped if fresh or stamped is not None else version
+                    payload = patch.apply_patch("{}" if fresh else payload, [tuple(o) for o in _operations(step.data)])
+                    if step.op != "update":
+                        row, made = step, step.now
+            yield frame(out)
+        if key:
+            yield frame(done())
+
+    return steps.mapInPandas(fold, _FOLDED).withColumn("data", F.parse_json("data"))
+
+
 def _operations(value: str | None) -> list:
     """The operations of a change: a list of them, or a payload whose leaves are set."""
     got = json.loads(value) if value else []

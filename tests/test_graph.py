@@ -7,7 +7,7 @@ from graphloom.errors import GraphError
 from graphloom.functions.patch import DELETE, apply_patch, flatten_patch
 from graphloom.model import child_scope, edge_doc_id, matches_scope, nodes, scope_names, triples
 from graphloom.operators.graph import Graph, Hop
-from graphloom.operators.search import _Parsed, find_nearest
+from graphloom.operators.search import find_nearest, near, phrase, prefix, words
 from graphloom.plans import planner
 from graphloom.plans.planner import Find
 from graphloom.sources.store import CHANGES, SnapshotStore, change
@@ -73,10 +73,11 @@ def test_traversal(graph):
 
 
 def test_text_queries():
-    assert _Parsed('a "b c" OR d* NOT (e)').match == ("or", ("and", ("unit", 0), ("unit", 1)), ("not", ("unit", 2), ("unit", 3)))
-    for bad in ("", "a AND", "(a", "NOT a", '"x'):
+    both = (words("a B") | prefix("d*")) & ~phrase("e, a")
+    assert [(u.op, u.parts) for u in both.units()] == [("phrase", ("a",)), ("phrase", ("b",)), ("prefix", ("d",)), ("phrase", ("e", "a"))]
+    for bad in (lambda: words(""), lambda: phrase("--"), lambda: near("a b", -1)):
         with pytest.raises(GraphError):
-            _Parsed(bad)
+            bad()
 
 
 def test_store(spark, tmp_path):

@@ -11,7 +11,7 @@ from graphloom.model import nodes
 from graphloom.operators.browse import clamped, node_detail, nodes_batch, page
 from graphloom.operators.graph import Graph
 from graphloom.operators.registry import Entry, Registry
-from graphloom.operators.search import _Parsed, full_text_search
+from graphloom.operators.search import full_text_search, near, phrase, prefix, words
 from graphloom.plans.planner import Find
 from graphloom.sources import definitions
 from graphloom.sources.routed import RoutedStore
@@ -102,10 +102,9 @@ def test_browsing(store, capsys, spark):
     assert page(g, Find(aType="tour")).count() == 1 and not page(g, Find(axbType="is"), limit=2).first()["hasMore"]
     first = page(g, Find(axbType="is"), "aUid", limit=1).first()
     assert first["hasMore"] and page(g, Find(axbType="is"), "aUid", cursor=(first["sortKey"], first["docId"]), limit=1).first()["aUid"] == "t1"
-    assert full_text_search(g, "sea", 5).first()["docId"] == "t1" and full_text_search(g, "NEAR(walk sea, 3)", 5).count() == 1 and full_text_search(g, "NEAR(walk sea, 1)", 5).count() == 0
-    assert full_text_search(g, "walk NOT s*", 5).count() == 0
-    with pytest.raises(GraphError):
-        _Parsed("NEAR(a, b)")
+    assert full_text_search(g, "sea", 5).first()["docId"] == "t1" and full_text_search(g, near("walk sea", 3), 5).count() == 1 and full_text_search(g, near("walk sea", 1), 5).count() == 0
+    assert full_text_search(g, words("walk") & ~prefix("s"), 5).count() == 0
+    assert full_text_search(g, phrase("sea walk"), 5).count() == 0
     shell.main([store.path, "find-nodes", "tour", "--where", "n >= 2"], spark)
     shell.main([store.path, "traverse", "d1", "<has:5"], spark)
     out = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
