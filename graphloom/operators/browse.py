@@ -47,7 +47,7 @@ def page(graph: Graph, find: Find, sort: str = "aUid", descending: bool = False,
     if any(op not in OPERATORS for _, op, _ in find.where):
         raise invalid("a page filters by comparison only")
     limit = clamped(limit)
-    rows = graph._where(graph.rows, find.filters())
+    rows = graph._where(graph.candidates(find.filters()), find.filters())
     if edges and find.axbType is None:
         rows = rows.where(F.col("axbType") != NODE)
     numeric = cursor is not None and isinstance(cursor[0], int | float)

@@ -132,16 +132,16 @@ def text_leaves(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: " ".join(_leaves(json.loads(p))) if p else "")
 
 
-def _count(said: Column, unit: Match) -> Column:
-    """How often a word, prefix or phrase occurs in lower-cased text; for near, how many windows start at one of its words."""
+def _count(unit: Match) -> Column:
+    """How often a word, prefix or phrase occurs in _t, lower-cased text; for near, how many windows of _w, its words, start at one of the unit's."""
     if unit.op == "near":
         near_words, within = unit.parts
-        tokens, span = F.filter(F.split(said, _OTHER), lambda t: t != ""), within + len(near_words)
+        tokens, span = F.col("_w"), within + len(near_words)
         starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i).isin(*near_words))
         return F.size(F.filter(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, near_words)), F.slice(tokens, i + 1, span))) == 0))
     body = _OTHER.join(re.escape(w) for w in unit.parts)
     end = "" if unit.op == "prefix" else f"(?!{_LETTER})"
-    return F.regexp_count(said, F.lit(f"(?={body}{end})(?<!{_LETTER})"))  # of no width, so occurrences may overlap
+    return F.regexp_count("_t", F.lit(f"(?={body}{end})(?<!{_LETTER})"))  # of no width, so occurrences may overlap
 
 
 def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[str] | None = None, find: Find | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -157,7 +157,9 @@ def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[
     said = text_leaves(F.to_json("data")) if fields is None else F.concat_ws(" ", *[paths.typed(paths.data_path(f), "string") for f in fields])
     tf = {u: f"_f{i}" for i, u in enumerate(match.units())}
     rows = graph.rows.withColumn("_t", F.lower(said))
-    rows = rows.withColumns({"_n": F.regexp_count("_t", F.lit(f"{_LETTER}+"))} | {c: _count(F.col("_t"), u) for u, c in tf.items()}).drop("_t")
+    if any(u.op == "near" for u in tf):
+        rows = rows.withColumn("_w", F.filter(F.split("_t", _OTHER), lambda t: t != ""))
+    rows = rows.withColumns({"_n": F.regexp_count("_t", F.lit(f"{_LETTER}+"))} | {c: _count(u) for u, c in tf.items()}).drop("_t", "_w")
     stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(c) > 0).alias(f"{c}_d") for c in tf.values()])
 
     def met(node: Match) -> Column:

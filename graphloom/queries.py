@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from graphloom.model import doc_id_column, is_ancestor, type_uid_column
 from graphloom.operators.browse import node_detail, nodes_batch, observed_fields, observed_types, page, summaries
 from graphloom.operators.graph import Graph, Hop, after, search_everywhere
 from graphloom.operators.registry import Entry, Registry
-from graphloom.operators.search import find_nearest, full_text_search, geo_search
+from graphloom.operators.search import find_nearest, full_text_search, geo_search, phrase, prefix, words
 from graphloom.plans.planner import Find
 from graphloom.sources.definitions import typed_payloads
 from graphloom.sources.tables import line_triples, star_branches, star_triples
@@ -167,7 +168,7 @@ SELECT docId, round(0 {score}, 6) AS score FROM c, s WHERE {match} ORDER BY 0 {s
 
 
 query("full_text_and", _bm25(["license", "version"], "f0 > 0 AND f1 > 0", 25))(lambda g: full_text_search(g, "license version", 25, ["text"]).select("docId", F.round("score", 6).alias("score")))
-query("full_text_or_not", _bm25(["license", "mit", "gnu"], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0", 40))(lambda g: full_text_search(g, "(license OR MIT) NOT gnu", 40, ["text"]).select("docId", F.round("score", 6).alias("score")))
+query("full_text_or_not", _bm25(["license", "mit", "gnu"], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0", 40))(lambda g: full_text_search(g, (words("license") | words("MIT")) & ~words("gnu"), 40, ["text"]).select("docId", F.round("score", 6).alias("score")))
 query("page_after", f"SELECT 'order-' || o_orderkey AS docId, o_totalprice AS total FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice, 'order-' || o_orderkey LIMIT 26")(
     lambda g: after(g.find_nodes("order", limit=0).withColumn("total", paths.typed("$.total", "number")), F.col("total"), (100000.0, ""), 25).select("docId", "total")
 )
@@ -232,14 +233,65 @@ query("summaries", "SELECT 'nation-' || n_nationkey AS \"from\", 'inRegion' AS r
     lambda g: summaries(g.find_edges(Find(axbType="inRegion", bType="region"))).drop("updatedAt")
 )
 query("observed_types", _COUNTED)(observed_types)
-query("observed_fields", "SELECT 'region' AS aType, 'name' AS field, count(*) AS n, 'STRING' AS type FROM region UNION ALL SELECT 'nation', 'name', count(*), 'STRING' FROM nation")(
-    lambda g: observed_fields(Graph(g.everything.where("aType in ('region', 'nation')"))).select("aType", "field", "n", "type")
+_FIELDS = {
+    ("region", "is", "region", "region"): "name STRING",
+    ("nation", "is", "nation", "nation"): "name STRING",
+    ("customer", "is", "customer", "customer"): "name STRING, acctbal DOUBLE, segment STRING, lat DOUBLE, lng DOUBLE, active BOOLEAN",
+    ("supplier", "is", "supplier", "supplier"): "name STRING, acctbal DOUBLE",
+    ("part", "is", "part", "part"): "name STRING, brand STRING, type STRING, size BIGINT, price DOUBLE, tags ARRAY<STRING>",
+    ("order", "is", "order", "orders"): "status STRING, total DOUBLE, priority STRING",
+    ("event", "is", "event", "events"): "type STRING, value DOUBLE",
+    ("doc", "is", "doc", "documents"): "text STRING, lang STRING, source STRING, chars BIGINT",
+    ("item", "is", "item", "embeddings"): "embedding ARRAY<DOUBLE>, label BIGINT",
+    ("customer", "placed", "order", "orders"): "total DOUBLE",
+    ("user", "did", "event", "events"): "type STRING, value DOUBLE",
+}
+query("observed_fields", " UNION ALL ".join(f"SELECT '{a}' AS aType, '{x}' AS axbType, '{b}' AS bType, '{f.split()[0]}' AS field, count(*) AS n, '{f.split()[1]}' AS type FROM {t}" for (a, x, b, t), fs in _FIELDS.items() for f in fs.split(", ")))(
+    observed_fields
 )
 query("wire_round_trip", "SELECT 'supplier-' || s_suppkey AS docId, s_name AS name, s_acctbal AS acctbal, TIMESTAMP '2024-01-01 00:00:00' AS createdAt FROM supplier")(
     lambda g: from_wire(to_wire(g.find_nodes("supplier", limit=0))).select("docId", _str("name"), _num("acctbal"), "createdAt")
 )
-query("full_text_all_fields", """
-WITH d AS (SELECT 'turn-' || conv_id || '-' || turn AS docId, list_filter(regexp_split_to_array(lower(role || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM conversations WHERE conv_id = 4)
-SELECT docId FROM d WHERE list_contains(t, 'user')""")(lambda g: full_text_search(g.subgraph("conv-4", "turns"), "user", 1000).select("docId"))
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')".replace("{{", "{").replace("}}", "}")
+_WORDED = lambda said: _TOKENS.replace("{}", said, 1)
+_SAID = {
+    "'region-' || r_regionkey": ("r_name", "region"),
+    "'nation-' || n_nationkey": ("n_name", "nation"),
+    _NODE: ("concat_ws(' ', c_name, c_mktsegment)", "customer"),
+    "'supplier-' || s_suppkey": ("s_name", "supplier"),
+    "'part-' || p_partkey": ("concat_ws(' ', p_name, p_brand, p_type)", "part"),
+    "'order-' || o_orderkey": ("concat_ws(' ', o_orderstatus, o_orderpriority)", "orders"),
+    "'event-' || event_id": ("event_type", "events"),
+    _edge_id("'user-' || user_id", "did", "'event-' || event_id"): ("event_type", "events"),
+    "'doc-' || doc_id": ("concat_ws(' ', text, lang, source)", "documents"),
+}
+query("full_text_all_fields", " UNION ALL ".join(f"SELECT {key} AS docId FROM {t} WHERE list_has_any({_WORDED(said)}, ['purchase', 'machinery', 'asia'])" for key, (said, t) in _SAID.items()))(
+    lambda g: full_text_search(g, words("purchase") | words("machinery") | words("ASIA"), 1 << 30).select("docId")
+)
+_DOCS = f"WITH d AS (SELECT 'doc-' || doc_id AS docId, {_WORDED('text')} AS t FROM documents) "
+query("full_text_phrase", _DOCS + "SELECT docId FROM d WHERE len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'general' AND t[i + 1] = 'public' AND t[i + 2] = 'license')) > 0")(
+    lambda g: full_text_search(g, phrase("General Public License"), 1 << 30, ["text"]).select("docId")
+)
+query("full_text_prefix", _DOCS + "SELECT docId FROM d WHERE len(list_filter(t, lambda x: starts_with(x, 'licen'))) > 0 AND NOT list_contains(t, 'apache')")(
+    lambda g: full_text_search(g, prefix("licen") & ~words("apache"), 1 << 30, ["text"]).select("docId")
+)
+query("engine_two_hops", f"""
+WITH e1 AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY {_edge_id(_NODE, 'inNation', chr(39) + 'nation-3' + chr(39))} LIMIT 6)
+SELECT {_ORDERS}, 2 AS depth FROM orders WHERE o_custkey IN (FROM e1) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_PLACED}) <= 2 UNION ALL SELECT 'customer-' || c_custkey, 'nation-3', 1 FROM e1""")(
+    lambda g: g.run_engine_traversal(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=6), Hop("placed", limit=2)], max_reads=12).select("aUid", "bUid", "depth")
+)
+query("self_loops_skipped", "SELECT 'x' AS bUid WHERE false")(lambda g: g.expand(g.find_nodes("customer", limit=0).select("aUid"), "is", a_type="customer").select("bUid"))
+query("aggregate_other_types", "SELECT count(*) AS n, 0::DOUBLE AS total, 'NaN'::DOUBLE AS mean, 0::DOUBLE AS low FROM customer")(
+    lambda g: g.aggregate({"n": ("count",), "total": ("sum", "data.name"), "mean": ("avg", "data.segment"), "low": ("min", "data.active")}, Find(aType="customer", axbType="is"))
+)
+query("page_nodes", "SELECT 'part-' || p_partkey AS docId, 'part-' || p_partkey AS \"sortKey\", (SELECT count(*) FROM part WHERE 'part-' || p_partkey > 'part-1') > 30 AS hasMore FROM part WHERE 'part-' || p_partkey > 'part-1' ORDER BY 1 LIMIT 30")(
+    lambda g: page(g, Find(aType="part"), cursor=("part-1", "part-1"), limit=30, edges=False).select("docId", "sortKey", "hasMore")
+)
+query("geo_filtered", f"SELECT {_NODE} AS aUid FROM customer WHERE {_HAV} <= 3000000 AND c_mktsegment = 'BUILDING' AND c_acctbal > 0")(
+    lambda g: geo_search(g, "lat", "lng", 10, 20, 3_000_000, 1 << 30, False, Find(aType="customer", axbType="is", where=[("segment", "==", "BUILDING"), ("acctbal", ">", 0)])).select("aUid")
+)
+query("filter_times", "SELECT 'nation-' || n_nationkey AS aUid FROM nation")(
+    lambda g: g.find_nodes("nation", [("createdAt", ">=", datetime.datetime(2023, 12, 31)), ("updatedAt", "<", datetime.datetime(2024, 1, 3))], limit=0).select("aUid")
+)
 QUERIES["windowed_counts"] = lambda spark, sf_dir: windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp").alias("start"), "event_type", "n")
 ORACLE_SQL["windowed_counts"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"

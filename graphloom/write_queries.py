@@ -27,14 +27,13 @@ NOW = "2024-06-01 00:00:00"
 BUILDING = Find(aType="customer", axbType=NODE, where=[("segment", "==", "BUILDING")], limit=0)
 
 
-def query(sql: str, kinds: tuple[str, ...]):
-    """Registers a function of a store that holds the rows whose source is of the kinds."""
+def query(sql: str):
+    """Registers a function of a store that holds all rows of the star tables."""
 
     def keep(fn: Callable[[SnapshotStore], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             store = SnapshotStore(spark, new_folder(spark, fn.__name__))
-            rows = star_triples(spark, sf_dir)
-            store.commit(rows.where(F.col("aType").isin(*kinds) & (F.col("axbType").isin(NODE, "inNation", "inRegion"))), 0)
+            store.commit(star_triples(spark, sf_dir), 0)
             return fn(store)
 
         QUERIES[fn.__name__] = run
@@ -44,6 +43,10 @@ def query(sql: str, kinds: tuple[str, ...]):
     return keep
 
 
+def _rows(store: SnapshotStore, *kinds: str) -> DataFrame:
+    return store.read().where(F.col("aType").isin(*kinds) & F.col("axbType").isin(NODE, "inNation", "inRegion"))
+
+
 def _text(name: str) -> Column:
     return paths.typed(paths.data_path(name), "string").alias(name.split(".")[-1])
 
@@ -63,7 +66,7 @@ def _customer_sql(cols: str, hit: str, made: bool) -> str:
 _HIT = "c_mktsegment = 'BUILDING'"
 
 
-@query(_customer_sql(f"c_mktsegment AS segment, CASE WHEN {_HIT} THEN 0.5 ELSE round(c_acctbal, 6) END AS acctbal, CASE WHEN {_HIT} THEN 'gold' END AS level", _HIT, True), ("customer",))
+@query(_customer_sql(f"c_mktsegment AS segment, CASE WHEN {_HIT} THEN 0.5 ELSE round(c_acctbal, 6) END AS acctbal, CASE WHEN {_HIT} THEN 'gold' END AS level", _HIT, True))
 def put_merge(store: SnapshotStore) -> DataFrame:
     """Puts merge into payloads, nested fields too."""
     rows = store.graph().find_edges(BUILDING)
@@ -71,7 +74,7 @@ def put_merge(store: SnapshotStore) -> DataFrame:
     return _customers(store, _text("segment"), _number("acctbal"), _text("rank.level"))
 
 
-@query(_customer_sql(f"CASE WHEN NOT {_HIT} THEN c_mktsegment END AS segment, CASE WHEN {_HIT} THEN 'closed' ELSE c_name END AS name", _HIT, True), ("customer",))
+@query(_customer_sql(f"CASE WHEN NOT {_HIT} THEN c_mktsegment END AS segment, CASE WHEN {_HIT} THEN 'closed' ELSE c_name END AS name", _HIT, True))
 def replace_nodes(store: SnapshotStore) -> DataFrame:
     """Replacements leave nothing of the old payload."""
     rows = store.graph().find_edges(BUILDING)
@@ -79,7 +82,7 @@ def replace_nodes(store: SnapshotStore) -> DataFrame:
     return _customers(store, _text("segment"), _text("name"))
 
 
-@query(_customer_sql(f"CASE WHEN NOT {_HIT} THEN c_mktsegment END AS segment, c_name AS name, CASE WHEN {_HIT} THEN 'new' END AS state", _HIT, False), ("customer",))
+@query(_customer_sql(f"CASE WHEN NOT {_HIT} THEN c_mktsegment END AS segment, c_name AS name, CASE WHEN {_HIT} THEN 'new' END AS state", _HIT, False))
 def update_delete_field(store: SnapshotStore) -> DataFrame:
     """An update removes a field and sets another; the time of creation stays."""
     rows = store.graph().find_edges(BUILDING)
@@ -90,22 +93,22 @@ def update_delete_field(store: SnapshotStore) -> DataFrame:
 _NEGATIVE = Find(aType="customer", axbType=NODE, where=[("acctbal", "<", 0)])
 
 
-@query("SELECT 'customer-' || c_custkey AS aUid, 'is' AS axbType FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'customer-' || c_custkey, 'inNation' FROM customer", ("customer",))
+@query("SELECT 'customer-' || c_custkey AS aUid, 'is' AS axbType FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'customer-' || c_custkey, 'inNation' FROM customer")
 def bulk_delete(store: SnapshotStore) -> DataFrame:
     store.bulk_delete(_NEGATIVE)
-    return store.read().select("aUid", "axbType")
+    return _rows(store, "customer").select("aUid", "axbType")
 
 
-@query(_customer_sql("round(c_acctbal, 6) AS acctbal, CASE WHEN c_acctbal < 0 THEN 'owes' END AS state", "c_acctbal < 0", False), ("customer",))
+@query(_customer_sql("round(c_acctbal, 6) AS acctbal, CASE WHEN c_acctbal < 0 THEN 'owes' END AS state", "c_acctbal < 0", False))
 def bulk_update(store: SnapshotStore) -> DataFrame:
     store.bulk_update(_NEGATIVE, {"state": "owes"}, NOW)
     return _customers(store, _number("acctbal"), _text("state"))
 
 
-@query("SELECT 'nation-' || n_nationkey AS aUid, 'is' AS axbType FROM nation UNION ALL SELECT 'nation-' || n_nationkey, 'inRegion' FROM nation WHERE n_regionkey <> 2", ("nation",))
+@query("SELECT 'nation-' || n_nationkey AS aUid, 'is' AS axbType FROM nation UNION ALL SELECT 'nation-' || n_nationkey, 'inRegion' FROM nation WHERE n_regionkey <> 2")
 def bulk_remove_edges(store: SnapshotStore) -> DataFrame:
     store.bulk_remove_edges(Find(axbType="inRegion", bUid="region-2"))
-    return store.read().select("aUid", "axbType")
+    return _rows(store, "nation").select("aUid", "axbType")
 
 
 @query(
@@ -113,16 +116,14 @@ def bulk_remove_edges(store: SnapshotStore) -> DataFrame:
     "UNION ALL SELECT 'nation-' || n_nationkey, 'inRegion', 'region-' || n_regionkey FROM nation WHERE n_nationkey <> 3 "
     "UNION ALL SELECT 'supplier-' || s_suppkey, 'is', 'supplier-' || s_suppkey FROM supplier "
     "UNION ALL SELECT 'supplier-' || s_suppkey, 'inNation', 'nation-' || s_nationkey FROM supplier WHERE s_nationkey <> 3",
-    ("nation", "supplier"),
 )
 def cascade_delete(store: SnapshotStore) -> DataFrame:
     store.remove_node_cascade("nation-3")
-    return store.read().select("aUid", "axbType", "bUid")
+    return _rows(store, "nation", "supplier").select("aUid", "axbType", "bUid")
 
 
 @query(
     "SELECT 'nation-' || n_nationkey AS aUid, n_name AS name, CASE WHEN n_nationkey = 1 THEN 2 END AS rank FROM nation WHERE n_nationkey <> 2 UNION ALL SELECT 'nation-99', 'ATLANTIS', 7",
-    ("nation",),
 )
 def batch_fold(store: SnapshotStore) -> DataFrame:
     """Puts, updates and removals of one batch hold in their order and land in one snapshot."""
@@ -139,7 +140,7 @@ def batch_fold(store: SnapshotStore) -> DataFrame:
     return store.graph().find_nodes("nation", limit=0).select("aUid", _text("name"), paths.typed(paths.data_path("rank"), "number").cast("int").alias("rank"))
 
 
-@query(_customer_sql("CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN 'rich' END AS state", "c_acctbal > (SELECT avg(c_acctbal) FROM customer)", False), ("customer",))
+@query(_customer_sql("CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN 'rich' END AS state", "c_acctbal > (SELECT avg(c_acctbal) FROM customer)", False))
 def transaction(store: SnapshotStore) -> DataFrame:
     """A transaction whose writes depend on what it reads of one version."""
 
@@ -152,7 +153,7 @@ def transaction(store: SnapshotStore) -> DataFrame:
     return _customers(store, _text("state"))
 
 
-@query(_customer_sql("CASE WHEN c_acctbal < 0 THEN 'streamed' END AS state", "c_acctbal < 0", False), ("customer",))
+@query(_customer_sql("CASE WHEN c_acctbal < 0 THEN 'streamed' END AS state", "c_acctbal < 0", False))
 def stream_fold(store: SnapshotStore) -> DataFrame:
     """A stream of changes, folded into the store until it has read all that has arrived."""
     feed = new_folder(store.spark, "feed")
@@ -162,6 +163,42 @@ def stream_fold(store: SnapshotStore) -> DataFrame:
     return _customers(store, _text("state"))
 
 
+@query(
+    "SELECT 'bulk_delete' AS change, count(*) FILTER (c_acctbal < 0) AS n FROM customer UNION ALL SELECT 'bulk_update', count(*) FILTER (c_acctbal > 5000) FROM customer "
+    "UNION ALL SELECT 'bulk_remove_edges', count(*) FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'cascade', (SELECT 1 + count(*) FROM supplier WHERE s_nationkey = 3) + (SELECT count(*) FROM customer WHERE c_nationkey = 3) + 1 "
+    "UNION ALL SELECT 'left', (SELECT count(*) FILTER (c_acctbal >= 0) + count(*) FILTER (c_nationkey <> 3) FROM customer)"
+)
+def affected_rows(store: SnapshotStore) -> DataFrame:
+    """How many rows each conditional write met."""
+    met = [
+        ("bulk_delete", store.bulk_delete(_NEGATIVE)[0]),
+        ("bulk_update", store.bulk_update(Find(aType="customer", axbType=NODE, where=[("acctbal", ">", 5000)]), {"state": "rich"}, NOW)[0]),
+        ("bulk_remove_edges", store.bulk_remove_edges(Find(axbType="inRegion", bUid="region-2"))["deleted"]),
+        ("cascade", store.remove_node_cascade("nation-3")[0]),
+        ("left", _rows(store, "customer").count()),
+    ]
+    return store.spark.createDataFrame(met, "change string, n long")
+
+
+@query("SELECT 'conv-' || conv_id || '/turns' AS scope, 'turn-' || conv_id || '-' || turn AS bUid, axbType FROM conversations, (VALUES ('is'), ('hasTurn')) v(axbType) WHERE conv_id <> 4")
+def cascade_nested(store: SnapshotStore) -> DataFrame:
+    """A node goes with the graphs that are nested under it, all others stay."""
+    store.remove_node_cascade("conv-4")
+    return store.read().where("scope <> ''").select("scope", "bUid", "axbType")
+
+
+@query("SELECT 'region-' || r_regionkey AS aUid, r_name AS name, CASE r_regionkey WHEN 0 THEN 5 WHEN 2 THEN 6 END AS v FROM region")
+def versions_kept(store: SnapshotStore) -> DataFrame:
+    """Updates and puts without a version keep that of the row; a replacement drops it."""
+    region = lambda k: ("region", f"region-{k}")
+    first = [change("put", k, region(k), data={"rank": k}, v=5) for k in (0, 1, 2)]
+    store.apply(store.spark.createDataFrame(first, CHANGES), NOW)
+    names = {r["aUid"]: r["name"] for r in store.graph().find_nodes("region").select("aUid", _text("name")).collect()}
+    then = [change("update", 0, region(0), data={"rank": 9}), change("replace", 1, region(1), data={"name": names["region-1"]}), change("put", 2, region(2), data={"rank": 8}, v=6)]
+    store.apply(store.spark.createDataFrame(then, CHANGES), NOW)
+    return store.graph().find_nodes("region").select("aUid", _text("name"), "v")
+
+
 def routed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns go to a store of their own; a read over all stores says where rows lie."""
     rows = star_triples(spark, sf_dir)
