@@ -34,6 +34,8 @@ from graphloom.llm import sparkkit, textkit
 FREQUENT = 1 << 17
 #: Hashes that a task gathers before it counts the frequent ones among them.
 CHUNK = 2_000_000
+#: Texts of a shingle above which its column is dealt to several tasks, by the texts.
+SPREAD = 5_000
 
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
 
@@ -78,67 +80,75 @@ def _describe(n: int):
 
 
 def _columns(n: int, threshold: int, frequent, clashing: frozenset[int]):
-    """The incidence entries (shingle, node, size, place in the global order) that a pair at the threshold must share."""
+    """The incidence entries (shingle, part of its column, node, size, place in the global order) that a pair at the threshold must share.
+
+    The part is 0 but in columns of more than SPREAD texts, whose parts are counted from 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value  # sorted by hash, with ranks: the most frequent is last
-        values, ranks = common
+        values, ranks, parts = frequent.value  # sorted by hash; the most frequent has the last rank
         seen: set[int] = set()
         for batch in batches:
-            hs, ns, cs = [], [], []
+            hs, ps, ns, cs = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 node = textkit.node_of(s, clashing)
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
                 keep = len(s) - -(-threshold * len(s) // 100) + 1
+                part = np.zeros(len(s), np.int32)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     is_common = values[at] == s
                     if is_common.any():
-                        late = s[is_common]
-                        s = np.concatenate([s[~is_common], late[np.argsort(ranks[at[is_common]], kind="stable")]])
+                        late = at[is_common]
+                        late = late[np.argsort(ranks[late], kind="stable")]
+                        s = np.concatenate([s[~is_common], values[late]])
+                        part[len(s) - len(late) :] = np.where(parts[late] > 1, 1 + node % parts[late], 0)
                 hs.append(s[:keep])
+                ps.append(part[:keep])
                 ns.append(len(s))
                 cs.append(node)
             if hs:
                 reps = [len(h) for h in hs]
-                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(hs))), pa.array(np.repeat(np.array(cs, np.int64), reps)), pa.array(np.repeat(np.array(ns, np.int32), reps)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in reps]))], names=["h", "c", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(hs))), pa.array(np.concatenate(ps)), pa.array(np.repeat(np.array(cs, np.int64), reps)), pa.array(np.repeat(np.array(ns, np.int32), reps)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in reps]))], names=["h", "p", "c", "n", "i"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries in the order of shingles: those of columns with several nodes, with
-    how many nodes a block shows of the column (its weight; it only ranks nodes)."""
-    carried = None  # the last entry, and whether its column had others before it
+    """From entries in the order of shingles and parts: those of columns with several nodes,
+    with how many nodes a block shows of the part (its weight; it only ranks nodes).
+    A column in parts is known to be shared, so all its entries stay."""
+    carried = None  # the last entry, and whether its part had others before it
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        h, p, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         before = False
         if carried is not None:
-            h, *rest = (np.append(x, y) for x, y in zip(carried[0], (h, *rest), strict=True))
+            h, p, *rest = (np.append(x, y) for x, y in zip(carried[0], (h, p, *rest), strict=True))
             before = carried[1]
-        same = h[1:] == h[:-1]
-        shared = np.append(same, False) | np.append(before, same)
-        carried = ([x[-1:] for x in (h, *rest)], bool(shared[-1]))
+        same = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
+        shared = np.append(same, False) | np.append(before, same) | (p > 0)
+        carried = ([x[-1:] for x in (h, p, *rest)], bool(shared[-1]))
         runs = np.cumsum(np.append(False, ~same))
         weight = np.bincount(runs)[runs]
         keep = shared[:-1]
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (h, *rest, weight.astype(np.int32))], names=["h", "c", "n", "i", "w"])
     if carried is not None and carried[1]:
-        yield pa.RecordBatch.from_arrays([*map(pa.array, carried[0]), pa.array([2], pa.int32())], names=["h", "c", "n", "i", "w"])
+        h, _, *rest = carried[0]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (h, *rest)), pa.array([2], pa.int32())], names=["h", "c", "n", "i", "w"])
 
 
-def _frequent_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, by hash, with their ranks; FREQUENT entries at most."""
+def _frequent_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles, by hash, with their ranks and the parts of their columns; FREQUENT entries at most."""
     top = sets.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "id").limit(FREQUENT)
     rows = top.toPandas()
     values = rows["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    return values[order], np.arange(len(values), 0, -1)[order]
+    return values[order], np.arange(len(values), 0, -1)[order], (rows["n"].to_numpy(np.int64) // SPREAD + 1)[order]
 
 
 def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
@@ -168,8 +178,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets, clashing = sparkkit.one_key_each(sets.where("kind = 0").select("id", "n", "c", "d"))
     nodes = sparkkit.cut(sets.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
 
-    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, c long, n int, i int")
-    entries = entries.repartition("h").sortWithinPartitions("h")
+    entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, p int, c long, n int, i int")
+    entries = entries.repartition("h", "p").sortWithinPartitions("h", "p")
     entries = sparkkit.cut(sparkkit.mapped(entries, _shared, "h long, c long, n int, i int, w int"))
 
     def least() -> str:  # columns that a pair must share, as its sizes say

@@ -115,6 +115,31 @@ def test_jaccard_components(docs):
     assert {r[0] for r in kept.select("doc_id").collect()} - {None} == set(low.values())
 
 
+def test_jaccard_columns_in_parts_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(2):
+        base = words(rng, 150).split()
+        for _ in range(90):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [words(rng, 150) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    low = list(range(len(sets)))
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2) for both in [len(sets[a] & sets[b])] if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    monkeypatch.setattr(ngram_jaccard, "SPREAD", 8)
+    described = sparkkit.mapped(docs.selectExpr("doc_id id", "text"), ngram_jaccard._describe(5), "kind int, id long, n long, c long, d long")
+    assert ngram_jaccard._frequent_table(described)[2].max() > 4
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(low))
+
+
 def test_media_round_trip(spark, docs):
     rng = random.Random(2)
     for _ in range(60):
