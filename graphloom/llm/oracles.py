@@ -71,3 +71,56 @@ first AS (SELECT code, min(page_id) AS first FROM d GROUP BY code)
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('{letters}', CAST((CAST('0x' || substr(code, CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM d JOIN first USING (code)"""
+
+
+_UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, over the table of `_CRC_TABLE`."""
+    codes = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc.t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"
+
+
+_CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(0, 256) r(i)))"""
+
+
+def resampled(buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> str:
+    """Gains by bucket counts, the draw by a window over all documents."""
+    words = rf"unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+    return f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {words} AS w FROM documents), g AS (SELECT {words} AS w FROM benchmark),
+v AS MATERIALIZED (SELECT w, {_crc("w")} % {buckets} AS bucket FROM (SELECT w FROM d UNION SELECT w FROM g) x, crc),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN v USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM g JOIN v USING (w) GROUP BY bucket),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT sum(n) FROM s) + {buckets})::DOUBLE / ((s.n + 1.0::DOUBLE) * (coalesce((SELECT sum(n) FROM t), 0) + {buckets})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+scores AS (SELECT doc_id, count(w) AS n_features, CASE WHEN count(w) > 0 THEN CAST(floor(CAST(sum(gain) AS DOUBLE) / count(w)) AS BIGINT) ELSE 0 END AS weight FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN v USING (w) LEFT JOIN gain USING (bucket) GROUP BY doc_id),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scores),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM noisy WHERE n_features >= {least_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * n // 100 THEN rank END AS rank FROM noisy LEFT JOIN drawn USING (doc_id)"""
+
+
+def spelling(every: int = 97, least: int = 5, times: int = 3, ratio: int = 2) -> str:
+    """Words one edit apart by what is left of them without one letter."""
+    crc = _crc("(doc_id || ':' || r)")
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+hashed AS (SELECT r, n, {crc} AS h FROM (SELECT doc_id, r, count(*) AS n FROM runs GROUP BY doc_id, r) x, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {every} = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM hashed) x WHERE length(word) >= {least} GROUP BY word HAVING sum(n) >= {times}),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v) x),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word UNION SELECT less.word, v.word FROM less JOIN v ON v.word = rest UNION SELECT v.word, less.word FROM less JOIN v ON v.word = rest),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS best, max(v.n) AS best_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {ratio} * v.n THEN best END AS form, CASE WHEN best_n >= {ratio} * v.n THEN best_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+up AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN forms f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT forms.word, form, coalesce(ends.root, forms.word) AS root, n, n_near, form_n FROM forms
+  LEFT JOIN (SELECT up.word, up.root FROM up JOIN forms f ON f.word = up.root WHERE f.form IS NULL) ends ON ends.word = forms.word"""
+
+
+def near_embeddings(least: float = 0.95) -> str:
+    """Links by all cosines, components by their transitive closure."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+one AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {least}),
+links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""

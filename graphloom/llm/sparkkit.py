@@ -46,6 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with their place (1, 2, ...) in the order of keys: sorted by ranges, which are counted and numbered."""
+    order = [F.expr(x) for x in keys]
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").count().orderBy("_range").collect()  # one for each range
+    start, starts = 0, []
+    for r in sizes:
+        starts.append((r["_range"], start))
+        start += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "_range long, _start long")
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_start", "_at")
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether edges (u, v) are stars: no node at both ends, and one v for each u."""
     several = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
