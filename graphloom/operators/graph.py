@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -11,9 +10,10 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.errors import GraphError, invalid
+from graphloom.errors import invalid
 from graphloom.functions import paths
 from graphloom.model import NODE, child_scope, edge_doc_id
+from graphloom.operators import traversal
 from graphloom.plans import planner
 from graphloom.plans.planner import Find
 from graphloom.sources.branches import Branches
@@ -99,9 +99,13 @@ class Graph:
     @staticmethod
     def order(order_by: tuple[str, str], kind: object = 0.0) -> list[Column]:
         name, way = order_by
+        return [k.desc_nulls_last() if way == "desc" else k.asc_nulls_first() for k in Graph.order_keys(name)] + [F.col("docId").asc()]
+
+    @staticmethod
+    def order_keys(name: str) -> list[Column]:
+        """The columns that a field is ordered by: one for each type that it may have."""
         path = paths.data_path(name, bare=False)
-        keys = [F.col(name)] if path is None else [paths.typed(path, "number"), paths.typed(path, "string"), paths.typed(path, "boolean")]
-        return [k.desc_nulls_last() if way == "desc" else k.asc_nulls_first() for k in keys] + [F.col("docId").asc()]
+        return [F.col(name)] if path is None else [paths.typed(path, "number"), paths.typed(path, "string"), paths.typed(path, "boolean")]
 
     def _where(self, df: DataFrame, filters: list) -> DataFrame:
         for f in filters:
@@ -203,77 +207,26 @@ class Graph:
             rows = rows.join(target, F.col(far) == F.col("_t"), "left").drop("_t")
         return rows
 
-    def traverse(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
+    def traverse(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = traversal.DEFAULT_READS) -> DataFrame:
         """All edges of all hops, with `depth`; each hop starts from the distinct targets of the last.
 
-        A hop with a target graph goes on in that graph under each source.  With
-        max_reads, only so many sources over all hops are read, first come first.
+        A hop with a target graph goes on in that graph under each source.  Only
+        max_reads sources over all hops are read (None: all), first come first; a uid
+        that several sources lead to is read where the first of them found it.
         """
-        return reduce(DataFrame.unionByName, [edges for _, _, edges in self._steps(starts, hops, max_reads)])
+        return reduce(DataFrame.unionByName, [s.edges for s in traversal.steps(self, starts, hops, max_reads)])
 
-    def traversal_report(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
+    def traversal_report(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = traversal.DEFAULT_READS) -> DataFrame:
         """One row for each hop: depth, axbType, sources (those to read), reads, edges, targets, truncated."""
-        parts = []
-        for depth, ((wanted, read, edges), hop) in enumerate(zip(self._steps(starts, hops, max_reads), hops, strict=True), 1):
-            far = "bUid" if hop.direction == "forward" else "aUid"
-            counts = [df.agg(F.count("*").alias(name)) for df, name in ((wanted, "sources"), (read, "reads"))]
-            found = edges.agg(F.count("*").alias("edges"), F.countDistinct(far).alias("targets"))
-            one = found.crossJoin(F.broadcast(counts[0])).crossJoin(F.broadcast(counts[1]))  # single rows
-            parts.append(one.select(F.lit(depth).alias("depth"), F.lit(hop.axbType).alias("axbType"), "sources", "reads", "edges", "targets", F.expr("reads < sources").alias("truncated")))
-        return reduce(DataFrame.unionByName, parts)
-
-    def _steps(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
-        """For each hop: its sources, those within the budget, and its edges."""
-        if not hops:
-            raise GraphError("TRAVERSAL_ERROR", "a traversal needs a hop")
-        if isinstance(starts, list):
-            starts = self.spark.createDataFrame([(s,) for s in starts], "uid string")
-        frontier = starts.select(F.col(starts.columns[0]).alias("_uid"), F.lit(self.scope).alias("_scope")).distinct()
-        out, left = [], max_reads
-        for depth, hop in enumerate(hops, 1):
-            if hop.direction not in ("forward", "reverse"):
-                raise invalid(f"unknown direction {hop.direction!r}")
-            near, far = ("aUid", "bUid") if hop.direction == "forward" else ("bUid", "aUid")
-            wanted = frontier
-            if left is not None:
-                frontier = frontier.orderBy("_uid").limit(max(left, 0)).cache()
-                left -= frontier.count()
-            read = frontier
-            graph_name = hop.target_graph or (self.registry.target_graph(hop.axbType) if self.registry else None)
-            if graph_name and hop.direction == "forward":
-                prefix = F.lit(self.scope + "/" if self.scope else "")
-                frontier = frontier.withColumn("_scope", F.concat(prefix, "_uid", F.lit(f"/{graph_name}")))
-            filters = [*Find(aType=hop.aType, axbType=hop.axbType, bType=hop.bType).filters(), *hop.where]
-            edges = self._where(self.candidates(filters, everywhere=True), filters)
-            if hop.axbType == NODE:
-                edges = edges.where("aUid <> bUid")
-            if hop.keep is not None:
-                edges = edges.where(hop.keep)
-            edges = edges.join(frontier, (F.col(near) == F.col("_uid")) & (F.col("scope") == F.col("_scope")), "left_semi")
-            if hop.limit:
-                w = Window.partitionBy("scope", near).orderBy(*(self.order(hop.order_by) if hop.order_by else [F.col("docId")]))
-                edges = edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= hop.limit).drop("_r")
-            edges = edges.withColumn("depth", F.lit(depth))
-            out.append((wanted, read, edges))
-            frontier = edges.groupBy(F.col(far).alias("_uid")).agg(F.min("scope").alias("_scope"))
-        return out
+        return traversal.report(traversal.steps(self, starts, hops, max_reads))
 
-    def run_engine_traversal(self, starts: list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
-        """The chain as one plan with one edge for each target at each depth, five hops at most.
+    def traversal_totals(self, starts: DataFrame | list[str], hops: list[Hop], max_reads: int | None = traversal.DEFAULT_READS) -> DataFrame:
+        """One row: hops, totalReads, edges, nodes (edges of the last hop), truncated."""
+        return traversal.totals(traversal.steps(self, starts, hops, max_reads))
 
-        With max_reads, a chain whose limits allow more edges at its deepest hop is refused.
-        """
-        if len(hops) > 5:
-            raise GraphError("TRAVERSAL_ERROR", "an engine traversal has five hops at most")
-        if any(not h.limit for h in hops):
-            raise invalid("every hop of an engine traversal needs a limit")
-        if max_reads is not None and math.prod([len(starts), *[h.limit for h in hops]]) > max_reads:
-            raise GraphError("TRAVERSAL_ERROR", f"the limits allow more than {max_reads} reads")
-        edges = self.traverse(starts, hops)
-        ways = [h.direction == "forward" for h in hops]
-        target = F.when(F.array(*[F.lit(w) for w in ways])[F.col("depth") - 1], F.col("bUid")).otherwise(F.col("aUid"))
-        w = Window.partitionBy("depth", target).orderBy("docId")
-        return edges.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    def run_engine_traversal(self, starts: list[str], hops: list[Hop], max_reads: int | None = None) -> DataFrame:
+        """The chain with one edge for each target at each depth, five hops at most; see `traversal.engine`."""
+        return traversal.engine(self, starts, hops, max_reads)
 
 
 def after(df: DataFrame, sort_key: Column, cursor: tuple, limit: int, descending: bool = False) -> DataFrame:

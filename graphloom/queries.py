@@ -56,7 +56,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the customers of one nation: two hops."""
     g = Graph(star_branches(spark, sf_dir))
     hops = [Hop("inNation", "reverse", aType="customer", limit=None), Hop("placed", limit=None)]
-    return g.traverse(["nation-3"], hops).where("depth = 2").select("aUid", "bUid", _num("total"))
+    return g.traverse(["nation-3"], hops, None).where("depth = 2").select("aUid", "bUid", _num("total"))
 
 
 _NODE = "'customer-' || c_custkey"
@@ -124,15 +124,15 @@ query("traverse_limited", f"""
 WITH e1 AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY {_edge_id(_NODE, 'inNation', chr(39) + 'nation-3' + chr(39))} LIMIT 4),
 e2 AS (SELECT {_ORDERS}, o_totalprice FROM orders WHERE o_custkey IN (FROM e1) AND o_totalprice > 50000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, {_PLACED}) <= 3)
 SELECT aUid, bUid, 2 AS depth FROM e2 UNION ALL SELECT 'customer-' || c_custkey, 'nation-3', 1 FROM e1""")(
-    lambda g: g.traverse(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=4), Hop("placed", where=(("total", ">", 50000),), order_by=("data.total", "desc"), limit=3)]).select("aUid", "bUid", "depth")
+    lambda g: g.traverse(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=4), Hop("placed", where=(("total", ">", 50000),), order_by=("data.total", "desc"), limit=3)], None).select("aUid", "bUid", "depth")
 )
 query("traverse_three_hops", "SELECT DISTINCT 'region-' || n_regionkey AS bUid, 3 AS depth FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey IN (1, 2, 3, 4, 5, 6, 7)")(
-    lambda g: g.traverse([f"order-{i}" for i in range(1, 8)], [Hop("placed", "reverse", limit=None), Hop("inNation", limit=None), Hop("inRegion", limit=None)]).where("depth = 3").select("bUid", "depth").distinct()
+    lambda g: g.traverse([f"order-{i}" for i in range(1, 8)], [Hop("placed", "reverse", limit=None), Hop("inNation", limit=None), Hop("inRegion", limit=None)], None).where("depth = 3").select("bUid", "depth").distinct()
 )
 query("traverse_cross_graph", "SELECT 'conv-' || conv_id AS aUid, 'turn-' || conv_id || '-' || turn AS bUid, 'conv-' || conv_id || '/turns' AS scope FROM conversations WHERE conv_id IN (1, 2, 3)")(
     lambda g: g.traverse(["conv-1", "conv-2", "conv-3"], [Hop("hasTurn", target_graph="turns", limit=None)]).select("aUid", "bUid", "scope")
 )
-query("engine_traversal", f"WITH e AS (SELECT {_ORDERS}, {_PLACED} AS docId, o_custkey FROM orders WHERE o_custkey IN (1, 2, 4) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_PLACED}) <= 3) SELECT aUid, bUid FROM e")(
+query("engine_traversal", f"WITH e AS (SELECT {_ORDERS}, {_PLACED} AS docId, o_custkey FROM orders WHERE o_custkey IN (1, 2, 4) ORDER BY docId LIMIT 9) SELECT aUid, bUid FROM e")(
     lambda g: g.run_engine_traversal(["customer-1", "customer-2", "customer-4"], [Hop("placed", limit=3)]).select("aUid", "bUid")
 )
 query("subgraph_nodes", "SELECT 'turn-' || conv_id || '-' || turn AS aUid, role FROM conversations WHERE conv_id = 4")(lambda g: g.subgraph("conv-4", "turns").find_nodes("turn").select("aUid", _str("role")))
@@ -191,16 +191,16 @@ query("order_lines", f"SELECT 'order-' || l_orderkey AS aUid, {_LINE} AS bUid, n
     lambda g: g.expand(g.find_nodes("order", limit=0).select("aUid"), "hasLine").select("aUid", "bUid", F.try_variant_get("data", "$.n", "long").alias("n"))
 )
 query("traverse_order_parts", f"SELECT {_LINE} AS aUid, 'part-' || l_partkey AS bUid, 2 AS depth FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5) UNION ALL SELECT 'order-' || l_orderkey, {_LINE}, 1 FROM {_LINES} WHERE l_orderkey IN (1, 2, 3, 4, 5)", lines=True)(
-    lambda g: g.traverse([f"order-{i}" for i in range(1, 6)], [Hop("hasLine", limit=None), Hop("ofPart", limit=None)]).select("aUid", "bUid", "depth")
+    lambda g: g.traverse([f"order-{i}" for i in range(1, 6)], [Hop("hasLine", limit=None), Hop("ofPart", limit=None)], None).select("aUid", "bUid", "depth")
 )
 query("aggregate_lines", "SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY ALL", lines=True)(
     lambda g: g.aggregate({"n": ("count",), "quantity": ("sum", "data.quantity"), "discount": ("avg", "data.discount")}, Find(aType="lineitem", axbType="is"), group_by=["returnflag", "linestatus"]).withColumns({"quantity": F.round("quantity", 2), "discount": F.round("discount", 6)})
 )
 query("traverse_keep_condition", "SELECT 'order-' || o_orderkey AS bUid FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND c_custkey % 3 = 0 AND o_orderkey % 2 = 1")(
-    lambda g: g.traverse(["nation-7"], [Hop("inNation", "reverse", aType="customer", limit=None, keep=F.expr("cast(substr(aUid, 10) as long) % 3 = 0")), Hop("placed", limit=None, keep=F.expr("cast(substr(bUid, 7) as long) % 2 = 1"))]).where("depth = 2").select("bUid")
+    lambda g: g.traverse(["nation-7"], [Hop("inNation", "reverse", aType="customer", limit=None, keep=F.expr("cast(substr(aUid, 10) as long) % 3 = 0")), Hop("placed", limit=None, keep=F.expr("cast(substr(bUid, 7) as long) % 2 = 1"))], None).where("depth = 2").select("bUid")
 )
 query("traversal_report", """
-WITH s AS (SELECT 'customer-' || c_custkey AS u, c_custkey FROM customer WHERE c_nationkey = 3), r AS (FROM s ORDER BY u LIMIT 6)
+WITH s AS (SELECT 'customer-' || c_custkey AS u, c_custkey FROM customer WHERE c_nationkey = 3), r AS (FROM s ORDER BY sha256(u || ':inNation:nation-3')[1], u || ':inNation:nation-3' LIMIT 6)
 SELECT 1 AS depth, 'inNation' AS axbType, 1 AS sources, 1 AS reads, count(*) AS edges, count(DISTINCT u) AS targets, false AS truncated FROM s
 UNION ALL SELECT 2, 'placed', (SELECT count(*) FROM s), (SELECT count(*) FROM r), count(*), count(DISTINCT o_orderkey), (SELECT count(*) FROM s) > 6 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM r)""")(
     lambda g: g.traversal_report(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=None), Hop("placed", limit=None)], max_reads=7)
@@ -293,5 +293,44 @@ query("geo_filtered", f"SELECT {_NODE} AS aUid FROM customer WHERE {_HAV} <= 300
 query("filter_times", "SELECT 'nation-' || n_nationkey AS aUid FROM nation")(
     lambda g: g.find_nodes("nation", [("createdAt", ">=", datetime.datetime(2023, 12, 31)), ("updatedAt", "<", datetime.datetime(2024, 1, 3))], limit=0).select("aUid")
 )
+def _talks(g: Graph) -> Graph:
+    """The conversations with, in each one's graph, edges from its turns to the roles that spoke them."""
+    said = g.candidates([("aType", "==", "turn"), ("axbType", "==", "is")], everywhere=True).where("axbType = 'is' and aType = 'turn'")
+    said = said.withColumns({"axbType": F.lit("saidBy"), "bType": F.lit("role"), "bUid": F.concat(F.lit("role-"), paths.typed("$.role", "string")), "data": F.parse_json(F.lit("{}"))}).withColumn("docId", doc_id_column())
+    turns = g.candidates([("axbType", "==", "hasTurn")], everywhere=True)
+    return Graph(turns.unionByName(said))
+
+
+def _starts(g: Graph) -> list[str]:
+    """Ten conversations, not in the order of their names."""
+    return [f"conv-{k}" for k in (9, 4, 7, 1, 12, 3, 15, 2, 8, 5)]
+
+
+_ARRIVED = """
+WITH s AS (SELECT * FROM (VALUES (9, 1), (4, 2), (7, 3), (1, 4), (12, 5), (3, 6), (15, 7), (2, 8), (8, 9), (5, 10)) t(conv_id, place)),
+t AS (SELECT conv_id, place, turn, role, 'turn-' || conv_id || '-' || turn AS u, row_number() OVER (ORDER BY place, turn DESC, {0}) AS rank FROM conversations JOIN s USING (conv_id))""".format(_edge_id("'conv-' || conv_id", "hasTurn", "'turn-' || conv_id || '-' || turn"))
+_HOPS = [Hop("hasTurn", target_graph="turns", limit=None, order_by=("data.turn", "desc")), Hop("saidBy", limit=None), Hop("saidBy", "reverse", limit=None)]
+query("traverse_first_reader", _ARRIVED + """, r AS (SELECT role, arg_min(conv_id, rank) AS conv_id FROM t GROUP BY role)
+SELECT 'turn-' || c.conv_id || '-' || c.turn AS aUid, 'role-' || c.role AS bUid, 'conv-' || c.conv_id || '/turns' AS scope, 3 AS depth FROM conversations c JOIN r USING (role, conv_id)
+UNION ALL SELECT u, 'role-' || role, 'conv-' || conv_id || '/turns', 2 FROM t""")(
+    lambda g: _talks(g).traverse(_starts(g), _HOPS, None).where("depth > 1").select("aUid", "bUid", "scope", "depth")
+)
+query("traverse_budget", _ARRIVED + " SELECT u AS aUid, 'role-' || role AS bUid FROM t WHERE rank <= 7")(lambda g: _talks(g).traverse(_starts(g), _HOPS[:2], 17).where("depth = 2").select("aUid", "bUid"))
+query("traverse_default_budget", f"SELECT {_ORDERS} FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12 ORDER BY c_nationkey, {_edge_id(_NODE, 'inNation', chr(39) + 'nation-' + chr(39) + ' || c_nationkey')} LIMIT 88)")(
+    lambda g: g.traverse([f"nation-{k}" for k in range(12)], [Hop("inNation", "reverse", aType="customer", limit=None), Hop("placed", limit=None)]).where("depth = 2").select("aUid", "bUid")
+)
+query("traversal_totals", _ARRIVED + """
+SELECT 3 AS hops, 10 + (SELECT count(*) FROM t) + (SELECT count(DISTINCT role) FROM t) AS "totalReads", 2 * (SELECT count(*) FROM t) + n AS edges, n AS nodes, false AS truncated
+FROM (SELECT count(*) AS n FROM conversations JOIN (SELECT role, arg_min(conv_id, rank) AS conv_id FROM t GROUP BY role) r USING (role, conv_id)) x""")(
+    lambda g: _talks(g).traversal_totals(_starts(g), _HOPS, None)
+)
+query("engine_caps", f"""
+WITH e1 AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY {_edge_id(_NODE, 'inNation', "'nation-' || c_nationkey")}) AS rank FROM customer QUALIFY rank <= 25 * 40),
+e2 AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, {_PLACED}) AS place FROM orders WHERE o_custkey IN (SELECT c_custkey FROM e1) QUALIFY place <= 2)
+SELECT 1 AS depth, 'customer-' || c_custkey AS aUid, 'nation-' || c_nationkey AS bUid FROM e1
+UNION ALL SELECT 2, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2
+UNION ALL SELECT 3, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2 WHERE place = 1""")(
+    lambda g: g.run_engine_traversal([f"nation-{k}" for k in range(25)], [Hop("inNation", "reverse", aType="customer", limit=40), Hop("placed", limit=2, order_by=("data.total", "desc")), Hop("placed", "reverse", limit=1)]).select("depth", "aUid", "bUid")
+)
 QUERIES["windowed_counts"] = lambda spark, sf_dir: windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp").alias("start"), "event_type", "n")
 ORACLE_SQL["windowed_counts"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"

@@ -70,6 +70,38 @@ def test_traversal(graph):
     assert graph.traverse(["t1", "t2"], [Hop("has")], max_reads=1).count() == 3
     with pytest.raises(GraphError):
         graph.traverse(["t1"], [])
+    totals = graph.traversal_totals(["t2", "t1"], [Hop("has", limit=2, order_by=("data.n", "asc")), Hop("has", "reverse")], max_reads=4).first()
+    assert totals.asDict() == {"hops": 2, "totalReads": 4, "edges": 6, "nodes": 3, "truncated": True}
+
+
+def test_first_reader_wins(spark):
+    """A uid that two graphs lead to is read in the graph that came first, not in the smallest."""
+    rows = [("", "start", "split", "srcB", 1), ("", "start", "split", "srcA", 2), ("srcA/sub", "srcA", "rel", "shared", 1), ("srcB/sub", "srcB", "rel", "shared", 1), ("srcA/sub", "shared", "next", "a", 1), ("srcB/sub", "shared", "next", "b", 1)]
+    df = spark.createDataFrame(rows, "s string, a string, x string, b string, n int")
+    table = None
+    for relation in ("split", "rel", "next"):
+        part = triples(df.where(F.col("x") == relation), "t", F.col("a"), relation, "t", F.col("b"), {"n": F.col("n")}, F.col("s"))
+        table = part if table is None else table.unionByName(part)
+    g = Graph(table)
+    hops = [Hop("split", order_by=("data.n", "asc")), Hop("rel", target_graph="sub"), Hop("next")]
+    assert [r["bUid"] for r in g.traverse(["start"], hops).where("depth = 3").collect()] == ["b"]
+    turned = [Hop("split", order_by=("data.n", "desc")), *hops[1:]]
+    assert [r["bUid"] for r in g.traverse(["start"], turned).where("depth = 3").collect()] == ["a"]
+    report = [(r["sources"], r["reads"], r["truncated"]) for r in g.traversal_report(["start"], hops, max_reads=2).orderBy("depth").collect()]
+    assert report == [(1, 1, False), (2, 1, True), (1, 0, True)]
+
+
+def test_engine_caps_differ(spark):
+    """The first hop's cap is of all sources together; later caps are of each parent; a target is read once."""
+    edges = [("s1", f"m{i}") for i in range(6)] + [("s2", "m0")] + [(f"m{i}", f"e{j}") for i in range(6) for j in range(i, i + 4)]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "a string, b string, n int")
+    g = Graph(triples(df, "t", F.col("a"), "to", "t", F.col("b"), {"n": F.col("n")}))
+    order = ("data.n", "asc")
+    rows = g.run_engine_traversal(["s1", "s2"], [Hop("to", limit=2, order_by=order), Hop("to", limit=2, order_by=order)]).collect()
+    assert sorted((r["depth"], r["aUid"], r["bUid"]) for r in rows) == [(1, "s1", f"m{i}") for i in range(4)] + [(2, "m0", "e0"), (2, "m0", "e1"), (2, "m1", "e2"), (2, "m2", "e3"), (2, "m3", "e4")]
+    for bad in (lambda: g.run_engine_traversal(["s1"], []), lambda: g.run_engine_traversal(["s1"], [Hop("to", limit=None)]), lambda: g.run_engine_traversal(["s1"], [Hop("to")] * 6), lambda: g.run_engine_traversal(["s1"], [Hop("to", limit=5)], max_reads=4)):
+        with pytest.raises(GraphError):
+            bad()
 
 
 def test_text_queries():
