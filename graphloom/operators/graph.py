@@ -105,12 +105,10 @@ class Graph:
     def order_keys(name: str) -> list[Column]:
         """The columns that a field is ordered by: one for each type that it may have."""
         path = paths.data_path(name, bare=False)
-        return [F.col(name)] if path is None else [paths.typed(path, "number"), paths.typed(path, "string"), paths.typed(path, "boolean")]
+        return [F.col(name)] if path is None else [paths.typed(path, "number"), F.when(F.abs(paths.typed(path, "number")) >= paths.EXACT, paths.exact(path, 18)), paths.typed(path, "string"), paths.typed(path, "boolean")]
 
     def _where(self, df: DataFrame, filters: list) -> DataFrame:
-        for f in filters:
-            df = df.where(paths.predicate(*f))
-        return df
+        return reduce(lambda rows, f: paths.matched(rows, *f), filters, df)
 
     def find_edges(self, find: Find, allow_scan: bool = False) -> DataFrame:
         key = planner.point_key(find)
@@ -150,7 +148,11 @@ class Graph:
 
     # aggregates
     def aggregate(self, aggregates: dict[str, tuple], find: Find | None = None, group_by: list[str] | None = None, allow_scan: bool = False) -> DataFrame:
-        """One row (or one for each group); sum, min and max of nothing are 0, avg is NaN."""
+        """One row (or one for each group); sum, min and max of nothing are 0, avg is NaN.
+
+        An aggregate is (count,), (op, field), or (op, field, digits): the last over decimals with
+        that many digits after the point, exact where doubles aren't.
+        """
         if not aggregates:
             raise invalid("aggregate needs an aggregate")
         for alias in aggregates:
@@ -168,8 +170,15 @@ class Graph:
                     raise invalid("count takes no field")
                 cols.append(F.count(F.lit(1)).alias(alias))
                 continue
-            if op not in ("sum", "avg", "min", "max") or len(name) != 1:
+            if op not in ("sum", "avg", "min", "max") or not 1 <= len(name) <= 2:
                 raise invalid(f"{op!r} isn't an aggregate of one field")
+            if len(name) == 2:
+                path = paths.data_path(name[0], bare=False)
+                if path is None or op == "avg":
+                    raise invalid("exact aggregates are sums, least and greatest values of data fields")
+                found = getattr(F, op)(paths.exact(path, name[1]))
+                cols.append(F.coalesce(found, F.lit(0).cast(f"decimal(38,{name[1]})")).alias(alias))
+                continue
             x = paths.field(name[0], 0.0, bare=False)
             empty = float("nan") if op == "avg" else 0.0
             cols.append(F.coalesce(getattr(F, op)(x), F.lit(empty)).alias(alias))
@@ -183,6 +192,8 @@ class Graph:
         """Edges of many sources (uids); the limit caps all edges together unless strict."""
         near, far = ("aUid", "bUid") if direction == "forward" else ("bUid", "aUid")
         filters = Find(aType=a_type, axbType=axb_type, bType=b_type).filters()
+        if isinstance(sources, list) and len(set(sources)) >= paths.LONG_LIST:
+            sources = self.spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "uid string")
         few = [(near, "in", list(set(sources)))] if isinstance(sources, list) and sources else []
         rows = self._where(self.candidates([*filters, *few]), filters)
         if axb_type == NODE:

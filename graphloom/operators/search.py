@@ -14,8 +14,10 @@ from pyspark.sql.types import StringType
 
 from graphloom.errors import invalid
 from graphloom.functions import distance, patch, paths
+from graphloom.model import COLUMNS
 from graphloom.operators.graph import Graph
 from graphloom.plans.planner import Find
+from graphloom.sources.folders import kept
 
 
 def _narrowed(graph: Graph, find: Find | None) -> DataFrame:
@@ -63,6 +65,8 @@ def geo_search(graph: Graph, lat_field: str, lng_field: str, lat: float, lng: fl
     return rows.orderBy(*([F.col("distance")] if by_distance else []), "docId").limit(limit)
 
 
+#: Hits up to which a search sends them to all rows instead of shuffling these.
+FEW_HITS = 10_000
 _LETTER = r"[\p{L}\p{N}]"
 _OTHER = r"[^\p{L}\p{N}]+"
 
@@ -112,11 +116,15 @@ def prefix(text: str) -> Match:
     return Match("prefix", _split(text)[:1])
 
 
-def near(text: str, within: int = 10) -> Match:
-    """All words of the text with at most `within` other words between them."""
-    if within < 0:
-        raise invalid("near needs a whole distance")
-    return Match("near", (_split(text), within))
+def near(*parts: str, within: int = 10) -> Match:
+    """All parts, each a phrase, so close that from the end of any of them to the start of the last there are at most
+    `within` other words.  One string stands for its words, each a part of its own."""
+    if within < 0 or not parts:
+        raise invalid("near needs words and a whole distance")
+    found = tuple((w,) for w in _split(parts[0])) if len(parts) == 1 else tuple(map(_split, parts))
+    if len(found) > 64:
+        raise invalid("near takes 64 parts at most")
+    return Match("near", (found, within))
 
 
 def _leaves(value: object) -> list[str]:
@@ -132,13 +140,35 @@ def text_leaves(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: " ".join(_leaves(json.loads(p))) if p else "")
 
 
+def _windows(parts: tuple[tuple[str, ...], ...], within: int) -> Column:
+    """How many least windows of _w, the words of a text, hold all parts within the distance.
+
+    Each part gives its sorted places; one sweep over all of them keeps the end of each part's
+    last occurrence, so the work is linear in the words and sorts the places only.
+    """
+    tokens = F.col("_w")
+
+    def starts(k: int, part: tuple[str, ...]) -> Column:
+        here = lambda t, i: reduce(Column.__and__, [t == part[0], *[F.get(tokens, i + j) == w for j, w in enumerate(part) if j]])
+        return F.filter(F.transform(tokens, lambda t, i: F.when(here(t, i), i.cast("long") * 64 + k)), lambda x: x.isNotNull())
+
+    def step(state: Column, place: Column) -> Column:
+        at, which = F.shiftright(place, 6), place.bitwiseAND(F.lit(63))
+        sizes = F.array(*[F.lit(len(p)).cast("long") for p in parts])
+        ends = F.transform(state["ends"], lambda e, i: F.when(i == which, at + F.get(sizes, i)).otherwise(e))
+        first = F.array_min(ends)
+        hit = (first >= 0) & (at - first <= within) & (first > state["done"])
+        return F.struct(ends.alias("ends"), F.when(hit, first).otherwise(state["done"]).alias("done"), (state["n"] + hit.cast("long")).alias("n"))
+
+    places = F.array_sort(F.concat(*[starts(k, p) for k, p in enumerate(parts)]))
+    none = F.struct(F.array(*[F.lit(-1).cast("long")] * len(parts)).alias("ends"), F.lit(-1).cast("long").alias("done"), F.lit(0).cast("long").alias("n"))
+    return F.coalesce(F.aggregate(places, none, step, lambda state: state["n"]), F.lit(0)).cast("int")
+
+
 def _count(unit: Match) -> Column:
-    """How often a word, prefix or phrase occurs in _t, lower-cased text; for near, how many windows of _w, its words, start at one of the unit's."""
+    """How often a word, prefix or phrase occurs in _t, lower-cased text, or a window in _w."""
     if unit.op == "near":
-        near_words, within = unit.parts
-        tokens, span = F.col("_w"), within + len(near_words)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i).isin(*near_words))
-        return F.size(F.filter(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, near_words)), F.slice(tokens, i + 1, span))) == 0))
+        return _windows(*unit.parts)
     body = _OTHER.join(re.escape(w) for w in unit.parts)
     end = "" if unit.op == "prefix" else f"(?!{_LETTER})"
     return F.regexp_count("_t", F.lit(f"(?={body}{end})(?<!{_LETTER})"))  # of no width, so occurrences may overlap
@@ -148,8 +178,9 @@ def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[
     """Rows that match, best BM25 first (`score`, lower is better), over the words of the data fields (None: all strings of data).
 
     A string stands for all of its words.  Counts, lengths and frequencies are of
-    the whole graph; find narrows the matches afterwards.  One pass counts, and its
-    single row joins the second.
+    the whole graph; find narrows the matches afterwards.  One pass over the texts
+    keeps each row's id, length and counts; the rest reads those, and the matches
+    are joined with their rows at the end.
     """
     if limit < 1 or fields == []:
         raise invalid("full_text_search needs a limit and fields")
@@ -159,7 +190,7 @@ def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[
     rows = graph.rows.withColumn("_t", F.lower(said))
     if any(u.op == "near" for u in tf):
         rows = rows.withColumn("_w", F.filter(F.split("_t", _OTHER), lambda t: t != ""))
-    rows = rows.withColumns({"_n": F.regexp_count("_t", F.lit(f"{_LETTER}+"))} | {c: _count(u) for u, c in tf.items()}).drop("_t", "_w")
+    rows = kept(rows.select("docId", F.regexp_count("_t", F.lit(f"{_LETTER}+")).alias("_n"), *[_count(u).alias(c) for u, c in tf.items()]))
     stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(c) > 0).alias(f"{c}_d") for c in tf.values()])
 
     def met(node: Match) -> Column:
@@ -175,5 +206,10 @@ def full_text_search(graph: Graph, match: Match | str, limit: int, fields: list[
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         f = F.col(c)
         score = score - idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
-    hits = graph._where(rows.where(met(match)), find.filters() if find else []).crossJoin(F.broadcast(stats))  # one row
-    return hits.withColumn("score", score).orderBy("score", "docId").limit(limit).drop("_n", "_docs", "_avg", *[x for c in tf.values() for x in (c, f"{c}_d")])
+    hits = rows.where(met(match)).crossJoin(F.broadcast(stats)).select("docId", score.alias("score"))  # one row
+    if find:
+        hits = hits.join(_narrowed(graph, find).select("docId"), "docId", "left_semi")
+    hits = hits.orderBy("score", "docId").limit(limit)
+    if limit <= FEW_HITS:
+        hits = F.broadcast(hits)
+    return graph.rows.join(hits, "docId").select(*COLUMNS, "score").orderBy("score", "docId")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from graphloom.model import doc_id_column, is_ancestor, type_uid_column
 from graphloom.operators.browse import node_detail, nodes_batch, observed_fields, observed_types, page, summaries
 from graphloom.operators.graph import Graph, Hop, after, search_everywhere
 from graphloom.operators.registry import Entry, Registry
-from graphloom.operators.search import find_nearest, full_text_search, geo_search, phrase, prefix, words
+from graphloom.operators.search import find_nearest, full_text_search, geo_search, near, phrase, prefix, words
 from graphloom.plans.planner import Find
 from graphloom.sources.definitions import typed_payloads
 from graphloom.sources.tables import line_triples, star_branches, star_triples
@@ -275,6 +276,10 @@ query("full_text_phrase", _DOCS + "SELECT docId FROM d WHERE len(list_filter(ran
 query("full_text_prefix", _DOCS + "SELECT docId FROM d WHERE len(list_filter(t, lambda x: starts_with(x, 'licen'))) > 0 AND NOT list_contains(t, 'apache')")(
     lambda g: full_text_search(g, prefix("licen") & ~words("apache"), 1 << 30, ["text"]).select("docId")
 )
+query("full_text_near", _DOCS + """, p AS (SELECT docId, list_filter(range(1, len(t)), lambda i: t[i] = 'public' AND t[i + 1] = 'license') AS a, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'version') AS b FROM d)
+SELECT docId FROM p WHERE len(list_filter(a, lambda i: len(list_filter(b, lambda j: greatest(i, j) - i - 2 <= 6 AND greatest(i, j) - j - 1 <= 6)) > 0)) > 0""")(
+    lambda g: full_text_search(g, near("Public License", "version", within=6), 1 << 30, ["text"]).select("docId")
+)
 query("engine_two_hops", f"""
 WITH e1 AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY {_edge_id(_NODE, 'inNation', chr(39) + 'nation-3' + chr(39))} LIMIT 6)
 SELECT {_ORDERS}, 2 AS depth FROM orders WHERE o_custkey IN (FROM e1) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_PLACED}) <= 2 UNION ALL SELECT 'customer-' || c_custkey, 'nation-3', 1 FROM e1""")(
@@ -332,5 +337,39 @@ UNION ALL SELECT 2, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2
 UNION ALL SELECT 3, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2 WHERE place = 1""")(
     lambda g: g.run_engine_traversal([f"nation-{k}" for k in range(25)], [Hop("inNation", "reverse", aType="customer", limit=40), Hop("placed", limit=2, order_by=("data.total", "desc")), Hop("placed", "reverse", limit=1)]).select("depth", "aUid", "bUid")
 )
+_BIG = 1 << 53
+
+
+def _numbered_orders(g: Graph) -> Graph:
+    """The orders with numbers that doubles can't tell apart, some of them as decimals or doubles."""
+    key = F.expr("cast(substr(aUid, 7) as long)")
+    big = F.expr(f"{_BIG} + cast(substr(aUid, 7) as long)")
+    payload = F.when(key % 3 == 0, F.to_json(F.struct(F.concat(big, F.lit(".5")).cast("decimal(38,1)").alias("big")))).otherwise(F.to_json(F.struct(big.alias("big"))))
+    return Graph(g.find_nodes("order", limit=0).withColumn("data", F.parse_json(payload)))
+
+
+_NUMBERED = f"(SELECT *, CAST({_BIG} AS DECIMAL(38, 1)) + o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END AS big FROM orders)"
+for _op, _sql in (("==", "= {0} + 7"), (">", "> {0} + 7"), ("<=", "<= {0} + 9"), ("!=", "<> {0} + 7")):
+    query({"==": "exact_eq", ">": "exact_gt", "<=": "exact_le", "!=": "exact_ne"}[_op], f"SELECT 'order-' || o_orderkey AS aUid FROM {_NUMBERED} WHERE big {_sql.format(_BIG)}")(
+        lambda g, op=_op: _numbered_orders(g).find_nodes("order", [("big", op, _BIG + (9 if op == "<=" else 7))], limit=0).select("aUid")
+    )
+query("exact_in", f"SELECT 'order-' || o_orderkey AS aUid FROM {_NUMBERED} WHERE big IN ({_BIG} + 2, {_BIG} + 4, {_BIG} + 9.5)")(
+    lambda g: _numbered_orders(g).find_nodes("order", [("big", "in", [_BIG + 2, _BIG + 4, decimal.Decimal(_BIG) + decimal.Decimal("9.5"), 5, "x"])], limit=0).select("aUid")
+)
+query("exact_order", f"SELECT 'order-' || o_orderkey AS aUid FROM {_NUMBERED} WHERE o_orderkey % 3 <> 0 ORDER BY big DESC LIMIT 40")(
+    lambda g: (h := _numbered_orders(g)) and Graph(h.table.where("cast(substr(aUid, 7) as long) % 3 <> 0")).find_nodes("order", order_by=("data.big", "desc"), limit=40).select("aUid")
+)
+query("exact_sum", f"SELECT CAST(CAST(sum(big) AS DECIMAL(38, 1)) AS VARCHAR) AS total, CAST(CAST(min(big) AS DECIMAL(38, 1)) AS VARCHAR) AS low, CAST(CAST(max(big) AS DECIMAL(38, 1)) AS VARCHAR) AS high FROM {_NUMBERED}")(
+    lambda g: _numbered_orders(g).aggregate({"total": ("sum", "data.big", 1), "low": ("min", "data.big", 1), "high": ("max", "data.big", 1)}, Find(aType="order", axbType="is")).select(*(F.col(c).cast("string").alias(c) for c in ("total", "low", "high")))
+)
+query("long_list_in", "SELECT 'doc-' || doc_id AS aUid FROM documents WHERE n_chars % 2 = 0 AND n_chars < 200000 OR lang = 'x'")(
+    lambda g: g.find_nodes("doc", [("chars", "in", [*range(0, 200_000, 2), "7", True])], limit=0).select("aUid")
+)
+query("long_list_not_in", "SELECT 'order-' || o_orderkey AS aUid FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey <= 300000 OR o_orderkey > 300000")(
+    lambda g: g.find_nodes("order", [("aUid", "not-in", [f"order-{k}" for k in range(0, 300_001, 3)]), ("status", "not-in", [f"s{k}" for k in range(100_000)])], limit=0).select("aUid")
+)
+query("long_list_expand", f"SELECT {_ORDERS} FROM orders WHERE o_custkey BETWEEN 1 AND 100000 AND o_custkey % 2 = 0")(
+    lambda g: g.expand([f"customer-{k}" for k in range(2, 100_001, 2)], "placed").select("aUid", "bUid")
+)
 QUERIES["windowed_counts"] = lambda spark, sf_dir: windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp").alias("start"), "event_type", "n")
 ORACLE_SQL["windowed_counts"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL"

@@ -74,6 +74,10 @@ class Branch:
                 if types[name] not in (value if op == "in" else [value]):
                     return None
             elif name in ends and op in ("==", "in"):
+                if paths.is_long(op, value):
+                    if not any(isinstance(v, str) and v.startswith(f"{ends[name].kind}-") for v in value):
+                        return None
+                    continue
                 met = [c for v in (value if op == "in" else [value]) if (c := ends[name].condition(v)) is not None]
                 if not met:
                     return None
@@ -83,7 +87,7 @@ class Branch:
                 column = self.data.get(path[2:]) if path else None
                 if isinstance(column, str) and op in _COMPARE and value is not None:
                     kind = dict(self.table().dtypes)[column]
-                    if (paths.kind_of(value) == "number" and kind in _NUMBERS) or (isinstance(value, str) and kind == "string"):
+                    if (paths.kind_of(value) == "number" and not paths.is_large(value) and kind in _NUMBERS) or (isinstance(value, str) and kind == "string"):
                         out = out & _COMPARE[op](F.col(column), F.lit(float(value) if kind in _NUMBERS else value))
         return out
 

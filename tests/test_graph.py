@@ -107,7 +107,7 @@ def test_engine_caps_differ(spark):
 def test_text_queries():
     both = (words("a B") | prefix("d*")) & ~phrase("e, a")
     assert [(u.op, u.parts) for u in both.units()] == [("phrase", ("a",)), ("phrase", ("b",)), ("prefix", ("d",)), ("phrase", ("e", "a"))]
-    for bad in (lambda: words(""), lambda: phrase("--"), lambda: near("a b", -1)):
+    for bad in (lambda: words(""), lambda: phrase("--"), lambda: near("a b", within=-1), lambda: near()):
         with pytest.raises(GraphError):
             bad()
 
@@ -146,3 +146,56 @@ def test_registry(graph):
         registry.validate("tour", "is", "tour", {"price": 1}, "u/sub")
     with pytest.raises(GraphError):
         Entry("x", migrations=[(1, 2, "data")])
+
+
+def test_near_equals_sqlite(spark):
+    """Least windows of phrases, against the full-text index of SQLite, and on a very long text."""
+    import random
+    import sqlite3
+
+    from graphloom.operators.search import full_text_search
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    table = nodes(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "doc", F.concat(F.lit("d"), F.col("i")), {"t": F.col("t")})
+    g = Graph(table.cache())
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("create virtual table x using fts5(t)")
+    except sqlite3.OperationalError:
+        pytest.skip("this SQLite has no full-text index")
+    db.executemany("insert into x(rowid, t) values (?, ?)", [(i + 1, t) for i, t in enumerate(texts)])
+    for parts, within in ((("a b", "c"), 2), (("a", "b", "c"), 0), (("a", "b", "c"), 3), (("a b c", "c d"), 4), (("a", "a"), 1), (("a b", "b a"), 0)):
+        asked = "NEAR(" + " ".join(f'"{p}"' for p in parts) + f", {within})"
+        want = {f"d{r[0] - 1}" for r in db.execute("select rowid from x where x match ?", (asked,))}
+        got = {r["docId"] for r in full_text_search(g, near(*parts, within=within), 1000).collect()}
+        assert got == want, asked
+    long = " ".join(["x"] * 60_000 + ["sea"] + ["y"] * 9 + ["walk"] + ["sea"] * 60_000)
+    g = Graph(nodes(spark.createDataFrame([(1, long)], "i long, t string"), "doc", F.lit("d"), {"t": F.col("t")}))
+    assert full_text_search(g, near("sea walk y", within=9), 5).count() == 1 and full_text_search(g, near("sea x walk", within=8), 5).count() == 0
+    with pytest.raises(GraphError):
+        near(*["a"] * 65)
+
+
+def test_exact_numbers(spark):
+    from decimal import Decimal
+
+    big = 1 << 53
+    payloads = [str(big), str(big + 1), f"{big}.5", f"{float(big)}e0", "9007199254740994.0", "1e300", "100000000000000000000001", "100000000000000000000000", '"9007199254740993"', "null", "0.5", "-9007199254740993"]
+    df = spark.createDataFrame([(f"n{i}", '{"x": ' + p + "}") for i, p in enumerate(payloads)], "id string, j string")
+    g = Graph(nodes(df, "t", F.col("id"), {"x": F.lit(0)}).drop("data").join(df.select(F.col("id").alias("aUid"), F.parse_json("j").alias("data")), "aUid"))
+    found = lambda op, v: sorted(r["aUid"] for r in g.find_nodes("t", [("x", op, v)], limit=0).collect())
+    assert found("==", big) == ["n0", "n3"] and found("==", big + 1) == ["n1"] and found("==", Decimal(f"{big}.5")) == ["n2"]
+    assert found(">", big) == ["n1", "n2", "n4", "n5", "n6", "n7"] and found("<", -big) == ["n11"] and found(">", 10**23) == ["n5", "n6"]
+    assert found("in", [big + 1, 10**23, 0.5]) == ["n1", "n10", "n7"] and "n2" in found("not-in", [big, big + 1])
+    long = [*range(1, 2000), big + 1, 10**23, "9007199254740993", 0.5]
+    assert found("in", long) == ["n1", "n10", "n7", "n8"] and found("not-in", long) == ["n0", "n11", "n2", "n3", "n4", "n5", "n6"]
+    order = [r["aUid"] for r in g.find_nodes("t", [("x", ">=", big), ("x", "<=", big + 2)], order_by=("data.x", "desc")).collect()]
+    assert order == ["n4", "n1", "n2", "n0", "n3"]
+    ints = Graph(g.table.where("aUid in ('n0', 'n1')"))
+    assert ints.aggregate({"s": ("sum", "data.x", 0), "m": ("max", "data.x", 0)}, Find(aType="t", axbType="is")).first()[:] == (Decimal(2 * big + 1), Decimal(big + 1))
+    for bad in (("avg", "data.x", 0), ("sum", "aUid", 0), ("sum", "data.x", 39)):
+        with pytest.raises(GraphError):
+            g.aggregate({"s": bad}, Find(aType="t", axbType="is"))
+    with pytest.raises(GraphError):
+        g.find_nodes("t", [("x", "==", Decimal("Infinity"))])

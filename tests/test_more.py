@@ -102,7 +102,7 @@ def test_browsing(store, capsys, spark):
     assert page(g, Find(aType="tour")).count() == 1 and not page(g, Find(axbType="is"), limit=2).first()["hasMore"]
     first = page(g, Find(axbType="is"), "aUid", limit=1).first()
     assert first["hasMore"] and page(g, Find(axbType="is"), "aUid", cursor=(first["sortKey"], first["docId"]), limit=1).first()["aUid"] == "t1"
-    assert full_text_search(g, "sea", 5).first()["docId"] == "t1" and full_text_search(g, near("walk sea", 3), 5).count() == 1 and full_text_search(g, near("walk sea", 1), 5).count() == 0
+    assert full_text_search(g, "sea", 5).first()["docId"] == "t1" and full_text_search(g, near("walk sea", within=3), 5).count() == 1 and full_text_search(g, near("walk sea", within=1), 5).count() == 0
     assert full_text_search(g, words("walk") & ~prefix("s"), 5).count() == 0
     assert full_text_search(g, phrase("sea walk"), 5).count() == 0
     shell.main([store.path, "find-nodes", "tour", "--where", "n >= 2"], spark)
