@@ -8,6 +8,7 @@ the nested graph a row lives in (`uid/name/uid/name`, empty at the root), and
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,27 @@ def is_ancestor(scope: Column, uid: Column) -> Column:
     return F.exists(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p)), lambda p: F.coalesce(p == uid, F.lit(False)))
 
 
+def scope_names_column(scope: Column) -> Column:
+    """`scope_names` of a column of scopes; null where one isn't made of uid/name pairs."""
+    parts = F.split(scope, "/")
+    names = F.filter(parts, lambda _, i: i % 2 == 1)
+    return F.when(scope == "", F.lit("")).when(F.size(parts) % 2 == 0, F.array_join(names, "/"))
+
+
+def scope_pattern(pattern: str) -> str:
+    """A glob of graph names as a regular expression over names that each end in a slash."""
+    if pattern == "root":
+        return "^$"
+    return "^" + "".join({"*": "[^/]+/", "**": "(?:[^/]+/)*"}.get(w, re.escape(w) + "/") for w in pattern.split("/")) + "$"
+
+
+def in_scope(scope: Column, patterns: list[str]) -> Column:
+    """Whether a column of scopes fits one of the globs, as `matches_scope` tells of their names."""
+    names = scope_names_column(scope)
+    slashed = F.when(names == "", F.lit("")).otherwise(F.concat(names, F.lit("/")))
+    return F.coalesce(slashed.rlike("|".join(f"(?:{scope_pattern(p)})" for p in patterns)), F.lit(False))
+
+
 def matches_scope(pattern: str, scope_path: str) -> bool:
     """Whether a path of graph names fits a glob: * is one name, ** any number, root the empty path."""
     if pattern == "root":
@@ -89,4 +111,4 @@ def nodes(df: DataFrame, kind: str, uid: Column, data: dict[str, Column] | None
     return triples(df, kind, uid, NODE, kind, uid, data, scope)
 
 
-__all__ = ["NODE", "TRIPLE_SCHEMA", "COLUMNS", "ENVELOPE", "EPOCH", "edge_doc_id", "doc_id_column", "type_uid_column", "child_scope", "scope_names", "is_ancestor", "matches_scope", "triples", "nodes", "invalid"]
+__all__ = ["NODE", "TRIPLE_SCHEMA", "COLUMNS", "ENVELOPE", "EPOCH", "edge_doc_id", "doc_id_column", "type_uid_column", "child_scope", "scope_names", "is_ancestor", "matches_scope", "scope_names_column", "scope_pattern", "in_scope", "triples", "nodes", "invalid"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import invalid
 from graphloom.functions import paths
-from graphloom.model import NODE, child_scope, edge_doc_id
+from graphloom.model import NODE, child_scope, edge_doc_id, in_scope
 from graphloom.operators import traversal
 from graphloom.plans import planner
 from graphloom.plans.planner import Find
@@ -123,13 +123,19 @@ class Graph:
     def find_nodes(self, a_type: str, where: list | None = None, order_by: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
         return self.find_edges(Find(aType=a_type, axbType=NODE, where=where or [], order_by=order_by, limit=limit))
 
-    def find_edges_global(self, find: Find, name: str, allow_scan: bool = False) -> DataFrame:
-        """The same filters over every graph whose last name is `name`."""
+    def find_edges_global(self, find: Find, name: str | None = None, allow_scan: bool = False, within: list[str] | None = None) -> DataFrame:
+        """The same filters over every graph whose last name is `name`, or whose names fit one of the globs `within`."""
         if planner.point_key(find) is not None:
             raise invalid("a global search can't be for one edge")
+        if not name and not within:
+            raise invalid("a global search needs the name of a graph, or globs")
         filters = find.filters()
         planner.guard(filters, self.scan_mode, allow_scan)
-        everywhere = self.candidates(filters, everywhere=True).where(F.element_at(F.split("scope", "/"), -1) == name)
+        everywhere = self.candidates(filters, everywhere=True)
+        if name:
+            everywhere = everywhere.where(F.element_at(F.split("scope", "/"), -1) == name)
+        if within:
+            everywhere = everywhere.where(in_scope(F.col("scope"), within))
         return self._migrated(self._ordered(self._where(everywhere, filters), find.order_by, planner.effective_limit(find.limit)))
 
     def find_edges_projected(self, find: Find, select: list[str], kinds: dict[str, str] | None = None, allow_scan: bool = False) -> DataFrame:

@@ -2,78 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
-from graphloom.model import NODE, matches_scope, scope_names
-
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
-def _is(value: object, kind: str) -> bool:
-    if kind in ("number", "integer"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or value == int(value))
-    return isinstance(value, _TYPES[kind])
-
-
-def schema_errors(schema: dict | bool, value: object, at: str = "") -> list[str]:
-    """All violations of a JSON Schema (the common keywords of 2020-12; formats are not checked)."""
-    if isinstance(schema, bool):
-        return [] if schema else [f"{at or '/'}: nothing is allowed here"]
-    out: list[str] = []
-    say = lambda what: out.append(f"{at or '/'}: {what}")
-    kinds = schema.get("type")
-    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        say(f"must be {kinds}")
-        return out
-    if "enum" in schema and value not in schema["enum"]:
-        say("must be one of the listed values")
-    if "const" in schema and value != schema["const"]:
-        say("must be the constant")
-    if isinstance(value, str):
-        size, names = len(value), ("minLength", "maxLength")
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            say(f"must match {schema['pattern']}")
-    elif isinstance(value, list):
-        size, names = len(value), ("minItems", "maxItems")
-    elif isinstance(value, dict):
-        size, names = len(value), ("minProperties", "maxProperties")
-    else:
-        size, names = 0, ()
-    if names and size < schema.get(names[0], 0) or names and size > schema.get(names[1], size):
-        say("has a size out of bounds")
-    if _is(value, "number"):
-        for name, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b), ("multipleOf", lambda b: value % b != 0)):
-            if name in schema and bad(schema[name]):
-                say(f"breaks {name} {schema[name]}")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        for name in schema.get("required", []):
-            if name not in value:
-                say(f"lacks {name}")
-        for name, v in value.items():
-            out += schema_errors(known[name] if name in known else schema.get("additionalProperties", True), v, f"{at}/{name}")
-    if isinstance(value, list) and "items" in schema:
-        for k, v in enumerate(value):
-            out += schema_errors(schema["items"], v, f"{at}/{k}")
-    for part in schema.get("allOf", []):
-        out += schema_errors(part, value, at)
-    fits = [not schema_errors(part, value, at) for part in schema.get("anyOf", [])]
-    if fits and not any(fits):
-        say("fits none of anyOf")
-    fits = [not schema_errors(part, value, at) for part in schema.get("oneOf", [])]
-    if fits and sum(fits) != 1:
-        say("must fit one of oneOf")
-    if "not" in schema and not schema_errors(schema["not"], value, at):
-        say("fits what it must not")
-    return out
-
+from graphloom.functions.schema import schema_errors, violations
+from graphloom.model import NODE, in_scope, matches_scope, scope_names, scope_names_column
 
 @dataclass
 class Entry:
@@ -146,28 +82,36 @@ class Registry:
             raise GraphError("VALIDATION_ERROR", "; ".join(errors[:20]))
 
     def audit(self, rows: DataFrame) -> DataFrame:
-        """The rows that validate() would refuse, with `violation`."""
-
-        @F.pandas_udf("string")
-        def why(a: pd.Series, x: pd.Series, b: pd.Series, data: pd.Series, scope: pd.Series) -> pd.Series:
-            def one(*t):
-                try:
-                    self.validate(*t[:3], json.loads(t[3] or "{}"), t[4])
-                except GraphError as e:
-                    return str(e)
-                return None
-
-            return pd.Series([one(*t) for t in zip(a, x, b, data, scope, strict=True)], dtype=object)
-
-        return rows.withColumn("violation", why("aType", "axbType", "bType", F.to_json("data"), "scope")).where("violation is not null")
+        """The rows that validate() would refuse, with `violation`; the schemas are columns, so no payload leaves the JVM."""
+        why = F.concat(F.lit("REGISTRY_VIOLATION: ("), F.concat_ws(", ", "aType", "axbType", "bType"), F.lit(") isn't registered"))
+        for (a, x, b), e in self.entries.items():
+            told = violations(e.json_schema or True, F.col("data"))
+            refused = F.when(F.size(told) > 0, F.concat(F.lit("VALIDATION_ERROR: "), F.array_join(F.slice(told, 1, 20), "; ")))
+            if e.allowed_in:
+                names = scope_names_column(F.col("scope"))
+                at = F.when(names == "", F.lit("root")).otherwise(F.coalesce(names, F.col("scope")))
+                refused = F.when(~in_scope(F.col("scope"), e.allowed_in), F.concat(F.lit(f"REGISTRY_SCOPE: {a} {x} {b} isn't allowed in "), at)).otherwise(refused)
+            why = F.when((F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b), refused).otherwise(why)
+        return rows.withColumn("violation", why).where("violation is not null")
 
     def migrated(self, rows: DataFrame) -> DataFrame:
-        """Rows with payloads of older versions brought to the latest, step by step."""
+        """Rows with payloads of older versions brought to the latest, step by step.
+
+        In a step `data` is a variable of its own, the payload as JSON, so a step is free to
+        have that word in a text; each step's result is worked out once, for the next one.
+        """
+        state = None
         for (a, x, b), e in self.entries.items():
-            mine = (F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b)
-            for start, end, step in sorted(e.migrations):
-                due = mine & (F.coalesce("v", F.lit(0)) == start)
-                text = rows.withColumn("_json", F.to_json("data"))
-                new = F.expr(re.sub(r"\bdata\b", "_json", step))
-                rows = text.withColumn("data", F.when(due, F.parse_json(new)).otherwise(F.col("data"))).withColumn("v", F.when(due, F.lit(end)).otherwise(F.col("v"))).drop("_json")
-        return rows
+            if not e.migrations:
+                continue
+            own = "named_struct('j', to_json(data), 'v', v)"
+            for k, (start, end, step) in enumerate(sorted(e.migrations)):
+                own = f"element_at(transform(array({own}), s{k} -> if(coalesce(s{k}.v, 0) = {start}, named_struct('j', element_at(transform(array(s{k}.j), data -> {step}), 1), 'v', {end}), s{k})), 1)"
+            mine = (F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b) & (F.coalesce("v", F.lit(0)) < e.version)
+            state = F.when(mine, F.expr(own)) if state is None else state.when(mine, F.expr(own))
+        if state is None:
+            return rows
+        columns = rows.columns
+        rows = rows.withColumn("_state", state)
+        done = F.col("_state").isNotNull()
+        return rows.withColumn("data", F.when(done, F.parse_json("_state.j")).otherwise(F.col("data"))).withColumn("v", F.when(done, F.col("_state.v")).otherwise(F.col("v"))).select(*columns)

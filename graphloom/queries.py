@@ -79,7 +79,9 @@ query("find_nodes_where_range", f"SELECT {_NODE} AS aUid, c_acctbal AS acctbal F
 query("find_nodes_wrong_type", "SELECT 'x' AS aUid WHERE false")(lambda g: g.find_nodes("customer", [("acctbal", "==", "1000")], limit=0).select("aUid"))
 query("find_nodes_ne", f"SELECT {_NODE} AS aUid FROM customer WHERE c_mktsegment <> 'BUILDING'")(lambda g: g.find_nodes("customer", [("segment", "!=", "BUILDING")], limit=0).select("aUid"))
 query("find_nodes_bool", f"SELECT {_NODE} AS aUid FROM customer WHERE c_acctbal < 0")(lambda g: g.find_nodes("customer", [("active", "==", False)], limit=0).select("aUid"))
-query("find_nodes_null", "SELECT 'x' AS aUid WHERE false")(lambda g: g.find_nodes("customer", [("segment", "==", None)], limit=0).select("aUid"))
+query("find_nodes_null", f"SELECT {_NODE} AS aUid, 'is' AS axbType FROM customer WHERE c_acctbal < 0")(
+    lambda g: g.find_nodes("customer", [("segment", "==", None)], limit=0).unionByName(g.find_nodes("customer", [("missing", "!=", None), ("acctbal", "<", 0)], limit=0)).unionByName(g.find_nodes("customer", [("active", "in", [None, False])], limit=0)).select("aUid", "axbType")
+)
 query("find_nodes_in", f"SELECT {_NODE} AS aUid FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")(lambda g: g.find_nodes("customer", [("segment", "in", ["BUILDING", "MACHINERY", 5])], limit=0).select("aUid"))
 query("find_nodes_not_in", f"SELECT {_NODE} AS aUid FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")(lambda g: g.find_nodes("customer", [("segment", "not-in", ["BUILDING", "MACHINERY"])], limit=0).select("aUid"))
 query("array_contains", "SELECT 'part-' || p_partkey AS aUid FROM part WHERE list_contains(string_split(p_name, ' '), (SELECT min(string_split(p_name, ' ')[1]) FROM part))")(
@@ -104,7 +106,9 @@ _SPEC = {"n": ("count",), "total": ("sum", "data.total"), "mean": ("avg", "data.
 _rounded = lambda df: df.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 4)})
 query("aggregate_all", f"SELECT {_AGG.format('o_totalprice')} FROM orders")(lambda g: _rounded(g.aggregate(_SPEC, Find(aType="customer", axbType="placed"))))
 query("aggregate_filtered", f"SELECT {_AGG.format('o_totalprice')} FROM orders WHERE o_totalprice >= 150000")(lambda g: _rounded(g.aggregate(_SPEC, Find(aType="customer", axbType="placed", where=[("total", ">=", 150000)]))))
-query("aggregate_empty", "SELECT 0::BIGINT AS n, 0::DOUBLE AS total, 'NaN'::DOUBLE AS mean, 0::DOUBLE AS low, 0::DOUBLE AS high")(lambda g: _rounded(g.aggregate(_SPEC, Find(aType="nobody", axbType="placed"))))
+query("aggregate_empty", "SELECT 0::BIGINT AS n, 0::DOUBLE AS total, 'NaN'::DOUBLE AS mean, 0::DOUBLE AS low, 0::DOUBLE AS high")(
+    lambda g: _rounded(g.aggregate(_SPEC, Find(aType="customer", axbType="placed", where=[("total", "<", -1)])))
+)
 query("aggregate_grouped", f"SELECT o_orderstatus AS status, {_AGG.format('o_totalprice')} FROM orders GROUP BY o_orderstatus")(lambda g: _rounded(g.aggregate(_SPEC, Find(aType="order", axbType="is"), group_by=["status"])))
 query("expand_forward", f"SELECT {_ORDERS} FROM orders WHERE o_custkey IN (1, 2, 4, 7)")(lambda g: g.expand([f"customer-{i}" for i in (1, 2, 4, 7)], "placed").select("aUid", "bUid"))
 query("expand_reverse_table", "SELECT 'customer-' || c_custkey AS aUid, 'nation-' || c_nationkey AS bUid FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")(
@@ -215,6 +219,51 @@ _PART = {"type": "object", "required": ["name"], "properties": {"name": {"type":
 query("audit_schema", "SELECT 'part-' || p_partkey AS docId, 'VALIDATION_ERROR: /size: breaks maximum 40' AS violation FROM part WHERE p_size > 40")(
     lambda g: Registry([Entry("part", json_schema=_PART)]).audit(g.find_nodes("part", limit=0)).select("docId", "violation")
 )
+
+
+def _audited(name: str, kind: str, schema: dict, table: str, key: str, told: list[tuple[str, str]]) -> None:
+    """An audit of one kind by a schema; told has the violations in order, each with what breaks the rule."""
+    said = ", ".join(f"CASE WHEN {when} THEN '{what}' END" for what, when in told)
+    sql = f"SELECT docId, 'VALIDATION_ERROR: ' || array_to_string(v, '; ') AS violation FROM (SELECT '{kind}-' || {key} AS docId, list_filter([{said}], lambda x: x IS NOT NULL) AS v FROM {table}) WHERE len(v) > 0"
+    query(name, sql)(lambda g: Registry([Entry(kind, json_schema=schema)]).audit(g.find_nodes(kind, limit=0)).select("docId", "violation"))
+
+
+_TAG = "string_split(p_name, ' ')"
+_audited("audit_contains", "part", {"properties": {"tags": {"maxItems": 2, "contains": {"pattern": "[aeiou]$"}}}}, "part", "p_partkey", [("/tags: has a size out of bounds", f"len({_TAG}) > 2"), ("/tags: contains too few or too many", f"len(list_filter({_TAG}, lambda x: regexp_matches(x, '[aeiou]$'))) = 0")])
+_audited("audit_items", "part", {"properties": {"tags": {"prefixItems": [{"maxLength": 4}], "items": {"pattern": "^[a-p0-9]"}, "uniqueItems": True}}}, "part", "p_partkey", [
+    ("/tags/0: has a size out of bounds", f"length({_TAG}[1]) > 4"), ("/tags/1: must match ^[a-p0-9]", f"len({_TAG}) > 1 AND NOT regexp_matches({_TAG}[2], '^[a-p0-9]')"), ("/tags/2: must match ^[a-p0-9]", f"len({_TAG}) > 2 AND NOT regexp_matches({_TAG}[3], '^[a-p0-9]')"),
+    ("/tags/3: must match ^[a-p0-9]", f"len({_TAG}) > 3 AND NOT regexp_matches({_TAG}[4], '^[a-p0-9]')"), ("/tags/4: must match ^[a-p0-9]", f"len({_TAG}) > 4 AND NOT regexp_matches({_TAG}[5], '^[a-p0-9]')"), ("/tags: repeats an item", f"len(list_distinct({_TAG})) < len({_TAG})"),
+])
+_audited("audit_conditional", "customer", {"if": {"properties": {"segment": {"const": "BUILDING"}}}, "then": {"properties": {"acctbal": {"minimum": 0}}}, "else": {"properties": {"acctbal": {"exclusiveMaximum": 5000}}}}, "customer", "c_custkey", [
+    ("/acctbal: breaks minimum 0", "c_mktsegment = 'BUILDING' AND c_acctbal < 0"), ("/acctbal: breaks exclusiveMaximum 5000", "c_mktsegment <> 'BUILDING' AND c_acctbal >= 5000"),
+])
+_audited("audit_references", "supplier", {"properties": {"name": {"$ref": "#/$defs/label"}, "acctbal": {"$ref": "#sum"}}, "$defs": {"label": {"type": "string", "pattern": "[02468]$"}, "x": {"$anchor": "sum", "type": "number", "minimum": 100}}}, "supplier", "s_suppkey", [
+    ("/name: must match [02468]$", "NOT regexp_matches(s_name, '[02468]$')"), ("/acctbal: breaks minimum 100", "s_acctbal < 100"),
+])
+_audited("audit_patterns", "part", {"patternProperties": {"^pri": {"maximum": 1000}, "^size$": {"multipleOf": 2}}, "additionalProperties": {"type": ["string", "array"]}, "propertyNames": {"maxLength": 5}}, "part", "p_partkey", [("/price: breaks maximum 1000", "p_retailprice > 1000"), ("/size: breaks multipleOf 2", "p_size % 2 <> 0")])
+_audited("audit_formats", "order", {"properties": {"priority": {"format": "hostname"}, "status": {"enum": ["O", "F"]}}}, "orders", "o_orderkey", [("/priority: must be of format hostname", "NOT regexp_full_match(o_orderpriority, '[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?')"), ("/status: must be one of the listed values", "o_orderstatus NOT IN ('O', 'F')")])
+_audited("audit_combined", "customer", {"anyOf": [{"properties": {"acctbal": {"minimum": 1000}}}, {"properties": {"segment": {"const": "MACHINERY"}}}], "oneOf": [{"properties": {"active": {"const": True}}}, {"properties": {"acctbal": {"maximum": 3000}}}], "not": {"properties": {"segment": {"enum": ["BUILDING"]}}}}, "customer", "c_custkey", [
+    ("/: fits none of anyOf", "c_acctbal < 1000 AND c_mktsegment <> 'MACHINERY'"), ("/: must fit one of oneOf", "(c_acctbal >= 0) = (c_acctbal <= 3000)"), ("/: fits what it must not", "c_mktsegment = 'BUILDING'"),
+])
+
+
+def _replies(g: Graph) -> Graph:
+    """The turns, and under each of them a graph of replies with one node."""
+    turns = g.candidates([("aType", "==", "turn"), ("axbType", "==", "is")], everywhere=True).where("aType = 'turn'")
+    inner = turns.withColumns({"scope": F.concat_ws("/", "scope", "aUid", F.lit("replies")), "aType": F.lit("reply"), "bType": F.lit("reply")})
+    return Graph(turns.unionByName(inner))
+
+
+_REPLY = "'conv-' || conv_id || '/turns/turn-' || conv_id || '-' || turn || '/replies' AS scope, 'turn-' || conv_id || '-' || turn AS aUid"
+query("global_by_globs", f"SELECT {_REPLY} FROM conversations WHERE role = 'user'")(
+    lambda g: _replies(g).find_edges_global(Find(axbType="is", bType="reply", where=[("role", "==", "user")], limit=0), within=["turns/*", "root"]).select("scope", "aUid")
+)
+query("audit_scopes", f"SELECT {_REPLY}, 'REGISTRY_SCOPE: reply is reply isn''t allowed in turns/replies' AS violation FROM conversations")(
+    lambda g: Registry([Entry("turn", allowed_in=["**"]), Entry("reply", allowed_in=["root", "replies", "turns/replies/**/*"])]).audit(_replies(g).table).select("scope", "aUid", "violation")
+)
+query("migrate_bound", "SELECT 'nation-' || n_nationkey AS aUid, 'the data of data' AS kind, n_name AS name, 2 AS v FROM nation")(
+    lambda g: Registry([Entry("nation", migrations=[(0, 1, "to_json(named_struct('kind', 'the data of data', 'name', get_json_object(data, '$.name')))"), (1, 2, "to_json(map_concat(from_json(data, 'map<string,string>'), map('more', 'data')))")])]).migrated(g.find_nodes("nation")).where(F.try_variant_get("data", "$.more", "string") == "data").select("aUid", _str("kind"), _str("name"), "v")
+)
 query("typed_payloads", "SELECT 'part-' || p_partkey AS docId, p_name AS name, p_size::BIGINT AS size, p_retailprice AS price, len(string_split(p_name, ' ')) AS n_tags FROM part")(
     lambda g: typed_payloads(g, Entry("part", json_schema=_PART)).select("docId", "name", "size", "price", F.size("tags").alias("n_tags"))
 )
@@ -285,7 +334,9 @@ WITH e1 AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY {_edge
 SELECT {_ORDERS}, 2 AS depth FROM orders WHERE o_custkey IN (FROM e1) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_PLACED}) <= 2 UNION ALL SELECT 'customer-' || c_custkey, 'nation-3', 1 FROM e1""")(
     lambda g: g.run_engine_traversal(["nation-3"], [Hop("inNation", "reverse", aType="customer", limit=6), Hop("placed", limit=2)], max_reads=12).select("aUid", "bUid", "depth")
 )
-query("self_loops_skipped", "SELECT 'x' AS bUid WHERE false")(lambda g: g.expand(g.find_nodes("customer", limit=0).select("aUid"), "is", a_type="customer").select("bUid"))
+query("self_loops_skipped", f"SELECT 'region-' || n_regionkey AS bUid FROM nation WHERE n_regionkey < 3")(
+    lambda g: Graph(g.find_nodes("region", limit=0).unionByName(g.find_edges(Find(axbType="inRegion", aType="nation", limit=0)).withColumn("axbType", F.lit("is")))).expand(g.find_edges(Find(axbType="inRegion", bType="region", where=[("bUid", "in", ["region-0", "region-1", "region-2"])], limit=0)).select("bUid"), "is", "reverse").select("bUid")
+)
 query("aggregate_other_types", "SELECT count(*) AS n, 0::DOUBLE AS total, 'NaN'::DOUBLE AS mean, 0::DOUBLE AS low FROM customer")(
     lambda g: g.aggregate({"n": ("count",), "total": ("sum", "data.name"), "mean": ("avg", "data.segment"), "low": ("min", "data.active")}, Find(aType="customer", axbType="is"))
 )
