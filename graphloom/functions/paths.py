@@ -162,7 +162,7 @@ def predicate(name: str, op: str, value: object) -> Column:
             if op == "array-contains-any":
                 hits = hits | F.coalesce(F.arrays_overlap(_elements(name, vs[0]), F.array(*map(lit, vs))), F.lit(False))
             else:
-                hits = hits | F.coalesce(field(name, vs[0]).isin([v if envelope else (float(v) if kind_of(v) == "number" else v) for v in vs]), F.lit(False))
+                hits = hits | F.coalesce(field(name, vs[0]).isin(*map(lit, vs)), F.lit(False))
         if op == "not-in":
             return _there(name) & ~hits
         return hits

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
@@ -66,10 +66,13 @@ class Registry:
 
     def outdated(self, rows: DataFrame) -> DataFrame:
         """Rows whose version is below that of their entry."""
+        return rows.where(self.is_outdated())
+
+    def is_outdated(self) -> Column:
         due = F.lit(False)
         for (a, x, b), e in self.entries.items():
             due = due | ((F.col("aType") == a) & (F.col("axbType") == x) & (F.col("bType") == b) & (F.coalesce("v", F.lit(0)) < e.version))
-        return rows.where(due)
+        return due
 
     def validate(self, a_type: str, axb_type: str, b_type: str, data: object, scope: str = "") -> None:
         entry = self.entries.get((a_type, axb_type, b_type))

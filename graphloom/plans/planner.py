@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from graphloom.errors import GraphError, invalid
@@ -62,10 +63,11 @@ def is_selective(filters: list[Filter]) -> bool:
 
 
 def guard(filters: list[Filter], mode: str = "error", allow_scan: bool = False) -> str | None:
-    """Refuse (or, with mode warn, describe) a query that would read a whole graph."""
+    """Refuse (or, with mode warn, warn of) a query that would read a whole graph."""
     if mode == "off" or allow_scan or is_selective(filters):
         return None
     message = "the filters don't narrow the query; add a relation and one end, or allow the scan"
     if mode == "error":
         raise GraphError("QUERY_SAFETY", message)
+    warnings.warn(message, stacklevel=3)
     return message

@@ -388,6 +388,23 @@ UNION ALL SELECT 2, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2
 UNION ALL SELECT 3, 'customer-' || o_custkey, 'order-' || o_orderkey FROM e2 WHERE place = 1""")(
     lambda g: g.run_engine_traversal([f"nation-{k}" for k in range(25)], [Hop("inNation", "reverse", aType="customer", limit=40), Hop("placed", limit=2, order_by=("data.total", "desc")), Hop("placed", "reverse", limit=1)]).select("depth", "aUid", "bUid")
 )
+
+
+def _dated_orders(g: Graph) -> Graph:
+    """The orders with a date in ISO form and an object in their payloads."""
+    about = F.struct(F.struct(paths.typed("$.status", "string").alias("state"), (F.expr("cast(substr(aUid, 7) as long)") % 3).alias("class")).alias("about"), F.date_format(F.timestamp_add("DAY", F.expr("cast(substr(aUid, 7) as int) % 900"), F.lit(datetime.datetime(2023, 1, 1))), "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return Graph(g.find_nodes("order", limit=0).withColumn("data", F.to_variant_object(about)))
+
+
+query("filter_payload_dates", "SELECT 'order-' || o_orderkey AS aUid FROM orders WHERE o_orderkey % 900 BETWEEN 59 AND 364")(
+    lambda g: _dated_orders(g).find_nodes("order", [("at", ">=", datetime.datetime(2023, 3, 1)), ("data.at", "<=", datetime.datetime(2023, 12, 31))], limit=0).select("aUid")
+)
+query("filter_payload_objects", "SELECT 'order-' || o_orderkey AS aUid FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 1")(
+    lambda g: _dated_orders(g).find_nodes("order", [("about", "==", {"state": "O", "class": 1}), ("about", "!=", {"class": 2, "state": "F"})], limit=0).select("aUid")
+)
+query("filter_payload_object_list", "SELECT 'order-' || o_orderkey AS aUid FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderkey % 3 = 2")(
+    lambda g: _dated_orders(g).find_nodes("order", [("about", "in", [{"state": "O", "class": 2}, {"state": "F", "class": 2}, "O", 2])], limit=0).select("aUid")
+)
 _BIG = 1 << 53
 
 

@@ -1,16 +1,16 @@
 """A graph store of immutable Parquet snapshots.
 
-Each commit writes a fresh folder and then a marker that names it as version N + 1;
-folders before it stay as they are.  A commit that finds its marker taken has lost a
+Each commit writes the partitions that it touches and then a marker that names the next
+version; what was there stays as it is.  A commit that finds its marker taken has lost a
 race and raises CONFLICT, so a writer succeeds against the version that it read only.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,62 +22,63 @@ from graphloom.model import COLUMNS, NODE, TRIPLE_SCHEMA, doc_id_column
 from graphloom.operators.graph import Graph
 from graphloom.operators.registry import Registry
 from graphloom.plans.planner import Find
+from graphloom.sources.folders import kept
+from graphloom.sources.parts import Part, PartTable
 
 #: A change set: rows of the triple table with data as JSON, and in `op` put, replace, update or remove; seq orders changes of one row.
 CHANGES = "scope string, aType string, aUid string, axbType string, bType string, bUid string, data string, v int, op string, seq long"
 OPS = ("put", "replace", "update", "remove")
 
 
+class GraphStore(Protocol):
+    """What every store of graphs does: give its graphs, and fold changes of one into it."""
+
+    def graph(self, scope: str = "") -> Graph: ...
+
+    def apply(self, changes: DataFrame, now: str) -> int: ...
+
+
+#: The columns as a store keeps them: in partitions of a relation and a share of its sources.
+STORED = TRIPLE_SCHEMA + ", _bucket int"
+
+
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """Versions of a triple table; a commit writes only the partitions (relation, bucket of sources) that it touches.
 
-    def _files(self):
-        """The Hadoop file system of the store, and a function from names to its paths."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    A store keeps the number of buckets that it was made with: a put of one row rewrites about one
+    relation's rows divided by it.
+    """
 
-    def _versions(self) -> list[int]:
-        fs, at = self._files()
-        if not fs.exists(at("")):
-            return []
-        return sorted(int(m[1]) for f in fs.listStatus(at("")) if (m := re.fullmatch(r"version-(\d+)", f.getPath().getName())))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        if buckets < 1:
+            raise invalid("a store needs a bucket")
+        self.spark, self.path = spark, path.rstrip("/")
+        self.table, self._buckets = PartTable(spark, path, ("axbType", "_bucket")), buckets
 
-    def _folder(self, version: int) -> str:
-        """The folder that the version's marker names."""
-        return f"{self.path}/{self.spark.read.text(f'{self.path}/version-{version}').first()[0]}"
+    def buckets(self, version: int) -> int:
+        return self.table.marker(version)["settings"].get("buckets", self._buckets)
 
     def version(self) -> int:
-        return max(self._versions(), default=0)
+        return self.table.latest()
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(self._folder(version)).select(*COLUMNS)
+        return self._read(self.version() if version is None else version).select(*COLUMNS)
+
+    def _read(self, version: int, only: list[Part] | None = None) -> DataFrame:
+        return self.table.read(STORED, version, only)
 
     def graph(self, scope: str = "", version: int | None = None) -> Graph:
         return Graph(self.read(version), scope)
 
+    def _placed(self, rows: DataFrame, version: int) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64("scope", "aUid"), F.lit(self.buckets(version))).cast("int"))
+
     def commit(self, rows: DataFrame, base: int) -> int:
-        """Write rows as the version after base: a fresh folder, in ranges of relation and source, then its marker.
+        """All rows of the version after base; CONFLICT if there is one already."""
+        return self._commit(self._placed(rows.select(*COLUMNS), base), base, None)
 
-        The marker is a file that one writer alone can create (where the file system's
-        create is atomic, as HDFS's is).  A job that fails leaves an unnamed folder only.
-        """
-        if self.version() != base:
-            raise GraphError("CONFLICT", f"version {base} isn't the latest")
-        folder = f"rows-{uuid.uuid4().hex}"
-        rows.repartitionByRange("axbType", "aUid", "bUid").sortWithinPartitions("axbType", "aUid").write.partitionBy("axbType").parquet(f"{self.path}/{folder}")
-        fs, at = self._files()
-        try:
-            marker = fs.create(at(f"version-{base + 1}"), False)
-        except Exception as e:
-            raise GraphError("CONFLICT", f"version {base + 1} was written meanwhile") from e
-        marker.write(bytearray(folder.encode()))
-        marker.close()
-        return base + 1
+    def _commit(self, rows: DataFrame, base: int, replaced: list[Part] | None) -> int:
+        return self.table.write(rows, base, replaced, {"buckets": self.buckets(base)}, ["aUid", "bUid"])
 
     def apply(self, changes: DataFrame, now: str, base: int | None = None, missing: str = "error") -> int:
         """Fold a change set (columns CHANGES) in order and commit it; `now` stamps what it touches.
@@ -85,15 +86,16 @@ class SnapshotStore:
         Updates of rows that aren't there raise NOT_FOUND unless missing is "skip".
         """
         base = self.version() if base is None else base
-        rows = self.read(base)
-        delta = changes.withColumn("docId", doc_id_column())
+        delta = self._placed(changes, base).withColumn("docId", doc_id_column())
+        touched = [part for part, _ in self.table.touched(delta)]
+        rows = self._read(base, touched)
         keys = delta.select("scope", "docId").distinct()
-        old = rows.join(keys, ["scope", "docId"], "left_semi")
-        made = folded(old, delta, now)
+        made = kept(folded(rows.join(keys, ["scope", "docId"], "left_semi"), delta, now))
         if missing == "error" and not made.where("missing").isEmpty():
             raise GraphError("NOT_FOUND", "an update names a row that isn't there")
-        kept = rows.join(keys, ["scope", "docId"], "left_anti").select(*COLUMNS)
-        return self.commit(kept.unionByName(made.where("not missing").select(*COLUMNS)), base)
+        rest = rows.join(keys, ["scope", "docId"], "left_anti")
+        made = self._placed(made.where("not missing").select(*COLUMNS), base)
+        return self._commit(rest.select(*COLUMNS, "_bucket").unionByName(made), base, touched)
 
     # conditional writes
     def _matching(self, scope: str, find: Find) -> Column:
@@ -102,48 +104,74 @@ class SnapshotStore:
             hit = hit & paths.predicate(*f)
         return F.coalesce(hit, F.lit(False))
 
+    def _rewritten(self, hit: Column, base: int | None, made: Callable[[DataFrame], DataFrame] | None = None) -> tuple[int, int]:
+        """Drop the rows that meet a condition, or replace them by what made makes of them: (how many, version).
+
+        One scan counts the hits by partition, and only partitions with hits are read again and written.
+        """
+        base = self.version() if base is None else base
+        found = self.table.touched(self._read(base).where(hit))
+        if not found:
+            return 0, base
+        touched = [part for part, _ in found]
+        rows = self._read(base, touched)
+        rest = rows.where(~hit).select(*COLUMNS, "_bucket")
+        if made:
+            rest = rest.unionByName(made(rows.where(hit)).select(*COLUMNS, "_bucket"))
+        return sum(n for _, n in found), self._commit(rest, base, touched)
+
     def bulk_delete(self, find: Find, scope: str = "", base: int | None = None) -> tuple[int, int]:
-        """(rows deleted, new version)."""
+        """(rows deleted, version: a new one if there were any)."""
         if not find.filters():
             raise invalid("a bulk delete needs a filter")
-        base = self.version() if base is None else base
-        rows, hit = self.read(base), self._matching(scope, find)
-        n = rows.where(hit).count()
-        return n, self.commit(rows.where(~hit), base)
+        return self._rewritten(self._matching(scope, find), base)
 
     def bulk_update(self, find: Find, data: dict, now: str, scope: str = "", base: int | None = None) -> tuple[int, int]:
-        """Merge data into the payloads of all matches: (rows updated, new version)."""
+        """Merge data into the payloads of all matches: (rows updated, version)."""
         operations = patch.flatten_patch(data)
         if not operations:
             raise invalid("a bulk update needs a patch")
-        base = self.version() if base is None else base
-        rows, hit = self.read(base), self._matching(scope, find)
 
         @F.pandas_udf("string")
         def merged(payload: pd.Series) -> pd.Series:
             return payload.map(lambda p: patch.apply_patch(p, operations))
 
-        n = rows.where(hit).count()
-        changed = rows.where(hit).withColumn("data", F.parse_json(merged(F.to_json("data")))).withColumn("updatedAt", F.lit(now).cast("timestamp"))
-        return n, self.commit(rows.where(~hit).unionByName(changed), base)
+        return self._rewritten(self._matching(scope, find), base, lambda rows: rows.withColumn("data", F.parse_json(merged(F.to_json("data")))).withColumn("updatedAt", F.lit(now).cast("timestamp")))
 
     def bulk_remove_edges(self, find: Find, scope: str = "", base: int | None = None) -> dict:
         """Drop the matching edges, never nodes: {deleted, batches, errors, version}."""
         if not find.filters():
             raise invalid("a bulk delete needs a filter")
-        base = self.version() if base is None else base
-        rows = self.read(base)
         hit = self._matching(scope, find) & ~((F.col("axbType") == NODE) & (F.col("aUid") == F.col("bUid")))
-        n = rows.where(hit).count()
-        return {"deleted": n, "batches": 1, "errors": [], "version": self.commit(rows.where(~hit), base)}
+        n, version = self._rewritten(hit, base)
+        return {"deleted": n, "batches": 1, "errors": [], "version": version}
 
     def delete_graph(self, scope: str = "", nested: bool = False, base: int | None = None) -> int:
-        """Drop all rows of a graph, with nested those of the graphs under it too: the new version."""
-        base = self.version() if base is None else base
+        """Drop all rows of a graph, with nested those of the graphs under it too: the version."""
         gone = F.col("scope") == scope
         if nested:
             gone = gone | F.col("scope").startswith(scope + "/" if scope else "")
-        return self.commit(self.read(base).where(~gone), base)
+        return self._rewritten(gone, base)[1]
+
+    def put_edge_with_node(self, edge: tuple[tuple[str, str], str, tuple[str, str]], now: str, node_data: dict | None = None, edge_data: dict | None = None, new_side: str = "b", scope: str = "", attempts: int = 3) -> int:
+        """An edge (a, relation, b) and the node at its new side in one version.
+
+        The node is only made if it isn't there; an edge that is there is merged with edge_data.  If both
+        are there it raises CONFLICT.  A lost race looks again at the newer version.
+        """
+        if new_side not in ("a", "b"):
+            raise invalid("the new node is at side a or b")
+        a, relation, b = edge
+        fresh = a if new_side == "a" else b
+
+        def body(graph: Graph) -> DataFrame:
+            node, known = not graph.get_node(fresh[1]).isEmpty(), graph.edge_exists(a[1], relation, b[1])
+            if node and known:
+                raise GraphError("CONFLICT", f"both {fresh[1]} and its edge are there")
+            rows = [] if node else [change("put", 0, fresh, data=node_data, scope=scope)]
+            return self.spark.createDataFrame([*rows, change("put", 1, a, relation, b, edge_data, scope=scope)], CHANGES)
+
+        return self.run_transaction(body, now, scope, attempts)
 
     def run_transaction(self, body: Callable[[Graph], DataFrame | None], now: str, scope: str = "", attempts: int = 3) -> int:
         """body(graph as of one version) gives a change set, committed if that version is still the latest.
@@ -162,20 +190,37 @@ class SnapshotStore:
                     raise
         raise invalid("a transaction needs an attempt")
 
+    def read_migrated(self, registry: Registry, find: Find, scope: str = "", base: int | None = None) -> tuple[DataFrame, int]:
+        """What find finds, in the latest versions of the payloads, and written back so: (rows, version).
+
+        Only old payloads among the rows found are written, in their partitions.  A read doesn't fail for a
+        writer that was faster: its rows are then not written back, and the version is the one that was read.
+        """
+        base = self.version() if base is None else base
+        found = kept(replace(self.graph(scope, base), registry=None).find_edges(find))
+        old = registry.outdated(found).select("scope", "docId", "axbType", "aUid")
+        touched = [part for part, _ in self.table.touched(self._placed(old, base))]
+        if touched:
+            rows = self._read(base, touched)
+            keys = old.select("scope", "docId")
+            fresh = registry.migrated(rows.join(keys, ["scope", "docId"], "left_semi")).select(*COLUMNS, "_bucket")
+            rest = rows.join(keys, ["scope", "docId"], "left_anti").select(*COLUMNS, "_bucket")
+            try:
+                base = self._commit(rest.unionByName(fresh), base, touched)
+            except GraphError as e:
+                if e.code != "CONFLICT":
+                    raise
+        return registry.migrated(found), base
+
     def compact_migrations(self, registry: Registry, base: int | None = None) -> tuple[int, int]:
         """Write old payloads back in their latest version: (rows brought up, new version)."""
-        base = self.version() if base is None else base
-        rows = self.read(base)
-        n = registry.outdated(rows).count()
-        return n, self.commit(registry.migrated(rows), base) if n else base
+        return self._rewritten(F.coalesce(registry.is_outdated(), F.lit(False)), base, registry.migrated)
 
     def remove_node_cascade(self, uid: str, scope: str = "", base: int | None = None) -> tuple[int, int]:
         """Drop a node, its edges and all graphs nested under it: (rows dropped, new version)."""
-        base = self.version() if base is None else base
         under = (scope + "/" if scope else "") + uid + "/"
-        rows = self.read(base)
         hit = ((F.col("scope") == scope) & ((F.col("aUid") == uid) | (F.col("bUid") == uid))) | F.col("scope").startswith(under)
-        return rows.where(hit).count(), self.commit(rows.where(~hit), base)
+        return self._rewritten(hit, base)
 
 
 #: A row as `folded` reads and writes it: the payload as JSON.

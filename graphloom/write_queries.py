@@ -11,9 +11,10 @@ from graphloom.functions import paths
 from graphloom.functions.patch import DELETE
 from graphloom.model import NODE
 from graphloom.operators.graph import Graph
+from graphloom.operators.registry import Entry, Registry
 from graphloom.operators.search import find_nearest
 from graphloom.plans.planner import Find
-from graphloom.sources.collections import Collection, collection_page
+from graphloom.sources.collections import Collection, CollectionStore, collection_page
 from graphloom.sources.folders import new_folder
 from graphloom.sources.routed import RoutedStore
 from graphloom.sources.store import CHANGES, SnapshotStore, change, changes_of
@@ -32,7 +33,7 @@ def query(sql: str):
 
     def keep(fn: Callable[[SnapshotStore], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            store = SnapshotStore(spark, new_folder(spark, fn.__name__))
+            store = SnapshotStore(spark, new_folder(spark, fn.__name__), buckets=4)
             store.commit(star_triples(spark, sf_dir), 0)
             return fn(store)
 
@@ -199,21 +200,120 @@ def versions_kept(store: SnapshotStore) -> DataFrame:
     return store.graph().find_nodes("region").select("aUid", _text("name"), "v")
 
 
-def routed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns go to a store of their own; a read over all stores says where rows lie."""
+_ROUTES = {"turns": "talk", "replies": "notes"}
+
+
+def _replies(rows: DataFrame) -> DataFrame:
+    """Under each turn a graph of replies with one node."""
+    turns = rows.where("aType = 'turn'")
+    return turns.withColumns({"scope": F.concat_ws("/", "scope", "aUid", F.lit("replies")), "aType": F.lit("reply"), "bType": F.lit("reply")})
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> RoutedStore:
+    """All rows of the star tables, with the turns in a store of their own and the replies to them in another."""
     rows = star_triples(spark, sf_dir)
-    stores = RoutedStore(SnapshotStore(spark, new_folder(spark, "base")), {"talk": SnapshotStore(spark, new_folder(spark, "talk"))}, lambda uid, name, scope: "talk" if name == "turns" else None)
-    stores.store_of("").commit(rows.where(F.col("aType").isin("nation", "region") & (F.col("scope") == "")), 0)
-    stores.store_of("conv-1/turns").commit(rows.where(F.col("axbType") == "hasTurn"), 0)
-    return stores.read_all().groupBy("store", "aType", "axbType").agg(F.count("*").alias("n"))
+    base, talk, notes = (SnapshotStore(spark, new_folder(spark, n), buckets=4) for n in ("base", "talk", "notes"))
+    base.commit(rows.where("scope = ''"), 0)
+    talk.commit(rows.where("scope <> ''"), 0)
+    notes.commit(_replies(rows), 0)
+    return RoutedStore(base, {"talk": talk, "notes": notes}, lambda uid, name, scope: _ROUTES.get(name), {"talk": {"turns"}, "notes": {"replies"}, "": set()})
 
 
+def routed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested graphs in stores of their own; a read over all stores says where rows lie."""
+    return _routed(spark, sf_dir).read_all().groupBy("store", "aType", "axbType").agg(F.count("*").alias("n"))
+
+
+_BASE = [("region", "is", "region"), ("nation", "is", "nation"), ("customer", "is", "customer"), ("supplier", "is", "supplier"), ("part", "is", "part"), ("order", "is", "orders"), ("event", "is", "events"), ("doc", "is", "documents"), ("item", "is", "embeddings")]
+_BASE += [("nation", "inRegion", "nation"), ("customer", "inNation", "customer"), ("supplier", "inNation", "supplier"), ("customer", "placed", "orders"), ("user", "did", "events")]
 QUERIES["routed_stores"] = routed_stores
-ORACLE_SQL["routed_stores"] = (
-    "SELECT 'talk' AS store, 'conversation' AS aType, 'hasTurn' AS axbType, count(*) AS n FROM conversations UNION ALL SELECT '', 'nation', 'is', count(*) FROM nation "
-    "UNION ALL SELECT '', 'nation', 'inRegion', count(*) FROM nation UNION ALL SELECT '', 'region', 'is', count(*) FROM region"
+ORACLE_SQL["routed_stores"] = " UNION ALL ".join(
+    [f"SELECT '' AS store, '{a}' AS aType, '{x}' AS axbType, count(*) AS n FROM {t}" for a, x, t in _BASE]
+    + [f"SELECT '{s}', '{a}', '{x}', count(*) FROM conversations" for s, a, x in (("talk", "turn", "is"), ("talk", "conversation", "hasTurn"), ("notes", "reply", "is"))]
+)
+
+
+def routed_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search over the graphs of all stores, by globs; order and limit hold for all together."""
+    found = _routed(spark, sf_dir).find_edges_global(Find(axbType=NODE, where=[("aType", "in", ["turn", "reply"]), ("role", "==", "user")], order_by=("aUid", "desc"), limit=60), within=["**/replies", "turns"])
+    return found.select("store", "scope", "aUid")
+
+
+_TURN = "'turn-' || conv_id || '-' || turn"
+QUERIES["routed_global"] = routed_global
+ORACLE_SQL["routed_global"] = (
+    f"WITH t AS (SELECT 'talk' AS store, 'conv-' || conv_id || '/turns' AS scope, {_TURN} AS aUid FROM conversations WHERE role = 'user'), a AS (FROM t UNION ALL SELECT 'notes', scope || '/' || aUid || '/replies', aUid FROM t) "
+    "SELECT store, scope, aUid FROM (SELECT *, row_number() OVER (ORDER BY aUid DESC) AS r, count(*) OVER () AS n FROM a) WHERE r <= 60"
+)
+
+
+def routed_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by the name of the graphs reads only stores that can have such."""
+    return _routed(spark, sf_dir).find_edges_global(Find(axbType=NODE, bType="reply", limit=0), "replies").select("store", "aUid")
+
+
+QUERIES["routed_by_name"] = routed_by_name
+ORACLE_SQL["routed_by_name"] = f"SELECT 'notes' AS store, {_TURN} AS aUid FROM conversations"
+
+
+def routed_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node goes with the graphs under it in two other stores; each store tells what it did, and what is left is counted."""
+    stores = _routed(spark, sf_dir)
+    told = spark.createDataFrame([(o.store, o.rows, o.version, o.error) for o in stores.remove_node_cascade("conv-4")], "store string, dropped long, version int, error string")
+    return told.join(stores.read_all().groupBy("store").agg(F.count("*").alias("left_rows")), "store", "left")
+
+
+QUERIES["routed_cascade"] = routed_cascade
+ORACLE_SQL["routed_cascade"] = (
+    f"WITH n AS (SELECT count(*) AS n, count(*) FILTER (conv_id = 4) AS m FROM conversations), b AS (SELECT {' + '.join(f'(SELECT count(*) FROM {t})' for _, _, t in _BASE)} AS b) "
+    "SELECT '' AS store, 0 AS dropped, 1 AS version, CAST(NULL AS VARCHAR) AS error, b AS left_rows FROM b UNION ALL SELECT 'notes', m, 2, NULL, n - m FROM n UNION ALL SELECT 'talk', 2 * m, 2, NULL, 2 * (n - m) FROM n"
 )
 
+
+def routed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of many scopes, each to the store of its scope as a commit of its own."""
+    stores = _routed(spark, sf_dir)
+    rows = stores.read_all().where("aType in ('turn', 'reply', 'region') and axbType = 'is'").drop("store")
+    told = stores.apply_all(changes_of(rows, "update", data={"seen": True}), NOW)
+    seen = stores.read_all().where(F.try_variant_get("data", "$.seen", "boolean")).groupBy("store", "aType").agg(F.count("*").alias("n"))
+    return seen.join(spark.createDataFrame([(o.store, o.rows, o.version) for o in told], "store string, changes long, version int"), "store")
+
+
+QUERIES["routed_changes"] = routed_changes
+ORACLE_SQL["routed_changes"] = " UNION ALL ".join(f"SELECT '{s}' AS store, '{a}' AS aType, count(*) AS n, count(*) AS changes, 2 AS version FROM {t}" for s, a, t in (("", "region", "region"), ("talk", "turn", "conversations"), ("notes", "reply", "conversations")))
+
+
+_LATER = Registry([Entry("nation", migrations=[(0, 1, "to_json(named_struct('label', lower(get_json_object(data, '$.name'))))"), (1, 2, "to_json(named_struct('label', concat(get_json_object(data, '$.label'), '!')))")])])
+
+
+@query("SELECT 'nation-' || n_nationkey AS aUid, lower(n_name) || '!' AS label, 2 AS v, CASE WHEN n_nationkey < 10 THEN 2 END AS stored FROM nation")
+def write_back_on_read(store: SnapshotStore) -> DataFrame:
+    """A read brings old payloads up and writes back those that it found; a later read finds the others as they were."""
+    first = [f"nation-{k}" for k in range(10)]
+    found, version = store.read_migrated(_LATER, Find(aType="nation", axbType=NODE, where=[("aUid", "in", first)], limit=0))
+    rest = Graph(store.read(version), registry=_LATER).find_edges(Find(aType="nation", axbType=NODE, where=[("aUid", "not-in", first)], limit=0))
+    kept = store.read(version).select("docId", F.col("v").alias("stored"))
+    return found.unionByName(rest).join(kept, "docId").select("aUid", _text("label"), "v", "stored")
+
+
+@query("SELECT 'customer-' || c_custkey AS aUid, CASE c_custkey WHEN 7 THEN 'seven' ELSE c_name END AS name, 1 AS rewritten, true AS others_kept FROM customer")
+def put_one_partition(store: SnapshotStore) -> DataFrame:
+    """A put of one row writes one partition; all others stay in the folder that they were in."""
+    before = store.table.parts(store.version())
+    version = store.apply(store.spark.createDataFrame([change("put", 0, ("customer", "customer-7"), data={"name": "seven"})], CHANGES), NOW)
+    after = store.table.parts(version)
+    changed = [part for part in after if after[part] != before.get(part)]
+    return store.graph().find_nodes("customer", limit=0).select("aUid", _text("name"), F.lit(len(changed)).alias("rewritten"), F.lit(before.keys() == after.keys()).alias("others_kept"))
+
+
+@query("SELECT 'nation-' || n_nationkey AS aUid, 'inRegion' AS axbType, 'region-' || n_regionkey AS bUid FROM nation UNION ALL SELECT 'nation-77', 'inRegion', 'region-1' UNION ALL SELECT 'nation-' || n_nationkey, 'is', 'nation-' || n_nationkey FROM nation UNION ALL SELECT 'nation-77', 'is', 'nation-77'")
+def put_edge_with_node(store: SnapshotStore) -> DataFrame:
+    """An edge and its new node in one version; with a node that is there, the edge alone."""
+    version = store.put_edge_with_node((("nation", "nation-77"), "inRegion", ("region", "region-1")), NOW, {"name": "MU"}, new_side="a")
+    assert version == 2
+    return _rows(store, "nation").select("aUid", "axbType", "bUid")
+
+
 _POINT = [1.0] + [0.0] * 63
 
 
@@ -244,3 +344,26 @@ ORACLE_SQL["collection_docs"] = (
     "r AS (SELECT p.* FROM p, c WHERE value > 10 AND (ts < t OR (ts = t AND event_id < i)) ORDER BY ts DESC, event_id DESC LIMIT 51) "
     "SELECT event_id, round(value, 6) AS value, (SELECT count(*) > 50 FROM r) AS hasMore FROM r ORDER BY ts DESC, event_id DESC LIMIT 50"
 )
+
+
+_PURCHASES = Collection("purchases", "{table}", "event_type", "purchase", "ts", True, ("value", "event_id"))
+
+
+def collection_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases beside the graph: dear ones marked, cheap ones dropped, copies of the marked ones made; each write on the version before."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("id", F.col("event_id").cast("string"))
+    root = new_folder(spark, "plain")
+    store = CollectionStore(spark, root, _PURCHASES, "id string, event_id long, event_type string, value double, props string", {"table": "events"})
+    first = store.create(events.where("event_type = 'purchase'").select("id", "event_id", "value", "props"), 0)
+    dear = store.read().where("value > 40").select("id", F.lit("dear").alias("props"))
+    second = store.update(dear, first, expected=F.col("value") > 40)
+    third = store.delete(store.read().where("value < 5").select("id"), second)
+    store.create(store.read().where("props = 'dear'").select(F.concat(F.lit("copy-"), "id").alias("id"), "event_id", "value"), third)
+    return store.read().select("id", "event_type", F.round("value", 6).alias("value"), "props")
+
+
+QUERIES["collection_writes"] = collection_writes
+ORACLE_SQL["collection_writes"] = (
+    "WITH p AS (SELECT *, value > 40 AS dear FROM events WHERE event_type = 'purchase' AND (value >= 5 OR value IS NULL)) "
+    "SELECT CAST(event_id AS VARCHAR) AS id, event_type, round(value, 6) AS value, CASE WHEN dear THEN 'dear' ELSE props END AS props FROM p UNION ALL SELECT 'copy-' || event_id, event_type, round(value, 6), NULL FROM p WHERE dear"
+)

@@ -55,7 +55,7 @@ def test_definitions_from_folder_and_graph(spark, store, tmp_path):
 def test_routing(spark, store, tmp_path):
     other = SnapshotStore(spark, f"file://{tmp_path}/o")
     routed = RoutedStore(store, {"logs": other}, lambda uid, name, path: "logs" if name == "log" else None)
-    assert routed.store_of("t1/log/x/deep") is other and routed.store_of("t1/plain") is store and "core.transactions" not in routed.capabilities
+    assert routed.name_of("t1/log/x/deep") == "logs" and routed.store_of("t1/log/x/deep") is other and routed.store_of("t1/plain") is store and "core.transactions" not in routed.capabilities
     rows = spark.createDataFrame([change("put", 1, ("line", "l"), scope="t1/log")], CHANGES)
     routed.apply(rows, NOW, "t1/log")
     assert routed.graph("t1/log").get_node("l").count() == 1 and routed.read_all().groupBy("store").count().count() == 2
