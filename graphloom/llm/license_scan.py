@@ -2,8 +2,9 @@
 
 Sentences of a file that name a licence are compared with short licence templates
 by the cosine of their TF-IDF vectors; words that no template has get the highest
-weight.  So are blocks, whatever words they have: the whole file and each run of up
-to `RUN` paragraphs, without comment marks and copyright lines, with full licence
+weight.  So are blocks, whatever words they have: the whole file, each run of up
+to `RUN` paragraphs, and each longer run whose paragraphs are mostly words of one long
+licence, without comment marks and copyright lines, with full licence
 texts, standard headers and titles, counts taken by their logarithms.  A match that
 names none of the versions that its template names is none.  An SPDX-License-Identifier line is
 taken at its word with score 1, as written but for the case of known ids.  A file's
@@ -13,7 +14,7 @@ COPYING); other files without a licence of their own inherit from the nearest
 directory above them that has one.  Everything is DataFrame work: vectors are
 rows, the cosine is a join and a sum.
 
-Rules: a null or empty text has no licence of its own; a null path has no
+Rules: very long texts are rows of paragraphs, so the work is linear in them; a null or empty text has no licence of its own; a null path has no
 directory and inherits nothing; of equal scores the smaller name wins, of several
 licence files in one directory the best score, then the smaller path; repeated
 rows come back once each; an empty table gives no rows; other columns are ignored.
@@ -43,8 +44,11 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LEAST = 0.6
-#: Least cosine of blocks, and the paragraphs of the longest run.
+#: Least cosine of blocks, and the paragraphs of a run up to which each run is a block.
 LEAST_BLOCK, RUN = 0.75, 8
+#: Of a longer run: paragraphs in a row that may be other text, and the least share of a licence's words, by weight, in the others.
+GAP, SHARE = 2, 0.6
+_PARAGRAPH = r"\n[ \t\r]*\n\s*"
 _NAMES = r"licen[sc]e|copyright|public domain|spdx"
 _SENTENCE = r"[\n\r]+|(?<=[.!?])[ \t]+"
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -142,24 +146,53 @@ def block_matches(files: DataFrame, least: float = LEAST_BLOCK) -> DataFrame:
 
     text = F.regexp_replace(F.regexp_replace("text", _COMMENT_END, "$1\n\n"), _CLOSE, "\n\n")
     text = F.regexp_replace(F.regexp_replace(text, _MARKS, ""), _RIGHTS, "")
-    parts = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), F.filter(F.split(text, r"\n[ \t\r]*\n\s*"), lambda p: F.trim(p) != "").alias("parts"))
-    parts = sparkkit.cut(parts).where("size(parts) > 0")
-    runs = parts.select("id", "row", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("at"))
-    runs = runs.select("id", "row", "parts", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("parts") - F.col("at") + 1))).alias("n"))
-    whole = parts.where(f"size(parts) > {RUN}").select("id", "row", "parts", F.lit(1).alias("at"), F.size("parts").alias("n"))
+    whole = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), text.alias("text")).dropDuplicates(["id", "row"])
+    parts = F.filter(F.split("text", _PARAGRAPH), lambda p: F.trim(p) != "")
+    pieces = sparkkit.cut(whole.select("id", "row", F.posexplode(parts).alias("at", "text")))  # each paragraph once
+    # runs: the paragraphs from each one on, joined to texts of one, two and more
+    ahead = F.collect_list("text").over(Window.partitionBy("id", "row").orderBy("at").rowsBetween(0, RUN - 1))
+    runs = pieces.select("id", "row", "at", ahead.alias("some"))
+    runs = runs.select("id", "row", "at", F.posexplode(F.transform("some", lambda _, k: F.array_join(F.slice("some", 1, k + 1), "\n"))).alias("n", "text"))
+    full = whole.where(F.size(parts) > RUN).select("id", "row", F.lit(-1).alias("at"), F.lit(-1).alias("n"), F.array_join(parts, "\n").alias("text"))
     key = ["id", "row", "at", "n"]
-    blocks = runs.union(whole).select(*key, F.array_join(F.slice("parts", F.col("at"), F.col("n")), "\n").alias("text"))
+    blocks = runs.union(full)
     blocks = sparkkit.cut(blocks.where(gate(F.col("text"))).where(_reachable(F.col("text"), idf, unseen, least - 1e-6)))
-    blocks = blocks.distinct()
-    tf = blocks.select(*key, F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "token").agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
+    counts = blocks.select(*key, F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("n_token"))
+    said = blocks.select(*key, _versions(F.col("text")).alias("v"))
+    long_counts, long_said = _long_runs(pieces, table, weights, unseen)
+    tf = counts.union(long_counts).select(*key, "token", (F.log(F.col("n_token").cast("double")) + 1).alias("tf"))
     vectors = sparkkit.cut(tf.join(F.broadcast(weights), "token", "left").select(*key, "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")))
     norms = vectors.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vectors.join(F.broadcast(table), "token").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))
     scores = dots.join(norms, key).select(*key, "template", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
-    scores = scores.join(blocks.select(*key, _versions(F.col("text")).alias("v")), key).join(F.broadcast(versions), "template")
+    scores = scores.join(said.union(long_said), key).join(F.broadcast(versions), "template")
     return _best(scores.where(_same_versions(F.col("v"), F.col("tv"))))
 
 
+def _long_runs(pieces: DataFrame, table: DataFrame, weights: DataFrame, unseen: float) -> tuple[DataFrame, DataFrame]:
+    """Runs of more than RUN paragraphs, of any length: those in which all but up to `GAP` paragraphs in a row are mostly
+    words of one long template.  (id, row, at, n, token, n_token), and (id, row, at, n, v).
+
+    Words are counted by paragraph once; a run's counts are the sums of its paragraphs'.
+    """
+    key, run = ["id", "row"], ["id", "row", "at", "n"]
+    words = sparkkit.cut(pieces.select(*key, "at", F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "at", "token").agg(F.count("*").alias("n_token")))
+    heavy = words.join(F.broadcast(weights), "token", "left").groupBy(*key, "at").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("all"))
+    long = [k for k, (_, text) in enumerate(license_texts.templates()) if len([p for p in re.split(_PARAGRAPH, text) if p.strip()]) > RUN]
+    known = table.where(F.col("template").isin(long)).select("template", "token").join(weights, "token")
+    own = words.join(F.broadcast(known), "token").groupBy(*key, "at", "template").agg(F.sum("idf").alias("own"))
+    near = own.join(heavy, [*key, "at"]).where(F.col("own") >= SHARE * F.col("all"))
+    w = Window.partitionBy(*key, "template").orderBy("at")
+    near = near.withColumn("fresh", (F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(GAP + 2)) > GAP + 1).cast("int")).withColumn("k", F.sum("fresh").over(w))
+    found = near.groupBy(*key, "template", "k").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(f"last - first >= {RUN}")
+    found = sparkkit.cut(found.select(*key, F.col("first").alias("at"), (F.col("last") - F.col("first")).alias("n")).distinct())
+    each = found.select(*key, "at", "n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n"))).alias("place"))
+    place = lambda df: df.withColumnRenamed("at", "place")
+    counts = each.join(place(words), [*key, "place"]).groupBy(*run, "token").agg(F.sum("n_token").alias("n_token"))
+    said = each.join(place(pieces.select(*key, "at", F.explode(_versions(F.col("text"))).alias("v"))), [*key, "place"], "left").groupBy(*run).agg(F.collect_set("v").alias("v"))
+    return counts.select(*run, "token", "n_token"), said.select(*run, "v")
+
+
 def declared(files: DataFrame) -> DataFrame:
     """(id, license, score): what SPDX-License-Identifier lines declare; of several rows, the smallest."""
     said = files.select("id", F.regexp_replace(F.regexp_extract("text", _SPDX, 1), r"[ \t]+", " ").alias("license")).where("license <> ''")

@@ -39,8 +39,20 @@ _HEADERS = (
 )
 
 
+#: The dates in the titles of the GNU licences.
+_TITLES = (
+    ("GPL-1.0", "GNU General Public License", "Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License", "Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License", "Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License", "Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License", "Version 3, 19 November 2007"),
+)
+
+
 def templates() -> list[tuple[str, str]]:
     """(license, text) of every template."""
     full = [(p.name.removesuffix(".txt"), p.read_text("utf-8", "replace")) for p in sorted(_HERE.glob("*.txt"))]
     gnu = [(f"{short}-{v if '.' in v else v + '.0'}", _gnu(name, v, noun, only)) for short, name, versions in _GNU for v in versions for noun in (("library",) if short == "LGPL" else ("program",)) for only in (False, True)]
-    return full + gnu + list(_HEADERS)
+    return full + gnu + list(_HEADERS) + [(short, f"{name} {version}") for short, name, version in _TITLES]

@@ -392,3 +392,19 @@ def test_language_learns_every_label(spark):
     rows = [(10 * k + j, chr(0x4E00 + 7 * k) * 3 + f" {j}", f"l{k:02}") for k in range(70) for j in range(10 if k else 4)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model["langs"] == sorted({r[2] for r in rows})
+
+
+def test_license_scan_of_long_texts(spark):
+    """A long licence between other code, titles with versions, and very many paragraphs."""
+    from graphloom.llm import license_texts
+
+    rng = random.Random(2)
+    code = lambda n: "\n\n".join(f"def {words(rng, 1)}(x):\n    return {words(rng, 3).replace(' ', ' + ')}" for _ in range(n))
+    full = dict(license_texts.templates()[:16])
+    cases = [(name, code(60) + "\n\n" + full[name] + "\n\n" + code(60)) for name in ("LGPL-3.0", "GPL-2.0", "Apache-2.0", "MPL-2.0")]
+    commented = "\n".join(f"# {line}".rstrip() for line in full["LGPL-3.0"].split("\n"))
+    cases += [("LGPL-3.0", code(3) + "\n\n" + commented + "\n\n" + code(30)), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + code(3)), ("AGPL-3.0", code(2) + "\n\nGNU Affero General Public License Version 3, 19 November 2007\n\n" + code(2))]
+    cases += [(None, code(400)), (None, "x y.\n\n" * 30_000), ("LGPL-3.0", code(2000) + "\n\n" + full["LGPL-3.0"] + "\n\n" + code(2000))]
+    rows = [(i, f"f{i}", t) for i, (_, t) in enumerate(cases)]
+    got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
