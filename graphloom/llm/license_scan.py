@@ -48,6 +48,8 @@ LEAST = 0.6
 LEAST_BLOCK, RUN = 0.75, 8
 #: Of a longer run: paragraphs in a row that may be other text, and the least share of a licence's words, by weight, in the others.
 GAP, SHARE = 2, 0.6
+#: Paragraphs of a text that are looked at in one row.
+STRETCH = 64
 _PARAGRAPH = r"\n[ \t\r]*\n\s*"
 _NAMES = r"licen[sc]e|copyright|public domain|spdx"
 _SENTENCE = r"[\n\r]+|(?<=[.!?])[ \t]+"
@@ -146,20 +148,22 @@ def block_matches(files: DataFrame, least: float = LEAST_BLOCK) -> DataFrame:
 
     text = F.regexp_replace(F.regexp_replace("text", _COMMENT_END, "$1\n\n"), _CLOSE, "\n\n")
     text = F.regexp_replace(F.regexp_replace(text, _MARKS, ""), _RIGHTS, "")
-    whole = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), text.alias("text")).dropDuplicates(["id", "row"])
-    parts = F.filter(F.split("text", _PARAGRAPH), lambda p: F.trim(p) != "")
-    pieces = sparkkit.cut(whole.select("id", "row", F.posexplode(parts).alias("at", "text")))  # each paragraph once
-    # runs: the paragraphs from each one on, joined to texts of one, two and more
-    ahead = F.collect_list("text").over(Window.partitionBy("id", "row").orderBy("at").rowsBetween(0, RUN - 1))
-    runs = pieces.select("id", "row", "at", ahead.alias("some"))
-    runs = runs.select("id", "row", "at", F.posexplode(F.transform("some", lambda _, k: F.array_join(F.slice("some", 1, k + 1), "\n"))).alias("n", "text"))
-    full = whole.where(F.size(parts) > RUN).select("id", "row", F.lit(-1).alias("at"), F.lit(-1).alias("n"), F.array_join(parts, "\n").alias("text"))
+    parts = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), F.filter(F.split(text, _PARAGRAPH), lambda p: F.trim(p) != "").alias("parts")).where("size(parts) > 0")
     key = ["id", "row", "at", "n"]
+    # runs: stretches of a text, each in a row of its own, then the paragraphs from each one on, joined to texts of one, two and more
+    stretches = F.transform(F.sequence(F.lit(0), F.expr(f"(size(parts) - 1) div {STRETCH}")), lambda k: F.slice("parts", k * STRETCH + 1, STRETCH + RUN - 1))
+    stretched = lambda df: df.select("id", "row", F.posexplode(stretches).alias("k", "some"))
+    apart = stretched(parts.where(f"size(parts) > {8 * STRETCH}")).repartition("id", "row", "k")  # a long text's are dealt to many tasks
+    some = stretched(parts.where(f"size(parts) <= {8 * STRETCH}")).union(apart)
+    ahead = F.transform(F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.size("some"))), lambda k: F.slice("some", k, RUN))
+    some = some.select("id", "row", "k", F.posexplode(ahead).alias("i", "some"))
+    runs = some.select("id", "row", F.expr(f"{STRETCH} * k + i").alias("at"), F.posexplode(F.transform("some", lambda _, k: F.array_join(F.slice("some", 1, k + 1), "\n"))).alias("n", "text"))
+    full = parts.where(f"size(parts) > {RUN}").select("id", "row", F.lit(-1).alias("at"), F.lit(-1).alias("n"), F.array_join("parts", "\n").alias("text"))
     blocks = runs.union(full)
-    blocks = sparkkit.cut(blocks.where(gate(F.col("text"))).where(_reachable(F.col("text"), idf, unseen, least - 1e-6)))
+    blocks = sparkkit.cut(blocks.where(gate(F.col("text"))).where(_reachable(F.col("text"), idf, unseen, least - 1e-6))).distinct()
     counts = blocks.select(*key, F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("n_token"))
     said = blocks.select(*key, _versions(F.col("text")).alias("v"))
-    long_counts, long_said = _long_runs(pieces, table, weights, unseen)
+    long_counts, long_said = _long_runs(parts, rows, weights, unseen, least - 1e-6)
     tf = counts.union(long_counts).select(*key, "token", (F.log(F.col("n_token").cast("double")) + 1).alias("tf"))
     vectors = sparkkit.cut(tf.join(F.broadcast(weights), "token", "left").select(*key, "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")))
     norms = vectors.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -169,17 +173,29 @@ def block_matches(files: DataFrame, least: float = LEAST_BLOCK) -> DataFrame:
     return _best(scores.where(_same_versions(F.col("v"), F.col("tv"))))
 
 
-def _long_runs(pieces: DataFrame, table: DataFrame, weights: DataFrame, unseen: float) -> tuple[DataFrame, DataFrame]:
+def _long_runs(parts: DataFrame, rows: list[tuple], weights: DataFrame, unseen: float, least: float) -> tuple[DataFrame, DataFrame]:
     """Runs of more than RUN paragraphs, of any length: those in which all but up to `GAP` paragraphs in a row are mostly
     words of one long template.  (id, row, at, n, token, n_token), and (id, row, at, n, v).
 
-    Words are counted by paragraph once; a run's counts are the sums of its paragraphs'.
+    Only texts with as many words of a long template as a match at `least` must have are looked at.
+    Words are counted by paragraph; a run's counts are the sums of its paragraphs'.
     """
-    key, run = ["id", "row"], ["id", "row", "at", "n"]
-    words = sparkkit.cut(pieces.select(*key, "at", F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "at", "token").agg(F.count("*").alias("n_token")))
-    heavy = words.join(F.broadcast(weights), "token", "left").groupBy(*key, "at").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("all"))
+    spark, key, run = parts.sparkSession, ["id", "row"], ["id", "row", "at", "n"]
     long = [k for k, (_, text) in enumerate(license_texts.templates()) if len([p for p in re.split(_PARAGRAPH, text) if p.strip()]) > RUN]
-    known = table.where(F.col("template").isin(long)).select("template", "token").join(weights, "token")
+    table = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] in long], "template int, token string")
+    tokens, able = F.array_distinct(_tokens(F.array_join("parts", "\n"))), F.lit(False)
+    for k in long:
+        own = sorted(((x, t) for template, _, t, x, _ in rows if template == k), reverse=True)
+        square, held, needed = sum(x * x for x, _ in own), 0.0, 0
+        while held < least**2 * square:  # no fewer words make that much of the template
+            held += own[needed][0] ** 2
+            needed += 1
+        able = able | (F.size(F.array_intersect(F.col("tokens"), F.array(*[F.lit(t) for _, t in own]))) >= needed)
+    texts = parts.where(f"size(parts) > {RUN}").withColumn("tokens", tokens).where(able).select(*key, "parts").dropDuplicates(key)
+    pieces = sparkkit.cut(texts.select(*key, F.posexplode("parts").alias("at", "text")))
+    words = pieces.select(*key, "at", F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "at", "token").agg(F.count("*").alias("n_token"))
+    heavy = words.join(F.broadcast(weights), "token", "left").groupBy(*key, "at").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("all"))
+    known = table.join(weights, "token")
     own = words.join(F.broadcast(known), "token").groupBy(*key, "at", "template").agg(F.sum("idf").alias("own"))
     near = own.join(heavy, [*key, "at"]).where(F.col("own") >= SHARE * F.col("all"))
     w = Window.partitionBy(*key, "template").orderBy("at")
