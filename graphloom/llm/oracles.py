@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm import quality_rules
-from graphloom.llm.quality_rules import COUNTS, RATIOS, SMALL, UPPER
+from graphloom.llm.quality_rules import COUNTS, LENGTHS, LEVELS, QUANTILES, RATIOS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -21,27 +21,29 @@ reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FRO
 SELECT doc_id, len(s) AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id) AS component_id FROM sets"""
 
 
-def quality(least_docs: int = 50, spread: int = 8) -> str:
+def quality(least_docs: int = 50, spread: int = 8, weight: int = 200, grow: int = 2, step: int = 50) -> str:
     """Counts by list functions, sketches and their quantiles by groups and windows."""
-    ratio = lambda r: f"CASE WHEN {RATIOS[r][1]} > 0 THEN 1000 * {RATIOS[r][0]} // {RATIOS[r][1]} ELSE 0 END"
-    kinds = [(r, ratio(r)) for r in RATIOS] + [(c, c) for c in ("n_words", "n_lines")]
-    each = " UNION ALL ".join(f"SELECT g_lang, g_source, '{k}' AS ratio, CAST({v} AS BIGINT) AS v FROM once" for k, v in kinds)
 
-    def level(name: str, keys: str, least: int) -> str:
+    def ratio(r: str) -> str:
+        over, under, occurrences = RATIOS[r]
+        sure = f"greatest(0, {over} - CAST(ceil(2 * sqrt({over})) AS BIGINT))" if occurrences else over
+        return f"CASE WHEN {under} > 0 THEN 1000 * {sure} // {under} ELSE 0 END"
+
+    each = " UNION ALL ".join(f"SELECT g_lang, g_source, '{r}' AS ratio, CAST({ratio(r)} AS BIGINT) AS v FROM once" for r in RATIOS)
+
+    def level(name: str, keys: str) -> str:
         return f"""
 {name}_m AS (SELECT {keys} ratio, v, sum(n) AS n FROM sketch GROUP BY {keys} ratio, v),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ratio ORDER BY v) AS upto, sum(n) OVER (PARTITION BY {keys} ratio) AS total FROM {name}_m),
-{name} AS (SELECT {keys} ratio, {", ".join(f"min(CASE WHEN 100 * upto >= {p} * total THEN v END) AS {q}" for p, q in ((SMALL, "small"), (100 - UPPER, "low"), (50, "mid"), (UPPER, "high")))}
-  FROM {name}_c GROUP BY {keys} ratio HAVING max(total) >= {least})"""
-
-    q = lambda kind, name, table="": f"max(CASE WHEN ratio = '{kind}' THEN {table}{name} END)"
-    bounds = []
-    for r, (_, under, units) in RATIOS.items():
-        if units is None:
-            high, low = (f"greatest({q(r, x)} - {q(r, y)}, {q(r, x, 'all_')} - {q(r, y, 'all_')})" for x, y in (("high", "mid"), ("mid", "low")))
-            bounds.append(f"{q(r, 'high')} + {spread} * {high} AS hi_{r}, {q(r, 'low')} - {spread} * {low} AS lo_{r}")
-        else:
-            bounds.append(f"greatest({q(r, 'high')} + {spread} * ({q(r, 'high')} - {q(r, 'mid')}), {1000 * units} // greatest({q(under, 'small')}, 1)) AS hi_{r}, 0 AS lo_{r}")
+{name} AS (SELECT {keys} ratio, max(total) AS total, {", ".join(f"min(CASE WHEN 1000 * upto >= {p} * total THEN v END) AS q{p}" for p in QUANTILES)}
+  FROM {name}_c GROUP BY {keys} ratio)"""
+
+    low, mid, high = LENGTHS
+    own = {p: f"CASE WHEN s0.total >= {least_docs} THEN s0.q{p} WHEN s1.total >= {least_docs} THEN s1.q{p} ELSE s2.q{p} END" for p in LENGTHS}
+    language = [f"coalesce((s1.total * s1.q{p} + {weight} * s2.q{p}) // (s1.total + {weight}), s2.q{p}) AS l{p}" for p in LEVELS]
+    group = [f"coalesce((n0 * g{p} + {weight} * l{p}) // (n0 + {weight}), l{p})" for p in LEVELS]
+    reached = f"list_reduce([{', '.join(group)}], lambda a, v: CASE WHEN v <= {grow} * a + {step} THEN v ELSE a END)"
+    bounds = [f"max(CASE WHEN ratio = '{r}' THEN {b} END) AS {side}_{r}" for r, (*_, occurrences) in RATIOS.items() for side, b in (("hi", f"{grow} * reached + {step}" if occurrences else "hi"), ("lo", "0" if occurrences else "lo"))]
     kept = " AND ".join(f"({ratio(r)}) BETWEEN coalesce(lo_{r}, -1) AND coalesce(hi_{r}, 9223372036854775807)" for r in RATIOS)
     base = quality_rules.base_failed()
     return f"""
@@ -55,9 +57,11 @@ counts AS (SELECT doc_id, g_lang, g_source, len(w) AS n_words, CAST(coalesce(lis
 once AS (SELECT DISTINCT g_lang, g_source, {", ".join(COUNTS)} FROM counts WHERE NOT {base}),
 each_ AS ({each}),
 sketch AS (SELECT g_lang, g_source, ratio, v - v % CAST(pow(2, greatest(length(bin(v)) - 8, 0)) AS BIGINT) AS v, count(*) AS n FROM each_ GROUP BY ALL),
-{level("s0", "g_lang, g_source,", least_docs)},{level("s1", "g_lang,", least_docs)},{level("s2", "", 0)},
-pick AS (SELECT g.g_lang, g.g_source, s2.ratio, {", ".join(f"coalesce(s0.{c}, s1.{c}, s2.{c}) AS {c}, s2.{c} AS all_{c}" for c in ("small", "low", "mid", "high"))}
+{level("s0", "g_lang, g_source,")},{level("s1", "g_lang,")},{level("s2", "")},
+near_ AS (SELECT g.g_lang, g.g_source, s2.ratio, {", ".join(f"s0.q{p} AS g{p}" for p in LEVELS)}, s0.total AS n0, {", ".join(language)}, {", ".join(f"{own[p]} AS {c}" for p, c in zip(LENGTHS, "lmh", strict=True))},
+  s2.q{low} AS a_l, s2.q{mid} AS a_m, s2.q{high} AS a_h
   FROM (SELECT DISTINCT g_lang, g_source FROM counts) g CROSS JOIN s2 LEFT JOIN s1 ON s1.g_lang = g.g_lang AND s1.ratio = s2.ratio LEFT JOIN s0 ON s0.g_lang = g.g_lang AND s0.g_source = g.g_source AND s0.ratio = s2.ratio),
+pick AS (SELECT g_lang, g_source, ratio, {reached} AS reached, h + {spread} * greatest(h - m, a_h - a_m) AS hi, l - {spread} * greatest(m - l, a_m - a_l) AS lo FROM near_),
 limits AS (SELECT g_lang, g_source, {", ".join(bounds)} FROM pick GROUP BY g_lang, g_source)
 SELECT doc_id, {", ".join(COUNTS)}, {base} AS base_failed, NOT {base} AND {kept} AS kept FROM counts LEFT JOIN limits USING (g_lang, g_source)"""
 

@@ -2,15 +2,23 @@
 
 Word, symbol, line and repetition counts are taken from every whole text.  Counts
 of bucketed values are a quantile sketch: buckets keep the top eight bits of a value
-(at most 1/128 off), so sketches merge by adding counts.  One sketch is gathered for
-each (language, source), of each ratio and of the sizes of documents; it is merged
-over the sources of a language, and over everything, for groups with fewer than
-`least_docs` documents.  A document is rejected where a ratio passes its group's
-upper quantile by more than `spread` times that quantile's distance from the median
-(for the length of words, by the group's distance or everything's, whichever is
-larger, and also where it falls as far under the lower one).  Where
-most documents of a group have none of something, the bound is what a few
-occurrences make in a small document of that group, by the sketch of its sizes.
+(at most 1/128 off), so sketches merge by adding counts.  One sketch of each ratio is
+gathered for each (language, source) and merged over the sources of a language, and
+over everything.
+
+Ratios of symbols, repeated lines and repeated words use what a count surely exceeds
+(the count less twice its root), so that short texts are not judged by a single
+occurrence.  A group's quantiles are averaged with its language's, which are averaged
+with everything's, as if those had `weight` documents in the group.  The bound comes
+from the highest of the LEVELS up to which the tail grows without a break: each
+level's quantile is at most `grow` times the one before plus `step` thousandths.  It is
+`grow` times that quantile plus `step`, the first value that would be a break.  Junk
+that makes up to 20 % of a group, apart from the tail of its prose, so lies beyond.
+
+Lengths of words are bounded by the group's upper quantile plus `spread` times its
+distance from the median (the group's or everything's, whichever is larger), and as
+far under the lower one; groups of fewer than `least_docs` take the bounds of their
+language, or everything's.
 
 Rules: a null text has no words and fails the base rule; null languages or sources
 are groups of their own; repeated rows are judged one by one but make one
@@ -29,15 +37,16 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import sparkkit, textkit
 
-#: ratio in thousandths: numerator, denominator, occurrences that a small document may have (None: bounded from below too)
+#: ratio in thousandths: numerator, denominator, whether it counts occurrences (else it is bounded from below too)
 RATIOS = {
-    "sym": ("n_symbols", "n_words", 6),
-    "dup": ("n_dup_lines", "n_lines", 2),
-    "rep": ("n_repeat_words", "n_words", 24),
-    "len": ("word_chars", "n_words", None),
+    "sym": ("n_symbols", "n_words", True),
+    "dup": ("n_dup_lines", "n_lines", True),
+    "rep": ("n_repeat_words", "n_words", True),
+    "len": ("word_chars", "n_words", False),
 }
-#: Upper quantile of a ratio (the lower one lies as far from 0), and quantile of sizes that makes a small document; in hundredths.
-UPPER, SMALL = 80, 10
+#: Quantiles in thousandths: those that bounds of occurrences climb, and the lower, middle and upper one of lengths.
+LEVELS, LENGTHS = (800, 850, 900, 950, 970, 980, 990, 995), (200, 500, 800)
+QUANTILES = sorted({*LEVELS, *LENGTHS})
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -108,27 +117,25 @@ def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "", drop_
 
 
 def _ratio(name: str, prefix: str = "") -> str:
-    over, under, *_ = RATIOS[name]
-    return f"if({prefix}{under} > 0, 1000 * {prefix}{over} div {prefix}{under}, 0)"
+    over, under, occurrences = (f"{prefix}{x}" if isinstance(x, str) else x for x in RATIOS[name])
+    if occurrences:
+        over = f"greatest(0, {over} - cast(ceil(2 * sqrt({over})) as long))"
+    return f"if({under} > 0, 1000 * {over} div {under}, 0)"
 
 
 def base_failed(prefix: str = "") -> str:
     return f"({prefix}n_words < 50 or 100 * {prefix}n_repeat_words > 50 * {prefix}n_words)"
 
 
-_SIZES = ("n_words", "n_lines")
-
-
-def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8) -> DataFrame:
+def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8, weight: int = 200, grow: int = 2, step: int = 50) -> DataFrame:
     """(g_lang, g_source, and lo_* and hi_* of each ratio), a row for each group of counts.
 
     counts has g_lang, g_source and the COUNTS.  Only documents that pass the base rule
     count, and those of a group with the same counts (copies) once.
     """
     values = [F.struct(F.lit(r).alias("ratio"), F.expr(_ratio(r)).cast("long").alias("v")) for r in RATIOS]
-    sizes = [F.struct(F.lit(c).alias("ratio"), F.col(c).cast("long").alias("v")) for c in _SIZES]
     once = counts.where(f"not {base_failed()}").select("g_lang", "g_source", *COUNTS).distinct()
-    each = once.select("g_lang", "g_source", F.explode(F.array(*values, *sizes)).alias("x")).select("g_lang", "g_source", "x.ratio", "x.v")
+    each = once.select("g_lang", "g_source", F.explode(F.array(*values)).alias("x")).select("g_lang", "g_source", "x.ratio", "x.v")
     bucket = F.expr("v - v % cast(pow(2, greatest(length(bin(v)) - 8, 0)) as long)")
     sketch = sparkkit.cut(each.groupBy("g_lang", "g_source", "ratio", bucket.alias("v")).agg(F.count("*").alias("n")))
 
@@ -136,27 +143,29 @@ def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8) -> Data
         merged = sketch.groupBy(*keys, "ratio", "v").agg(F.sum("n").alias("n"))
         by = "partition by " + ", ".join([*keys, "ratio"])
         merged = merged.withColumn("upto", F.expr(f"sum(n) over ({by} order by v)")).withColumn("total", F.expr(f"sum(n) over ({by})"))
-        q = lambda p: F.min(F.expr(f"if(100 * upto >= {p} * total, v, null)"))
-        return merged.groupBy(*keys, "ratio").agg(q(SMALL).alias("small"), q(100 - UPPER).alias("low"), q(50).alias("mid"), q(UPPER).alias("high"), F.max("total").alias("total"))
-
-    picked = counts.select("g_lang", "g_source").distinct().withColumn("ratio", F.explode(F.array(*map(F.lit, (*RATIOS, *_SIZES)))))
-    levels = [["g_lang", "g_source"], ["g_lang"], []]
-    for k, keys in enumerate(levels):
-        part = quantiles(keys).where(f"total >= {least_docs if keys else 0}")
-        part = part.select(*keys, "ratio", F.struct("small", "low", "mid", "high").alias(f"s{k}"))
+        q = [F.min(F.expr(f"if(1000 * upto >= {p} * total, v, null)")).alias(f"q{p}") for p in QUANTILES]
+        return merged.groupBy(*keys, "ratio").agg(*q, F.max("total").alias("total"))
+
+    picked = counts.select("g_lang", "g_source").distinct().withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS))))
+    for k, keys in enumerate((["g_lang", "g_source"], ["g_lang"], [])):
+        part = quantiles(keys).select(*keys, "ratio", F.struct(*[f"q{p}" for p in QUANTILES], "total").alias(f"s{k}"))
         picked = picked.join(part if keys else F.broadcast(part), [*keys, "ratio"], "left")
-    picked = picked.select("g_lang", "g_source", "ratio", F.coalesce("s0", "s1", "s2").alias("s"), F.col("s2").alias("all"))
-    wide = picked.groupBy("g_lang", "g_source").agg(*[F.max(F.expr(f"if(ratio = '{x}', {y}, null)")).alias(name) for x in (*RATIOS, *_SIZES) for y, name in (("s", x), ("all", f"all_{x}"))])
-    cols = []
-    for r, (_, under, units) in RATIOS.items():
-        if units is None:
-            cols.append(F.expr(f"{r}.high + {spread} * greatest({r}.high - {r}.mid, all_{r}.high - all_{r}.mid)").alias(f"hi_{r}"))
-            cols.append(F.expr(f"{r}.low - {spread} * greatest({r}.mid - {r}.low, all_{r}.mid - all_{r}.low)").alias(f"lo_{r}"))
-        else:
-            few = f"1000 * {units} div greatest({under}.small, 1)"
-            cols.append(F.expr(f"greatest({r}.high + {spread} * ({r}.high - {r}.mid), {few})").alias(f"hi_{r}"))
-            cols.append(F.lit(0).cast("long").alias(f"lo_{r}"))
-    return wide.select("g_lang", "g_source", *cols)
+
+    def shrunk(p: int) -> str:
+        out = f"s2.q{p}"
+        for s in ("s1", "s0"):
+            out = f"coalesce(({s}.total * {s}.q{p} + {weight} * {out}) div ({s}.total + {weight}), {out})"
+        return out
+
+    low, mid, high = (f"q{p}" for p in LENGTHS)
+    picked = picked.withColumn("own", F.expr(f"coalesce(if(s0.total >= {least_docs}, s0, null), if(s1.total >= {least_docs}, s1, null), s2)"))
+    reached = f"aggregate(array({', '.join(map(shrunk, LEVELS[1:]))}), {shrunk(LEVELS[0])}, (a, v) -> if(v <= {grow} * a + {step}, v, a))"
+    bounds = {
+        True: (f"{grow} * {reached} + {step}", "0L"),
+        False: (f"own.{high} + {spread} * greatest(own.{high} - own.{mid}, s2.{high} - s2.{mid})", f"own.{low} - {spread} * greatest(own.{mid} - own.{low}, s2.{mid} - s2.{low})"),
+    }
+    cols = [F.max(F.expr(f"if(ratio = '{r}', {bound}, null)")).alias(f"{side}_{r}") for r, (*_, kind) in RATIOS.items() for side, bound in zip(("hi", "lo"), bounds[kind], strict=True)]
+    return picked.groupBy("g_lang", "g_source").agg(*cols)
 
 
 def verdict(prefix: str = "") -> str:

@@ -241,6 +241,36 @@ def test_quality_thresholds_leave_prose_and_reject_symbols(spark):
     assert all(got[i] == (i < 1000) for i in got)
 
 
+def test_quality_bounds_follow_the_sketches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = docs.select("doc_id", *quality_rules._group("lang", "source"), "text")
+    counts = quality_rules.with_counts(docs, "text", drop_text=True).cache()
+    got = quality_rules.thresholds(counts).collect()
+    assert len(got) == counts.select("g_lang", "g_source").distinct().count()
+    bounds = Counter(r["hi_rep"] for r in got)  # beyond the step, and each a few groups' own
+    assert min(bounds) > 50 and max(bounds.values()) <= len(got) // 8
+    assert all(50 <= r[f"hi_{x}"] < 1000 for r in got for x in ("sym", "dup", "rep"))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    passed = counts.where(f"not {quality_rules.base_failed()}").join(labels, "doc_id")
+    rates = passed.join(spark.createDataFrame(got), ["g_lang", "g_source"]).groupBy("quality").agg({"*": "count"}).collect()
+    kept = passed.join(spark.createDataFrame(got), ["g_lang", "g_source"]).where(quality_rules.verdict()).groupBy("quality").count().collect()
+    total, kept = ({r[0]: r[1] for r in x} for x in (rates, kept))
+    counts.unpersist()
+    assert kept[1] >= 0.999 * total[1] and kept.get(0, 0) <= 0.01 * total[0]
+
+
+def test_quality_bound_climbs_a_tail_and_stops_at_a_break(spark):
+    """Repeats that grow step by step raise their group's bound; a separate lot of symbols doesn't, at 3 and at 18 documents in 100."""
+    row = lambda i, g, rep, sym: ("=en", g, 1000 + i, 5 * (1000 + i), sym, 0, rep, 40)
+    for junk in (3, 18):
+        rows = [row(i, "=a", 0 if i < 320 else 2 * (i - 300), 0 if i < 400 - 4 * junk else 2000) for i in range(400)]
+        rows += [row(i, "=b", 0, 0) for i in range(400)]
+        counts = spark.createDataFrame(rows, "g_lang string, g_source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+        got = {r["g_source"]: r for r in quality_rules.thresholds(counts).collect()}
+        assert got["=a"]["hi_sym"] == got["=b"]["hi_sym"] == 50
+        assert got["=a"]["hi_rep"] > 200 > got["=b"]["hi_rep"]
+
+
 def test_license_scan(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/x.py", "nothing here"), (3, "a/b/y.py", None), (4, "a/b/COPYING", "Licensed under the Apache License, Version 2.0."),
