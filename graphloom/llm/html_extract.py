@@ -11,7 +11,8 @@ they cluster to regions, which take in small gaps and the rest of the blocks tha
 they lie in, and the regions are the text.
 
 Rules: a null or empty html gives an empty text; broken markup is read as far as
-it goes; character references are decoded; nothing is cut off by length or depth;
+it goes; character references are decoded; nothing is cut off by length or depth, and
+work is linear in both;
 repeated rows come back once each; an empty table gives no rows; other columns are
 ignored.
 """
@@ -19,9 +20,10 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -74,59 +76,80 @@ def _kind(tag: str, attrs: list) -> tuple[bool, int]:
     return unseen, dull
 
 
+class _Open(NamedTuple):
+    """An open element, and what is near it: positions in the list of open elements, -1 for none."""
+
+    tag: str
+    block: int
+    unseen: bool
+    dull: int  # the innermost dull element that holds it
+    p: int  # the p that a new block ends
+    item: int  # the li or p that a new li ends
+
+
+_OUTSIDE = _Open("", 0, False, -1, -1, -1)
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, block that holds it, open dull elements)."""
+    """Lines of a page: (text, tags, characters in links, block that holds it, innermost dull element or -1).
+
+    Dull elements are numbered as they open, each with the one around it (`around`), so what holds
+    for all of a line's is worked out in one pass over them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, block, whether unseen, dull elements
-        self.count: Counter[str] = Counter()
-        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+        self.open: list[_Open] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, where it is open
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.blocks = 0
-        self.block, self.unseen, self.dull = 0, False, ()
+        self.at = _OUTSIDE
+        self.around: list[int] = []
         self.sure: list[bool] = []  # of each dull element: whether by more than its words
-        self.excused: set[int] = set()
+        self.excused: list[bool] = []  # whether it holds what a dull element doesn't hold
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, max(1, self.tags), self.linked, self.block, self.dull))
+            self.lines.append((text, max(1, self.tags), self.linked, self.at.block, self.at.dull))
             self.tags = self.linked = 0
         self.text = []
 
     def push(self, tag: str, attrs: list) -> None:
         unseen, dull = _kind(tag, attrs)
-        if tag in ("article", "main", "h1") and not dull:  # what holds these is dull by more than words, or not at all
-            self.excused.update(d for d in self.dull if not self.sure[d])
-        if tag == "header" and self.count["article"]:  # an article's own
+        within = self.at.dull
+        if tag in ("article", "main", "h1") and not dull and within >= 0:  # what holds these is dull by more than words, or not at all
+            self.excused[within] = True
+        if tag == "header" and self.places["article"]:  # an article's own
             dull = 0
         if dull:
+            self.around.append(within)
             self.sure.append(dull == 2)
-            self.dull = (*self.dull, len(self.sure) - 1)
+            self.excused.append(False)
+            within = len(self.sure) - 1
+        block = self.at.block
         if tag not in _INLINE and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "dt", "dd"):
             self.blocks += 1
-            self.block = self.blocks
-        self.unseen = self.unseen or unseen
-        self.open.append((tag, self.block, self.unseen, self.dull))
-        self.count[tag] += 1
+            block = self.blocks
+        here = len(self.open)
+        p = here if tag == "p" else self.at.p if tag in _INLINE else -1
+        item = here if tag in ("p", "li") else -1 if tag in ("ul", "ol", "menu") else self.at.item
+        self.at = _Open(tag, block, self.at.unseen or unseen, within, p, item)
+        self.open.append(self.at)
+        self.places[tag].append(here)
 
     def pop(self, size: int) -> None:
-        for tag, *_ in self.open[size:]:
-            self.count[tag] -= 1
+        for element in self.open[size:]:
+            self.places[element.tag].pop()
         del self.open[size:]
-        _, self.block, self.unseen, self.dull = self.open[-1] if self.open else ("", 0, False, ())
+        self.at = self.open[-1] if self.open else _OUTSIDE
 
     def close_before(self, tag: str) -> None:
         """What a new block ends: an open p, or the item before it."""
-        if not self.count["p"] and not (tag == "li" and self.count["li"]):
-            return
-        for k in range(len(self.open) - 1, -1, -1):
-            was = self.open[k][0]
-            if was == "p" or was == tag == "li":
-                return self.pop(k)
-            if was not in _INLINE and not (tag == "li" and was not in ("ul", "ol", "menu")):
-                return None
+        place = self.at.item if tag == "li" else self.at.p
+        if place >= 0:
+            self.pop(place)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -146,13 +169,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in _FLOWING:
             self.flush()
-        if self.count[tag]:
-            self.pop(next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag))
+        if self.places[tag]:
+            self.pop(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if not self.unseen:
+        if not self.at.unseen:
             self.text.append(data)
-            if self.count["a"]:
+            if self.places["a"]:
                 self.linked += len(data.strip())
 
 
@@ -185,6 +208,28 @@ def selected(ratios: np.ndarray, dull: np.ndarray, blocks: np.ndarray) -> np.nda
     return keep
 
 
+def dull_lines(page: _Lines) -> np.ndarray:
+    """Which lines lie in a dull element that nothing excuses."""
+    count = len(page.around)
+    held, several, excused = [0] * count, [0] * count, page.excused.copy()
+    for text, _, linked, _, d in page.lines:
+        if d >= 0:
+            held[d] += len(text) - linked
+            several[d] += 1
+    for d in range(count - 1, -1, -1):  # what an element holds, those around it hold too
+        up = page.around[d]
+        if up >= 0:
+            held[up] += held[d]
+            several[up] += several[d]
+            excused[up] |= excused[d]
+    most = sum(len(t) - linked for t, _, linked, *_ in page.lines) / 2
+    dull = [False] * (count + 1)  # the last one stands for none
+    for d in range(count):
+        free = not page.sure[d] and (excused[d] or held[d] > most and several[d] > 2)
+        dull[d] = not free or dull[page.around[d]]
+    return np.array([dull[d] for *_, d in page.lines])
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -195,14 +240,7 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    held, several = Counter(), Counter()
-    for text, _, linked, _, within in lines:
-        for d in within:
-            held[d] += len(text) - linked
-            several[d] += 1
-    most = sum(len(t) - linked for t, _, linked, *_ in lines) / 2
-    excused = parser.excused | {d for d, n in held.items() if n > most and several[d] > 2 and not parser.sure[d]}
-    dull = np.array([any(d not in excused for d in within) for *_, within in lines])
+    dull = dull_lines(parser)
     keep = selected(line_ratios(lines, dull), dull, np.array([block for _, _, _, block, _ in lines]))
     return "\n".join(t for (t, *_), k in zip(lines, keep, strict=True) if k)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -218,6 +219,19 @@ def test_html():
     assert html_extract.main_text("<p><b>one two three<br><p>four <script>x='</p>'</script>five") == "one two three\nfour five"
 
 
+def test_html_of_any_depth():
+    """Nested dull elements, items and inline elements take time in proportion to their number."""
+    article = "<article><h1>Title</h1><p>Words of an article that are long enough to be its text.</p></article>"
+    expect = "Title\nWords of an article that are long enough to be its text."
+    n = 50_000
+    start = time.perf_counter()
+    assert html_extract.main_text(article + "<nav>x " * n) == expect
+    assert html_extract.main_text("<div class=menu>" * n + article + "</div>" * n) == expect
+    assert html_extract.main_text(article + "<nav><ul><li><ul>" + "<div>" * n + "<li>x</li>" * n) == expect
+    assert html_extract.main_text(article.replace("Words", "<b>" * n + "Words" + "</b>" * n)) == expect
+    assert time.perf_counter() - start < 30
+
+
 def test_quality_counts(docs):
     for r in quality_rules.quality_report(docs).where("doc_id is not null").collect():
         text = corpus()[r["doc_id"]] or ""
