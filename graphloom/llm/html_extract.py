@@ -4,11 +4,11 @@ The standard library's parser streams a page's events; each line (a block of tex
 between block-level tags) gets its ratio of text outside links to tags.  Elements
 that are boilerplate by tag, role, or words of their class or id make the tags of
 the lines within count `DULL` times; one that is so by its words alone does not
-where it holds an article, a main heading or, in several lines, most of the page's text.  Ratios
-are smoothed with a Gaussian along stretches that lie all within boilerplate or all
-outside.  Lines at a part of the ratios' standard deviation or more are content;
-they cluster to regions, which take in small gaps and the rest of the blocks that
-they lie in, and the regions are the text.
+where it holds an article, a main heading or, in several lines, most of the page's text.
+Regions are the lines of one article or main element or, outside these, of one block, those
+in boilerplate apart.  Ratios are smoothed with a Gaussian along each region; regions whose
+ratios (those of `LEAST` or more) add up to `PART` of the best one's are content, with what lies in
+their blocks and with gaps of up to `GAP` lines between them.
 
 Rules: a null or empty html gives an empty text; broken markup is read as far as
 it goes; character references are decoded; nothing is cut off by length or depth, and
@@ -52,9 +52,9 @@ _SPACE = re.compile(r"\s+")
 _CLOSES_P = frozenset("p div ul ol li table section article aside header footer nav form h1 h2 h3 h4 h5 h6 blockquote pre hr main figure dl dt dd".split())
 #: What a boilerplate element makes of each tag of its lines.
 DULL = 4096
-#: Part of the standard deviation that content reaches, and the least ratio of any content.
+#: Part of the best region's ratios that content reaches, and the least ratio that adds to a region's.
 PART, LEAST = 0.25, 0.1
-#: Lines under the threshold that a region takes in between two of its lines.
+#: Lines of other regions that content takes in between two of its lines.
 GAP = 3
 
 
@@ -83,15 +83,17 @@ class _Open(NamedTuple):
     block: int
     unseen: bool
     dull: int  # the innermost dull element that holds it
+    body: int  # the block of the innermost article or main element, or 0
     p: int  # the p that a new block ends
     item: int  # the li or p that a new li ends
 
 
-_OUTSIDE = _Open("", 0, False, -1, -1, -1)
+_OUTSIDE = _Open("", 0, False, -1, 0, -1, -1)
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, block that holds it, innermost dull element or -1).
+    """Lines of a page: (text, tags, characters in links, block that holds it, innermost dull element or -1,
+    block of the innermost article or main element or 0).
 
     Dull elements are numbered as they open, each with the one around it (`around`), so what holds
     for all of a line's is worked out in one pass over them.
@@ -101,9 +103,10 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, where it is open
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.blocks = 0
+        self.tags = self.linked = 0
+        self.outer = [0]  # of each block, the one around it
         self.at = _OUTSIDE
         self.around: list[int] = []
         self.sure: list[bool] = []  # of each dull element: whether by more than its words
@@ -112,7 +115,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, max(1, self.tags), self.linked, self.at.block, self.at.dull))
+            self.lines.append((text, max(1, self.tags), self.linked, self.at.block, self.at.dull, self.at.body))
             self.tags = self.linked = 0
         self.text = []
 
@@ -130,12 +133,13 @@ class _Lines(HTMLParser):
             within = len(self.sure) - 1
         block = self.at.block
         if tag not in _INLINE and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "dt", "dd"):
-            self.blocks += 1
-            block = self.blocks
+            self.outer.append(block)
+            block = len(self.outer) - 1
         here = len(self.open)
         p = here if tag == "p" else self.at.p if tag in _INLINE else -1
         item = here if tag in ("p", "li") else -1 if tag in ("ul", "ol", "menu") else self.at.item
-        self.at = _Open(tag, block, self.at.unseen or unseen, within, p, item)
+        body = block if tag in ("article", "main") else self.at.body
+        self.at = _Open(tag, block, self.at.unseen or unseen, within, body, p, item)
         self.open.append(self.at)
         self.places[tag].append(here)
 
@@ -190,21 +194,25 @@ def line_ratios(lines: list[tuple], dull: np.ndarray) -> np.ndarray:
     return np.array([max(0, len(t) - linked) / tags for t, tags, linked, *_ in lines]) / np.where(dull, DULL, 1)
 
 
-def selected(ratios: np.ndarray, dull: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """Which lines the content regions hold."""
-    edges = np.flatnonzero(dull[1:] != dull[:-1]) + 1
-    level = np.concatenate([smoothed(part) for part in np.split(ratios, edges)])
-    content = level >= max(LEAST, PART * level.std())
-    if not content.any():
-        return content
-    keep = content.copy()
-    at = np.flatnonzero(content)
+def selected(ratios: np.ndarray, dull: np.ndarray, blocks: np.ndarray, bodies: np.ndarray, outer: list[int]) -> np.ndarray:
+    """Which lines the content regions hold; outer has the block around each block."""
+    region = 2 * np.where(bodies > 0, bodies, blocks) + dull
+    order = np.argsort(region, kind="stable")
+    names, starts = np.unique(region[order], return_index=True)
+    levels = np.concatenate([smoothed(part) for part in np.split(ratios[order], starts[1:])])
+    sums = np.add.reduceat(np.where(levels >= LEAST, levels, 0), starts)
+    content = names[(sums > 0) & (sums >= PART * sums.max())]
+    holds = np.zeros((len(outer), 2), bool)
+    holds[content // 2, content % 2] = True
+    within = holds.tolist()
+    for b in range(1, len(outer)):  # a block lies in what the blocks around it lie in
+        up = within[outer[b]]
+        within[b] = [within[b][0] or up[0], within[b][1] or up[1]]
+    keep = np.array(within)[blocks, dull.astype(int)] | np.isin(region, content)
+    at = np.flatnonzero(keep)
     for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if 1 < j - i <= GAP + 1 and (dull[i : j + 1] == dull[i]).all():
+        if 1 < j - i <= GAP + 1 and not dull[i : j + 1].any():
             keep[i:j] = True
-    for value in (False, True):  # the rest of their blocks, as far as it is of their sort
-        own = content & (dull == value)
-        keep |= (dull == value) & np.isin(blocks, blocks[own])
     return keep
 
 
@@ -212,7 +220,7 @@ def dull_lines(page: _Lines) -> np.ndarray:
     """Which lines lie in a dull element that nothing excuses."""
     count = len(page.around)
     held, several, excused = [0] * count, [0] * count, page.excused.copy()
-    for text, _, linked, _, d in page.lines:
+    for text, _, linked, _, d, _ in page.lines:
         if d >= 0:
             held[d] += len(text) - linked
             several[d] += 1
@@ -227,7 +235,7 @@ def dull_lines(page: _Lines) -> np.ndarray:
     for d in range(count):
         free = not page.sure[d] and (excused[d] or held[d] > most and several[d] > 2)
         dull[d] = not free or dull[page.around[d]]
-    return np.array([dull[d] for *_, d in page.lines])
+    return np.array([dull[d] for *_, d, _ in page.lines])
 
 
 def main_text(html: str | None) -> str:
@@ -241,7 +249,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     dull = dull_lines(parser)
-    keep = selected(line_ratios(lines, dull), dull, np.array([block for _, _, _, block, _ in lines]))
+    blocks, bodies = (np.array([line[k] for line in lines]) for k in (3, 5))
+    keep = selected(line_ratios(lines, dull), dull, blocks, bodies, parser.outer)
     return "\n".join(t for (t, *_), k in zip(lines, keep, strict=True) if k)
 
 

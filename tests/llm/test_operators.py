@@ -232,6 +232,85 @@ def test_html_of_any_depth():
     assert time.perf_counter() - start < 30
 
 
+def brute_html(html):
+    """The rules of the extraction over the parser's lines, element by element, with plain loops."""
+    page = html_extract._Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    chains = []
+    for *_, d, _ in page.lines:
+        chain = []
+        while d >= 0:
+            chain.append(d)
+            d = page.around[d]
+        chains.append(chain)
+    plain = [len(line[0]) - line[2] for line in page.lines]
+    dull = []
+    for chain in chains:
+        bad = False
+        for d in chain:
+            inside = [n for c, n in zip(chains, plain, strict=True) if d in c]
+            below = [e for e in range(len(page.around)) if e == d or d in brute_around(page.around, e)]
+            bad |= page.sure[d] or not (any(page.excused[e] for e in below) or (sum(inside) > sum(plain) / 2 and len(inside) > 2))
+        dull.append(bad)
+    groups = {}
+    for i, (_, _, _, block, _, body) in enumerate(page.lines):
+        groups.setdefault((body or block, dull[i]), []).append(i)
+    ratio = [max(0, n) / line[1] / (html_extract.DULL if x else 1) for n, line, x in zip(plain, page.lines, dull, strict=True)]
+    score = {}
+    for key, at in groups.items():
+        score[key] = 0
+        for k in range(len(at)):
+            near = [(np.exp(-(j * j) / 2), ratio[at[k + j]]) for j in range(-2, 3) if 0 <= k + j < len(at)]
+            level = sum(w * r for w, r in near) / sum(w for w, _ in near)
+            score[key] += level if level >= html_extract.LEAST else 0
+    best = max(score.values(), default=0)
+    content = {key for key, x in score.items() if x > 0 and x >= html_extract.PART * best}
+    keep = []
+    for (_, _, _, block, _, body), x in zip(page.lines, dull, strict=True):
+        held, b = (body or block, x) in content, block
+        while not held and b:
+            held = (b, x) in content
+            b = page.outer[b]
+        keep.append(held or (0, x) in content)
+    at = [i for i, k in enumerate(keep) if k]
+    for i, j in zip(at, at[1:], strict=False):
+        if j - i <= html_extract.GAP + 1 and not any(dull[i : j + 1]):
+            keep[i:j] = [True] * (j - i)
+    return "\n".join(line[0] for line, k in zip(page.lines, keep, strict=True) if k)
+
+
+def brute_around(around, e):
+    out = set()
+    while around[e] >= 0:
+        e = around[e]
+        out.add(e)
+    return out
+
+
+def test_html_against_plain_loops(spark):
+    rng = random.Random(11)
+    tags = "div p ul li b a h1 article main header nav footer section menu form td table br script".split()
+    attrs = ("", "", "", " class=menu", " class=comments", " id=sidebar", " class=has-sidebar", " hidden")
+    for _ in range(1500):
+        html = ""
+        for _ in range(rng.randrange(2, 50)):
+            k, tag = rng.random(), rng.choice(tags)
+            html += f"<{tag}{rng.choice(attrs)}>" if k < 0.45 else f"</{tag}>" if k < 0.75 else f" w{rng.randrange(99)}" * rng.randrange(1, 20)
+        assert html_extract.main_text(html) == brute_html(html), html
+
+
+def test_html_regions_without_telling_tags(spark):
+    """Pages whose elements are all divs: regions are told by their ratios alone."""
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r[0]]
+    same = 0
+    for html in pages:
+        blind = re.sub(r"<(/?)(article|nav|header|footer|aside|main|section)\b", r"<\1div", html)
+        same += html_extract.main_text(blind) == html_extract.main_text(html)
+    assert same >= 0.9 * len(pages)
+
+
 def test_quality_counts(docs):
     for r in quality_rules.quality_report(docs).where("doc_id is not null").collect():
         text = corpus()[r["doc_id"]] or ""
