@@ -21,6 +21,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,7 +171,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two texts link where 100 * intersection >= threshold * union of their sets of
     n-word shingles, A-Z lower-cased; component_id is the smallest id reachable.
+    threshold is 1 to 100; at 100 texts with equal sets link.
     """
+    if not 1 <= threshold <= 100:
+        raise ValueError("threshold must be 1 to 100")
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = sparkkit.cut(sparkkit.mapped(docs, _describe(n), "kind int, id long, n long, c long, d long"))
@@ -197,7 +201,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         Classes are as wide as two sizes may differ, and come twice, half a class apart.
         """
-        step = f"ln(n) / ln({100 / threshold})"
+        step = f"ln(n) / {max(math.log(100 / threshold), 1e-6)}"  # at 100 only equal sizes link
         rows = rows.select("h", "c", "n", "lab", "rank", F.explode(F.array(F.expr(f"cast(2 * floor({step}) as int)"), F.expr(f"cast(2 * floor({step} + 0.5) + 1 as int)"))).alias("k"))
         lead = rows.groupBy("h", "k").agg(F.min(F.struct("rank", "c", "n", "lab")).alias("l"), F.count("*").alias("m")).where("m > 1")
         near = rows.join(lead, ["h", "k"]).where("c <> l.c and lab <> l.lab")

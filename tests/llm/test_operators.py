@@ -116,6 +116,18 @@ def test_jaccard_components(docs):
     assert {r[0] for r in kept.select("doc_id").collect()} - {None} == set(low.values())
 
 
+def test_jaccard_at_100_links_equal_sets(spark):
+    rng = random.Random(9)
+    base = words(rng, 80)
+    texts = [base, base.upper(), base + " more", base, words(rng, 80), "a b a b a b a b a b", "a b a b a b a b a b a b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs, threshold=100).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
+    for wrong in (0, 101):
+        with pytest.raises(ValueError):
+            ngram_jaccard.jaccard_components(docs, threshold=wrong)
+
+
 def test_jaccard_columns_in_parts_give_the_same_components(spark, monkeypatch):
     rng = random.Random(8)
     texts = []
