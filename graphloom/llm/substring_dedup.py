@@ -14,13 +14,20 @@ texts: ends are extended while that pays, gaps are aligned, and a passage is
 reported where at least `min_words` words match at the rate `identity`; where the
 whole of a chain does not reach it, its best runs are.
 
+Two partners a seed can miss a passage whose seeds have different first texts.  So an
+exact pass follows: in the stretches of a text whose seeds all occur in other texts,
+every run of `min_words` words that no passage covers whole meets its equals by a
+shuffle on its 128-bit hash, and all but the first text that holds it repeat that one.
+After it, no such run is left uncovered in two texts, whatever partners were tried.
+
 Words are runs of non-space bytes, A-Z lower-cased.  Texts of equal word sequences
 are one document for matching; all but the smallest id of them are passages from
 their first word to their last.  Of two different texts, that with the larger hash
 is said to repeat the other.
 
 Rules: null, empty and short texts have no passages; repeats within one document
-are not reported; repeated rows with one id are one document; an id with several
+are not reported; runs under k + window - 1 words may share no seed, so `min_words`
+is no less; repeated rows with one id are one document; an id with several
 texts has the passages of each; a null id is left alone; an empty table gives no
 rows; other columns are ignored by `passages` and kept by `cut_passages`.
 """
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import sparkkit, textkit
@@ -42,10 +49,13 @@ JOIN_GAP = 30
 #: Unmatched words on either side that end a passage.
 BREAK_GAP = 12
 GAP_COST = 0.25
+#: Words on either side of a chain of seeds in which all k-mers are compared; more where the chain goes on.
+AROUND = 64
 #: A seed is hot from so many texts on, and from this part of all occurrences of seeds.
 HOT, HOT_PART = 20_000, 16_384
 #: Groups of seeds that are counted before single ones are.
 BUCKETS = 1 << 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def seeds(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +140,8 @@ def _dealt(rows: DataFrame, least: int) -> DataFrame:
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From seeds (h, s, c, p) in the order of (seed, group, node): matches of each node's occurrences
-    with those of the group's first node and of the node before it, the n-th with the n-th."""
+    with those of the group's first node and of the node before it, the n-th with the n-th; of the first
+    node, where it isn't alone, its places with themselves."""
     held = last_key = None  # of the seed that is still open: its occurrences in its first node and its last
     for batch in batches:
         if not batch.num_rows:
@@ -148,9 +159,9 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
         times = np.diff(bounds) // 4
         h, s, c = np.repeat(h, times), np.repeat(s, times), np.repeat(c, times)
-        fresh = 0
+        fresh, told = 0, False
         if held is not None:
-            fresh = len(held[0])
+            fresh, told = len(held[0]), held[2][0] != held[2][-1]  # its first node's places were given
             h, s, c, p = (np.append(x, y) for x, y in zip(held, (h, s, c, p), strict=True))
         other_seed = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
         starts = np.flatnonzero(np.append(True, other_seed | (c[1:] != c[:-1])))  # of groups (seed, share, node)
@@ -165,6 +176,11 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 o = other[keep]
                 at = starts[o] + np.minimum(nth[keep], sizes[o] - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[at], p[keep], p[at])], names=["b", "a", "p", "q"])
+        leads = new_seed & ~np.append(new_seed[1:], True)
+        leads[0] &= not told
+        keep = leads[group]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[keep], p[keep], p[keep])], names=["b", "a", "p", "q"])
         first, last = lead[-1], len(starts) - 1
         keep = np.isin(group, [first, last])
         held = (h[keep], s[keep], c[keep], p[keep])
@@ -204,20 +220,20 @@ def segments(p: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]
     return sorted(zip(p[at].tolist(), (p[at] + d[at]).tolist(), (p[last] - p[at] + k).tolist(), strict=True))
 
 
-def chains(segs: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
-    """Best collinear chains of segments, each segment in one at most."""
+def chains(segs: list[tuple[int, int, int]], cost: float = GAP_COST, overlap: int = 0) -> list[list[tuple[int, int, int]]]:
+    """Best collinear chains of segments, each segment in one at most; successive ones may overlap so far (they are then cut)."""
     if len(segs) == 1:
         return [segs]
-    ends = sorted({q + n for _, q, n in segs})
+    ends = sorted({q + n - overlap for _, q, n in segs})
     rank = {e: i for i, e in enumerate(ends)}
     tree, score, back = Fenwick(len(ends)), [0.0] * len(segs), [-1] * len(segs)
     done = sorted(range(len(segs)), key=lambda i: segs[i][0] + segs[i][2])
     ready, starts = 0, np.searchsorted(np.array(ends), [q for _, q, _ in segs], "right").tolist()
     for i, (p, q, n) in enumerate(segs):  # in the order of p
-        while ready < len(done) and segs[done[ready]][0] + segs[done[ready]][2] <= p:
+        while ready < len(done) and segs[done[ready]][0] + segs[done[ready]][2] - overlap <= p:
             j = done[ready]
             pj, qj, nj = segs[j]
-            tree.add(rank[qj + nj], (score[j] + cost * (pj + qj + 2 * nj), j))
+            tree.add(rank[qj + nj - overlap], (score[j] + cost * (pj + qj + 2 * nj), j))
             ready += 1
         value, j = tree.most(starts[i])
         gain = value - cost * (p + q)
@@ -231,13 +247,18 @@ def chains(segs: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[lis
             chain.append(segs[i])
             i = back[i]
         if chain:
-            out.append(chain[::-1])
+            chain.reverse()
+            for k, (p, q, _) in enumerate(chain[1:]):
+                at, other, n = chain[k]
+                chain[k] = (at, other, min(n, p - at, q - other))
+            out.append(chain)
     return out
 
 
 def _chained(k: int, window: int, min_words: int):
-    """From matches in the order of (b, a, p): the promising chains of each pair, packed."""
-    least = min_words - 2 * (window - 1)
+    """From matches in the order of (b, a, p): the promising chains of each pair, packed; and as pair (b, b)
+    the stretches of b in which runs of min_words words can repeat."""
+    least = 2 * min_words // 5
 
     def of_pair(p: np.ndarray, q: np.ndarray) -> bytes | None:
         if p[-1] - p[0] + k < least:
@@ -250,14 +271,27 @@ def _chained(k: int, window: int, min_words: int):
                     out += s
         return np.array(out, np.int32).tobytes() if out else None
 
+    def stretches(places: list[np.ndarray]) -> bytes | None:
+        at = np.unique(np.concatenate(places))
+        first = np.flatnonzero(np.append(True, np.diff(at) > window))
+        last = np.append(first[1:], len(at)) - 1
+        wide = at[last] - at[first] >= min_words - k - 2 * (window - 1)  # a run's first seed and its last are so far apart
+        spans = np.stack([np.maximum(at[first] - window + 1, 0), at[last] + k + window - 1], axis=1)[wide]
+        return spans.astype(np.int32).tobytes() if len(spans) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []  # of the pair that is still open: no more than the seeds of one document
+        places: list[np.ndarray] = []  # of all seeds of the text b that is still open
         key = None
 
         def close() -> tuple | None:
-            got = of_pair(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
+            got = of_pair(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts and key[0] != key[1] else None
             return (*key, got) if got else None
 
+        def leave() -> tuple | None:
+            got = stretches(places) if places else None
+            return (key[1], key[1], got) if got else None
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -267,13 +301,18 @@ def _chained(k: int, window: int, min_words: int):
             for s, e in zip(heads, [*heads[1:], len(b)], strict=True):
                 if key != (a[s], b[s]):
                     out.append(close())
+                    if key and key[1] != b[s]:
+                        out.append(leave())
+                        places = []
                     parts, key = [], (a[s], b[s])
                 parts.append((p[s:e].astype(np.int64), q[s:e].astype(np.int64)))
+                places.append(parts[-1][0])
             out = [x for x in out if x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "payload"])
-        if last := close():
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "payload"])
+        for last in (close(), leave()):
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "payload"])
 
     return run
 
@@ -330,6 +369,26 @@ def _best_runs(equal: np.ndarray, identity: float) -> list[tuple[int, int]]:
     return [(s, e) for s, e, _, _ in stack]
 
 
+def _columns(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether words are equal along a chain, and their places in both; what is common in a gap stands at its end."""
+    equal, ps, qs = [], [], []
+    for i, (p, q, n) in enumerate(spans):
+        if i:
+            before, other, size = spans[i - 1]
+            before, other = before + size, other + size
+            wide = max(p - before, q - other)
+            own = np.zeros(wide, bool)
+            own[wide - _common(x[before:p].tolist(), y[other:q].tolist()) :] = True
+            at = np.arange(-wide, 0)
+            equal.append(own)
+            ps.append(np.maximum(p + at, before))
+            qs.append(np.maximum(q + at, other))
+        equal.append(x[p : p + n] == y[q : q + n])
+        ps.append(np.arange(p, p + n))
+        qs.append(np.arange(q, q + n))
+    return np.concatenate(equal), np.concatenate(ps), np.concatenate(qs)
+
+
 def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], min_words: int, identity: float) -> Iterator[tuple[int, int, int, int, int]]:
     """Passages (start, end, start and end in y, matched words) along a chain."""
     parts: list[list[tuple[int, int, int]]] = [[chain[0]]]
@@ -354,14 +413,110 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], min_w
         p0, q0, p1, q1, matched = p0 - behind, q0 - behind, p1 + ahead, q1 + ahead, matched + more + less
         if p1 - p0 >= min_words and matched >= identity * max(p1 - p0, q1 - q0):
             yield p0, p1, q0, q1, matched
-        else:  # what of each diagonal does
-            for p, q, n in part:
-                back, on = min(p, q, behind if p == part[0][0] else 0), ahead if p == part[-1][0] else 0
-                p, q, n = p - back, q - back, min(n + back + on, len(x) - p + back, len(y) - q + back)
-                equal = x[p : p + n] == y[q : q + n]
-                for s, e in _best_runs(equal, identity):
-                    if e - s >= min_words:
-                        yield p + s, p + e, q + s, q + e, int(equal[s:e].sum())
+        else:  # what stretches of it do
+            equal, ps, qs = _columns(x, y, [(p0, q0, behind), *part, (p1 - ahead, q1 - ahead, ahead)])
+            for s, e in _best_runs(equal, identity):
+                n, matched = max(ps[e - 1] - ps[s], qs[e - 1] - qs[s]) + 1, int(equal[s:e].sum())
+                if ps[e - 1] - ps[s] + 1 >= min_words and matched >= identity * n:
+                    yield int(ps[s]), int(ps[e - 1]) + 1, int(qs[s]), int(qs[e - 1]) + 1, matched
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, by doubling."""
+    power, size, out, done, rest = words, 1, None, 0, n
+    count = len(words) - n + 1
+    while rest:
+        if rest & 1:
+            out = power[:count] if out is None else textkit.mix(out * _FACTOR + power[done : done + count])
+            done += size
+        rest >>= 1
+        if rest:
+            power, size = textkit.mix(power[:-size] * _FACTOR + power[size:]), 2 * size
+    return out
+
+
+def _runs_left(min_words: int, clashing: frozenset[int]):
+    """From (text, node, stretches, covered): (g, g2, c, p), hashes and places of the runs in stretches that aren't covered whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
+            for text, node, within, covered in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own = sparkkit.word_ids(text, lower=True)
+                if len(own) < min_words or textkit.node_of(own, clashing) != node:  # another text of that id
+                    continue
+                left = np.zeros(len(own) - min_words + 1, bool)
+                for s, e in np.frombuffer(within, np.int32).reshape(-1, 2).tolist():
+                    left[s : max(s, e - min_words + 1)] = True
+                start = end = 0
+                for s, e in [*sorted((x["p0"], x["p1"]) for x in covered or ()), (len(own) + 1, 0)]:
+                    if s > end:
+                        left[start : max(start, end - min_words + 1)] = False
+                        start = s
+                    end = max(end, e)
+                at = np.flatnonzero(left)
+                if len(at):
+                    g, g2 = (textkit.signed(run_hashes(w, min_words)[at]) for w in (own, textkit.mix(own ^ _FACTOR)))
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.array(np.full(len(at), node, np.int64)), pa.array(at.astype(np.int32))], names=["g", "g2", "c", "p"])
+
+    return run
+
+
+def _missed(docs: DataFrame, within: DataFrame, found: DataFrame, min_words: int, clashing: frozenset[int]) -> DataFrame:
+    """(a, b, p0, p1, q0, q1, matched): runs of b that are in a too and that found (b, p0, p1) doesn't cover.
+
+    within: (id, b, stretches).  The first text of a run comes from a combined minimum,
+    and a run that very many texts hold meets it in a join that adaptive execution splits.
+    """
+    covered = found.groupBy("b").agg(F.collect_set(F.struct("p0", "p1")).alias("covered"))
+    within = sparkkit.cut(within.join(covered, "b", "left"))
+    texts = sparkkit.reduced(docs, within).join(within, "id").select("text", "b", "stretches", "covered")
+    runs = sparkkit.stored(sparkkit.mapped(texts, _runs_left(min_words, clashing), "g long, g2 long, c long, p int"))
+    first = runs.groupBy("g", "g2").agg(F.min(F.struct("c", "p")).alias("first"), F.max("c").alias("last")).where("first.c <> last").drop("last")
+    again = runs.join(first, ["g", "g2"]).where("c <> first.c").selectExpr("c as b", "first.c as a", "p", "first.p as q")
+    along = Window.partitionBy("b", "a").orderBy("p")  # no more than the words of b
+    again = again.withColumn("new", F.coalesce((F.col("p") > F.lag("p").over(along) + 1).cast("int"), F.lit(1)))
+    again = again.withColumn("nth", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [f(x).alias(y) if f is F.min else (f(x) + min_words).alias(y) for f, x, y in ((F.min, "p", "p0"), (F.max, "p", "p1"), (F.min, "q", "q0"), (F.max, "q", "q1"))]
+    return again.groupBy("a", "b", "nth").agg(*ends).selectExpr("a", "b", "p0", "p1", "q0", "q1", "p1 - p0 as matched")
+
+
+def _meeting(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal k-mers of two word sequences, the n-th with the n-th."""
+    hx, hy = textkit.shingle_hashes(x, k), textkit.shingle_hashes(y, k)
+    ox, oy = np.argsort(hx, kind="stable"), np.argsort(hy, kind="stable")
+    sx, sy = hx[ox], hy[oy]
+    nth = np.arange(len(sx)) - np.searchsorted(sx, sx, "left")
+    low, high = np.searchsorted(sy, sx, "left"), np.searchsorted(sy, sx, "right")
+    has = high > low
+    return ox[has], oy[np.minimum(low + nth, high - 1)[has]]
+
+
+def refined(x: np.ndarray, y: np.ndarray, found: list[list[tuple[int, int, int]]], k: int, min_words: int, identity: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """Passages (start, end, start and end in y, matched words) around chains of seeds.
+
+    Seeds tell where two texts meet; there all k-mers are chained anew and aligned.  What is
+    looked at grows as long as a chain comes near its border.
+    """
+    done: list[tuple[int, int, int, int]] = []
+    for chain in sorted(found, key=lambda c: (c[0][0] - c[-1][0] - c[-1][2], c)):
+        p0, q0, p1, q1 = *chain[0][:2], chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
+        if any(a <= p0 and p1 <= b and c <= q0 and q1 <= d for a, b, c, d in done):
+            continue
+        margin = AROUND
+        while True:
+            s, e, t, f = max(p0 - margin, 0), min(p1 + margin, len(x)), max(q0 - margin, 0), min(q1 + margin, len(y))
+            p, q = _meeting(x[s:e], y[t:f], k)
+            dense = [[(a + s, b + t, n) for a, b, n in c] for c in chains(segments(p, q, k), overlap=k - 1)] if len(p) else [chain]
+            ours = [c for c in dense if c[0][0] < p1 and c[-1][0] + c[-1][2] > p0]
+            edge = margin // 2
+            before = any((s and c[0][0] < s + edge) or (t and c[0][1] < t + edge) for c in ours)
+            after = any((e < len(x) and c[-1][0] + c[-1][2] > e - edge) or (f < len(y) and c[-1][1] + c[-1][2] > f - edge) for c in ours)
+            if not before and not after:
+                break
+            margin *= 2
+        got = [r for c in dense for r in align(x, y, c, min_words, identity)]
+        done += [r[:4] for r in got]
+        yield from got
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity: float, k: int, window: int, hot: int) -> tuple[DataFrame, frozenset[int]]:
@@ -378,19 +533,26 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity
     pairs = sparkkit.mapped(met, _chained(k, window, min_words), "a long, b long, payload binary")
     ends = {x: first.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}")) for x in ("a", "b")}
     pairs = sparkkit.cut(pairs.join(ends["a"], "a").join(ends["b"], "b"))
+    within = pairs.where("a = b").selectExpr("rb as id", "b", "payload as stretches")
 
     def judge(y, x, payload):
-        numbers, at, out = np.frombuffer(payload, np.int32).tolist(), 0, []
+        numbers, at, met = np.frombuffer(payload, np.int32).tolist(), 0, []
         while at < len(numbers):
             n = numbers[at]
             flat = numbers[at + 1 : at + 1 + 3 * n]
-            chain = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-            out += align(x, y, chain, min_words, identity)
+            met.append(list(zip(flat[::3], flat[1::3], flat[2::3], strict=True)))
             at += 1 + 3 * n
-        return sorted(set(out))
+        out, end = [], -1  # none that lies within another of this pair
+        for r in sorted(set(refined(x, y, met, k, min_words, identity)), key=lambda r: (r[0], -r[1], -r[4], r)):
+            if r[1] > end:
+                end = r[1]
+                out.append(r)
+        return out
 
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(c, pa.int32()) for c in ("p0", "p1", "q0", "q1", "matched")])
-    found = sparkkit.with_pairs(docs, pairs, judge, lambda t: sparkkit.word_ids(t, lower=True), clashing, "a long, b long, p0 int, p1 int, q0 int, q1 int, matched int", arrow)
+    found = sparkkit.with_pairs(docs, pairs.where("a <> b"), judge, lambda t: sparkkit.word_ids(t, lower=True), clashing, "a long, b long, p0 int, p1 int, q0 int, q1 int, matched int", arrow)
+    found = sparkkit.cut(found)
+    found = found.unionByName(_missed(docs, within, found, min_words, clashing))
     found = found.join(ends["a"], "a").join(ends["b"], "b").select(F.col("rb").alias("id"), F.col("b").alias("node"), "p0", "p1", "matched", F.col("ra").alias("source"), "q0", "q1")
     whole = known.join(first, "node").where("id <> rep").dropDuplicates(["id", "node"])
     return found.union(whole.selectExpr("id", "node", "0", "n", "n", "rep", "0", "n")), clashing
