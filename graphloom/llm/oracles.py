@@ -21,7 +21,7 @@ reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FRO
 SELECT doc_id, len(s) AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id) AS component_id FROM sets"""
 
 
-def quality(least_docs: int = 50, spread: int = 8, weight: int = 200, grow: int = 2, step: int = 50) -> str:
+def quality(least_docs: int = 50, spread: int = 8, weight: int = 20, grow: int = 2, step: int = 50) -> str:
     """Counts by list functions, sketches and their quantiles by groups and windows."""
 
     def ratio(r: str) -> str:

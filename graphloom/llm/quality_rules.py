@@ -127,7 +127,7 @@ def base_failed(prefix: str = "") -> str:
     return f"({prefix}n_words < 50 or 100 * {prefix}n_repeat_words > 50 * {prefix}n_words)"
 
 
-def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8, weight: int = 200, grow: int = 2, step: int = 50) -> DataFrame:
+def thresholds(counts: DataFrame, least_docs: int = 50, spread: int = 8, weight: int = 20, grow: int = 2, step: int = 50) -> DataFrame:
     """(g_lang, g_source, and lo_* and hi_* of each ratio), a row for each group of counts.
 
     counts has g_lang, g_source and the COUNTS.  Only documents that pass the base rule
