@@ -20,6 +20,14 @@ every run of `min_words` words that no passage covers whole meets its equals by
 shuffle on its 128-bit hash, and all but the first text that holds it repeat that one.
 After it, no such run is left uncovered in two texts, whatever partners were tried.
 
+Passages with changed words may have partners of the same kind.  So what is left is
+compared without regard to partners: places where two shared seeds lie from `LEAST`
+parts of `min_words` to `REACH` words apart, one of them in more than three texts (all pairs of fewer were
+tried), and no passage covers both, meet by a
+shuffle on the two seeds (the n-th with the n-th), and all pairs of texts that meet
+so are aligned, unless the words around both places have fewer in common than a
+passage has matches.
+
 Words are runs of non-space bytes, A-Z lower-cased.  Texts of equal word sequences
 are one document for matching; all but the smallest id of them are passages from
 their first word to their last.  Of two different texts, that with the larger hash
@@ -34,6 +42,7 @@ rows; other columns are ignored by `passages` and kept by `cut_passages`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +60,10 @@ BREAK_GAP = 12
 GAP_COST = 0.25
 #: Words on either side of a chain of seeds in which all k-mers are compared; more where the chain goes on.
 AROUND = 64
+#: Least words of a chain, in hundredths of those of a passage; words within which two seeds of what is left are one place.
+LEAST, REACH = 40, 100
+#: Places of what is left that are compared with each other at once.
+TILE = 512
 #: A seed is hot from so many texts on, and from this part of all occurrences of seeds.
 HOT, HOT_PART = 20_000, 16_384
 #: Groups of seeds that are counted before single ones are.
@@ -141,7 +154,8 @@ def _dealt(rows: DataFrame, least: int) -> DataFrame:
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From seeds (h, s, c, p) in the order of (seed, group, node): matches of each node's occurrences
     with those of the group's first node and of the node before it, the n-th with the n-th; of the first
-    node, where it isn't alone, its places with themselves."""
+    node, where it isn't alone, its places with themselves.  w is false only where the group has three nodes
+    at most, of which all pairs are matched so."""
     held = last_key = None  # of the seed that is still open: its occurrences in its first node and its last
     for batch in batches:
         if not batch.num_rows:
@@ -171,16 +185,20 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.arange(len(starts)), sizes)
         nth = np.arange(len(h)) - starts[group]
         own = np.arange(len(h)) >= fresh
+        share = np.cumsum(new_seed) - 1
+        wide = (np.bincount(share) > 3) | (s[starts][new_seed] > 0)
+        wide[[0, -1]] = True  # they may go on in other batches
+        wide = wide[share][group]
         for other, keep in ((lead[group], own & (lead[group] != group)), (group - 1, own & (group - 1 > lead[group]))):
             if keep.any():
                 o = other[keep]
                 at = starts[o] + np.minimum(nth[keep], sizes[o] - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[at], p[keep], p[at])], names=["b", "a", "p", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[at], p[keep], p[at], wide[keep])], names=["b", "a", "p", "q", "w"])
         leads = new_seed & ~np.append(new_seed[1:], True)
         leads[0] &= not told
         keep = leads[group]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[keep], p[keep], p[keep])], names=["b", "a", "p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[keep], c[keep], p[keep], p[keep], wide[keep])], names=["b", "a", "p", "q", "w"])
         first, last = lead[-1], len(starts) - 1
         keep = np.isin(group, [first, last])
         held = (h[keep], s[keep], c[keep], p[keep])
@@ -257,8 +275,9 @@ def chains(segs: list[tuple[int, int, int]], cost: float = GAP_COST, overlap: in
 
 def _chained(k: int, window: int, min_words: int):
     """From matches in the order of (b, a, p): the promising chains of each pair, packed; and as pair (b, b)
-    the stretches of b in which runs of min_words words can repeat."""
-    least = 2 * min_words // 5
+    the stretches of b in which runs of min_words words can repeat (their number first), and the places
+    of its shared seeds, twice each and one more where w holds."""
+    least = LEAST * min_words // 100
 
     def of_pair(p: np.ndarray, q: np.ndarray) -> bytes | None:
         if p[-1] - p[0] + k < least:
@@ -272,12 +291,17 @@ def _chained(k: int, window: int, min_words: int):
         return np.array(out, np.int32).tobytes() if out else None
 
     def stretches(places: list[np.ndarray]) -> bytes | None:
-        at = np.unique(np.concatenate(places))
+        all_at = np.unique(np.concatenate(places))
+        at = np.unique(all_at >> 1)
         first = np.flatnonzero(np.append(True, np.diff(at) > window))
         last = np.append(first[1:], len(at)) - 1
         wide = at[last] - at[first] >= min_words - k - 2 * (window - 1)  # a run's first seed and its last are so far apart
         spans = np.stack([np.maximum(at[first] - window + 1, 0), at[last] + k + window - 1], axis=1)[wide]
-        return spans.astype(np.int32).tobytes() if len(spans) else None
+        marks = 2 * at + np.isin(at, all_at[all_at & 1 == 1] >> 1)
+        near = any(len(i) for i, _ in _places(marks, least - k))
+        if not len(spans) and not near:
+            return None
+        return np.concatenate([[len(spans)], spans.ravel(), marks if near else []]).astype(np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []  # of the pair that is still open: no more than the seeds of one document
@@ -295,7 +319,7 @@ def _chained(k: int, window: int, min_words: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b, a, p, q = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            b, a, p, q, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             heads = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]))).tolist()
             out = []
             for s, e in zip(heads, [*heads[1:], len(b)], strict=True):
@@ -306,7 +330,7 @@ def _chained(k: int, window: int, min_words: int):
                         places = []
                     parts, key = [], (a[s], b[s])
                 parts.append((p[s:e].astype(np.int64), q[s:e].astype(np.int64)))
-                places.append(parts[-1][0])
+                places.append(2 * parts[-1][0] + w[s:e])
             out = [x for x in out if x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "payload"])
@@ -435,8 +459,62 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _runs_left(min_words: int, clashing: frozenset[int]):
-    """From (text, node, stretches, covered): (g, g2, c, p), hashes and places of the runs in stretches that aren't covered whole."""
+def _places(marks: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of marked places least to REACH words apart, of which one is wide, by j - i."""
+    at, wide = marks >> 1, marks & 1 == 1
+    for d in range(1, len(at)):
+        gap = at[d:] - at[:-d]
+        if gap.min() >= REACH:
+            break
+        i = np.flatnonzero((gap >= least) & (gap < REACH) & (wide[d:] | wide[:-d]))
+        yield i, i + d
+
+
+class Left:
+    """What of a text's stretches and shared seeds (see `_chained`) passages (p0, p1) don't cover whole."""
+
+    def __init__(self, within: bytes, covered: list | None, min_words: int, k: int):
+        numbers = np.frombuffer(within, np.int32).astype(np.int64)
+        n = 1 + 2 * numbers[0]
+        self.spans, self.marks, self.size, self.k = numbers[1:n].reshape(-1, 2), numbers[n:], min_words, k
+        whole = [[-1, -1]]
+        for s, e in sorted((x["p0"], x["p1"]) for x in covered or ()):
+            if s > whole[-1][1]:
+                whole.append([s, e])
+            whole[-1][1] = max(whole[-1][1], e)
+        self.starts, self.ends = np.array(whole).T
+
+    def bare(self, p: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return self.ends[np.searchsorted(self.starts, p, "right") - 1] < e
+
+    def runs(self) -> np.ndarray:
+        """Places of runs."""
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(s, e - self.size + 1) for s, e in self.spans.tolist())])
+        return at[self.bare(at, at + self.size)]
+
+    def pairs(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of seeds."""
+        at = self.marks >> 1
+        for i, j in _places(self.marks, least):
+            keep = self.bare(at[i], at[j] + self.k)
+            yield i[keep], j[keep]
+
+
+def _some_left(min_words: int, k: int):
+    """The rows (id, b, stretches, covered) with something left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
+            left = (Left(w, c, min_words, k) for w, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            yield batch.filter(pa.array([len(x.runs()) > 0 or any(len(i) for i, _ in x.pairs(LEAST * min_words // 100 - k)) for x in left], pa.bool_()))
+
+    return run
+
+
+def _left(min_words: int, k: int, clashing: frozenset[int]):
+    """From (text, node, stretches and places, covered), what isn't covered whole: kind 0 with (g, g2, c, p), hashes and
+    places of runs in stretches; kind 1 with (g, p, g2), the hash and the places of two shared seeds."""
+    least = LEAST * min_words // 100 - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in textkit.slices(whole)):
@@ -444,33 +522,50 @@ def _runs_left(min_words: int, clashing: frozenset[int]):
                 own = sparkkit.word_ids(text, lower=True)
                 if len(own) < min_words or textkit.node_of(own, clashing) != node:  # another text of that id
                     continue
-                left = np.zeros(len(own) - min_words + 1, bool)
-                for s, e in np.frombuffer(within, np.int32).reshape(-1, 2).tolist():
-                    left[s : max(s, e - min_words + 1)] = True
-                start = end = 0
-                for s, e in [*sorted((x["p0"], x["p1"]) for x in covered or ()), (len(own) + 1, 0)]:
-                    if s > end:
-                        left[start : max(start, end - min_words + 1)] = False
-                        start = s
-                    end = max(end, e)
-                at = np.flatnonzero(left)
+                left, rows = Left(within, covered, min_words, k), []
+                at = left.runs()
+                at = at[at <= len(own) - min_words]
                 if len(at):
-                    g, g2 = (textkit.signed(run_hashes(w, min_words)[at]) for w in (own, textkit.mix(own ^ _FACTOR)))
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(g2), pa.array(np.full(len(at), node, np.int64)), pa.array(at.astype(np.int32))], names=["g", "g2", "c", "p"])
+                    rows.append((0, *(textkit.signed(run_hashes(w, min_words)[at]) for w in (own, textkit.mix(own ^ _FACTOR))), at))
+                shared = left.marks >> 1
+                h = textkit.shingle_hashes(own, k)[shared]
+                order = np.argsort(h, kind="stable")
+                before = np.full(len(h), -1)  # the place of the same seed before
+                again = np.flatnonzero(h[order][1:] == h[order][:-1])
+                before[order[again + 1]] = order[again]
+                pairs = [np.empty((2, 0), np.int64)]
+                for i, j in left.pairs(least):  # of equal seeds j the nearest only
+                    nearer = (before[j] > i) & (shared[before[j]] - shared[i] >= least)
+                    pairs.append(np.stack([i[~nearer], j[~nearer]]))
+                i, j = np.concatenate(pairs, axis=1)
+                if len(i):
+                    g = textkit.mix(h[i] * _FACTOR + h[j])
+                    order = np.lexsort((shared[i], g))
+                    g, i, j = g[order], i[order], j[order]
+                    new = np.append(True, g[1:] != g[:-1])
+                    nth = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+                    rows.append((1, textkit.signed(textkit.mix(g + nth.astype(np.uint64))), shared[j], shared[i]))
+                for kind, g, g2, p in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(g), pa.array(g2), pa.array(np.full(len(p), node, np.int64)), pa.array(p.astype(np.int32))], names=["kind", "g", "g2", "c", "p"])
 
     return run
 
 
-def _missed(docs: DataFrame, within: DataFrame, found: DataFrame, min_words: int, clashing: frozenset[int]) -> DataFrame:
-    """(a, b, p0, p1, q0, q1, matched): runs of b that are in a too and that found (b, p0, p1) doesn't cover.
-
-    within: (id, b, stretches).  The first text of a run comes from a combined minimum,
-    and a run that very many texts hold meets it in a join that adaptive execution splits.
-    """
+def _what_is_left(docs: DataFrame, within: DataFrame, found: DataFrame, min_words: int, k: int, clashing: frozenset[int]) -> DataFrame:
+    """(kind, g, g2, c, p): see `_left`; within: (id, b, stretches)."""
     covered = found.groupBy("b").agg(F.collect_set(F.struct("p0", "p1")).alias("covered"))
-    within = sparkkit.cut(within.join(covered, "b", "left"))
+    within = within.join(covered, "b", "left").select("id", "b", "stretches", "covered")
+    within = sparkkit.cut(sparkkit.mapped(within, _some_left(min_words, k), within.schema))
     texts = sparkkit.reduced(docs, within).join(within, "id").select("text", "b", "stretches", "covered")
-    runs = sparkkit.stored(sparkkit.mapped(texts, _runs_left(min_words, clashing), "g long, g2 long, c long, p int"))
+    return sparkkit.stored(sparkkit.mapped(texts, _left(min_words, k, clashing), "kind int, g long, g2 long, c long, p int"))
+
+
+def _missed(runs: DataFrame, min_words: int) -> DataFrame:
+    """(a, b, p0, p1, q0, q1, matched): runs (g, g2, c, p) of b that are in a too.
+
+    The first text of a run comes from a combined minimum, and a run that very many
+    texts hold meets it in a join that adaptive execution splits.
+    """
     first = runs.groupBy("g", "g2").agg(F.min(F.struct("c", "p")).alias("first"), F.max("c").alias("last")).where("first.c <> last").drop("last")
     again = runs.join(first, ["g", "g2"]).where("c <> first.c").selectExpr("c as b", "first.c as a", "p", "first.p as q")
     along = Window.partitionBy("b", "a").orderBy("p")  # no more than the words of b
@@ -480,6 +575,85 @@ def _missed(docs: DataFrame, within: DataFrame, found: DataFrame, min_words: int
     return again.groupBy("a", "b", "nth").agg(*ends).selectExpr("a", "b", "p0", "p1", "q0", "q1", "p1 - p0 as matched")
 
 
+def _surroundings(k: int, clashing: frozenset[int]):
+    """From (text, node, places (g, p, e)): (g, c, p, e, words), the words around each place, the n-th of equal ones told apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
+            for text, node, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sparkkit.word_ids(text, lower=True)
+                if textkit.node_of(own, clashing) != node:  # another text of that id
+                    continue
+                for some in (places[at : at + 1024] for at in range(0, len(places), 1024)):
+                    around = []
+                    for x in some:
+                        w = np.sort(own[max(x["p"] - AROUND, 0) : x["e"] + k + AROUND])
+                        nth = np.arange(len(w)) - np.searchsorted(w, w, "left")
+                        around.append(textkit.mix(w + nth.astype(np.uint64)).astype(np.uint32).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([x["g"] for x in some], pa.int64()), pa.array([node] * len(some), pa.int64()), *(pa.array([x[c] for x in some], pa.int32()) for c in "pe"), pa.array(around, pa.binary())], names=["g", "c", "p", "e", "words"])
+
+    return run
+
+
+def _alike(least: int):
+    """From places (g, c, p, e, words) in the order of (g, c): (a, b, p, q) of both seeds of all pairs with
+    at least that many words in common around them; a product of places and words, tile by tile."""
+
+    def of_group(c: np.ndarray, p: np.ndarray, e: np.ndarray, words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(w) // 4 for w in words]
+        flat = np.frombuffer(b"".join(words), np.uint32)
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(words)), sizes)
+        keep = times[column] > 1  # words of one place only are common to none
+        names, column = np.unique(column[keep], return_inverse=True)
+        row = row[keep]
+        bounds = np.searchsorted(row, np.arange(0, len(words) + TILE, TILE))
+
+        def tile(t: int) -> np.ndarray:
+            out = np.zeros((min(TILE, len(words) - t * TILE), len(names)), np.float32)
+            out[row[bounds[t] : bounds[t + 1]] - t * TILE, column[bounds[t] : bounds[t + 1]]] = 1
+            return out
+
+        for t in range(-(-len(words) // TILE)):
+            mine = tile(t)
+            for u in range(t + 1):
+                y, x = np.nonzero(mine @ (mine if u == t else tile(u)).T >= least)
+                y, x = y + t * TILE, x + u * TILE
+                y, x = y[c[y] > c[x]], x[c[y] > c[x]]
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.tile(c[x], 2), np.tile(c[y], 2), np.append(p[y], e[y]), np.append(p[x], e[x]))], names=["a", "b", "p", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []  # of the pair of seeds that is still open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, c, p, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            words = batch.column(4).to_pylist()
+            heads = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist()
+            for s, t in zip(heads, [*heads[1:], len(g)], strict=True):
+                if held and held[0][0] != g[s]:
+                    yield from of_group(*(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)), [w for x in held for w in x[4]])
+                    held = []
+                held.append([g[s], c[s:t], p[s:t], e[s:t], words[s:t]])
+        if held:
+            yield from of_group(*(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)), [w for x in held for w in x[4]])
+
+    return run
+
+
+def _untried(docs: DataFrame, places: DataFrame, found: DataFrame, first: DataFrame, least: int, k: int, clashing: frozenset[int]) -> DataFrame:
+    """(a, b, met): all pairs of texts that meet at two places (g, c, p, e) which found doesn't cover, with their equal seeds."""
+    covered = found.groupBy(F.col("b").alias("c")).agg(F.collect_set(F.struct("p0", "p1")).alias("covered"))
+    places = places.join(covered, "c", "left").where(f"covered is null or not exists(covered, x -> x.p0 <= p and x.p1 >= e + {k})").drop("covered")
+    met = places.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
+    places = sparkkit.cut(places.join(met, "g").groupBy("c").agg(F.collect_list(F.struct("g", "p", "e")).alias("places")).join(first.withColumnRenamed("node", "c"), "c").select(F.col("rep").alias("id"), "c", "places"))
+    texts = sparkkit.reduced(docs, places).join(places, "id").select("text", "c", "places")
+    around = sparkkit.mapped(texts, _surroundings(k, clashing), "g long, c long, p int, e int, words binary").dropDuplicates(["g", "c"])
+    pairs = sparkkit.mapped(around.repartition("g").sortWithinPartitions("g", "c"), _alike(least), "a long, b long, p int, q int")
+    return pairs.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("p", "q"))).alias("met"))
+
+
 def _meeting(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of equal k-mers of two word sequences, the n-th with the n-th."""
     hx, hy = textkit.shingle_hashes(x, k), textkit.shingle_hashes(y, k)
@@ -528,13 +702,25 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity
 
     rows = sparkkit.stored(sparkkit.mapped(docs, _seed_rows(k, window, min_words, clashing), "h long, c long, p binary"))
     rows = _dealt(rows, hot).select("h", "s", "c", "p").repartition("h", "s").sortWithinPartitions("h", "s", "c")
-    met = sparkkit.mapped(rows, _matches, "b long, a long, p int, q int")
+    met = sparkkit.mapped(rows, _matches, "b long, a long, p int, q int, w boolean")
     met = met.repartition("b").sortWithinPartitions("b", "a", "p", "q")
     pairs = sparkkit.mapped(met, _chained(k, window, min_words), "a long, b long, payload binary")
     ends = {x: first.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}")) for x in ("a", "b")}
     pairs = sparkkit.cut(pairs.join(ends["a"], "a").join(ends["b"], "b"))
     within = pairs.where("a = b").selectExpr("rb as id", "b", "payload as stretches")
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs with their equal seeds as the promising chains of these."""
+        for batch in (part for whole in batches for part in textkit.slices(whole)):
+            rows = []
+            for *ends, met in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                found = chains(segments(*(np.array([x[c] for x in met], np.int64) for c in "pq"), k))
+                flat = [n for c in found if c[-1][0] + c[-1][2] - c[0][0] >= LEAST * min_words // 100 for n in (len(c), *(y for x in c for y in x))]
+                if flat:
+                    rows.append((*ends, np.array(flat, np.int32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["a", "b", "ra", "rb", "payload"])
+
     def judge(y, x, payload):
         numbers, at, met = np.frombuffer(payload, np.int32).tolist(), 0, []
         while at < len(numbers):
@@ -550,9 +736,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity
         return out
 
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(c, pa.int32()) for c in ("p0", "p1", "q0", "q1", "matched")])
-    found = sparkkit.with_pairs(docs, pairs.where("a <> b"), judge, lambda t: sparkkit.word_ids(t, lower=True), clashing, "a long, b long, p0 int, p1 int, q0 int, q1 int, matched int", arrow)
-    found = sparkkit.cut(found)
-    found = found.unionByName(_missed(docs, within, found, min_words, clashing))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        return sparkkit.cut(sparkkit.with_pairs(docs, pairs, judge, lambda t: sparkkit.word_ids(t, lower=True), clashing, "a long, b long, p0 int, p1 int, q0 int, q1 int, matched int", arrow))
+
+    found = aligned(pairs.where("a <> b"))
+    left = _what_is_left(docs, within, found, min_words, k, clashing)
+    exact = sparkkit.cut(_missed(left.where("kind = 0"), min_words))
+    untried = _untried(docs, left.where("kind = 1").selectExpr("g", "c", "p", "cast(g2 as int) as e"), exact, first, math.ceil(identity * min_words), k, clashing)
+    untried = untried.join(ends["a"], "a").join(ends["b"], "b").select("a", "b", "ra", "rb", "met")
+    rest = aligned(sparkkit.cut(sparkkit.mapped(untried, packed, "a long, b long, ra long, rb long, payload binary")))
+    rest = rest.join(found.select("a", "b", "p0", "p1"), ["a", "b", "p0", "p1"], "left_anti")
+    found = found.unionByName(exact).unionByName(rest)
     found = found.join(ends["a"], "a").join(ends["b"], "b").select(F.col("rb").alias("id"), F.col("b").alias("node"), "p0", "p1", "matched", F.col("ra").alias("source"), "q0", "q1")
     whole = known.join(first, "node").where("id <> rep").dropDuplicates(["id", "node"])
     return found.union(whole.selectExpr("id", "node", "0", "n", "n", "rep", "0", "n")), clashing

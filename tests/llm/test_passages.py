@@ -116,3 +116,19 @@ def test_recall_against_all_pairs_aligned(spark, pattern):
     got = sum(int((due[i] & covered[i]).sum()) for i in due)
     print(pattern.__name__, asked, got / asked)
     assert asked > 1000 and got >= 0.9 * asked
+
+
+def test_changed_passages_with_other_partners(spark):
+    """Pairs of texts that share a changed passage whose seeds all lie, apart from each other, in texts before and between them."""
+    rng = random.Random(5)
+    texts, pairs = [], []
+    for _ in range(12):
+        passage = fillers(rng, 76)
+        copy = [fillers(rng, 1)[0] if i % 19 == 18 else w for i, w in enumerate(passage)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [fillers(rng, 30) + own + fillers(rng, 30) for own in (passage, copy)]
+        for at in range(0, 76, 19):  # each stretch without a change, in texts of its own
+            texts += [fillers(rng, 30) + passage[at : at + 18] + fillers(rng, 30) for _ in range(30)]
+    covered = found(spark, texts)
+    assert all(covered[a][30:105].sum() + covered[b][30:105].sum() >= 70 for a, b in pairs)
+    assert not any(c.any() for i, c in covered.items() if i not in {x for p in pairs for x in p})
