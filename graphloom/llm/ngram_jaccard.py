@@ -184,7 +184,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     entries = sparkkit.mapped(docs.where("id is not null"), _columns(n, threshold, frequent, clashing), "h long, p int, c long, n int, i int")
     entries = entries.repartition("h", "p").sortWithinPartitions("h", "p")
-    entries = sparkkit.cut(sparkkit.mapped(entries, _shared, "h long, c long, n int, i int, w int"))
+    entries = sparkkit.stored(sparkkit.mapped(entries, _shared, "h long, c long, n int, i int, w int"))
 
     def least() -> str:  # columns that a pair must share, as its sizes say
         need = lambda x: f"({threshold} * {x} + 99) div 100"
@@ -212,7 +212,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """The entries of columns in which nodes of several components meet."""
         rows = rows.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("lab", F.coalesce("component", "c")).drop("component")
         meet = rows.groupBy("h").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("h")
-        return sparkkit.cut(rows.join(meet, "h"))
+        return sparkkit.stored(rows.join(meet, "h"))
 
     # first with the node that has most in common with others, as an original has among its copies
     central = entries.groupBy("c").agg((-F.sum(F.log2("w")) / F.first("n")).alias("rank"))
