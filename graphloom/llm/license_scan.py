@@ -25,6 +25,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,7 +150,8 @@ def block_matches(files: DataFrame, least: float = LEAST_BLOCK) -> DataFrame:
 
     text = F.regexp_replace(F.regexp_replace("text", _COMMENT_END, "$1\n\n"), _CLOSE, "\n\n")
     text = F.regexp_replace(F.regexp_replace(text, _MARKS, ""), _RIGHTS, "")
-    parts = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), F.filter(F.split(text, _PARAGRAPH), lambda p: F.trim(p) != "").alias("parts")).where("size(parts) > 0")
+    parts = files.where(gate(F.col("text"))).select("id", F.xxhash64("text").alias("row"), F.filter(F.split(text, _PARAGRAPH), lambda p: F.trim(p) != "").alias("parts"))
+    parts = sparkkit.stored(parts).where("size(parts) > 0")  # texts are searched and taken apart once
     key = ["id", "row", "at", "n"]
     # runs: stretches of a text, each in a row of its own, then the paragraphs from each one on, joined to texts of one, two and more
     stretches = F.transform(F.sequence(F.lit(0), F.expr(f"(size(parts) - 1) div {STRETCH}")), lambda k: F.slice("parts", k * STRETCH + 1, STRETCH + RUN - 1))
@@ -183,15 +186,16 @@ def _long_runs(parts: DataFrame, rows: list[tuple], weights: DataFrame, unseen:
     spark, key, run = parts.sparkSession, ["id", "row"], ["id", "row", "at", "n"]
     long = [k for k, (_, text) in enumerate(license_texts.templates()) if len([p for p in re.split(_PARAGRAPH, text) if p.strip()]) > RUN]
     table = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] in long], "template int, token string")
-    tokens, able = F.array_distinct(_tokens(F.array_join("parts", "\n"))), F.lit(False)
+    tokens, enough = F.array_distinct(_tokens(F.array_join("parts", "\n"))), []
     for k in long:
         own = sorted(((x, t) for template, _, t, x, _ in rows if template == k), reverse=True)
         square, held, needed = sum(x * x for x, _ in own), 0.0, 0
         while held < least**2 * square:  # no fewer words make that much of the template
             held += own[needed][0] ** 2
             needed += 1
-        able = able | (F.size(F.array_intersect(F.col("tokens"), F.array(*[F.lit(t) for _, t in own]))) >= needed)
-    texts = parts.where(f"size(parts) > {RUN}").withColumn("tokens", tokens).where(able).select(*key, "parts").dropDuplicates(key)
+        enough.append((F.array(*[F.lit(t) for _, t in own]), needed))
+    able = F.exists(F.array(tokens), lambda t: reduce(or_, [F.size(F.array_intersect(t, own)) >= needed for own, needed in enough]))  # words are found once
+    texts = parts.where(f"size(parts) > {RUN}").where(able).select(*key, "parts").dropDuplicates(key)
     pieces = sparkkit.cut(texts.select(*key, F.posexplode("parts").alias("at", "text")))
     words = pieces.select(*key, "at", F.explode(_tokens(F.col("text"))).alias("token")).groupBy(*key, "at", "token").agg(F.count("*").alias("n_token"))
     heavy = words.join(F.broadcast(weights), "token", "left").groupBy(*key, "at").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("all"))
@@ -230,7 +234,7 @@ def matches(files: DataFrame, templates: DataFrame, least: float = LEAST) -> Dat
     template = template.join(template.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "license").select("license", "token", F.col("w").alias("tw"), F.col("norm").alias("tn"))
 
     named = F.filter(F.split("text", _SENTENCE), lambda s: F.lower(s).rlike(_NAMES))
-    said = files.where(F.lower("text").rlike(_NAMES)).select("id", F.posexplode(named).alias("k", "text"))
+    said = sparkkit.cut(files.where(F.lower("text").rlike(_NAMES)).select("id", F.posexplode(named).alias("k", "text")))
     vectors = sparkkit.cut(_vectors(said, ["id", "k"], idf, unseen))
     norms = vectors.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = vectors.join(F.broadcast(template), "token").groupBy("id", "k", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.max("tn").alias("tn"))

@@ -543,3 +543,19 @@ def test_license_scan_of_long_texts(spark):
     rows = [(i, f"f{i}", t) for i, (_, t) in enumerate(cases)]
     got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_license_blocks_read_their_texts_once(spark):
+    """What the gate of `block_matches` leaves is kept, so no text is searched or taken apart again."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        read.add(1)
+        return text
+
+    files = spark.createDataFrame([(i, "Permission is hereby granted, without warranty of any kind.\n\n" * 12) for i in range(20)], "id long, text string")
+    license_scan.block_matches(files.select("id", F.udf(told, StringType()).asNondeterministic()("text").alias("text"))).collect()
+    assert read.value == 20
