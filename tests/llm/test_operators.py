@@ -559,3 +559,21 @@ def test_license_blocks_read_their_texts_once(spark):
     files = spark.createDataFrame([(i, "Permission is hereby granted, without warranty of any kind.\n\n" * 12) for i in range(20)], "id long, text string")
     license_scan.block_matches(files.select("id", F.udf(told, StringType()).asNondeterministic()("text").alias("text"))).collect()
     assert read.value == 20
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    def files():
+        return {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before = files()
+    rows = sparkkit.cut(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().repartition(3, "count"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    again = rows.groupBy("count").agg(F.count("*").alias("n"))
+    assert sorted(again.collect()) == sorted(again.collect()) == [(7, 600), (8, 100)]
