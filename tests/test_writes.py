@@ -30,6 +30,18 @@ def test_distance_lands_in_the_payload(vectors):
             find_nearest(vectors, "e", [1.0, 0.0], 5, result_field=bad)
 
 
+def test_all_rows_within_a_threshold(spark, tmp_path):
+    """More rows than the largest limit lie within the threshold; the query gives them all."""
+    from graphloom import queries
+
+    rows = spark.range(1500).selectExpr("id AS vec_id", f"transform(array({', '.join(map(str, queries.VECTOR))}), x -> cast(x * (id + 1) AS float)) AS embedding", "cast(id % 5 = 0 AS int) + 1 AS label")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["nearest_threshold"](spark, str(tmp_path)).collect()
+    assert sorted(r["aUid"] for r in got) == sorted(f"item-{k}" for k in range(1500) if k % 5)
+    with pytest.raises(GraphError):
+        find_nearest(Graph(rows), "embedding", [1.0], None)
+
+
 def test_changes_of_rows(spark, vectors, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     assert store.read().columns == [c.split()[0] for c in TRIPLE_SCHEMA.split(", ")]
