@@ -73,13 +73,18 @@ class PartTable:
         """The partitions of rows, each with how many they are."""
         return [(tuple(str(r[k]) for k in self.keys), r["count"]) for r in rows.groupBy(*self.keys).count().collect()]
 
-    def write(self, rows: DataFrame, base: int, replaced: list[Part] | None, settings: dict, order: list[str]) -> int:
-        """The version after base, in which rows are all that the replaced partitions hold (None: all partitions)."""
+    def write(self, rows: DataFrame, base: int, replaced: list[Part] | None, settings: dict, order: list[str], shuffle: bool = True) -> int:
+        """The version after base, in which rows are all that the replaced partitions hold (None: all partitions).
+
+        Without a shuffle each task writes its rows as they come, into files of its own: for rows of which
+        each task has few partitions, as it needs no disk beside the table.
+        """
         if self.latest() != base:
             raise GraphError("CONFLICT", f"version {base} isn't the latest")
         folder = f"rows-{uuid.uuid4().hex}"
         # large partitions are split and small ones put together as they turn out, without a pass for samples
-        rows.hint("rebalance", *self.keys).sortWithinPartitions(*self.keys, *order).write.partitionBy(*self.keys).parquet(f"{self.path}/{folder}")
+        rows = rows.hint("rebalance", *self.keys) if shuffle else rows
+        rows.sortWithinPartitions(*self.keys, *order).write.option("compression", "zstd").partitionBy(*self.keys).parquet(f"{self.path}/{folder}")
         gone = set(replaced or ())
         kept: dict[str, list[Part]] = {}
         for key, place in self.parts(base).items() if replaced is not None else ():

@@ -22,7 +22,7 @@ from graphloom.model import COLUMNS, NODE, TRIPLE_SCHEMA, doc_id_column
 from graphloom.operators.graph import Graph
 from graphloom.operators.registry import Registry
 from graphloom.plans.planner import Find
-from graphloom.sources.folders import kept
+from graphloom.sources.folders import kept, stored
 from graphloom.sources.parts import Part, PartTable
 
 #: A change set: rows of the triple table with data as JSON, and in `op` put, replace, update or remove; seq orders changes of one row.
@@ -38,15 +38,22 @@ class GraphStore(Protocol):
     def apply(self, changes: DataFrame, now: str) -> int: ...
 
 
-#: The columns as a store keeps them: in partitions of a relation and a share of its sources.
+#: The columns as a store keeps them: in partitions of a relation, and of a type of sources and a share of them.
 STORED = TRIPLE_SCHEMA + ", _bucket int"
+#: Kinds among which a new store deals the types of sources.
+KINDS = 256
+#: Changed rows up to which a commit sends their keys to all tasks instead of shuffling what it reads.
+FEW_KEYS = 100_000
+#: Bits of the filter that `_perhaps` sends to all tasks: 64 in each of its rows.
+FILTER_BITS = 1 << 25
 
 
 class SnapshotStore:
     """Versions of a triple table; a commit writes only the partitions (relation, bucket of sources) that it touches.
 
-    A store keeps the number of buckets that it was made with: a put of one row rewrites about one
-    relation's rows divided by it.
+    The bucket is a share of the sources of one type, counted on from those of other types (as far as
+    the kinds of types reach).  A store keeps the number of shares that it was made with: a put of one
+    row rewrites about the rows of one relation and type divided by it.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
@@ -70,15 +77,34 @@ class SnapshotStore:
     def graph(self, scope: str = "", version: int | None = None) -> Graph:
         return Graph(self.read(version), scope)
 
-    def _placed(self, rows: DataFrame, version: int) -> DataFrame:
-        return rows.withColumn("_bucket", F.pmod(F.xxhash64("scope", "aUid"), F.lit(self.buckets(version))).cast("int"))
+    def _settings(self, version: int) -> dict:
+        """The numbers of shares and kinds; a version written before there were kinds has one."""
+        return {"buckets": self._buckets, "kinds": 1 if version else KINDS} | self.table.marker(version)["settings"]
 
-    def commit(self, rows: DataFrame, base: int) -> int:
-        """All rows of the version after base; CONFLICT if there is one already."""
-        return self._commit(self._placed(rows.select(*COLUMNS), base), base, None)
+    def _placed(self, rows: DataFrame, version: int) -> DataFrame:
+        settings = self._settings(version)
+        share, kind = F.pmod(F.xxhash64("scope", "aUid"), F.lit(settings["buckets"])), F.pmod(F.xxhash64("aType"), F.lit(settings["kinds"]))
+        return rows.withColumn("_bucket", (share + kind * settings["buckets"]).cast("int"))
+
+    def _others(self, keys: DataFrame, touched: list[Part], base: int) -> list[Part]:
+        """The partitions in which rows of the keys lie under another type than that of their change."""
+        shares, known = self._settings(base)["buckets"], set(touched)
+        near = {(relation, int(bucket) % shares) for relation, bucket in touched}
+        others = [part for part in self.table.parts(base) if part not in known and (part[0], int(part[1]) % shares) in near]
+        if not others:
+            return []
+        rows = self._read(base, others).select("scope", "docId", "axbType", "_bucket")
+        return [part for part, _ in self.table.touched(_perhaps(rows, keys).join(keys, ["scope", "docId"], "left_semi"))]
+
+    def commit(self, rows: DataFrame, base: int, shuffle: bool = True) -> int:
+        """All rows of the version after base; CONFLICT if there is one already.
+
+        Rows that come relation by relation and type by type need no shuffle.
+        """
+        return self._commit(self._placed(rows.select(*COLUMNS), base), base, None, shuffle)
 
-    def _commit(self, rows: DataFrame, base: int, replaced: list[Part] | None) -> int:
-        return self.table.write(rows, base, replaced, {"buckets": self.buckets(base)}, ["aUid", "bUid"])
+    def _commit(self, rows: DataFrame, base: int, replaced: list[Part] | None, shuffle: bool = True) -> int:
+        return self.table.write(rows, base, replaced, self._settings(base), ["aUid", "bUid"], shuffle)
 
     def apply(self, changes: DataFrame, now: str, base: int | None = None, missing: str = "error") -> int:
         """Fold a change set (columns CHANGES) in order and commit it; `now` stamps what it touches.
@@ -86,11 +112,14 @@ class SnapshotStore:
         Updates of rows that aren't there raise NOT_FOUND unless missing is "skip".
         """
         base = self.version() if base is None else base
-        delta = self._placed(changes, base).withColumn("docId", doc_id_column())
-        touched = [part for part, _ in self.table.touched(delta)]
-        rows = self._read(base, touched)
+        delta = stored(self._placed(changes, base).withColumn("docId", doc_id_column()))
+        counts = self.table.touched(delta)
         keys = delta.select("scope", "docId").distinct()
-        made = kept(folded(rows.join(keys, ["scope", "docId"], "left_semi"), delta, now))
+        keys = F.broadcast(keys) if sum(n for _, n in counts) <= FEW_KEYS else keys.hint("merge")
+        touched = [part for part, _ in counts]
+        touched += self._others(keys, touched, base)
+        rows = self._read(base, touched)
+        made = stored(folded(rows.join(keys, ["scope", "docId"], "left_semi"), delta, now))
         if missing == "error" and not made.where("missing").isEmpty():
             raise GraphError("NOT_FOUND", "an update names a row that isn't there")
         rest = rows.join(keys, ["scope", "docId"], "left_anti")
@@ -198,7 +227,7 @@ class SnapshotStore:
         """
         base = self.version() if base is None else base
         found = kept(replace(self.graph(scope, base), registry=None).find_edges(find))
-        old = registry.outdated(found).select("scope", "docId", "axbType", "aUid")
+        old = registry.outdated(found).select("scope", "docId", "axbType", "aType", "aUid")
         touched = [part for part, _ in self.table.touched(self._placed(old, base))]
         if touched:
             rows = self._read(base, touched)
@@ -223,6 +252,21 @@ class SnapshotStore:
         return self._rewritten(hit, base)
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose (scope, docId) may be among the keys: all that are, and few others.
+
+    Half a million numbers at most go to all tasks, so a following join shuffles few rows
+    however many there are; it never decides a result.
+    """
+
+    def at(df: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("scope", "docId"), F.lit(FILTER_BITS))
+        return df.withColumn("_word", F.shiftright(place, 6)).withColumn("_bit", place.bitwiseAND(F.lit(63)).cast("int"))
+
+    bits = at(keys.select("scope", "docId")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return at(rows).join(F.broadcast(bits), "_word").where(F.getbit("_bits", F.col("_bit")) == 1).select(*rows.columns)
+
+
 #: A row as `folded` reads and writes it: the payload as JSON.
 _FOLDED = "scope string, docId string, aType string, aUid string, axbType string, bType string, bUid string, data string, v int, createdAt timestamp, updatedAt timestamp, missing boolean"
 

@@ -34,7 +34,7 @@ def query(sql: str):
     def keep(fn: Callable[[SnapshotStore], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             store = SnapshotStore(spark, new_folder(spark, fn.__name__), buckets=4)
-            store.commit(star_triples(spark, sf_dir), 0)
+            store.commit(star_triples(spark, sf_dir), 0, shuffle=False)  # each table's rows come by themselves
             return fn(store)
 
         QUERIES[fn.__name__] = run

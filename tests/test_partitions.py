@@ -133,3 +133,33 @@ def test_write_back_on_read(spark, tmp_path):
     assert store.read_migrated(registry, Find(aType="t", axbType="is", where=[("k", "==", "0")]))[1] == 2  # nothing old
     rows, version = store.read_migrated(registry, Find(aType="t", axbType="is", where=[("k", ">", 2)]), base=1)
     assert version == 1 and rows.count() == 3 and store.version() == 2  # a writer was faster
+
+
+def test_changes_rewrite_one_type(spark, tmp_path):
+    """A change of rows of one type leaves the partitions of other types; one that gives a row another type takes its old one along."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/g", buckets=1)
+    store.apply(changes(spark, *[change("put", k, (kind, f"{kind}{k}"), data={"k": k}) for k in range(8) for kind in ("t", "u")]), NOW)
+    first = store.table.parts(1)
+    store.apply(changes(spark, change("put", 0, ("t", "t3"), data={"x": 1})), NOW)
+    second = store.table.parts(2)
+    assert len(first) == 2 and sum(second[p] != first[p] for p in second) == 1
+    store.apply(changes(spark, change("put", 0, ("u", "t3"), data={"y": 2}), change("remove", 0, ("u", "t4")), change("update", 0, ("v", "t5"), data={"z": 3})), NOW)
+    rows = {r["docId"]: (r["aType"], r["j"]) for r in store.read().select("docId", "aType", F.to_json("data").alias("j")).collect()}
+    assert store.read().count() == len(rows) == 15 and "t4" not in rows
+    assert rows["t3"] == ("u", '{"k":3,"x":1,"y":2}') and rows["t5"] == ("t", '{"k":5,"z":3}') and rows["u3"] == ("u", '{"k":3}')
+
+
+def test_versions_without_kinds_are_read_and_written(spark, tmp_path):
+    """A store whose marker names no kinds keeps its partitions, of all types together."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/g", buckets=2)
+    rows = changes(spark, *[change("put", k, (kind, f"{kind}{k}"), data={"k": k}) for k in range(8) for kind in ("t", "u")])
+    settings = store._settings
+    store._settings = lambda version: {"buckets": 2, "kinds": 1}
+    store.apply(rows, NOW)
+    marker = tmp_path / "g" / "version-1"
+    marker.write_text(marker.read_text().replace(', "kinds": 1', ""))
+    store._settings = settings
+    assert store._settings(1) == {"buckets": 2, "kinds": 1}
+    store.apply(changes(spark, change("put", 0, ("u", "t3"), data={"y": 2})), NOW)
+    assert {p[1] for p in store.table.parts(2)} == {"0", "1"} and store.read().count() == 16
+    assert store.read().where("docId = 't3'").select("aType", F.to_json("data")).first()[:] == ("u", '{"k":3,"y":2}')
