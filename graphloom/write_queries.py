@@ -292,7 +292,7 @@ def write_back_on_read(store: SnapshotStore) -> DataFrame:
     first = [f"nation-{k}" for k in range(10)]
     found, version = store.read_migrated(_LATER, Find(aType="nation", axbType=NODE, where=[("aUid", "in", first)], limit=0))
     rest = Graph(store.read(version), registry=_LATER).find_edges(Find(aType="nation", axbType=NODE, where=[("aUid", "not-in", first)], limit=0))
-    kept = store.read(version).select("docId", F.col("v").alias("stored"))
+    kept = store.graph(version=version).find_nodes("nation", limit=0).select("docId", F.col("v").alias("stored"))
     return found.unionByName(rest).join(kept, "docId").select("aUid", _text("label"), "v", "stored")
 
 

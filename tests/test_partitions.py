@@ -163,3 +163,26 @@ def test_versions_without_kinds_are_read_and_written(spark, tmp_path):
     store.apply(changes(spark, change("put", 0, ("u", "t3"), data={"y": 2})), NOW)
     assert {p[1] for p in store.table.parts(2)} == {"0", "1"} and store.read().count() == 16
     assert store.read().where("docId = 't3'").select("aType", F.to_json("data")).first()[:] == ("u", '{"k":3,"y":2}')
+
+
+def _two_types(spark, path):
+    """A store of two types in one share, and what its partitions of type u are."""
+    store = SnapshotStore(spark, f"file://{path}/g", buckets=1)
+    store.apply(changes(spark, *[change("put", k, (kind, f"{kind}{k}"), data={"k": k}) for k in range(4) for kind in ("t", "u")]), NOW)
+    parts = store.table.touched(store._read(1).where("aType = 'u'"))
+    return store, {part: store.table.parts(1)[part] for part, _ in parts}
+
+
+def _untouched(store, others):
+    now = store.table.parts(store.version())
+    return store.version() == 2 and len(now) > len(others) and others.items() <= now.items()
+
+
+def test_write_back_keeps_other_types(spark, tmp_path):
+    from graphloom.operators.registry import Entry, Registry
+
+    store, others = _two_types(spark, tmp_path)
+    registry = Registry([Entry("t", migrations=[(0, 1, "to_json(named_struct('k', get_json_object(data, '$.k')))")])])
+    rows, version = store.read_migrated(registry, Find(aType="t", axbType="is", where=[("k", "<", 2)]))
+    assert version == 2 and rows.count() == 2 and _untouched(store, others)
+    assert sorted((r["docId"], r["v"]) for r in store.read().where("v is not null").collect()) == [("t0", 1), ("t1", 1)] and store.read().count() == 8
