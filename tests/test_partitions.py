@@ -9,7 +9,7 @@ from graphloom.errors import GraphError
 from graphloom.plans.planner import Find
 from graphloom.sources.collections import Collection, CollectionStore
 from graphloom.sources.routed import RoutedStore
-from graphloom.sources.store import CHANGES, SnapshotStore, change
+from graphloom.sources.store import CHANGES, SnapshotStore, change, changes_of
 
 NOW = "2024-01-01 00:00:00"
 
@@ -186,3 +186,10 @@ def test_write_back_keeps_other_types(spark, tmp_path):
     rows, version = store.read_migrated(registry, Find(aType="t", axbType="is", where=[("k", "<", 2)]))
     assert version == 2 and rows.count() == 2 and _untouched(store, others)
     assert sorted((r["docId"], r["v"]) for r in store.read().where("v is not null").collect()) == [("t0", 1), ("t1", 1)] and store.read().count() == 8
+
+
+def test_transaction_keeps_other_types(spark, tmp_path):
+    store, others = _two_types(spark, tmp_path)
+    body = lambda g: changes_of(g.find_edges(Find(aType="t", axbType="is", where=[("k", ">", 1)], limit=0)), "update", data={"state": "rich"})
+    assert store.run_transaction(body, NOW) == 2 and _untouched(store, others)
+    assert sorted(r[0] for r in store.read().where("aType = 't'").select(F.to_json("data")).collect()) == ['{"k":0}', '{"k":1}', '{"k":2,"state":"rich"}', '{"k":3,"state":"rich"}']
