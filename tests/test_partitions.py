@@ -193,3 +193,9 @@ def test_transaction_keeps_other_types(spark, tmp_path):
     body = lambda g: changes_of(g.find_edges(Find(aType="t", axbType="is", where=[("k", ">", 1)], limit=0)), "update", data={"state": "rich"})
     assert store.run_transaction(body, NOW) == 2 and _untouched(store, others)
     assert sorted(r[0] for r in store.read().where("aType = 't'").select(F.to_json("data")).collect()) == ['{"k":0}', '{"k":1}', '{"k":2,"state":"rich"}', '{"k":3,"state":"rich"}']
+
+
+def test_replacements_keep_other_types(spark, tmp_path):
+    store, others = _two_types(spark, tmp_path)
+    assert store.apply(changes_of(store.read().where("aType = 't' and aUid < 't2'"), "replace", data={"name": "closed"}), NOW) == 2 and _untouched(store, others)
+    assert sorted(r[0] for r in store.read().where("aType = 't'").select(F.to_json("data")).collect()) == ['{"k":2}', '{"k":3}', '{"name":"closed"}', '{"name":"closed"}']
