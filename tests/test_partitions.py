@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
+from graphloom.functions.patch import DELETE
 from graphloom.plans.planner import Find
 from graphloom.sources.collections import Collection, CollectionStore
 from graphloom.sources.routed import RoutedStore
@@ -199,3 +200,10 @@ def test_replacements_keep_other_types(spark, tmp_path):
     store, others = _two_types(spark, tmp_path)
     assert store.apply(changes_of(store.read().where("aType = 't' and aUid < 't2'"), "replace", data={"name": "closed"}), NOW) == 2 and _untouched(store, others)
     assert sorted(r[0] for r in store.read().where("aType = 't'").select(F.to_json("data")).collect()) == ['{"k":2}', '{"k":3}', '{"name":"closed"}', '{"name":"closed"}']
+
+
+def test_updates_keep_other_types(spark, tmp_path):
+    store, others = _two_types(spark, tmp_path)
+    assert store.apply(changes_of(store.read().where("aType = 't' and aUid < 't2'"), "update", data={"k": DELETE, "state": "new"}), NOW) == 2 and _untouched(store, others)
+    rows = store.read().where("aType = 't'").select(F.to_json("data"), F.col("createdAt") == F.lit(NOW).cast("timestamp")).collect()
+    assert sorted(tuple(r) for r in rows) == [('{"k":2}', True), ('{"k":3}', True), ('{"state":"new"}', True), ('{"state":"new"}', True)]
